@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, secrets, sharding, toxicity
+from . import byte_bpe, chat, language_id, secrets, sharding, toxicity
 from .common import held_out, read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +28,12 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.train(language_id.sample_known(docs))
+    return language_id.label(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +55,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scans": op2_secret_scans,
+    "op3_language_id": op3_language_id,
     "op5_sharding": op5_sharding,
     "op6_chat_formatting": op6_chat_formatting,
     "op9_byte_bpe": op9_byte_bpe,
