@@ -53,13 +53,14 @@ def fits_broadcast(df: DataFrame, rows: int) -> bool:
 
 
 def each_text(
-    df: DataFrame, schema: str, work: Callable[[pa.Array, pa.Array], Iterable[pa.RecordBatch]], id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, schema: str, work: Callable[[pa.Array, pa.Array], Iterable[pa.RecordBatch]], id_col: str | None = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Run ``work(ids, texts)`` over Arrow batches of the two columns (null texts arrive as '')."""
+    """Run ``work(ids, texts)`` over Arrow batches of the two columns (null texts arrive as ''; no id column: null ids)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:
                 yield from work(b.column(0), b.column(1))
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(batches, schema)
+    ids = F.lit(None) if id_col is None else F.col(id_col)
+    return df.select(ids.cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(batches, schema)

@@ -8,12 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, language_id, secrets, sharding, toxicity
+from . import byte_bpe, chat, decontamination, language_id, quality, secrets, sharding, toxicity
 from .common import held_out, read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are sources, paths their language sections."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality.score(docs, labels, quality.train(toxicity.sample_labelled(docs, labels, "quality")), host_col="source", path_col="lang")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -58,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_sharding": op5_sharding,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
