@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontamination, language_id, quality, secrets, sharding, toxicity
+from . import byte_bpe, chat, decontamination, jaccard_join, language_id, quality, secrets, sharding, toxicity
 from .common import held_out, read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -62,6 +62,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(turns))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scans": op2_secret_scans,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 #: Conversations as op6_chat_formatting returns them, said without formatting them; formatted_chars follows the template.
