@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontamination, jaccard_join, language_id, quality, secrets, sharding, toxicity
+from . import byte_bpe, chat, decontamination, jaccard_join, language_id, quality, secrets, sharding, spotsigs, toxicity
 from .common import held_out, read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -44,6 +44,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.label(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited(read_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read_table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scans": op2_secret_scans,
     "op3_language_id": op3_language_id,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op5_sharding": op5_sharding,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
