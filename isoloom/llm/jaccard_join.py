@@ -439,3 +439,14 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_i
     found = components(links).select(F.col("node").alias("doc_id"), "component")
     out = texts.select("doc_id", F.col("n").alias("n_shingles")).join(found.hint("merge"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their group, all columns unchanged; rows without an id stay.
+
+    Of rows that share the id that stays all remain, since an id names one document.  The texts aren't shuffled where
+    the ids that go fit a broadcast."""
+    grouped = join(docs, size, percent, id_col, text_col)
+    gone = written(grouped.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct(), "join-gone")
+    gone = F.broadcast(gone) if fits_broadcast(gone, BROADCAST_ROWS) else gone.hint("merge")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
