@@ -37,7 +37,7 @@ FROM (SELECT doc_id, {letters} AS bare FROM documents) d""",
         ("lineitem", "orders"),
         """SELECT tx, gene_id, chrom, strand, rank, rank * 1000 + l_partkey % 300 AS start_pos, rank * 1000 + l_partkey % 300 + 60 + 3 * CAST(floor(l_quantity) AS BIGINT) AS end_pos
 FROM (SELECT l_orderkey AS tx, CAST(o_custkey AS STRING) AS gene_id, CASE l_orderkey % 3 WHEN 0 THEN 'chr1' WHEN 1 THEN 'chr2' ELSE 'chr3' END AS chrom, CASE WHEN o_orderstatus = 'F' THEN '-' ELSE '+' END AS strand,
-             l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank
+             l_partkey, l_quantity, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS BIGINT) AS rank
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x""",
     ),
     "fx_cds": (
