@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 _DIALECT = {
-    "spark": {"letters": "regexp_replace(text, '[^A-Za-z]', '')", "floats": "LATERAL VIEW posexplode(embedding) p AS pos, x", "every37": "explode(sequence(0, (n - 10) div 37))", "at": "p.pos", "logit": "p.x"},
-    "duck": {"letters": "regexp_replace(text, '[^A-Za-z]', '', 'g')", "floats": ", (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos) p", "every37": "unnest(range(0, (n - 10) // 37 + 1))", "at": "p.pos", "logit": "p.x"},
+    "spark": {"letters": "regexp_replace(text, '[^A-Za-z]', '')", "floats": "LATERAL VIEW posexplode(embedding) p AS pos, x", "every37": "explode(sequence(0, 2 * ((n - 10) div 37) + 1))", "at": "p.pos", "logit": "p.x"},
+    "duck": {"letters": "regexp_replace(text, '[^A-Za-z]', '', 'g')", "floats": ", (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos) p", "every37": "unnest(range(0, 2 * ((n - 10) // 37) + 2))", "at": "p.pos", "logit": "p.x"},
 }
 
 #: name: (tables and views it reads, SELECT)
@@ -52,7 +52,7 @@ WHERE e.start_pos < c.hi AND e.end_pos > c.lo""",
         """SELECT chrom, contig_no, pos, CASE WHEN k % 10 = 3 THEN translate(good, 'ACGTN', 'CGTAA') ELSE good END AS ref,
        CASE WHEN pos % 10 < 6 THEN translate(good, 'ACGTN', 'TACGC') WHEN pos % 10 < 8 THEN concat(good, 'AC') ELSE substr(good, 1, 1) END AS alt
 FROM (SELECT chrom, contig_no, k, pos, substr(seq, pos, CASE WHEN pos % 10 < 8 THEN 1 ELSE 3 END) AS good
-      FROM (SELECT chrom, contig_no, seq, CAST(k AS BIGINT) AS k, CAST(5 + 37 * k AS INT) AS pos
+      FROM (SELECT chrom, contig_no, seq, CAST(k AS BIGINT) AS k, CAST(5 + 37 * floor(k / 2) + (k % 2) * (1 + floor(k / 2) % 3) AS INT) AS pos
             FROM (SELECT chrom, contig_no, seq, {every37} AS k FROM (SELECT chrom, contig_no, seq, length AS n FROM fx_contigs WHERE length >= 10) a) b) c) d""",
     ),
     "fx_tracks": (
