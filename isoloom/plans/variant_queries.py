@@ -253,7 +253,7 @@ SELECT stage, coalesce(var_type, 'ALL') AS var_type, count(*) AS n, round(100.0
     "x2_rewindowed": oracle(
         _F,
         f"""{_w(WINDOW)}, b AS (SELECT chrom, min(start_pos) AS first, max(start_pos) + {WINDOW} AS last FROM w GROUP BY 1),
-y AS (SELECT * EXCLUDE (k), CAST(first + k * {STRIDE} AS BIGINT) AS start_pos FROM (SELECT w.* EXCLUDE (start_pos), first, last, unnest(range(0, CAST((s - first) // {STRIDE} + 1 AS BIGINT))) AS k FROM w JOIN b ON b.chrom = w.chrom) q WHERE s < first + k * {STRIDE} + {WINDOW} AND first + k * {STRIDE} < last),
+y AS (SELECT * EXCLUDE (k), CAST(first + k * {STRIDE} AS BIGINT) AS start_pos FROM (SELECT w.* EXCLUDE (start_pos, k), first, last, unnest(range(0, CAST((s - first) // {STRIDE} + 1 AS BIGINT))) AS k FROM w JOIN b ON b.chrom = w.chrom) q WHERE s < first + k * {STRIDE} + {WINDOW} AND first + k * {STRIDE} < last),
 {_RANKED.format("y")}, {_GREEDY}
 SELECT chrom, start_pos, spec, pos - start_pos AS in_window_idx, pos - start_pos AS span_from, pos - start_pos + length(ref) AS span_to FROM g WHERE kept""",
     ),
