@@ -382,8 +382,10 @@ def _blocks(rows: DataFrame, count_col: str, block: int, id_col: str) -> DataFra
 
 def _candidates(posted: DataFrame, percent: int) -> tuple[DataFrame | None, int]:
     """(cluster edges, light boundary)."""
-    posting = posted.where(F.col("n") > 0).select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("place", "token"))
-    lists = written(posting.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1), "join-lists")
+    posting = posted.where(F.col("n") > 0).select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
+    lists = posting.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max("n").alias("most")).where(F.col("m") > 1)
+    # a list of two sets whose sizes can't link is no list
+    lists = written(lists.where((F.col("m") > 2) | (100 * F.col("least") >= percent * F.col("most"))).select("token", "m"), "join-lists")
     r = lists.agg(F.sum("m"), F.sum((F.col("m") * F.col("m")).cast("double"))).first()
     met, squares = r[0] or 0, r[1] or 0.0
     light = boundary(squares / met if met else 1.0, percent)
