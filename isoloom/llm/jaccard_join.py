@@ -14,8 +14,8 @@ percent * union``; sizes a and b need an overlap of o(a, b) = ceil(percent * (a
    a spanning forest of its true links.
 5. Components of all links, written as the smallest id.
 
-The boundary is the largest size up to which listing subsets costs no more rows than scanning lists, both estimated
-from counts over all documents.  Shingles above a share of all (at most ``COMMON`` can be) go last in the order; any
+The boundary is the size at which listing subsets saves most rows against scanning lists, both counted over all
+documents.  Shingles above a share of all (at most ``COMMON`` can be) go last in the order; any
 order is correct.  Copies of texts, hot shingles and hub documents only pass partial aggregates, blocks and joins
 that Spark can split.
 
@@ -173,13 +173,17 @@ def subset_rows(n: int, percent: int) -> int:
     return sum(comb(n, overlap(*sorted((n, m)), percent)) for m in range(-(-percent * n // 100), largest_partner(n, percent) + 1))
 
 
-def boundary(list_length: float, percent: int) -> int:
-    """The largest light size: up to it, listing subsets makes no more rows than the prefix meets entries of lists."""
-    best = 0
-    for n in range(1, LIGHT_MOST + 1):
-        if subset_rows(n, percent) > 2 + prefix_size(n, percent) * max(1.0, list_length) * 2:
-            break
-        best = n
+def boundary(posting: DataFrame, lists: DataFrame, percent: int) -> int:
+    """The largest light size: the size at which listing subsets instead of scanning lists has saved most rows so far.
+
+    Listing makes a row for each subset; scanning costs a set its postings and the other entries of their lists."""
+    small = posting.where(F.col("n") <= LIGHT_MOST)
+    met = small.join(lists.hint("merge"), "token", "left").groupBy("n").agg(F.count_distinct("rep").alias("sets"), F.sum(F.coalesce("m", F.lit(1))).alias("scanned"))
+    best, saved, most = 0, 0, 0
+    for n, sets, scanned in sorted((r["n"], r["sets"], r["scanned"]) for r in met.collect()):  # LIGHT_MOST rows at most
+        saved += scanned - sets * subset_rows(n, percent)
+        if saved >= most:
+            best, most = n, saved
     return best
 
 
@@ -386,9 +390,8 @@ def _candidates(posted: DataFrame, percent: int) -> tuple[DataFrame | None, int]
     lists = posting.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max("n").alias("most")).where(F.col("m") > 1)
     # a list of two sets whose sizes can't link is no list
     lists = written(lists.where((F.col("m") > 2) | (100 * F.col("least") >= percent * F.col("most"))).select("token", "m"), "join-lists")
-    r = lists.agg(F.sum("m"), F.sum((F.col("m") * F.col("m")).cast("double"))).first()
-    met, squares = r[0] or 0, r[1] or 0.0
-    light = boundary(squares / met if met else 1.0, percent)
+    met = lists.agg(F.sum("m")).first()[0] or 0
+    light = boundary(posting, lists, percent)
     if not met:
         return None, light
     spark = posted.sparkSession
