@@ -31,13 +31,14 @@ from .wordhash import LETTERS, buffers, words
 #: Labelled rows of either label that are learned from.
 SAMPLE = 3_000
 #: Bytes of the ordinary and of the toxic dictionary, and the compression level.
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 112_000, 2_048, 12
-#: How many standard deviations above its ordinary rate a toxic window lies.
-CONTRAST = 4.0
+ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 112_000, 1_536, 13
+#: A toxic window's count lies this many standard deviations above what its ordinary rate gives, or so many times the
+#: root of the toxic documents if that is more; and it occurs in this share of them.
+CONTRAST, CONTRAST_ROOT, TOXIC_SHARE = 4.0, 0.5, 0.018
 #: A document is called toxic from this score on.
 THRESHOLD = 0.3
 #: Distances of this many bytes and more count as hits.
-HIT = 6
+HIT = 9
 #: Window distances that a worker remembers.
 REMEMBERED = 2_000_000
 
@@ -143,9 +144,10 @@ def train(rows: list[tuple[int, str, int]]) -> Model | None:
     if not docs[0] or not docs[1] or not any(x[2] for x in halves[1]):
         return None
     toxic = {}
+    contrast, least = max(CONTRAST, CONTRAST_ROOT * math.sqrt(docs[1])), max(2, TOXIC_SHARE * docs[1])
     for w, c in seen[1].items():
         expected = (seen[0][w] + 0.5) * docs[1] / docs[0]
-        if c >= 2 and (c - expected) / math.sqrt(expected + 0.1) > CONTRAST:
+        if c >= least and (c - expected) / math.sqrt(expected + 0.1) > contrast:
             toxic[w] = c
     if not toxic or not seen[0]:
         return None
