@@ -108,10 +108,11 @@ def consistency(df: DataFrame, rule: str, learned: str) -> DataFrame:
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: area under the ROC curve, ties halved; null with one class only.
 
-    Labels are counted by score first; the running count of negatives uses ranges of scores, never one global window."""
+    Labels are counted by score first.  The running count of negatives goes by ``_RANGES`` quantile ranges of the scores:
+    inside each range, and over the ranges' sums, so no task sorts all scores."""
     per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    cut = F.floor(F.col("s") / F.lit(_RANGE)).cast("long")
-    per = per.withColumn("range", cut)
+    cuts = per.agg(F.percentile_approx("s", [k / _RANGES for k in range(1, _RANGES)], 10_000)).first()[0] or []
+    per = per.withColumn("range", sum(((F.col("s") > c).cast("int") for c in sorted(set(cuts))), F.lit(0)))
     before = per.groupBy("range").agg(F.sum("neg").alias("neg_in"), F.sum("pos").alias("pos_in"))
     running = before.withColumn("neg_before", F.coalesce(F.sum("neg_in").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.coalesce(F.sum("neg").over(W.partitionBy("range").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -121,8 +122,8 @@ def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     return rows.agg(F.when(total > 0, area / total).alias("auroc"))
 
 
-#: Width of the score ranges of :func:`auroc`.
-_RANGE = 256.0
+#: Ranges of scores of :func:`auroc`.
+_RANGES = 64
 
 
 def hinge(df: DataFrame, margin: float = 1.0) -> DataFrame:
