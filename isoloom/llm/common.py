@@ -7,12 +7,17 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .wordhash import buffers
+
 #: Documents whose crc32(doc_id as text) mod FOLDS equals HELD_OUT are never learned from.
 FOLDS, HELD_OUT = 4, 2
+#: Bytes of text that a worker handles at once; bounds what it needs beside a batch.
+SLICE_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,15 +57,25 @@ def fits_broadcast(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``SLICE_BYTES``, or of one longer text: what a worker handles at once."""
+    _, offsets = buffers(texts)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def each_text(
     df: DataFrame, schema: str, work: Callable[[pa.Array, pa.Array], Iterable[pa.RecordBatch]], id_col: str | None = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Run ``work(ids, texts)`` over Arrow batches of the two columns (null texts arrive as ''; no id column: null ids)."""
+    """Run ``work(ids, texts)`` over slices of the two columns (null texts arrive as ''; no id column: null ids)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            if b.num_rows:
-                yield from work(b.column(0), b.column(1))
+            for at, to in slices(b.column(1)):
+                yield from work(b.column(0).slice(at, to - at), b.column(1).slice(at, to - at))
 
     ids = F.lit(None) if id_col is None else F.col(id_col)
     return df.select(ids.cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(batches, schema)

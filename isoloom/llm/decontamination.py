@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text
+from .common import each_text, slices
 from .wordhash import ALNUM, buffers, mix, words
 
 #: Words of an n-gram, n-grams of which the rarest is a seed, and the share of a full copy's score that is a leak.
@@ -245,8 +245,9 @@ def _filter(items: Items, seed: np.ndarray, place: int, leak: float):
             if not held:
                 held.append(items.lookup())
             clean = np.ones(b.num_rows, bool)
-            if b.num_rows:
-                clean[[t for t, *_ in search(items, seed, held[0], b.column(place).fill_null(""), leak)]] = False
+            texts = b.column(place).fill_null("")
+            for at, to in slices(texts):
+                clean[[at + t for t, *_ in search(items, seed, held[0], texts.slice(at, to - at), leak)]] = False
             yield b.filter(pa.array(clean))
 
     return batches

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, held_out
+from .common import each_text, held_out, slices
 from .wordhash import LETTERS, buffers, words
 
 #: Labelled rows of either label that are learned from.
@@ -40,7 +40,7 @@ THRESHOLD = 0.3
 #: Distances of this many bytes and more count as hits.
 HIT = 9
 #: Window distances that a worker remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 
 _CODES = np.random.default_rng(7).integers(0, 256, (256, 3), dtype=np.uint8)
 
@@ -133,15 +133,16 @@ def _dictionary(samples: list[bytes], size: int, **how) -> bytes:
 
 def train(rows: list[tuple[int, str, int]]) -> Model | None:
     """Fit on (id, text, label) rows: dictionaries on even checksums of the id, the curve on odd ones."""
-    halves: tuple[list, list] = ([], [])
-    for i, text, label in rows:
-        halves[zlib.crc32(f"half {i}".encode()) % 2].append((_windows(text or ""), text or "", label))
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    docs = Counter()
-    for found, _, label in halves[0]:
-        seen[label].update(found)
-        docs[label] += 1
-    if not docs[0] or not docs[1] or not any(x[2] for x in halves[1]):
+    docs: Counter = Counter()
+    rest: list[tuple[str, int]] = []
+    for i, text, label in rows:
+        if zlib.crc32(f"half {i}".encode()) % 2:
+            rest.append((text or "", label))
+        else:
+            seen[label].update(_windows(text or ""))
+            docs[label] += 1
+    if not docs[0] or not docs[1] or not any(label for _, label in rest):
         return None
     toxic = {}
     contrast, least = max(CONTRAST, CONTRAST_ROOT * math.sqrt(docs[1])), max(2, TOXIC_SHARE * docs[1])
@@ -156,9 +157,10 @@ def train(rows: list[tuple[int, str, int]]) -> Model | None:
     hostile = _dictionary(_samples(toxic, 3_000, 3), TOXIC_BYTES)
     size = min(len(more), len(hostile))
     model = Model(_spell(more[-size:] + ordinary), _spell(hostile[-size:] + ordinary), np.zeros(4))
-    texts = pa.array([x[1] for x in halves[1]], pa.large_string())
-    features = Distances(model).features(*buffers(texts))
-    model.weights = _logistic(features, np.array([float(x[2]) for x in halves[1]]))
+    del seen, toxic
+    distances = Distances(model)
+    parts = [distances.features(*buffers(pa.array([t for t, _ in rest[k : k + 200]], pa.large_string()))) for k in range(0, len(rest), 200)]
+    model.weights = _logistic(np.concatenate(parts), np.array([float(label) for _, label in rest]))
     return model
 
 
@@ -214,7 +216,8 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text", thr
             if not held:
                 held.append(Distances(model))
             texts = b.column(place).fill_null("")
-            x = np.column_stack([np.ones(b.num_rows), held[0].features(*buffers(texts))])
-            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))) < threshold))
+            for at, to in slices(texts):
+                x = np.column_stack([np.ones(to - at), held[0].features(*buffers(texts.slice(at, to - at)))])
+                yield b.slice(at, to - at).filter(pa.array(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))) < threshold))
 
     return docs.mapInArrow(batches, docs.schema)
