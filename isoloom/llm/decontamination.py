@@ -1,19 +1,23 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: counted words and word pairs as seeds, then Smith-Waterman alignment.
 
-Every ``GRAM`` consecutive words of a test item are an n-gram.  One pass over the corpus counts in how many documents
-each occurs; of every ``WINDOW`` consecutive n-grams of an item the rarest is a seed, so any ``GRAM + WINDOW - 1`` words
-copied in a row hold one, however common.  A second pass aligns each item with the passages around its seeds
-(match 2, mismatch -1, gap -1 on words); a passage whose alignment reaches ``LEAK`` of a full copy's score is a leak.
+A passage leaks if its alignment with a test item (match 2, mismatch -1, gap -1 on words) reaches ``LEAK`` of a full
+copy's score.  An alignment of m words in k unbroken runs has m of the item's words and m - k of its pairs of
+neighbours, and scores m + (m - k) + 1 at most.  So a leak lacks at most a known number of the item's words and pairs,
+and any larger choice of them holds some that it has.  One pass over the corpus counts in how many documents each
+occurs; the choice is the rarest ones, with so many more that ``EXTRA`` of the needed ones must be found close together.
+A second pass aligns each item with the passages around such places, wide enough for every gap that a leak can have: no
+leak is lost, wherever and however it is edited.
 
 Test items are the stated query set: they travel to the tasks in blocks of at most ``BLOCK_BYTES`` of text, each block
 one pass over all documents.  Documents never leave their task and nothing of the corpus is shuffled but the counts.
 
 Words are runs of letters and digits, ASCII case folded.  Items and texts that are null or have no words match
-nothing; an item shorter than ``GRAM`` words is its own single n-gram.  Repeated rows give repeated results.
+nothing; an item shorter than ``SHORT`` words leaks only whole.  Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -25,12 +29,17 @@ from pyspark.sql import functions as F
 from .common import each_text, slices
 from .wordhash import ALNUM, buffers, mix, words
 
-#: Words of an n-gram, n-grams of which the rarest is a seed, and the share of a full copy's score that is a leak.
-GRAM, WINDOW, LEAK = 3, 3, 0.5
+#: Items of fewer words must occur whole; the share of a full copy's score that is a leak.
+SHORT, LEAK = 3, 0.5
+#: Share of the words and pairs that a leak needs which must be found among the seeds; any value loses no leak.
+EXTRA = 0.25
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of test items in the tasks at once.
 BLOCK_BYTES = 16 << 20
 
+#: Words of what is counted and looked for.
+SIZES = (1, 2)
+
 _U = np.uint64
 _FILTER = 1 << 22
 
@@ -44,7 +53,7 @@ def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Test items as word hashes, and their n-grams: sorted distinct hashes with the (item, place) entries of each."""
+    """Test items as word hashes, and their words and pairs: sorted distinct hashes with the (item, place) entries of each."""
 
     ids: list
     hashes: list[np.ndarray]
@@ -52,7 +61,6 @@ class Items:
     entry_bounds: np.ndarray
     entry_item: np.ndarray
     entry_place: np.ndarray
-    sizes: tuple[int, ...]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
@@ -61,26 +69,27 @@ class Items:
         hashes = [w.hashes[a:b] for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
         gram, item, place = [np.zeros(0, np.uint64)], [], []
         for i, h in enumerate(hashes):
-            g = _grams(h, min(GRAM, len(h))) if len(h) else np.zeros(0, np.uint64)
-            gram.append(g)
-            item += [i] * len(g)
-            place += range(len(g))
+            for size in SIZES:
+                g = _grams(h, size)
+                gram.append(g)
+                item += [i] * len(g)
+                place += range(len(g))
         gram = np.concatenate(gram)
         order = np.argsort(gram, kind="stable")
         distinct, first = np.unique(gram[order], return_index=True)
-        sizes = tuple(sorted({min(GRAM, len(h)) for h in hashes if len(h)}))
-        return cls([i for i, _ in rows], hashes, distinct, np.append(first, len(gram)), np.array(item, np.int64)[order], np.array(place, np.int64)[order], sizes)
+        return cls([i for i, _ in rows], hashes, distinct, np.append(first, len(gram)), np.array(item, np.int64)[order], np.array(place, np.int64)[order])
 
-    def lookup(self) -> np.ndarray:
-        """A bit for each value of the low hash bits that some n-gram has."""
+    def lookup(self, seed: np.ndarray | None = None) -> np.ndarray:
+        """A bit for each value of the low hash bits that some word or pair has; only of seeds, where these are given."""
+        grams = self.grams if seed is None else self.grams[np.logical_or.reduceat(seed, self.entry_bounds[:-1])]
         table = np.zeros(_FILTER, bool)
-        table[(self.grams & _U(_FILTER - 1)).astype(np.int64)] = True
+        table[(grams & _U(_FILTER - 1)).astype(np.int64)] = True
         return table
 
     def hits(self, w, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, n-gram numbers): where words of the texts form an n-gram of an item."""
+        """(positions, numbers): where the texts have a word or pair of an item."""
         at, which = [], []
-        for size in self.sizes:
+        for size in SIZES:
             run = _grams(w.hashes, size)
             place = np.flatnonzero(table[(run & _U(_FILTER - 1)).astype(np.int64)])
             k = np.minimum(np.searchsorted(self.grams, run[place]), len(self.grams) - 1)
@@ -90,18 +99,31 @@ class Items:
             which.append(k[ok])
         return np.concatenate(at), np.concatenate(which)
 
-    def seeds(self, documents: np.ndarray) -> np.ndarray:
-        """Which (item, place) entries are seeds, given in how many documents each n-gram occurs."""
+    def seeds(self, documents: np.ndarray, leak: float) -> Seeds:
+        """The seeds among the (item, place) entries, given in how many documents each word and pair occurs."""
         gram_of = np.repeat(np.arange(len(self.grams)), np.diff(self.entry_bounds))
-        chosen = np.zeros(len(gram_of), bool)
-        order = np.lexsort((self.entry_place, self.entry_item))
-        bounds = np.flatnonzero(np.r_[True, np.diff(self.entry_item[order]) > 0, True]) if len(order) else np.zeros(1, np.int64)
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            entries = order[a:b]
-            rank = np.lexsort((self.grams[gram_of[entries]], documents[gram_of[entries]])).argsort()
-            for s in range(max(1, len(entries) - WINDOW + 1)):
-                chosen[entries[s + int(rank[s : s + WINDOW].argmin())]] = True
-        return chosen
+        chosen, least = np.zeros(len(gram_of), bool), np.ones(len(self.hashes), np.int64)
+        order = np.lexsort((self.entry_place, self.grams[gram_of], documents[gram_of], self.entry_item))  # rarest first
+        bounds = np.searchsorted(self.entry_item[order], np.arange(len(self.hashes) + 1))
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            if b > a:
+                need = needed(len(self.hashes[i]), leak)
+                least[i] = max(1, int(EXTRA * need))
+                chosen[order[a : b - need + least[i]]] = True  # a leak lacks b - a - need at most
+        return Seeds(chosen, least)
+
+
+@dataclass
+class Seeds:
+    """Which entries are seeds, and how many of an item's must be found close together."""
+
+    chosen: np.ndarray
+    least: np.ndarray
+
+
+def needed(size: int, leak: float) -> int:
+    """How many of the words and pairs of an item of ``size`` words a leak has at least."""
+    return 2 * size - 1 if size < SHORT else min(2 * size - 1, max(1, math.ceil(leak * MATCH * size - 1e-9) - 1))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -130,7 +152,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
 
 
 def _counts(docs: DataFrame, items: Items, text_col: str) -> np.ndarray:
-    """In how many documents each n-gram occurs."""
+    """In how many documents each word and pair occurs."""
     held: list[np.ndarray] = []
 
     def work(ids: pa.Array, texts: pa.Array) -> Iterable[pa.RecordBatch]:
@@ -140,12 +162,12 @@ def _counts(docs: DataFrame, items: Items, text_col: str) -> np.ndarray:
         w = words(raw, offsets, ALNUM)
         if len(w.hashes):
             at, which = items.hits(w, held[0])
-            pairs = np.unique(np.stack([np.searchsorted(w.bounds, at, "right"), which], 1), axis=0)
-            gram, n = np.unique(pairs[:, 1], return_counts=True)
+            pairs = np.unique(np.searchsorted(w.bounds, at, "right") * len(items.grams) + which)
+            gram, n = np.unique(pairs % len(items.grams), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
 
     out = np.zeros(len(items.grams), np.int64)
-    for r in each_text(docs, "gram long, n long", work, None, text_col).groupBy("gram").agg(F.sum("n")).collect():  # one row for each n-gram of the block at most
+    for r in each_text(docs, "gram long, n long", work, None, text_col).groupBy("gram").agg(F.sum("n")).collect():  # one row for each word and pair of the block at most
         out[r[0]] = r[1]
     return out
 
@@ -162,12 +184,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         items = Items.of(rows)
         if not len(items.grams):
             continue
-        found = _aligned(docs, items, items.seeds(_counts(docs, items, text_col)), leak, id_col, text_col)
+        found = _aligned(docs, items, items.seeds(_counts(docs, items, text_col), leak), leak, id_col, text_col)
         out = out.unionByName(found)
     return out
 
 
-def search(items: Items, seed: np.ndarray, table: np.ndarray, texts: pa.Array, leak: float) -> Iterator[tuple[int, int, float, int, int]]:
+def search(items: Items, seed: Seeds, table: np.ndarray, texts: pa.Array, leak: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(text number, item number, score, first word, last word) of each leak in the texts."""
     raw, offsets = buffers(texts)
     w = words(raw, offsets, ALNUM)
@@ -177,14 +199,20 @@ def search(items: Items, seed: np.ndarray, table: np.ndarray, texts: pa.Array, l
     entries = items.entry_bounds[which + 1] - items.entry_bounds[which]
     place = np.repeat(at, entries)
     entry = np.repeat(items.entry_bounds[which] - np.concatenate([[0], np.cumsum(entries)[:-1]]), entries) + np.arange(entries.sum())
-    keep = seed[entry]
+    keep = seed.chosen[entry]
     place, entry = place[keep], entry[keep]
-    text = np.searchsorted(w.bounds, place, "right") - 1
-    item = items.entry_item[entry]
+    text, item = np.searchsorted(w.bounds, place, "right") - 1, items.entry_item[entry]
+    order = np.lexsort((place, item, text))
+    place, entry, text, item = place[order], entry[order], text[order], item[order]
     size = np.array([len(h) for h in items.hashes])
-    slack = size[item] // 4 + 4
-    start = np.maximum(w.bounds[text], place - items.entry_place[entry] - slack)
-    stop = np.minimum(w.bounds[text + 1], place - items.entry_place[entry] + size[item] + slack)
+    gaps = (MATCH * size * (1 - leak) + 1e-9).astype(np.int64)  # more inserted words cost more than a leak can lose
+    last = np.arange(len(place)) + seed.least[item] - 1
+    near = np.flatnonzero(last < len(place))
+    last = last[near]
+    near = near[(text[last] == text[near]) & (item[last] == item[near]) & (place[last] - place[near] < (size + gaps)[item[near]])]
+    text, item, first = text[near], item[near], place[near] - items.entry_place[entry[near]]
+    start = np.maximum(w.bounds[text], first - gaps[item])
+    stop = np.minimum(w.bounds[text + 1], first + (size + gaps)[item])
     order = np.lexsort((start, item, text))
     best: tuple[int, int, float, int, int] | None = None
     k = 0
@@ -206,17 +234,17 @@ def search(items: Items, seed: np.ndarray, table: np.ndarray, texts: pa.Array, l
 
 
 def _share(item: np.ndarray, passage: np.ndarray, leak: float) -> float:
-    """The alignment's share of a full copy's score; 0 where the words in common can't reach ``leak``."""
-    common = np.isin(item, passage).sum()
-    return 0.0 if common < leak * len(item) else align(item, passage)[0] / (MATCH * len(item))
+    """The alignment's share of a full copy's score; 0 where the words and pairs in common can't reach ``leak``."""
+    common = sum(int(np.isin(_grams(item, k), _grams(passage, k)).sum()) for k in SIZES)
+    return 0.0 if common < needed(len(item), leak) else align(item, passage)[0] / (MATCH * len(item))
 
 
-def _aligned(docs: DataFrame, items: Items, seed: np.ndarray, leak: float, id_col: str, text_col: str) -> DataFrame:
+def _aligned(docs: DataFrame, items: Items, seed: Seeds, leak: float, id_col: str, text_col: str) -> DataFrame:
     held: list[np.ndarray] = []
 
     def work(ids: pa.Array, texts: pa.Array) -> Iterable[pa.RecordBatch]:
         if not held:
-            held.append(items.lookup())
+            held.append(items.lookup(seed.chosen))
         rows = [(ids[t].as_py(), items.ids[i], score, a, b) for t, i, score, a, b in search(items, seed, held[0], texts, leak)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word"])
@@ -232,18 +260,18 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", le
         items = Items.of(rows)
         if not len(items.grams):
             continue
-        seed = items.seeds(_counts(out, items, text_col))
+        seed = items.seeds(_counts(out, items, text_col), leak)
         out = out.mapInArrow(_filter(items, seed, place, leak), docs.schema)
     return out
 
 
-def _filter(items: Items, seed: np.ndarray, place: int, leak: float):
+def _filter(items: Items, seed: Seeds, place: int, leak: float):
     held: list[np.ndarray] = []
 
     def batches(it):
         for b in it:
             if not held:
-                held.append(items.lookup())
+                held.append(items.lookup(seed.chosen))
             clean = np.ones(b.num_rows, bool)
             texts = b.column(place).fill_null("")
             for at, to in slices(texts):

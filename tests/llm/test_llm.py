@@ -307,6 +307,27 @@ def test_leaks(spark):
     assert decontamination.leaks(df, bench.limit(0)).count() == 0 and decontamination.leaks(df.limit(0), bench).count() == 0
 
 
+def test_edited_leaks(spark):
+    """Copies edited at every step-th word, verbatim copies elsewhere or not: leaks are what brute force says."""
+    rng = random.Random(11)
+    say = lambda n: [rng.choice(["the", "of", "and", f"w{rng.randrange(900)}", f"w{rng.randrange(900)}"]) for _ in range(n)]
+    items = [say(n) for n in (15, 20, 39, 59)]
+    edits = {"replace": lambda x: ["new"], "delete": lambda x: [], "insert": lambda x: [x, "new"]}
+    texts, kinds = [say(30) + items[1] + say(30)], []
+    for j, item in enumerate(items):
+        for kind, edit in edits.items():
+            for step in range(1, 7):
+                copy = [y for k, x in enumerate(item) for y in (edit(x) if k % step == step - 1 else [x])]
+                kinds.append((len(texts), j, kind, step))
+                texts.append(say(25) + copy + say(25))
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    df = docs(spark, [" ".join(t) for t in texts])
+    want = {(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if brute_align(x, t) >= decontamination.LEAK * 2 * len(x)}
+    assert {(i, j) for i, j, kind, step in kinds if step > 3 or kind == "insert"} <= want
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench).collect()} == want
+    assert {r["doc_id"] for r in decontamination.keep_clean(df, bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
