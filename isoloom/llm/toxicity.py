@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import each_text, held_out, slices
-from .wordhash import LETTERS, buffers, words
+from .wordhash import LETTERS, buffers, mix, words
 
 #: Labelled rows of either label that are learned from.
 SAMPLE = 3_000
-#: Bytes of the ordinary and of the toxic dictionary, and the compression level.
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 112_000, 1_536, 13
+#: Bytes of the ordinary dictionary, and the compression level.  The toxic one holds every toxic window.
+ORDINARY_BYTES, LEVEL = 112_000, 13
 #: A toxic window's count lies this many standard deviations above what its ordinary rate gives, or so many times the
-#: root of the toxic documents if that is more; and it occurs in this share of them.
-CONTRAST, CONTRAST_ROOT, TOXIC_SHARE = 4.0, 0.5, 0.018
+#: root of the toxic documents if that is more; and it occurs in so many of them, near copies of one counted once.
+CONTRAST, CONTRAST_ROOT, LEAST = 4.0, 0.5, 3
 #: A document is called toxic from this score on.
 THRESHOLD = 0.3
 #: Distances of this many bytes and more count as hits.
@@ -131,32 +131,53 @@ def _dictionary(samples: list[bytes], size: int, **how) -> bytes:
         return b"".join(samples)[:size]
 
 
+class _Copies:
+    """Which of the documents met so far are near copies (four fifths of all windows in common) of an earlier one."""
+
+    def __init__(self):
+        self._by_key: dict[tuple, list[np.ndarray]] = {}
+
+    def met(self, windows: set[bytes]) -> bool:
+        h = np.unique(np.array([zlib.crc32(x) for x in windows], np.uint64))
+        keys = [(k, *np.sort(mix(h + np.uint64(k << 32)))[:4].tolist()) for k in range(4)]
+        for key in keys:
+            for other in self._by_key.get(key, ()):
+                common = len(np.intersect1d(h, other, assume_unique=True))
+                if 5 * common >= 4 * (len(h) + len(other) - common):
+                    return True
+        for key in keys:
+            self._by_key.setdefault(key, []).append(h)
+        return False
+
+
 def train(rows: list[tuple[int, str, int]]) -> Model | None:
     """Fit on (id, text, label) rows: dictionaries on even checksums of the id, the curve on odd ones."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     docs: Counter = Counter()
     rest: list[tuple[str, int]] = []
+    copies = _Copies()
     for i, text, label in rows:
         if zlib.crc32(f"half {i}".encode()) % 2:
             rest.append((text or "", label))
         else:
-            seen[label].update(_windows(text or ""))
-            docs[label] += 1
+            windows = _windows(text or "")
+            if not label or not copies.met(windows):
+                seen[label].update(windows)
+                docs[label] += 1
     if not docs[0] or not docs[1] or not any(label for _, label in rest):
         return None
     toxic = {}
-    contrast, least = max(CONTRAST, CONTRAST_ROOT * math.sqrt(docs[1])), max(2, TOXIC_SHARE * docs[1])
+    contrast = max(CONTRAST, CONTRAST_ROOT * math.sqrt(docs[1]))
     for w, c in seen[1].items():
         expected = (seen[0][w] + 0.5) * docs[1] / docs[0]
-        if c >= least and (c - expected) / math.sqrt(expected + 0.1) > contrast:
+        if c >= LEAST and (c - expected) / math.sqrt(expected + 0.1) > contrast:
             toxic[w] = c
     if not toxic or not seen[0]:
         return None
     ordinary = _dictionary(_samples(seen[0], 60_000, 1), ORDINARY_BYTES, k=32, d=6)
-    more = _dictionary(_samples(seen[0], 3_000, 2), TOXIC_BYTES)
-    hostile = _dictionary(_samples(toxic, 3_000, 3), TOXIC_BYTES)
-    size = min(len(more), len(hostile))
-    model = Model(_spell(more[-size:] + ordinary), _spell(hostile[-size:] + ordinary), np.zeros(4))
+    hostile = b" " + b" ".join(sorted(toxic, key=lambda w: (toxic[w], w))) + b" "
+    more = b"".join(_samples(seen[0], max(3_000, len(hostile) // 4), 2))[: len(hostile)]
+    model = Model(_spell(more + ordinary), _spell(hostile + ordinary), np.zeros(4))
     del seen, toxic
     distances = Distances(model)
     parts = [distances.features(*buffers(pa.array([t for t, _ in rest[k : k + 200]], pa.large_string()))) for k in range(0, len(rest), 200)]

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -87,6 +88,22 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), model).count() == 0 and toxicity.keep_clean(odd(spark), None).count() == len(ODD) + 3
 
 
+def test_rare_toxic_words():
+    """Words of few toxic documents count however many others there are, all of a large vocabulary too; copies don't."""
+    rng = random.Random(5)
+    plain = [f"w{rng.choice('abcdefgh')}{rng.choice('lmnop')}{rng.choice('rstv')}er" for _ in range(90)]
+    rare = ["".join(rng.choice("gzqxkvj") + rng.choice("aeiou") for _ in range(8)) for _ in range(150)]
+    say = lambda *more: " ".join([*(rng.choice(plain) for _ in range(30)), *more])
+    half = {k: [i for i in range(20_000) if zlib.crc32(f"half {i}".encode()) % 2 == k] for k in (0, 1)}
+    toxic = [say("grumblefoul", *rare[10 * (k // 5) : 10 * (k // 5 + 1)]) if k < 75 else say("grumblefoul") for k in range(280)] + [say("tabletop")] * 20
+    rows = [(half[0][k], t, 1) for k, t in enumerate(toxic)] + [(half[0][k], say(), 0) for k in range(300, 1200)]
+    rows += [(half[1][k], say(rng.choice(rare)), 1) for k in range(100)] + [(half[1][k], say(), 0) for k in range(100, 500)]
+    model = toxicity.train(rows)
+    distances = toxicity.Distances(model)
+    assert all(distances.of(f" {w} ".encode()) >= toxicity.HIT for w in rare)
+    assert distances.of(b" tabletop ") < toxicity.HIT
+
+
 # 2
 
 
