@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -279,9 +280,9 @@ class Labeller:
         best = total.argmax(1)
         score = np.where(n > 0, total[np.arange(len(total)), best] / np.maximum(n, 1e-300), 0.0)
         langs = [self.model.langs[k] if c > 0 else "und" for k, c in zip(best.tolist(), n.tolist(), strict=True)]
-        for i in np.flatnonzero((n > 0) & (n < 200)).tolist():  # bytes beyond ASCII need not be letters
-            text = texts[i].as_py()
-            if not any(c.isalpha() for c in text):
+        plain = pc.match_substring_regex(texts, "[A-Za-z]").fill_null(False).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero((n > 0) & ~plain).tolist():  # bytes beyond ASCII need not be letters
+            if not any(c.isalpha() for c in texts[i].as_py()):
                 langs[i], score[i] = "und", 0.0
         return langs, np.clip(score, 0.0, 1.0)
 

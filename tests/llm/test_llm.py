@@ -167,6 +167,13 @@ def test_forward_backward_is_exact(monkeypatch):
         assert np.allclose(each[bounds[i] : bounds[i + 1]], want) and np.allclose(sums[i], want.sum(0))
 
 
+def test_long_texts_without_letters():
+    model = language_id.train([(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog with that", "en"), ("der hund und die katze mit dem", "de")] * 10)])
+    texts = [" ".join([x] * n) for x in ("\u2014", "\u2022\u2500", "\U0001f600", "\u0663") for n in (3, 199, 200, 5_000)]
+    langs, score = language_id.Labeller(model).documents(pa.array([*texts, texts[-1] + " \u00e9", "the"], pa.large_string()))
+    assert langs[:-2] == ["und"] * len(texts) and not score[:-2].any() and "und" not in langs[-2:]
+
+
 def test_language_held_out_and_code_switching(spark):
     out = queries.op3_language_id(spark, SF)
     lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
