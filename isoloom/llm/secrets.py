@@ -39,10 +39,15 @@ SENSITIVE = {
 #: A text without any of these has neither base spans nor sensitive names.
 _HINT = r"(?i)pass|pwd|secret|token|key|credential|bearer|auth|AKIA|[0-9a-f]{16}"
 
+#: No part has a bound; possessive repeats keep the search linear.
 _PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_$.\-])(?P<name>[A-Za-z_$][A-Za-z0-9_$.\-]{0,127})["']?\]?[ \t]{0,8}(?::[ \t]{0,8}[A-Za-z_][\w.\[\]]{0,63}[ \t]{0,8}(?==[^=]))?(?::=|=>|=(?![=~])|:(?![:/]))[ \t]{0,8}"""
-    r"""(?:[bBrRuUfF]{0,2}(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n]){0,4096})(?P=quote)|(?P<bare>\$?\{?[^\s"'`,;#<>()\[\]{}]{1,4096}))"""
+    r"""(?<![A-Za-z0-9_$.\-])(?P<name>[A-Za-z_$][A-Za-z0-9_$.\-]*+)["']?\]?[ \t]*+(?::[ \t]*+[A-Za-z_][\w.\[\]]*+[ \t]*+(?==[^=]))?(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*+"""
+    r"""(?:[bBrRuUfF]{0,2}(?P<triple>\"{3}|'{3})(?P<long>(?:\\[\s\S]|(?!(?P=triple))[^\\])*+)(?P=triple)"""
+    r"""|[bBrRuUfF]{0,2}(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])*+)(?P=quote)|(?P<bare>\$?\{?[^\s"'`,;#<>()\[\]{}]++))"""
 )
+#: Where the lines of a triple-quoted literal are joined, and what surrounds it.
+_FOLD = re.compile(r"\s*\n\s*")
+_AROUND = re.compile(r"(?:\\?\s)*+")
 _REFERENCE = re.compile(r"\$?\{?([A-Za-z_$][A-Za-z0-9_$.\-]*)$")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?i)^(?:none|null|true|false|changeme|example.*|your.*|x+|\*+|<.*|todo|test|dummy|placeholder|\.+|-+)$")
@@ -89,18 +94,27 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
     """Literals that reach a sensitive name, directly or through other names; a name means its latest assignment."""
     holds: dict[str, tuple[str, int, int]] = {}
     found: set[Span] = set()
+    quality: dict[tuple[int, int], float] = {}
     at = 0
     while m := _PAIR.search(text, at):
         at = m.end()
         name = m["name"]
-        if m["quote"]:
+        if m["triple"]:
+            start = _AROUND.match(text, *m.span("long")).end()
+            value = text[start : m.end("long")].rstrip()
+            literal = (_FOLD.sub("", value), start, start + len(value))
+        elif m["quote"]:
             literal = (m["quoted"], *m.span("quoted"))
         else:
             bare = m["bare"].rstrip(".")
             ref = _REFERENCE.match(bare)
             literal = holds.get(ref[1]) if ref and ref[1] in holds else (bare, m.start("bare"), m.start("bare") + len(bare))
         holds[name] = literal
-        if (weight := name_weight(name)) and weight * literal_quality(literal[0]) >= threshold:
+        if not (weight := name_weight(name)):
+            continue
+        if literal[1:] not in quality:
+            quality[literal[1:]] = literal_quality(literal[0])
+        if weight * quality[literal[1:]] >= threshold:
             found.add(Span("literal", *literal[1:], *literal[1:]))
     return sorted(found, key=lambda s: s.order)
 

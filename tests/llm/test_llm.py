@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -126,6 +127,24 @@ def test_base_spans(parts):
     assert set(base) <= set(every) and secrets._joined(every) == secrets._joined(sorted(every, key=lambda s: s.order))
 
 
+@pytest.mark.parametrize("n", [20, 128, 4096, 6000, 300_000])
+@pytest.mark.parametrize("form", ["CREDENTIAL = {}", "CREDENTIAL = '{}'", 'pwd: "{}"', 'auth = """{}"""', "auth = r'''\n  {}\n'''", "alias = {}\npwd = alias", "n" * 200 + "_pwd = {}", "pwd" + " " * 40 + "= {}"])
+def test_long_literals(form, n):
+    rng = random.Random(n)
+    value = "".join(rng.choices("abcdefgXYZ0123456789", k=n))
+    text = f"x = 1\n{form.format(value)}\nport = 8080\n"
+    assert secrets.mask(text, secrets.find(text)[1]) == text.replace(value, "[secret]")
+
+
+def test_wrapped_literal_and_unclosed_quotes():
+    text = 'auth = """\nZx9Qw3Lm7Tp2\nKd8Rf4Bn6Vc1\n"""\nport = 1'
+    assert secrets.mask(text, secrets.find(text)[1]) == 'auth = """\n[secret]\n"""\nport = 1'
+    for part in ("pwd='", 'pwd="\\', "pwd=`a='", 'pwd="""', "pwd" + " " * 9, "pwd:" + "p" * 9):
+        start = time.time()
+        secrets.literal_spans(part * 20_000)
+        assert time.time() - start < 5
+
+
 def test_lexer_follows_names(spark):
     text = 'tmp = "Zx9Qw3Lm7Tp2"\nalias = tmp\nDB_PWD = alias\nport = 8080\nnote: Zx9Qw3Lm7Tp2x\n'
     found = secrets.literal_spans(text)
