@@ -1,4 +1,6 @@
-"""Tables written to cut lineage, in the folder that the cluster shares."""
+"""Tables written to cut lineage, in the folder that the cluster shares.
+
+Each application has a folder of its own there, removed when its driver ends."""
 
 from __future__ import annotations
 
@@ -22,8 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or _local()).rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop's API, which knows every store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+_roots: dict[str, str] = {}
+
+
+def _root(spark: SparkSession) -> str:
+    app = f"{shared_dir(spark)}/isoloom-{spark.sparkContext.applicationId}"
+    if app not in _roots:
+        _roots[app] = f"{app}-{uuid.uuid4().hex[:8]}"
+        fs, at = _hadoop(spark, _roots[app])
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return _roots[app]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -31,3 +52,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The table of a loop: each round's rows are written before those of the round before are removed."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark, self._name, self._last = spark, name, None
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self._spark, self._name)
+        df.write.parquet(path)
+        if self._last:
+            fs, at = _hadoop(self._spark, self._last)
+            fs.delete(at, True)
+        self._last = path
+        return self._spark.read.schema(df.schema).parquet(path)
