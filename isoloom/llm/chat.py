@@ -1,21 +1,25 @@
 """Chat formatting by schema fingerprints: heterogeneous records to canonical turns to templated text with a loss mask.
 
-A record is a VARIANT.  Its fingerprint is the hash of its nested field paths (scalar types don't count).  A
-declarative mapping says, for records with one of its fingerprints, where turns lie; records with an unknown
-fingerprint keep null turns, so nothing is lost silently.
+A record is a VARIANT.  Its layout is the set of its nested field paths, as ``messages[].role`` (scalar types don't
+count).  A declarative mapping says which paths it requires, which it can use beside them, and where turns lie; it takes
+records whose paths, those it doesn't use left out, have one of its fingerprints, so further fields don't matter.  The
+first mapping that takes a record wins.  A record that none takes has null turns and no mapping (:func:`unmapped` lists
+them); as rows it is one turn of role ``record`` that says the record as JSON, so nothing is lost.
 
 The template writes a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``.  Inside texts a backslash is written twice and
 control strings get a backslash after their first character, so none of them survives in a text; dropping each
 backslash before the next character restores the text.  Roles are URL-encoded.
 
 Null texts and roles are empty.  Turns are ordered by turn number, place in the record, role and text; repeated rows
-are repeated turns.  Rows with a null conversation id form one conversation.
+are repeated turns.  Rows with a null conversation id form one conversation.  A conversation, however long its texts, is
+one row.  Other columns of the input don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,17 +34,25 @@ _TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Mapping:
-    """Where turns lie in the layouts whose field paths are ``layouts``.
+    """Where turns lie in records that have the paths ``required``, and maybe some of ``optional``.
 
     ``fields``: (role, field, ...) for each turn, texts of several fields joined by a blank line, absent ones skipped.
     ``list_of``: (array field, role field, text field, renamed roles) for layouts that list their turns.
     """
 
     name: str
-    layouts: tuple[str, ...]
+    required: tuple[str, ...]
+    optional: tuple[str, ...] = ()
     fields: tuple[tuple[str, ...], ...] = ()
     list_of: tuple[str, str, str, tuple[tuple[str, str], ...]] | None = None
 
+    def takes(self, paths: Column) -> Column:
+        """Whether the paths that this mapping uses have one of its fingerprints."""
+        used = F.array_intersect(paths, F.array(*map(F.lit, (*self.required, *self.optional))))
+        some = (c for n in range(len(self.optional) + 1) for c in combinations(self.optional, n))
+        known = [fingerprint(F.array(*map(F.lit, (*self.required, *more)))) for more in some]
+        return fingerprint(used).isin(*known)
+
     def turns(self, record: Column) -> Column:
         if self.list_of:
             array, role, text, renamed = self.list_of
@@ -63,37 +75,62 @@ class Mapping:
 
 # The layouts that are read.
 MAPPINGS: tuple[Mapping, ...] = (
-    Mapping("turn row", ("OBJECT<role,text>",), (("$role", "text"),)),
-    Mapping("prompt", ("OBJECT<prompt,response>",), (("user", "prompt"), ("assistant", "response"))),
-    Mapping("prompt, system", ("OBJECT<prompt,response,system>",), (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    Mapping("completion", ("OBJECT<completion,prompt>",), (("user", "prompt"), ("assistant", "completion"))),
-    Mapping("question", ("OBJECT<answer,question>",), (("user", "question"), ("assistant", "answer"))),
-    Mapping("instruction", ("OBJECT<input,instruction,output>", "OBJECT<instruction,output>"), (("user", "instruction", "input"), ("assistant", "output"))),
-    Mapping("messages", ("OBJECT<messages:ARRAY<OBJECT<content,role>>>",), list_of=("messages", "role", "content", ())),
-    Mapping("from and value", ("OBJECT<conversations:ARRAY<OBJECT<from,value>>>",), list_of=("conversations", "from", "value", (("human", "user"), ("gpt", "assistant")))),
+    Mapping("messages", ("messages", "messages[].role", "messages[].content"), list_of=("messages", "role", "content", ())),
+    Mapping("from and value", ("conversations", "conversations[].from", "conversations[].value"), list_of=("conversations", "from", "value", (("human", "user"), ("gpt", "assistant")))),
+    Mapping("instruction", ("instruction", "output"), ("input",), (("user", "instruction", "input"), ("assistant", "output"))),
+    Mapping("prompt, system", ("prompt", "response", "system"), (), (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Mapping("prompt", ("prompt", "response"), (), (("user", "prompt"), ("assistant", "response"))),
+    Mapping("completion", ("completion", "prompt"), (), (("user", "prompt"), ("assistant", "completion"))),
+    Mapping("question", ("answer", "question"), (), (("user", "question"), ("assistant", "answer"))),
+    Mapping("turn row", ("role", "text"), (), (("$role", "text"),)),
 )
 
+#: What matters in the text of a record's schema: brackets and field names.
+_TOKENS = r"(OBJECT<|ARRAY<|>|`(?:[^`]|``)*`: |[^<>,:` ]+: )"
+
 
 def field_paths(record: Column) -> Column:
-    """The nested field paths of a VARIANT as text, without scalar types: 'OBJECT<messages:ARRAY<OBJECT<content,role>>>'."""
-    bare = F.regexp_replace(F.schema_of_variant(record), r": (?!OBJECT|ARRAY)[A-Z_]+(\([0-9,]*\))?", "")
-    return F.regexp_replace(F.regexp_replace(bare, ": ", ":"), ", ", ",")
+    """The nested field paths of a VARIANT, sorted, as ['messages', 'messages[].content', 'messages[].role']."""
+    tokens = F.regexp_extract_all(F.schema_of_variant(record), F.lit(_TOKENS), F.lit(1))
+    start = F.struct(F.array().cast("array<string>").alias("above"), F.lit("").alias("here"), F.array().cast("array<string>").alias("paths"))
+
+    def step(a: Column, t: Column) -> Column:
+        name = F.concat(F.coalesce(F.element_at(a["above"], -1), F.lit("")), F.regexp_replace(t, "^`|`?: $", ""))
+        closed, opened = t == ">", t.isin("OBJECT<", "ARRAY<")
+        prefix = F.when((t == "OBJECT<") & (a["here"] != ""), F.concat(a["here"], F.lit("."))).otherwise(a["here"])
+        above = F.when(closed, F.slice(a["above"], F.lit(1), F.greatest(F.size(a["above"]) - 1, F.lit(0)))).when(opened, F.concat(a["above"], F.array(prefix))).otherwise(a["above"])
+        here = F.when(t == "ARRAY<", F.concat(a["here"], F.lit("[]"))).when(closed | opened, a["here"]).otherwise(name)
+        return F.struct(above.alias("above"), here.alias("here"), F.when(closed | opened, a["paths"]).otherwise(F.concat(a["paths"], F.array(name))).alias("paths"))
+
+    return F.array_sort(F.array_distinct(F.aggregate(tokens, start, step, lambda a: a["paths"])))
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(field_paths(record))
+def fingerprint(paths: Column) -> Column:
+    return F.xxhash64(F.array_join(F.array_sort(paths), "\n"))
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
-    """``records`` with ``schema_fingerprint`` and ``turns`` array<struct<role,text>> (null: no mapping knows the layout)."""
-    print_of = fingerprint(F.col(record_col))
-    turns = F.lit(None).cast(_TURNS)
+    """``records`` with ``schema_fingerprint`` (of all field paths), ``mapping`` and ``turns`` array<struct<role,text>>; the
+    last two are null where no mapping takes the layout."""
+    paths = F.coalesce(F.col("__paths"), F.array().cast("array<string>"))
+    turns, name = F.lit(None).cast(_TURNS), F.lit(None).cast("string")
     for m in reversed(mappings):
-        known = F.lit(False)
-        for layout in m.layouts:
-            known = known | (F.col("schema_fingerprint") == F.xxhash64(F.lit(layout)))
-        turns = F.when(known, m.turns(F.col(record_col))).otherwise(turns)
-    return records.withColumn("schema_fingerprint", print_of).withColumn("turns", turns)
+        turns, name = F.when(F.col("mapping") == m.name, m.turns(F.col(record_col))).otherwise(turns), F.when(m.takes(paths), m.name).otherwise(name)
+    known = records.withColumn("__paths", field_paths(F.col(record_col)))
+    return known.withColumn("schema_fingerprint", fingerprint(paths)).withColumn("mapping", name).withColumn("turns", turns).drop("__paths")
+
+
+def unmapped(records: DataFrame, record_col: str = "record", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
+    """The records whose layout no mapping takes, with ``schema_fingerprint``."""
+    return canonical_turns(records, record_col, mappings).where(F.col("mapping").isNull()).drop("mapping", "turns")
+
+
+def turn_rows(records: DataFrame, record_col: str = "record", conv_col: str = "conv_id", turn_col: str = "turn", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
+    """(conv_id, turn, place, role, text): the turns of all records, those of unknown layout as JSON."""
+    whole = F.array(F.struct(F.lit("record").alias("role"), F.coalesce(F.to_json(F.col(record_col)), F.lit("")).alias("text")))
+    turns = canonical_turns(records, record_col, mappings)
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.posexplode(F.coalesce("turns", whole)).alias("place", "said"))
+    return rows.select("conv_id", "turn", "place", "said.role", "said.text")
 
 
 def escape(text: Column) -> Column:
@@ -125,34 +162,32 @@ def render(turns: DataFrame, conv_col: str = "conv_id", order_cols: Sequence[str
     )
 
 
-def read_back(formatted: Column) -> Column:
-    """array<struct<role,text>> read from formatted text."""
-    pieces = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda p: p != "")
-
-    def turn(p: Column) -> Column:
-        cut = F.instr(p, "\n")
-        return F.struct(F.url_decode(p.substr(F.lit(len(START) + 1), cut - len(START) - 1)).alias("role"), unescape(p.substr(cut + 1, F.char_length(p))).alias("text"))
-
-    return F.transform(pieces, turn)
-
-
-def masked_text(formatted: Column, loss_mask: Column) -> Column:
-    """What lies under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss_mask, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, s["length"].cast("int")))), "")
+def read_rows(rendered: DataFrame) -> DataFrame:
+    """(conv_id, place, size, role, text, loss): the turns read back from formatted text, and what the loss mask covers of
+    each (null: nothing).  A mask is met at the place where its turn's text begins."""
+    pieces = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda p: p != "")
+    rows = rendered.select("conv_id", F.posexplode(pieces).alias("place", "piece"))
+    before = W.partitionBy("conv_id").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("cut", F.instr("piece", "\n")).withColumn("size", (F.char_length("piece") + len(END)).cast("long"))
+    rows = rows.withColumn("at", F.sum("size").over(before) - F.col("size") + F.col("cut"))
+    mask = rendered.select(F.col("conv_id").alias("__conv"), F.explode("loss_mask").alias("m")).select("__conv", F.col("m.start").alias("__start"), F.col("m.length").alias("__length"))
+    met = rows.join(mask.hint("merge"), F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("at") == F.col("__start")), "left")
+    cut, body = F.col("cut"), F.col("piece").substr(F.col("cut") + 1, F.char_length("piece"))
+    role = F.url_decode(F.col("piece").substr(F.lit(len(START) + 1), cut - len(START) - 1))
+    return met.select("conv_id", "place", "size", role.alias("role"), unescape(body).alias("text"), unescape(body.substr(F.lit(1), F.col("__length").cast("int"))).alias("loss"))
 
 
 def digests(rendered: DataFrame) -> DataFrame:
     """Counts and hashes of what formatted conversations say, read back from them."""
-    turns, loss = read_back(F.col("formatted")), masked_text(F.col("formatted"), F.col("loss_mask"))
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return (
-        rendered.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
-        .select(
-            "conv_id",
-            F.size("turns").cast("long").alias("n_turns"),
-            F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-            F.char_length("loss").cast("long").alias("loss_chars"),
-            F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
-            F.char_length("formatted").cast("long").alias("formatted_chars"),
-        )
+    items = F.array_sort(F.collect_list(F.struct("place", "role", "text", "loss")))
+    grouped = read_rows(rendered).groupBy("conv_id").agg(items.alias("items"), F.sum("size").alias("formatted_chars"))
+    said = F.array_join(F.transform("items", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform("items", lambda t: t["loss"]), "")
+    return grouped.select("conv_id", "items", said.alias("said"), loss.alias("loss"), "formatted_chars").select(
+        "conv_id",
+        F.size("items").cast("long").alias("n_turns"),
+        F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
     )

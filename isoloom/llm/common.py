@@ -2,51 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoloom.sources.scratch import Rounds, written
+
 from .wordhash import buffers
 
+__all__ = ["FOLDS", "HELD_OUT", "Rounds", "each_slice", "each_text", "fits_broadcast", "held_out", "read_table", "sampled_texts", "slices", "written"]
+
 #: Documents whose crc32(doc_id as text) mod FOLDS equals HELD_OUT are never learned from.
 FOLDS, HELD_OUT = 4, 2
 #: Bytes of text that a worker handles at once; bounds what it needs beside a batch.
 SLICE_BYTES = 4 << 20
+#: Bytes of text that a model learns from at most.
+SAMPLE_BYTES = 48 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares (spark.checkpoint.dir); a local one is used only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = _local_shared_dir()
-    return folder.rstrip("/")
-
-
-@lru_cache(maxsize=1)
-def _local_shared_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the documents kept for evaluation; a null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
@@ -57,6 +37,34 @@ def fits_broadcast(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def sampled_texts(docs: DataFrame, chosen: DataFrame, on: list[Column], rows: int, most_bytes: int | None = None) -> list[tuple[int, str, object]]:
+    """(id, text, label) of the chosen documents, for a model to learn from: at most ``rows`` of each label, by hash
+    order of the id, and ``most_bytes`` of text (``SAMPLE_BYTES`` unless given), shared out evenly among the labels.
+
+    ``chosen`` has __id and __label and is small; equal rows count once.  Ids, hashes and sizes are settled first, so no
+    more text than that is ever moved."""
+    spark = docs.sparkSession
+    found = docs.join(F.broadcast(chosen), on).select(F.col("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("__bytes"), "__label", F.coalesce("text", F.lit("")).alias("__text"))
+    sizes: dict[object, list] = {}
+    keys = written(found.select("__id", "__hash", "__bytes", "__label").distinct(), "sample-keys")
+    for label in sorted(r[0] for r in chosen.select("__label").distinct().collect()):
+        few = keys.where(F.col("__label") == label).orderBy(F.xxhash64("__id"), "__id", "__hash").limit(rows)
+        sizes[label] = few.select("__id", "__hash", "__bytes").collect()
+    taken = []
+    for label, few in sizes.items():
+        room = (most_bytes or SAMPLE_BYTES) // len(sizes)
+        for i, h, n in few:
+            if n <= room:
+                room -= n
+                taken.append((i, h, label))
+    if not taken:
+        return []
+    kind = chosen.schema["__label"].dataType.simpleString()
+    few = F.broadcast(spark.createDataFrame(taken, f"__id long, __hash long, __label {kind}"))
+    texts = found.join(few, ["__id", "__hash", "__label"]).groupBy("__id", "__hash", "__label").agg(F.first("__text").alias("__text"))
+    return sorted((r["__id"], r["__text"], r["__label"]) for r in texts.collect())
+
+
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most ``SLICE_BYTES``, or of one longer text: what a worker handles at once."""
     _, offsets = buffers(texts)
@@ -79,3 +87,16 @@ def each_text(
 
     ids = F.lit(None) if id_col is None else F.col(id_col)
     return df.select(ids.cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(batches, schema)
+
+
+def each_slice(df: DataFrame, text_col: str, work: Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch], schema=None) -> DataFrame:
+    """Run ``work(rows, texts)`` over slices of whole rows; in ``texts`` nulls are ''.  The schema stays unless given."""
+    place = df.columns.index(text_col)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = b.column(place).fill_null("")
+            for at, to in slices(texts):
+                yield work(b.slice(at, to - at), texts.slice(at, to - at))
+
+    return df.mapInArrow(batches, schema or df.schema)

@@ -9,10 +9,11 @@ A second pass aligns each item with the passages around such places, wide enough
 leak is lost, wherever and however it is edited.
 
 Test items are the stated query set: they travel to the tasks in blocks of at most ``BLOCK_BYTES`` of text, each block
-one pass over all documents.  Documents never leave their task and nothing of the corpus is shuffled but the counts.
+two passes over all documents.  Documents never leave their task and nothing of the corpus is shuffled but the counts.
 
-Words are runs of letters and digits, ASCII case folded.  Items and texts that are null or have no words match
-nothing; an item shorter than ``SHORT`` words leaks only whole.  Repeated rows give repeated results.
+Words are runs of letters, marks and digits, ASCII case folded; ideographs and kana are words by themselves.  Items and
+texts that are null or have no words match nothing; an item shorter than ``SHORT`` words leaks only whole.  Repeated
+documents, and items that share an id, give a row each.  Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, slices
+from .common import each_slice, each_text, written
 from .wordhash import ALNUM, buffers, mix, words
 
 #: Items of fewer words must occur whole; the share of a full copy's score that is a leak.
@@ -35,7 +36,9 @@ SHORT, LEAK = 3, 0.5
 EXTRA = 0.25
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of test items in the tasks at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+#: Words of passages compared with their items at once, and words of a strip of a passage that is aligned.
+COMPARED, STRIP = 1 << 20, 1 << 15
 
 #: Words of what is counted and looked for.
 SIZES = (1, 2)
@@ -67,17 +70,17 @@ class Items:
         raw, offsets = buffers(pa.array([t or "" for _, t in rows], pa.large_string()))
         w = words(raw, offsets, ALNUM)
         hashes = [w.hashes[a:b] for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
-        gram, item, place = [np.zeros(0, np.uint64)], [], []
+        gram, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, h in enumerate(hashes):
             for size in SIZES:
                 g = _grams(h, size)
                 gram.append(g)
-                item += [i] * len(g)
-                place += range(len(g))
+                item.append(np.full(len(g), i))
+                place.append(np.arange(len(g)))
         gram = np.concatenate(gram)
         order = np.argsort(gram, kind="stable")
         distinct, first = np.unique(gram[order], return_index=True)
-        return cls([i for i, _ in rows], hashes, distinct, np.append(first, len(gram)), np.array(item, np.int64)[order], np.array(place, np.int64)[order])
+        return cls([i for i, _ in rows], hashes, distinct, np.append(first, len(gram)), np.concatenate(item)[order], np.concatenate(place)[order])
 
     def lookup(self, seed: np.ndarray | None = None) -> np.ndarray:
         """A bit for each value of the low hash bits that some word or pair has; only of seeds, where these are given."""
@@ -102,14 +105,13 @@ class Items:
     def seeds(self, documents: np.ndarray, leak: float) -> Seeds:
         """The seeds among the (item, place) entries, given in how many documents each word and pair occurs."""
         gram_of = np.repeat(np.arange(len(self.grams)), np.diff(self.entry_bounds))
-        chosen, least = np.zeros(len(gram_of), bool), np.ones(len(self.hashes), np.int64)
         order = np.lexsort((self.entry_place, self.grams[gram_of], documents[gram_of], self.entry_item))  # rarest first
-        bounds = np.searchsorted(self.entry_item[order], np.arange(len(self.hashes) + 1))
-        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            if b > a:
-                need = needed(len(self.hashes[i]), leak)
-                least[i] = max(1, int(EXTRA * need))
-                chosen[order[a : b - need + least[i]]] = True  # a leak lacks b - a - need at most
+        entries = np.bincount(self.entry_item, minlength=len(self.hashes))
+        need = np.array([needed(len(h), leak) for h in self.hashes], np.int64)
+        least = np.maximum(1, (EXTRA * need).astype(np.int64))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(entries) - entries, entries)
+        chosen = np.zeros(len(gram_of), bool)
+        chosen[order[rank < (entries - need + least)[self.entry_item[order]]]] = True  # a leak lacks entries - need at most
         return Seeds(chosen, least)
 
 
@@ -167,8 +169,8 @@ def _counts(docs: DataFrame, items: Items, text_col: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
 
     out = np.zeros(len(items.grams), np.int64)
-    for r in each_text(docs, "gram long, n long", work, None, text_col).groupBy("gram").agg(F.sum("n")).collect():  # one row for each word and pair of the block at most
-        out[r[0]] = r[1]
+    found = each_text(docs, "gram long, n long", work, None, text_col).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row for each word and pair of the block at most
+    out[found.column("gram").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
@@ -214,16 +216,17 @@ def search(items: Items, seed: Seeds, table: np.ndarray, texts: pa.Array, leak:
     start = np.maximum(w.bounds[text], first - gaps[item])
     stop = np.minimum(w.bounds[text + 1], first + (size + gaps)[item])
     order = np.lexsort((start, item, text))
+    text, item, start, stop = text[order], item[order], start[order], stop[order]
+    if not len(text):
+        return
+    # places that overlap by half an item are one passage
+    new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] > stop[:-1] - size[item[1:]] // 2)]
+    head, tail = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(new)] - 1
+    text, item, start, stop = text[head], item[head], start[head], stop[tail]
+    keep = _common(items, w.hashes, item, start, stop) >= np.array([needed(n, leak) for n in size.tolist()])[item]
     best: tuple[int, int, float, int, int] | None = None
-    k = 0
-    while k < len(order):
-        o = order[k]
-        t, i, a, b = int(text[o]), int(item[o]), int(start[o]), int(stop[o])
-        k += 1
-        while k < len(order) and text[order[k]] == t and item[order[k]] == i and start[order[k]] <= b - size[i] // 2:
-            b = max(b, int(stop[order[k]]))
-            k += 1
-        score = _share(items.hashes[i], w.hashes[a:b], leak)
+    for t, i, a, b in zip(text[keep].tolist(), item[keep].tolist(), start[keep].tolist(), stop[keep].tolist(), strict=True):
+        score = _score(items.hashes[i], w.hashes[a:b], int(size[i] + gaps[i]))
         if best is not None and (best[0], best[1]) != (t, i):
             yield best
             best = None
@@ -233,10 +236,40 @@ def search(items: Items, seed: Seeds, table: np.ndarray, texts: pa.Array, leak:
         yield best
 
 
-def _share(item: np.ndarray, passage: np.ndarray, leak: float) -> float:
-    """The alignment's share of a full copy's score; 0 where the words and pairs in common can't reach ``leak``."""
-    common = sum(int(np.isin(_grams(item, k), _grams(passage, k)).sum()) for k in SIZES)
-    return 0.0 if common < needed(len(item), leak) else align(item, passage)[0] / (MATCH * len(item))
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, position) of every position of the ranges."""
+    n = np.maximum(stop - start, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[owner]
+
+
+def _common(items: Items, hashes: np.ndarray, item: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """How many of its item's words and pairs each passage has; all passages of a part of them at once."""
+    out = np.zeros(len(item), np.int64)
+    length = np.array([len(h) for h in items.hashes])
+    own = [[_grams(h, k) for h in items.hashes] if len(item) > len(items.hashes) else None for k in SIZES]
+    work = np.cumsum(stop - start + length[item])
+    at = 0
+    while at < len(item):
+        to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + COMPARED, "right")))
+        for k, known in zip(SIZES, own, strict=True):
+            grams = [known[i] if known else _grams(items.hashes[i], k) for i in item[at:to].tolist()]
+            count = np.array([len(g) for g in grams])
+            owner = np.repeat(np.arange(to - at), count)
+            whose, place = _ranges(start[at:to], stop[at:to] - k + 1)
+            run = _grams(hashes, k)[place] if to - at > 64 else np.concatenate([_grams(hashes[a:b], k) for a, b in zip(start[at:to].tolist(), stop[at:to].tolist(), strict=True)])
+            tag = mix(np.arange(1, to - at + 1).astype(np.uint64))
+            out[at:to] += np.bincount(owner[np.isin(np.concatenate(grams) ^ tag[owner], run ^ tag[whose])], minlength=to - at)
+        at = to
+    return out
+
+
+def _score(item: np.ndarray, passage: np.ndarray, span: int) -> float:
+    """The alignment's share of a full copy's score.  A leak takes ``span`` words of a passage at most, so a longer one is
+    aligned strip by strip, each with as many words of the next."""
+    strips = range(0, max(1, len(passage) - span + 1), STRIP) if len(passage) > STRIP + span else (0,)
+    ends = STRIP + span if len(strips) > 1 else len(passage)
+    return max(align(item, passage[a : a + ends])[0] for a in strips) / (MATCH * len(item))
 
 
 def _aligned(docs: DataFrame, items: Items, seed: Seeds, leak: float, id_col: str, text_col: str) -> DataFrame:
@@ -253,29 +286,26 @@ def _aligned(docs: DataFrame, items: Items, seed: Seeds, leak: float, id_col: st
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", leak: float = LEAK) -> DataFrame:
-    """The rows of ``docs`` in which no item leaks, all columns unchanged; no join, so repeated ids don't matter."""
-    place = docs.columns.index(text_col)
-    out = docs
+    """The rows of ``docs`` in which no item leaks, all columns unchanged; no join, so repeated ids don't matter.
+
+    Each block of items costs a pass that counts and a pass that searches; between blocks the rest is written out."""
+    out = None
     for rows in _blocks(benchmark, "item_id", "text"):
         items = Items.of(rows)
-        if not len(items.grams):
-            continue
-        seed = items.seeds(_counts(out, items, text_col), leak)
-        out = out.mapInArrow(_filter(items, seed, place, leak), docs.schema)
-    return out
+        if len(items.grams):
+            seed = items.seeds(_counts(docs, items, text_col), leak)
+            out = _without(docs if out is None else written(out, "clean"), items, seed, text_col, leak)
+    return docs if out is None else out
 
 
-def _filter(items: Items, seed: Seeds, place: int, leak: float):
+def _without(docs: DataFrame, items: Items, seed: Seeds, text_col: str, leak: float) -> DataFrame:
     held: list[np.ndarray] = []
 
-    def batches(it):
-        for b in it:
-            if not held:
-                held.append(items.lookup(seed.chosen))
-            clean = np.ones(b.num_rows, bool)
-            texts = b.column(place).fill_null("")
-            for at, to in slices(texts):
-                clean[[at + t for t, *_ in search(items, seed, held[0], texts.slice(at, to - at), leak)]] = False
-            yield b.filter(pa.array(clean))
-
-    return batches
+    def work(rows: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+        if not held:
+            held.append(items.lookup(seed.chosen))
+        clean = np.ones(len(texts), bool)
+        clean[[t for t, *_ in search(items, seed, held[0], texts, leak)]] = False
+        return rows.filter(pa.array(clean))
+
+    return each_slice(docs, text_col, work)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import each_text, held_out
+from .common import each_text, held_out, sampled_texts
 from .wordhash import LETTERS, buffers, mix, words
 
 #: Documents of a language that are learned from.
@@ -288,14 +288,14 @@ class Labeller:
 
 
 def sample_known(docs: DataFrame, size: int = SAMPLE) -> list[tuple[int, str, str]]:
-    """At most ``size`` training rows of each language, by hash order of the id, and ``MOST_ROWS`` in all."""
+    """At most ``size`` training rows of each language, by hash order of the id, and ``MOST_ROWS`` and
+    ``common.SAMPLE_BYTES`` in all, however many rows share an id."""
     ids = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
     order = [F.xxhash64("__id"), F.col("__id")]
     few = ids.withColumn("__salt", F.pmod("__id", F.lit(64))).withColumn("__n", F.row_number().over(W.partitionBy("__lang", "__salt").orderBy(*order)))
     few = few.where(F.col("__n") <= size).withColumn("__n", F.row_number().over(W.partitionBy("__lang").orderBy(*order)))
-    chosen = few.where(F.col("__n") <= size).orderBy("__n", "__lang", "__id").limit(MOST_ROWS).select("__id", "__lang").distinct()
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))
-    return sorted((r[0], r[1] or "", r[2]) for r in rows.select("doc_id", "text", "lang").collect())
+    chosen = few.where(F.col("__n") <= size).orderBy("__n", "__lang", "__id").limit(MOST_ROWS).select("__id", F.col("__lang").alias("__label")).distinct()
+    return sampled_texts(docs.select("doc_id", "text", "lang"), chosen, [F.col("doc_id") == F.col("__id"), F.col("lang") == F.col("__label")], size)
 
 
 def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

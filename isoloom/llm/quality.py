@@ -14,14 +14,12 @@ shuffled, never texts; site sums are partial aggregates, so one site may hold an
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, held_out, written
+from .common import each_slice, fits_broadcast, held_out, written
 from .toxicity import _logistic
 from .wordhash import SPACED, buffers, words
 
@@ -75,20 +73,17 @@ def train(rows: list[tuple[int, str, int]]) -> np.ndarray | None:
 def evidence(docs: DataFrame, weights: np.ndarray | None, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
     """(doc_id, host, path, evidence) of every whole text."""
 
-    def batches(it: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in it:
-            if not b.num_rows:
-                continue
-            if weights is None:
-                p = np.full(b.num_rows, 0.5)
-            else:
-                x = features(*buffers(b.column(3)))
-                p = 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ weights, -8, 8)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(p)], ["doc_id", "host", "path", "evidence"])
+    def work(rows: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+        if weights is None:
+            p = np.full(len(texts), 0.5)
+        else:
+            x = features(*buffers(texts))
+            p = 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ weights, -8, 8)))
+        return pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(p)], ["doc_id", "host", "path", "evidence"])
 
     name = lambda c, alias: F.col(c).cast("string").alias(alias)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), name(host_col, "host"), name(path_col, "path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(batches, "doc_id long, host string, path string, evidence double")
+    return each_slice(rows, "text", work, "doc_id long, host string, path string, evidence double")
 
 
 def _strength(groups: DataFrame, mean: Column) -> float:

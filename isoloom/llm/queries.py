@@ -62,8 +62,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("long").alias("turn"),
         F.to_variant_object(F.struct(F.array(*(F.struct(F.lit(r).alias("role"), F.lit(said).alias("content")) for r in ("user", "assistant"))).alias("messages"))).alias("record"),
     )
-    turns = chat.canonical_turns(rows.unionByName(extra)).select("conv_id", "turn", F.posexplode("turns").alias("place", "said")).select("conv_id", "turn", "place", "said.role", "said.text")
-    return chat.digests(chat.render(turns))
+    return chat.digests(chat.render(chat.turn_rows(rows.unionByName(extra))))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

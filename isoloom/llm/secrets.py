@@ -21,14 +21,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import each_text
+from .common import each_slice, each_text
 
 KINDS = ("assign", "access", "hex", "literal")
 THRESHOLD = 0.5
 
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_HEX = re.compile(r"[0-9a-f]+")
 _HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 
 #: Parts of names and how sensitive a name with that part is.
@@ -70,7 +69,7 @@ class Span(NamedTuple):
 def base_spans(text: str) -> list[Span]:
     found = [Span("assign", *m.span(), *m.span(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     found += [Span("access", *m.span(), *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    found += [Span("hex", *m.span(), *m.span()) for m in _HEX_RUN.finditer(text)]  # what _HEX finds in 16+ characters
+    found += [Span("hex", *m.span(), *m.span()) for m in _HEX_RUN.finditer(text)]
     return sorted(found, key=lambda s: s.order)
 
 
@@ -172,14 +171,9 @@ def masked_texts(docs: DataFrame, text_col: str = "text", replacement: str = "[s
     """``docs`` with the secret values of ``text_col`` replaced; all other columns, and null texts, stay."""
     place = docs.columns.index(text_col)
 
-    def batches(it):
-        for b in it:
-            texts = pc.fill_null(b.column(place), "")
-            new = [t.as_py() if not spans else mask(text, spans, replacement) for t, (text, _, spans) in zip(b.column(place), _scan(texts), strict=True)]
-            columns = [pa.array(new, b.column(place).type) if i == place else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
-
-    return docs.mapInArrow(batches, docs.schema)
-
-
+    def work(rows: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+        new = [t.as_py() if not spans else mask(text, spans, replacement) for t, (text, _, spans) in zip(rows.column(place), _scan(texts), strict=True)]
+        columns = [pa.array(new, rows.column(place).type) if i == place else c for i, c in enumerate(rows.columns)]
+        return pa.RecordBatch.from_arrays(columns, schema=rows.schema)
 
+    return each_slice(docs, text_col, work)

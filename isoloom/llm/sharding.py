@@ -34,6 +34,10 @@ def address(id_col: Column, text_col: Column) -> Column:
 
 def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, shard, depth, n_bytes, shard_bytes, oversize) of every row; shard is 'depth:prefix'."""
+    return _placed(docs, limit, id_col, text_col).drop("address")
+
+
+def _placed(docs: DataFrame, limit: int, id_col: str, text_col: str) -> DataFrame:
     sized = written(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
@@ -62,6 +66,7 @@ def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
         parts.append(
             placed.where(F.col("leaf").isNotNull()).select(
                 "doc_id",
+                "address",
                 F.concat_ws(":", F.col("leaf.depth"), F.col("leaf.prefix")).alias("shard"),
                 F.col("leaf.depth").alias("depth"),
                 "n_bytes",
@@ -80,11 +85,13 @@ def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` as one Parquet folder per shard under ``path`` (column ``shard``); ids must be unique.
+    """Write ``docs`` as one Parquet folder per shard under ``path`` (column ``shard``), every row once.
 
-    Rows go to tasks by a range of (shard, id), so a large shard may be written by several tasks."""
-    placed = assign(docs, limit, id_col, text_col).select(F.col("doc_id").alias("__id"), "shard")
-    out = docs.join(placed.hint("merge"), F.col(id_col).cast("long") == F.col("__id")).drop("__id")
+    An address has one shard, so rows find theirs by address, repeated ids too.  Rows go to tasks by a range of (shard,
+    id), so a large shard may be written by several tasks.  A column ``shard`` of ``docs`` gives way."""
+    placed = _placed(docs, limit, id_col, text_col).select(F.col("address").alias("__address"), "shard").distinct()
+    rows = docs.drop("shard").withColumn("__address", address(F.col(id_col), F.col(text_col)))
+    out = rows.join(placed.hint("merge"), "__address").drop("__address")
     out.repartitionByRange(F.col("shard"), F.col(id_col)).write.partitionBy("shard").parquet(path)
 
 

@@ -11,13 +11,15 @@ dots, so equal texts have equal fingerprints; the likeness of two is their Jacca
 length partition, and of those only such as share one of their rarest signatures, with sizes that can still reach the
 threshold.
 
-Null texts are empty.  Rows are ordered by id, nulls last, ties by text; repeated rows follow each other.
+Null texts are empty.  Rows are ordered by id, nulls last, ties by the text's hash and then the text; repeated rows follow
+each other.  Further columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 CHAIN, RUN = 3, 8
-#: Cells of the id histogram, bytes of text of a range of ids, and ranges at most.
-CELLS, RANGE_BYTES, RANGES = 4096, 4 << 20, 65_536
+#: Knots of the curve from ids to ranges, rows it is drawn from, bytes of text of a range, and ranges at most (their
+#: first rows are broadcast); beyond that ranges grow.
+KNOTS, SEEN_ROWS, RANGE_BYTES, RANGES = 4096, 200_000, 4 << 20, 1 << 20
 
 # Common words of English, French, German and Spanish.
 ANCHORS = (
@@ -48,12 +51,13 @@ def _number(*parts: Column) -> Column:
 def _counted(sigs: Column) -> Column:
     """A multiset as a set: the k-th equal signature (k > 0) becomes the hash of itself and k.
 
-    In the sorted array an element's run of equals is found by steps of falling powers of two to its left."""
-    steps = F.array(*(F.lit(1 << k) for k in range(21, -1, -1)))
+    In the sorted array an element's run of equals is found by steps of falling powers of two to its left, as many as the
+    array's length has bits."""
+    steps = F.transform(F.sequence(F.floor(F.log2(F.size(sigs))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
 
     def rank(x: Column, i: Column) -> Column:
         start = F.aggregate(steps, i, lambda at, step: F.when((at >= step) & (F.get(sigs, at - step) == x), at - step).otherwise(at))
-        return F.when(start == i, x).otherwise(_number(x, i - start))
+        return F.when((i == 0) | (F.get(sigs, i - 1) != x), x).otherwise(_number(x, i - start))
 
     return F.when(F.size(F.array_distinct(sigs)) == F.size(sigs), sigs).otherwise(F.array_sort(F.array_distinct(F.transform(sigs, rank))))
 
@@ -104,28 +108,47 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _ranged(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, text, range): ranges ascend with the id and hold about RANGE_BYTES of text each; and how many there are.
-
-    A histogram of equal cells over the ids, at most CELLS rows, gives the cumulative bytes at each cell's ends; inside a
-    cell ids are taken as evenly spread.  The range is monotone in the id whatever the ids are; only its size may vary."""
-    ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if ends[0] is None:
-        return docs.withColumn("range", F.lit(0)), 1
-    low, width = float(ends[0]), max(1.0, (float(ends[1]) - float(ends[0]) + 1) / CELLS)
-    place = (F.col("doc_id").cast("double") - low) / width
-    cell = F.least(F.floor(place), F.lit(CELLS - 1)).cast("int")
-    seen = {r[0]: r[1] for r in docs.where("doc_id is not null").groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("text") + 64)).collect()}
-    total = sum(seen.values())
-    ranges = int(min(RANGES, max(1, math.ceil(total / RANGE_BYTES))))
-    below, sums = 0.0, []
-    for k in range(CELLS):
-        sums.append(below)
-        below += seen.get(k, 0)
-    starts = F.array(*map(F.lit, sums))
-    sizes = F.array(*(F.lit(float(seen.get(k, 0))) for k in range(CELLS)))
-    at = F.get(starts, cell) + F.get(sizes, cell) * F.least(place - cell, F.lit(1.0))
-    number = F.least(F.floor(at / total * ranges), F.lit(ranges - 1)).cast("int")
-    return docs.withColumn("range", F.when(F.col("doc_id").isNull(), ranges).otherwise(number)), ranges + 1
+    """(doc_id, text, hash, range): ranges ascend with (doc_id nulls last, hash of the text) and hold about RANGE_BYTES of
+    text each; and how many there are.
+
+    A bounded sample of ids and sizes gives KNOTS ids between which equal bytes lie.  Between two knots ids count as evenly
+    spread; an id that many rows share is several knots, and its rows spread over their ranges by hash, as rows without an
+    id do over theirs.  So the range is monotone whatever the ids are; only its size may vary."""
+    rows = docs.withColumn("hash", F.xxhash64("text"))
+    bytes_of = F.octet_length("text") + 64
+    seen = docs.groupBy(F.col("doc_id").isNull().alias("none")).agg(F.count(F.lit(1)).alias("n"), F.sum(bytes_of).alias("bytes")).collect()
+    n, known = next(((r["n"], r["bytes"]) for r in seen if not r["none"]), (0, 0))
+    unknown = next((r["bytes"] for r in seen if r["none"]), 0)
+    width = max(RANGE_BYTES, math.ceil((known + unknown) / RANGES))
+    spread = (F.col("hash").cast("double") + 2.0**63) / 2.0**64
+    place = F.lit(0.0)
+    if known:
+        drawn = docs.where("doc_id is not null").select("doc_id", bytes_of.alias("bytes"))
+        drawn = (drawn.sample(SEEN_ROWS / n, seed=1) if n > SEEN_ROWS else drawn).limit(2 * SEEN_ROWS).toArrow()
+        ids, sizes = drawn.column("doc_id").to_numpy(), drawn.column("bytes").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        share = np.cumsum(sizes[order]) / max(1, sizes.sum())
+        knots = ids[order][np.minimum(np.searchsorted(share, np.arange(KNOTS + 1) / KNOTS), len(ids) - 1)].tolist() if len(ids) else [0] * (KNOTS + 1)
+        table = F.array(*map(F.lit, knots))
+        steps = F.array(*(F.lit(1 << k) for k in range(KNOTS.bit_length(), -1, -1)))
+
+        def below(test) -> Column:
+            """How many knots pass the test, which holds up to some place and not beyond."""
+            return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= KNOTS + 1) & test(F.get(table, at + step - 1)), at + step).otherwise(at))
+
+        lower, upper = below(lambda k: k < F.col("doc_id")), below(lambda k: k <= F.col("doc_id"))
+        rows = rows.withColumn("lower", lower).withColumn("upper", upper)
+        gap = F.get(table, F.col("lower")).cast("double") - F.get(table, F.col("lower") - 1).cast("double")
+        between = F.col("lower") - 1 + (F.col("doc_id").cast("double") - F.get(table, F.col("lower") - 1).cast("double")) / gap
+        knot = (
+            F.when(F.col("upper") > F.col("lower"), F.col("lower") + (F.col("upper") - F.col("lower") - 1) * spread)
+            .when(F.col("lower") == 0, F.lit(0.0))
+            .when(F.col("lower") > KNOTS, F.lit(float(KNOTS)))
+            .otherwise(between)
+        )
+        place = knot / KNOTS * float(known)
+    at = F.when(F.col("doc_id").isNull(), F.lit(float(known)) + spread * float(unknown)).otherwise(place)
+    return rows.withColumn("range", F.floor(at / width).cast("int")).select("doc_id", "text", "hash", "range"), int((known + unknown) // width) + 1
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -133,16 +156,17 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Texts are shuffled once, by range of ids.  Each range also gets a copy of the first rows of the range after it."""
     ranged, ranges = _ranged(docs)
-    first = ranged.groupBy("range").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
-    order = W.orderBy("range")  # one row a range, RANGES + 1 at most
-    after = first.select(F.lag("range").over(order).alias("before"), F.max("range").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("last"), "first_id")
-    after = after.select(F.coalesce("before", "last").alias("to_range"), "first_id")
-    border = ranged.join(F.broadcast(after), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text", F.col("to_range").alias("range"), F.lit(True).alias("border"))
-    rows = ranged.select("doc_id", "text", "range", F.lit(False).alias("border")).unionByName(border)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    first = ranged.groupBy("range").agg(F.min(key).alias("first"))
+    order = W.orderBy("range")  # one row a range, RANGES at most
+    after = first.select(F.lag("range").over(order).alias("before"), F.max("range").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("last"), "first")
+    after = after.select(F.coalesce("before", "last").alias("to_range"), F.col("first.doc_id").alias("first_id"), F.col("first.hash").alias("first_hash"))
+    border = ranged.join(F.broadcast(after), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))).select("doc_id", "text", "hash", F.col("to_range").alias("range"), F.lit(True).alias("border"))
+    rows = ranged.select("doc_id", "text", "hash", "range", F.lit(False).alias("border")).unionByName(border)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(ranges, 4 * ranges // 5))
     rows = signatures(rows.repartition(tasks, "range"), "text", "sigs")
-    here = W.partitionBy("range").orderBy("border", F.col("doc_id").asc_nulls_last(), "text")
-    return rows.withColumn("next_text", F.lead("text").over(here)).withColumn("next_sigs", F.lead("sigs").over(here)).where(~F.col("border")).drop("border", "range")
+    here = W.partitionBy("range").orderBy("border", F.col("doc_id").asc_nulls_last(), "hash", "text")
+    return rows.withColumn("next_text", F.lead("text").over(here)).withColumn("next_sigs", F.lead("sigs").over(here)).where(~F.col("border")).drop("border", "range", "hash")
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,27 +189,30 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def near_pairs(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs (a, b, likeness) of class representatives whose likeness reaches ``percent``, and the
-    (doc_id, representative) of every row with a fingerprint; the classes are those of equal signature sets."""
+    (doc_id, representative) of every row with a fingerprint; the classes are those of equal signature sets.
+
+    Null texts are empty and, as texts of no words, in no pair.  Rows without an id are left out; rows that share an id
+    are in the class of their own text each."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = written(signatures(rows, "text", "sigs").drop("text").where("doc_id is not null").withColumn("key", F.sha2(fingerprint(F.col("sigs")), 256)), "spot-sets")
-    classes = sets.groupBy("key").agg(F.min("doc_id").alias("representative"))
-    members = sets.select("doc_id", "key").join(classes.hint("merge"), "key").select("doc_id", "representative")
-    reps = sets.join(classes.select("key", F.col("representative").alias("doc_id")).hint("merge"), ["key", "doc_id"], "left_semi").dropDuplicates(["key"]).withColumn("n", F.size("sigs"))
+    classes = written(sets.groupBy("key").agg(F.min("doc_id").alias("representative"), F.min("sigs").alias("sigs")), "spot-classes")
+    members = sets.select("doc_id", "key").join(classes.select("key", "representative").hint("merge"), "key").select("doc_id", "representative")
     # Sets of partition k can only match sets of k - 1, k and k + 1: lengths in a partition differ by the threshold at most.
-    part = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    reps = written(reps.where("n > 0").withColumn("part", part).select("doc_id", "n", "part", "sigs"), "spot-reps")
-    each = reps.select("doc_id", "n", "part", F.explode("sigs").alias("sig"))
+    n = F.size("sigs")
+    reps = classes.where(n > 0).select("key", "representative", n.alias("n"), F.floor(F.log(n.cast("double")) / math.log(100 / percent)).cast("int").alias("part"), "sigs")
+    each = reps.select("key", "n", "part", F.explode("sigs").alias("sig"))
     counts = each.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("df", "sig"))
+    rank = F.row_number().over(W.partitionBy("key").orderBy("df", "sig"))
     rare = each.join(counts.where("df > 1").hint("merge"), "sig", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("place", rank)
-    rare = written(rare.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("doc_id", "n", "part", "sig", "place"), "spot-rare")
-    left = rare.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.explode(F.sequence(F.col("part") - 1, F.col("part") + 1)).alias("part"), "sig")
-    right = rare.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), "part", "sig")
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    pairs = left.join(right.hint("merge"), ["sig", "part"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1 >= need))
-    pairs = written(pairs.select("a", "b").distinct(), "spot-pairs")
-    full = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("sigs").alias("x")).hint("merge"), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("sigs").alias("y")).hint("merge"), "b")
-    return full.select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness")).where(F.col("likeness") * 100 >= percent), members
+    rare = written(rare.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("key", "n", "part", "sig", "place"), "spot-rare")
+    left = rare.select(F.col("key").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.explode(F.sequence(F.col("part") - 1, F.col("part") + 1)).alias("part"), "sig")
+    right = rare.select(F.col("key").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), "part", "sig")
+    need = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
+    pairs = left.join(right.hint("merge"), ["sig", "part"]).where((F.col("x") < F.col("y")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + 1 >= need))
+    pairs = written(pairs.select("x", "y").distinct(), "spot-pairs")
+    side = lambda k, i, v: reps.select(F.col("key").alias(k), F.col("representative").alias(i), F.col("sigs").alias(v)).hint("merge")
+    full = pairs.join(side("x", "i", "v"), "x").join(side("y", "j", "w"), "y")
+    return full.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), likeness(F.col("v"), F.col("w")).alias("likeness")).where(F.col("likeness") * 100 >= percent), members
 
 
 ORACLE_EDITS = """

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, held_out, slices
+from .common import each_slice, each_text, held_out, sampled_texts
 from .wordhash import LETTERS, buffers, mix, words
 
 #: Labelled rows of either label that are learned from.
@@ -199,12 +199,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, size: int = SAMPLE) -> list[tuple[int, str, int]]:
-    """At most ``size`` (id, text, label) training rows of label 0 and of label 1, by hash order of the id."""
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
+    """At most ``size`` (id, text, label) training rows of label 0 and of label 1, by hash order of the id, of at most
+    ``common.SAMPLE_BYTES`` in all."""
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).distinct()
     chosen = [known.where(F.col("__label") == v).orderBy(F.xxhash64("__id"), "__id").limit(size) for v in (0, 1)]
-    picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * size rows at most
-    rows = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__label")
-    return sorted((r[0], r[1] or "", r[2]) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "__label").limit(2 * size).collect())
+    return sampled_texts(docs, chosen[0].unionByName(chosen[1]), [F.col("doc_id") == F.col("__id")], size)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -226,19 +225,14 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text scores below ``threshold``, all columns unchanged; one pass, no join."""
-    place = docs.columns.index(text_col)
+    if model is None:
+        return docs
     held: list[Distances] = []
 
-    def batches(it):
-        for b in it:
-            if model is None or not b.num_rows:
-                yield b
-                continue
-            if not held:
-                held.append(Distances(model))
-            texts = b.column(place).fill_null("")
-            for at, to in slices(texts):
-                x = np.column_stack([np.ones(to - at), held[0].features(*buffers(texts.slice(at, to - at)))])
-                yield b.slice(at, to - at).filter(pa.array(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))) < threshold))
+    def work(rows: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+        if not held:
+            held.append(Distances(model))
+        x = np.column_stack([np.ones(len(texts)), held[0].features(*buffers(texts))])
+        return rows.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))) < threshold))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return each_slice(docs, text_col, work)

@@ -1,12 +1,15 @@
 """Words of UTF-8 texts as 64-bit hashes, computed with numpy over whole Arrow buffers.
 
-A word is a maximal run of bytes that are not separators.  Its hash is the polynomial sum(T[b_i] * P^i) mod 2^64 over
+A word is a maximal run of characters that an alphabet takes as word characters.  Its hash is the polynomial sum(T[b_i] * P^i) mod 2^64 over
 its folded bytes, T a fixed table of random numbers, then mixed.  One cumulative sum serves all words of a chunk.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,14 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Alphabet:
-    """Which bytes separate words, and what each byte is folded to before hashing."""
+    """Which ASCII bytes separate words, what each byte is folded to before hashing, and the Unicode categories (first
+    letters) of the characters beyond ASCII that belong to words (none given: all do).  With ``single`` every ideograph and
+    kana is a word of its own, since such text has no spaces."""
 
     separator: np.ndarray
     fold: np.ndarray
+    categories: str = ""
+    single: bool = False
 
 
 def _lower() -> np.ndarray:
@@ -40,12 +47,21 @@ def _lower() -> np.ndarray:
     return fold
 
 
+@lru_cache(maxsize=4)
+def _members(categories: str) -> np.ndarray:
+    """For every code point, whether its category is one of these."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in categories for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+#: Code points of kana and ideographs: ranges from even places up to odd ones.
+_SINGLE = np.array([0x3041, 0x3100, 0x31F0, 0x3200, 0x3400, 0x4DC0, 0x4E00, 0xA000, 0xF900, 0xFB00, 0x20000, 0x323B0])
+
 #: Separators: the space and \x09-\x0D.  A-Z are folded to a-z.
 SPACED = Alphabet(np.isin(np.arange(256), [32, 9, 10, 11, 12, 13]), _lower())
-#: Separators: every ASCII byte that is no letter.
-LETTERS = Alphabet(np.array([b < 128 and not chr(b).isalpha() for b in range(256)]), _lower())
-#: Separators: every ASCII byte that is no letter or digit.
-ALNUM = Alphabet(np.array([b < 128 and not chr(b).isalnum() for b in range(256)]), _lower())
+#: Words of letters (with the marks on them).
+LETTERS = Alphabet(np.array([b < 128 and not chr(b).isalpha() for b in range(256)]), _lower(), "LM")
+#: Words of letters, marks and digits; ideographs and kana one by one.
+ALNUM = Alphabet(np.array([b < 128 and not chr(b).isalnum() for b in range(256)]), _lower(), "LMN", single=True)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -74,41 +90,72 @@ class Words:
     end: np.ndarray
 
 
+def _kept(b: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes belong to words, and before which ones (or at the end) a word must be cut."""
+    kept = ~alphabet.separator[b]
+    cut = np.zeros(len(b) + 1, bool)
+    lead = np.flatnonzero(b >= 0xC0) if alphabet.categories else ()
+    if len(lead):
+        one = b[lead].astype(np.int32)
+        size = 2 + (one >= 0xE0) + (one >= 0xF0)
+        code = one & (0x7F >> size)
+        for k in range(1, 4):
+            code = np.where(size > k, code << 6 | b[np.minimum(lead + k, len(b) - 1)] & 0x3F, code)
+        out = ~_members(alphabet.categories)[np.minimum(code, sys.maxunicode)]
+        for k in range(4):
+            kept[np.minimum(lead + k, len(b) - 1)[out & (size > k)]] = False
+        if alphabet.single:
+            own = np.searchsorted(_SINGLE, code, "right") % 2 == 1
+            cut[lead[own]] = cut[np.minimum(lead + size, len(b))[own]] = True
+    return kept, cut
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, alphabet: Alphabet = SPACED) -> Words:
+    """All words.  A chunk never holds more than ``CHUNK`` bytes: a word that goes on in the next chunk is put together
+    from its parts, whose polynomials add up."""
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     at, total = 0, int(offsets[-1])
-    up, down = _powers(_P, 1), _powers(_P_INV, 1)
+    up, down = _powers(_P, min(CHUNK + 4, total + 1)), _powers(_P_INV, min(CHUNK + 4, total + 1))
+    open_word = False
     while at < total:
-        to = total if total - at <= CHUNK else _cut(raw, offsets, at, alphabet)
-        if len(up) < to - at + 1:
-            up, down = _powers(_P, to - at + 1), _powers(_P_INV, to - at + 1)
+        to = total if total - at <= CHUNK else _cut(raw, offsets, at)
         b = raw[at:to]
-        kept = ~alphabet.separator[b]
+        kept, cut = _kept(b, alphabet)
+        edges = offsets[np.searchsorted(offsets, at, "left") : np.searchsorted(offsets, to, "right")] - at
+        cut[edges] = True
         first = kept.copy()
-        first[1:] &= ~kept[:-1]
+        first[1:] &= ~kept[:-1] | cut[1:-1]
         last = kept.copy()
-        last[:-1] &= ~kept[1:]
-        edges = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, to, "left")] - at
-        edges = edges[edges < to - at]
-        first[edges] = kept[edges]
-        last[edges[edges > 0] - 1] = kept[edges[edges > 0] - 1]
+        last[:-1] &= ~kept[1:] | cut[1:-1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
         sums = np.zeros(to - at + 1, np.uint64)
         np.cumsum(_TABLE[alphabet.fold[b]] * up[: to - at], out=sums[1:])
-        parts.append((mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)), s + at, e + at))
+        value, s, e = (sums[e] - sums[s]) * down[s], s + at, e + at
+        if open_word and kept[0] and not cut[0]:
+            h, hs, he = parts[-1]
+            h[-1:] += value[:1] * _U(pow(_P, int(he[-1] - hs[-1]), 1 << 64))
+            he[-1] = e[0]
+            value, s, e = value[1:], s[1:], e[1:]
+        open_word = bool(kept[-1] and not cut[-1])
+        if len(s):
+            parts.append((value, s, e))
         at = to
-    h, s, e = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return Words(h, np.searchsorted(s, offsets), s, e)
+    value, s, e = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return Words(mix(value + (e - s).astype(np.uint64)), np.searchsorted(s, offsets), s, e)
 
 
-def _cut(raw: np.ndarray, offsets: np.ndarray, at: int, alphabet: Alphabet) -> int:
-    """Where to end a chunk that begins at ``at``: the end of a text, or else after a separator."""
+def _cut(raw: np.ndarray, offsets: np.ndarray, at: int) -> int:
+    """Where to end a chunk that begins at ``at``: the end of a text, or else between two characters."""
     k = np.searchsorted(offsets, at + CHUNK, "right") - 1
     if offsets[k] > at:
         return int(offsets[k])
-    end, to = int(offsets[k + 1]), at + CHUNK
-    while to < end and not alphabet.separator[raw[to - 1]]:
-        to += 1
+    to = at + CHUNK
+    while to > at and raw[to] & 0xC0 == 0x80:
+        to -= 1
+    if to == at:
+        to = at + CHUNK
+        while to < len(raw) and raw[to] & 0xC0 == 0x80:
+            to += 1
     return to
 
 

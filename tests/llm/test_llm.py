@@ -242,12 +242,84 @@ def test_ranges_keep_order(spark):
     assert got == {a: f"t{b} " * 50 for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
 
+def test_ranges_hold_alike(spark):
+    """Dense ids with a far one, one id for all rows, and no ids: no range holds twice the mean."""
+    n = 20_000
+    base = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), F.col("id").cast("string"), F.repeat(F.lit(" x"), 100)).alias("text"))
+    far = base.unionByName(spark.createDataFrame([(2**62, "far"), (-(2**62), "far")], "doc_id long, text string"))
+    third = base.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, 7).otherwise(F.col("doc_id")))
+    old, spotsigs.RANGE_BYTES = spotsigs.RANGE_BYTES, 100_000
+    try:
+        for df in (far, base.withColumn("doc_id", F.lit(5).cast("long")), base.withColumn("doc_id", F.lit(None).cast("long")), third):
+            rows, ranges = spotsigs._ranged(df)
+            sizes = [r["n"] for r in rows.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()]
+            assert sum(sizes) >= n and ranges > 30 and max(sizes) < 2 * n / ranges, (max(sizes), n / ranges)
+    finally:
+        spotsigs.RANGE_BYTES = old
+
+
+def test_repeated_signatures_are_counted(spark):
+    sigs = sorted([3] * 700 + [5] + [9] * 2 + [11] * 33)
+    got = spark.createDataFrame([(sigs,)], "s array<long>").select(spotsigs._counted(F.col("s"))).first()[0]
+    again = spark.createDataFrame([(sigs[:-1],)], "s array<long>").select(spotsigs._counted(F.col("s"))).first()[0]
+    assert len(set(got)) == len(sigs) and {3, 5, 9, 11} <= set(got) and len(set(got) - set(again)) == 1 and set(again) < set(got)
+
+
+def brute_signatures(text):
+    """Signatures as the module's text says them, word by word."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    anchors = set(spotsigs.ANCHORS)
+    runs = [["", []]]
+    for x in words:
+        if x in anchors:
+            runs.append([x, []])
+        else:
+            runs[-1][1].append(x)
+    spots = []
+    for k, (anchor, content) in enumerate(runs):
+        if content:
+            spots += [(anchor, content[j : j + spotsigs.RUN]) for j in range(0, len(content), spotsigs.RUN)]
+        elif anchor and k + 1 < len(runs) and runs[k + 1][0] == anchor:
+            spots.append((anchor, []))
+    out = []
+    for k, (anchor, content) in enumerate(spots):
+        chain = list(content)
+        for _, more in spots[k + 1 : k + spotsigs.CHAIN]:
+            chain += more
+        out.append((anchor, *chain[: spotsigs.CHAIN]))
+    if not out:
+        out = [("", x, y) for x, y in zip(words, [*words[1:], ""], strict=False)] or ([(text,)] if text else [])
+    return out
+
+
+def test_signatures_by_brute_force(spark):
+    rng = random.Random(4)
+    pool = ["the", "of", "la", "der", "und", "house", "river", "Haus", "maison", "x1", "tree", "los"]
+    texts = [" ".join(rng.choices(pool, k=rng.randrange(60))) + rng.choice(["", "!", "\n"]) for _ in range(60)] + ["the the the", "the of", "!?", "", "house " * 40]
+    rows = spotsigs.signatures(docs(spark, texts), "text", "sigs").select("doc_id", "sigs").collect()
+    got = {r["doc_id"]: set(r["sigs"]) for r in rows}
+    want = {}
+    for i, t in enumerate(texts):
+        count = {}
+        for x in brute_signatures(t):
+            count[x] = count.get(x, 0) + 1
+        want[i] = {(x, k) for x, n in count.items() for k in range(n)}
+    assert {i: len(v) for i, v in got.items()} == {i: len(v) for i, v in want.items()}
+    for i, j in itertools.combinations(range(len(texts)), 2):  # hashes differ, what sets share doesn't
+        assert len(got[i] & got[j]) == len(want[i] & want[j])
+
+
 def test_near_pairs(spark):
     base = [f"the w{i} and x{i} of y{i}" for i in range(60)]
     texts = [" ".join(base), " ".join(base), " ".join([*base[:-3], "else"]), " ".join(base[30:]), "quite another text of the sort"]
     pairs, members = spotsigs.near_pairs(docs(spark, texts), 80)
     assert {(r["a"], r["b"]) for r in pairs.collect()} == {(0, 2)}
     assert {r["doc_id"]: r["representative"] for r in members.collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    same = docs(spark, [*texts, None, ""]).withColumn("doc_id", F.when(F.col("doc_id") > 2, 3).otherwise(F.col("doc_id"))).unionByName(spark.createDataFrame([(None, "no id", None, None, None)], DOCS)).withColumn("key", F.lit(1)).withColumn("sigs", F.lit(2))
+    pairs, members = spotsigs.near_pairs(same, 80)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(0, 2)} and members.count() == 7
+    pairs, members = spotsigs.near_pairs(docs(spark, texts).limit(0), 80)
+    assert pairs.count() == members.count() == 0
 
 
 # 5
@@ -282,8 +354,8 @@ def test_shards(spark, tmp_path):
 def test_escape_round_trip(spark, text):
     df = spark.createDataFrame([(1, 0, 0, "user", text), (1, 1, 0, "assistant", text), (1, 2, 0, "we\nird|role", text)], "conv_id long, turn long, place int, role string, text string")
     r = chat.render(df)
-    got = r.select(chat.read_back(F.col("formatted")).alias("t"), chat.masked_text(F.col("formatted"), F.col("loss_mask")).alias("m")).first()
-    assert [tuple(x) for x in got["t"]] == [("user", text), ("assistant", text), ("we\nird|role", text)] and got["m"] == text
+    got = chat.read_rows(r).orderBy("place").collect()
+    assert [(x["role"], x["text"], x["loss"]) for x in got] == [("user", text, None), ("assistant", text, text), ("we\nird|role", text, None)]
     assert not re.search(r"<\|(?!im_start|im_end)|</?s>|\[/?INST\]", r.first()["formatted"])
 
 
@@ -293,14 +365,19 @@ def test_layouts(spark):
     layouts = [
         {"prompt": "p", "response": "r"}, {"system": "s", "prompt": "p", "response": "r"}, {"instruction": "i", "input": "", "output": "o"}, {"instruction": "i", "input": "j", "output": "o"},
         {"messages": [{"role": "user", "content": "p"}, {"role": "assistant", "content": None}]}, {"conversations": [{"from": "human", "value": "p"}, {"from": "gpt", "value": "r"}]}, {"question": "q", "answer": "a"},
-        {"unknown": {"deep": 1}}, {"role": "user", "text": "t"},
+        {"unknown": {"deep": 1}}, {"role": "user", "text": "t"}, {"id": 7, "messages": [{"role": "user", "content": "p", "id": 1.5, "meta": {"role": "x"}}]}, {"my field: <a": 1, "prompt": "p", "response": "r", "tags": ["x"]},
     ]
     df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(layouts)], "conv_id long, j string").select("conv_id", F.parse_json("j").alias("record"))
     got = {r["conv_id"]: r["turns"] and [tuple(t) for t in r["turns"]] for r in chat.canonical_turns(df).select("conv_id", "turns").collect()}
     assert got == {
         0: [("user", "p"), ("assistant", "r")], 1: [("system", "s"), ("user", "p"), ("assistant", "r")], 2: [("user", "i"), ("assistant", "o")], 3: [("user", "i\n\nj"), ("assistant", "o")],
-        4: [("user", "p"), ("assistant", "")], 5: [("user", "p"), ("assistant", "r")], 6: [("user", "q"), ("assistant", "a")], 7: None, 8: [("user", "t")],
+        4: [("user", "p"), ("assistant", "")], 5: [("user", "p"), ("assistant", "r")], 6: [("user", "q"), ("assistant", "a")], 7: None, 8: [("user", "t")], 9: [("user", "p")], 10: [("user", "p"), ("assistant", "r")],
     }
+    assert [r["conv_id"] for r in chat.unmapped(df).collect()] == [7]
+    rows = chat.turn_rows(df.withColumn("turn", F.lit(0)).withColumn("mapping", F.lit("clash")).withColumn("place", F.lit("clash"))).where("conv_id = 7").collect()
+    assert [(r["role"], json.loads(r["text"])) for r in rows] == [("record", {"unknown": {"deep": 1}})]
+    paths = {r[0]: r[1] for r in df.select("conv_id", chat.field_paths(F.col("record"))).collect()}
+    assert paths[9] == ["id", "messages", "messages[].content", "messages[].id", "messages[].meta", "messages[].meta.role", "messages[].role"]
 
 
 def test_null_and_repeated_turns(spark):
