@@ -7,12 +7,16 @@ percent * union``; sizes a and b need an overlap of o(a, b) = ceil(percent * (a
 2. Light sets, up to a boundary size, list all their subsets of o(a, b) shingles for each partner size.  Sharing one
    is a link, so no pair is formed or checked: each member of a subset's group links to the group's smallest member.
 3. Heavy sets enter the inverted lists of their first n - ceil(percent * n / 100) + 1 shingles, rare ones first; so do
-   the light ones, for pairs of both kinds.  Lists are scanned in blocks of ``LIST_BLOCK``.  Sizes, places and the
-   parity of hashed shingles (popcount of the xor never exceeds the symmetric difference) rule most pairs out; what is
-   left is joined into clusters inside the task, so a list of m sets yields m - 1 edges at most.
-4. The sets of a cluster come together, in blocks of ``CLUSTER_BLOCK`` sets, and are counted exactly; each block yields
-   a spanning forest of its true links.
-5. Components of all links, written as the smallest id.
+   the light ones, for pairs of both kinds.  Sizes, places and the parity of hashed shingles (popcount of the xor never
+   exceeds the symmetric difference) rule most pairs out; what is left is joined into clusters inside the task, so a
+   list of m sets yields m - 1 edges at most.
+4. The sets of a cluster come together and are counted exactly; a spanning forest of the true links is what remains.
+5. Components of all links, written as the smallest id; copies take that of their class.
+
+Lists and clusters are dealt into blocks of bounded sets and bytes.  First each block is worked through by itself; then
+one representative of each component so far is held against all others; then what is still apart from its group's
+largest component is held against every block (:func:`_linked`).  A pair already in one component needs no check, so a
+group of m near copies costs about m, and only sets that stay apart cost more.
 
 The boundary is the size at which listing subsets saves most rows against scanning lists, both counted over all
 documents.  Shingles above a share of all (at most ``COMMON`` can be) go last in the order; any
@@ -20,7 +24,7 @@ order is correct.  Copies of texts, hot shingles and hub documents only pass par
 that Spark can split.
 
 Null or empty texts have no set and stay alone.  Rows that share an id are one document: their sets count as linked.
-Rows without an id get a null component and link nothing.
+Rows without an id get a null component and link nothing.  Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, fits_broadcast, written
+from .common import each_text, fits_broadcast, slices, written
 from .components import components
 from .wordhash import SPACED, buffers, mix, shingles, words
 
-#: Sets of a block of an inverted list, and of a cluster.
-LIST_BLOCK, CLUSTER_BLOCK = 1024, 2048
+#: Sets of a block of an inverted list, and of a cluster; bytes of sets of a block of a cluster.
+LIST_BLOCK, CLUSTER_BLOCK, BLOCK_BYTES = 1024, 2048, 8 << 20
 #: Shingles that can be known as common: those above one part in COMMON of all occurrences.
 COMMON = 1 << 20
 #: Shingles counted at once in a task, and how often one must occur there to be reported.
@@ -49,6 +53,8 @@ COUNTED, REPORTED = 1 << 22, 4
 LIGHT_MOST, BROADCAST_ROWS = 40, 1_000_000
 #: Rows of a task that scans lists; bytes of sets of a task that checks clusters.
 SCAN_ROWS, CHECK_BYTES = 60_000, 16 << 20
+#: Entries of inverted lists that are counted at once.
+ENTRIES = 1 << 22
 
 _U = np.uint64
 
@@ -71,16 +77,6 @@ def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles(words(raw, offsets, SPACED), size)
 
 
-def _slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes."""
-    _, offsets = buffers(texts)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        yield at, to
-        at = to
-
-
 def _described(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, digest) of each text and, apart from them, (token, seen): how often a task met frequent shingles."""
     names = ["doc_id", "n", "digest", "token", "seen"]
@@ -96,7 +92,7 @@ def _described(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
         pile: list[np.ndarray] = []
         held = 0
         for b in it:
-            for at, to in _slices(b.column(1)) if b.num_rows else ():
+            for at, to in slices(b.column(1)):
                 h, bounds = _sets(b.column(1).slice(at, to - at), size)
                 data = memoryview(h).cast("B")
                 digest = [hashlib.blake2b(data[8 * x : 8 * y], digest_size=16).digest() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -145,25 +141,22 @@ def _posted(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray,
     known, seen = common
 
     def work(ids: pa.Array, texts: pa.Array) -> Iterable[pa.RecordBatch]:
-        for at, to in _slices(texts):
-            h, bounds = _sets(texts.slice(at, to - at), size)
-            if len(known):
-                k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                rank = np.where(known[k] == h, seen[k], 0)
-            else:
-                rank = np.zeros(len(h), np.int64)
-            prefix, small, maps = [], [], []
-            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                own, r = h[x:y], rank[x:y]
-                take = prefix_size(y - x, percent) if y > x else 0
-                first = own[np.argsort(r, kind="stable")[:take]] if r.any() else own[:take]
-                prefix.append(first.view(np.int64))
-                small.append(own.view(np.int64) if 0 < y - x <= LIGHT_MOST else None)
-                maps.append(bitmap(own) if y > x else None)
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, to - at), pa.array(np.diff(bounds)), pa.array(prefix, lists), pa.array(small, lists), pa.array(maps, pa.binary())], ["doc_id", "n", "prefix", "small", "bitmap"]
-            )
+        h, bounds = _sets(texts, size)
+        if len(known):
+            k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            rank = np.where(known[k] == h, seen[k], 0)
+        else:
+            rank = np.zeros(len(h), np.int64)
+        prefix, small, maps = [], [], []
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own, r = h[x:y], rank[x:y]
+            take = prefix_size(y - x, percent) if y > x else 0
+            first = own[np.argsort(r, kind="stable")[:take]] if r.any() else own[:take]
+            prefix.append(first.view(np.int64))
+            small.append(own.view(np.int64) if 0 < y - x <= LIGHT_MOST else None)
+            maps.append(bitmap(own) if y > x else None)
+        lists = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), pa.array(prefix, lists), pa.array(small, lists), pa.array(maps, pa.binary())], ["doc_id", "n", "prefix", "small", "bitmap"])
 
     return each_text(docs, "doc_id long, n long, prefix array<long>, small array<long>, bitmap binary", work, id_col, text_col)
 
@@ -267,8 +260,8 @@ def _scan(percent: int, most_light: int):
     def scanned(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         column = lambda c: table.column(c).to_numpy()
-        order = np.lexsort((column("n"), column("block"), column("mate"), column("own"), column("token")))
-        token, own, mate, block, rep, n, at = (column(c)[order] for c in ("token", "own", "mate", "block", "rep", "n", "place"))
+        order = np.lexsort((column("n"), column("block"), column("mate"), column("own"), column("g")))
+        token, own, mate, block, rep, n, at = (column(c)[order] for c in ("g", "own", "mate", "block", "rep", "n", "place"))
         maps = table.column("bitmap").to_pylist()
         maps = [maps[k] for k in order.tolist()]
         bits = np.frombuffer(b"".join(m if len(m) == 64 else _fold(m, 64) for m in maps), np.uint64).reshape(-1, 8)
@@ -322,8 +315,8 @@ def _check(percent: int):
     def checked(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         column = lambda c: table.column(c).to_numpy()
-        order = np.lexsort((column("rep"), column("mate"), column("own"), column("cluster")))
-        cluster, own, mate, block, rep, n = (column(c)[order] for c in ("cluster", "own", "mate", "block", "rep", "n"))
+        order = np.lexsort((column("rep"), column("mate"), column("own"), column("g")))
+        cluster, own, mate, block, rep, n = (column(c)[order] for c in ("g", "own", "mate", "block", "rep", "n"))
         raw = table.column("shingles").to_pylist()
         new = np.r_[True, (cluster[1:] != cluster[:-1]) | (own[1:] != own[:-1]) | (mate[1:] != mate[:-1])]
         start = np.flatnonzero(new)
@@ -353,9 +346,7 @@ def _forest_of(sets: list[np.ndarray], rep: np.ndarray, n: np.ndarray, block: np
         if forest.merged == m - 1:
             break
         t = token[bounds[i] : bounds[i + 1]]
-        count = at[t + 1] - at[t]
-        where = np.repeat(at[t] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        both = np.bincount(lists[where], minlength=m)
+        both = _met(lists, at[t], at[t + 1], m)
         link = 100 * both >= percent * (n[i] + n - both)
         link[: i + 1] = False
         if not same:
@@ -375,13 +366,80 @@ def _forest_of(sets: list[np.ndarray], rep: np.ndarray, n: np.ndarray, block: np
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _blocks(rows: DataFrame, count_col: str, block: int, id_col: str) -> DataFrame:
-    """Rows with block, own and mate: a group of more than ``block`` rows is dealt into blocks, each pair of which is a
-    unit; a row goes to every unit that its block is part of."""
-    n = F.ceil(F.col(count_col) / block).cast("int")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(id_col), n).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), n - 1))
-    return dealt.withColumn("other", other).withColumn("own", F.least("block", "other")).withColumn("mate", F.greatest("block", "other")).drop("other")
+def _met(lists: np.ndarray, start: np.ndarray, stop: np.ndarray, m: int) -> np.ndarray:
+    """How often each of m sets is in the lists given as ranges, some ENTRIES of them at a time."""
+    count = stop - start
+    total = np.cumsum(count)
+    both = np.zeros(m, np.int64)
+    k = 0
+    while k < len(count):
+        to = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + ENTRIES, "right")))
+        c = count[k:to]
+        where = np.repeat(start[k:to] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        both += np.bincount(lists[where], minlength=m)
+        k = to
+    return both
+
+
+_UNIT = ["g", "own", "mate", "block", "rep", "n", "place"]
+
+
+def _linked(rows: DataFrame, sizes: DataFrame, payload: DataFrame, block: int, block_bytes: int, solve, name: str) -> DataFrame:
+    """(a, b) edges of groups, which ``solve`` finds among the rows of a task's units.
+
+    ``rows`` has (g, rep, n, place, bytes), ``sizes`` is a written table of each group's rows m and bytes, ``payload`` has
+    what ``solve`` needs of a rep.  In a unit (g, own, mate) rows of the same block meet if own = mate, else rows of
+    different ones.  Groups of several blocks go through three rounds:
+
+    1. each block by itself;
+    2. one row of each component so far, all with all;
+    3. rows outside their group's largest component, dealt anew, with every block.  Then all pairs have met but those
+       inside one component."""
+    spark = rows.sparkSession
+    blocks = lambda m, size: F.greatest(F.ceil(F.col(m) / block), F.ceil(F.col(size) / block_bytes), F.lit(1)).cast("int")
+    dealt = lambda n, seed=0: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
+    least_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def solved(units: DataFrame, n_rows: int, n_bytes: int) -> DataFrame:
+        tasks = max(least_tasks, -(-n_rows // SCAN_ROWS), -(-n_bytes // CHECK_BYTES))
+        full = units.select(_UNIT).join(payload.hint("merge"), "rep").withColumn("task", F.pmod(F.xxhash64("g", "own", "mate"), F.lit(tasks)))
+        return written(full.groupBy("task").applyInArrow(solve, "a long, b long").where("a <> b").distinct(), name)
+
+    sizes = sizes.withColumn("blocks", blocks("m", "bytes"))
+    total = sizes.agg(F.sum("m"), F.sum("bytes"), F.max("blocks")).first()
+    placed = rows.join(sizes.select("g", "blocks").hint("merge"), "g")
+    edges = solved(placed.withColumn("block", dealt(F.col("blocks"))).withColumn("own", F.col("block")).withColumn("mate", F.col("block")), total[0] or 0, total[1] or 0)
+    if (total[2] or 0) < 2:
+        return edges
+    big = written(placed.where("blocks > 1"), name)
+
+    def labelled(found: DataFrame) -> DataFrame:
+        label = written(components(found), name).select(F.col("node").alias("rep"), "component")
+        return written(big.join(label.hint("merge"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component"), name)
+
+    def counted(units: DataFrame) -> DataFrame:
+        units = written(units.select(*_UNIT, "bytes"), name)
+        n = units.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+        return solved(units, n[0], n[1] or 0)
+
+    now = labelled(edges)
+    first = now.join(now.groupBy("g", "label").agg(F.min("rep").alias("rep")).hint("merge"), ["g", "label", "rep"], "left_semi")
+    several = first.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("all")).where("m > 1")
+    first = first.drop("blocks").join(several.select("g", blocks("m", "all").alias("blocks")).hint("merge"), "g")
+    first = first.withColumn("block", dealt(F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    edges = edges.unionByName(counted(first.withColumn("own", F.least("block", "other")).withColumn("mate", F.greatest("block", "other"))))
+
+    now = labelled(edges)
+    parts = now.groupBy("g", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("all"))
+    apart = parts.groupBy("g").agg(F.max(F.struct("m", "label", "all")).alias("main"), F.sum("m").alias("m"), F.sum("all").alias("all"))
+    apart = apart.select("g", F.col("main.label").alias("main"), (F.col("m") - F.col("main.m")).alias("rest"), (F.col("all") - F.col("main.all")).alias("rest_bytes")).where("rest > 0")
+    apart = written(apart.select("g", "main", blocks("rest", "rest_bytes").alias("rest_blocks")), name)
+    if apart.isEmpty():
+        return edges
+    now = now.join(apart.hint("merge"), "g").withColumn("block", dealt(F.col("blocks")))
+    left = now.withColumn("own", F.col("block")).withColumn("mate", F.explode(F.sequence(F.lit(-1), -F.col("rest_blocks"), F.lit(-1))))
+    right = now.where(F.col("label") != F.col("main")).withColumn("mate", -1 - dealt(F.col("rest_blocks"), 1)).withColumn("block", F.col("mate")).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return edges.unionByName(counted(left.select(*_UNIT, "bytes").unionByName(right.select(*_UNIT, "bytes"))))
 
 
 def _candidates(posted: DataFrame, percent: int) -> tuple[DataFrame | None, int]:
@@ -390,39 +448,31 @@ def _candidates(posted: DataFrame, percent: int) -> tuple[DataFrame | None, int]
     lists = posting.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max("n").alias("most")).where(F.col("m") > 1)
     # a list of two sets whose sizes can't link is no list
     lists = written(lists.where((F.col("m") > 2) | (100 * F.col("least") >= percent * F.col("most"))).select("token", "m"), "join-lists")
-    met = lists.agg(F.sum("m")).first()[0] or 0
     light = boundary(posting, lists, percent)
-    if not met:
+    if lists.isEmpty():
         return None, light
-    spark = posted.sparkSession
-    shared = posting.join(lists.hint("merge"), "token")
-    shared = shared.join(posted.select(F.col("doc_id").alias("rep"), "bitmap").hint("merge"), "rep")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-met // SCAN_ROWS))
-    units = _blocks(shared, "m", LIST_BLOCK, "rep").withColumn("task", F.pmod(F.xxhash64("token", "own", "mate"), F.lit(tasks)))
-    edges = units.select("task", "token", "own", "mate", "block", "rep", "n", "place", "bitmap").groupBy("task").applyInArrow(_scan(percent, light), "a long, b long")
-    return written(edges.distinct(), "join-candidates"), light
+    rows = posting.select(F.col("token").alias("g"), "rep", "n", "place", F.lit(0).cast("long").alias("bytes"))
+    sizes = lists.select(F.col("token").alias("g"), "m", F.lit(0).cast("long").alias("bytes"))
+    payload = posted.select(F.col("doc_id").alias("rep"), "bitmap")
+    return _linked(rows, sizes, payload, LIST_BLOCK, BLOCK_BYTES, _scan(percent, light), "join-candidates"), light
 
 
 def _heavy_links(docs: DataFrame, edges: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b) true links that span the true components inside each cluster of candidates."""
-    clusters = written(components(edges), "join-clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    clusters = written(components(edges), "join-clusters").select(F.col("node").alias("rep"), F.col("component").alias("g"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids = clusters.select(F.col("rep").alias("doc_id"))
     texts = texts.join(F.broadcast(ids) if fits_broadcast(ids, BROADCAST_ROWS) else ids.hint("merge"), "doc_id", "left_semi")
 
     def work(doc_ids: pa.Array, batch: pa.Array) -> Iterable[pa.RecordBatch]:
-        for at, to in _slices(batch):
-            h, bounds = _sets(batch.slice(at, to - at), size)
-            raw = pa.array([h[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([doc_ids.slice(at, to - at), pa.array(np.diff(bounds)), raw], ["rep", "n", "shingles"])
+        h, bounds = _sets(batch, size)
+        raw = pa.array([h[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(bounds)), raw], ["rep", "n", "shingles"])
 
-    sets = each_text(texts, "rep long, n long, shingles binary", work)
-    sized = clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).hint("merge"), "cluster")
-    rows = written(_blocks(sized.join(sets.hint("merge"), "rep"), "m", CLUSTER_BLOCK, "rep"), "join-sets")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-8 * total // CHECK_BYTES))
-    units = rows.withColumn("task", F.pmod(F.xxhash64("cluster", "own", "mate"), F.lit(tasks)))
-    return units.select("task", "cluster", "own", "mate", "block", "rep", "n", "shingles").groupBy("task").applyInArrow(_check(percent), "a long, b long")
+    sets = written(each_text(texts, "rep long, n long, shingles binary", work), "join-sets")
+    rows = clusters.join(sets.select("rep", "n").hint("merge"), "rep").select("g", "rep", F.col("n").cast("int").alias("n"), F.lit(0).alias("place"), (8 * F.col("n")).alias("bytes"))
+    sizes = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes")), "join-sizes")
+    return _linked(rows, sizes, sets.select("rep", "shingles"), CLUSTER_BLOCK, BLOCK_BYTES, _check(percent), "join-links")
 
 
 def join(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,19 +481,28 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_i
     common = _common(described)
     texts = described.where(F.col("digest").isNotNull())
     known = texts.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "join-classes")
+    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "join-classes")
     posted = _posted(docs, size, percent, common, id_col, text_col)
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     posted = written(posted.where(F.col("doc_id").isNotNull()).join(reps.hint("merge"), "doc_id", "left_semi"), "join-posted")
     edges, light = _candidates(posted, percent)
-    links = known.join(classes.where("members > 1").hint("merge"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # documents of several texts join their classes
+    code = F.xxhash64("digest")
+    several = known.groupBy("doc_id").agg(F.min(code).alias("x"), F.max(code).alias("y")).where("x <> y").select("doc_id")
+    links = known.join(several.hint("merge"), "doc_id", "left_semi").join(classes.hint("merge"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     if light:
         links = links.unionByName(_light_links(posted, light, percent))
     if edges is not None:
         links = links.unionByName(_heavy_links(docs, edges, size, percent, id_col, text_col))
-    found = components(links).select(F.col("node").alias("doc_id"), "component")
-    out = texts.select("doc_id", F.col("n").alias("n_shingles")).join(found.hint("merge"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = components(links).withColumnRenamed("node", "rep")
+    classes = written(classes.join(found.hint("merge"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "join-classes")
+    out = known.join(classes.hint("merge"), "digest").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    # texts without a set: alone, unless another text of the document has one
+    rest = texts.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"))
+    ids = rest.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    other = known.join(F.broadcast(ids) if fits_broadcast(ids, BROADCAST_ROWS) else ids.hint("merge"), "doc_id", "left_semi").join(classes.hint("merge"), "digest").groupBy("doc_id").agg(F.min("component").alias("component"))
+    rest = rest.join(other.hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.unionByName(rest)
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -576,6 +576,28 @@ def test_jaccard_join_odd_rows(spark):
     assert jaccard_join.one_of_each(odd(spark)).columns == odd(spark).columns
 
 
+def test_group_of_near_copies_costs_what_it_holds(spark, monkeypatch):
+    """Near copies in many blocks: after their own blocks only representatives and strangers are dealt again."""
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 10)
+    monkeypatch.setattr(jaccard_join, "CLUSTER_BLOCK", 10)
+    dealt = []
+    inner = jaccard_join.written
+
+    def spy(df, name):
+        out = inner(df, name)
+        if "mate" in df.columns:
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", spy)
+    base = [f"w{k}" for k in range(130)]
+    texts = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(120)] + [" ".join(base[:60] + [f"x{j}" for j in range(70)]) for _ in range(2)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs(spark, texts)).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(list(enumerate(texts)), 3, 90).items()}
+    lists = 131  # each of the rounds after the first deals at most a few rows a block and list
+    assert dealt and max(dealt) <= lists * 12 * 4, dealt
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(500, k) for k in range(501, 560)] + [(None, 3), (7, 7)]
