@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isoloom.functions.arrays import exon_length, log_sigmoid, sigmoid
-from isoloom.functions.sequence import STOPS
-from isoloom.sources.scratch import written
+from isoloom.functions.sequence import STOPS, spliced_cdna
+from isoloom.sources.scratch import scratch_path, written
 
 _LOCUS = ["locus", "strand"]
 
@@ -70,10 +70,14 @@ def edges(nodes: DataFrame, found: DataFrame, config: Config = Config()) -> Data
     plus = F.col("strand") == "+"
     out_end, in_end = F.when(plus, F.col("end")).otherwise(F.col("start")), F.when(plus, F.col("start")).otherwise(F.col("end"))
     sites = lambda t, name: found.where(F.col("track") == t).select(*_LOCUS, F.col("pos").alias(name))
+    # on the way of transcription an intron leads from u to v, 0 < v - u <= max_intron: v is in the bin of u or the next
+    sign, width = F.when(plus, 1).otherwise(-1), config.max_intron
     up = nodes.withColumn("gap_from", out_end).join(sites("donor", "gap_from"), [*_LOCUS, "gap_from"], "left_semi").select(*_LOCUS, F.col("start").alias("src_start"), F.col("end").alias("src_end"), F.col("score").alias("src_score"), "gap_from")
     down = nodes.withColumn("gap_to", in_end).join(sites("acceptor", "gap_to"), [*_LOCUS, "gap_to"], "left_semi").select(*_LOCUS, F.col("start").alias("dst_start"), F.col("end").alias("dst_end"), F.col("score").alias("dst_score"), "gap_to")
     gap = F.when(plus, F.col("gap_to") - F.col("gap_from")).otherwise(F.col("gap_from") - F.col("gap_to"))
-    joined = up.join(down.hint("merge"), _LOCUS).where((gap > 0) & (gap <= config.max_intron))
+    bin_of = lambda c: F.floor(sign * F.col(c) / width).cast("long")
+    up = up.withColumn("bin", F.explode(F.array(bin_of("gap_from"), bin_of("gap_from") + 1)))
+    joined = up.join(down.withColumn("bin", bin_of("gap_to")).hint("merge"), [*_LOCUS, "bin"]).where((gap > 0) & (gap <= config.max_intron))
     return joined.select(*_LOCUS, "src_start", "src_end", "dst_start", "dst_end", "src_score", "dst_score", ((F.col("src_score") + F.col("dst_score")) / 2).alias("score"))
 
 
@@ -82,25 +86,26 @@ def sources(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(links.select(*_LOCUS, F.col("dst_start").alias("start"), F.col("dst_end").alias("end")).distinct(), [*_LOCUS, "start", "end"], "left_anti")
 
 
-def paths(nodes: DataFrame, links: DataFrame, config: Config = Config(), max_levels: int = 64) -> DataFrame:
-    """(locus, strand, exons, total, score, rank): beam search from the sources; every prefix is a path, ranked by mean
-    node score, ties by the path.  Scores are compared rounded to 9 places."""
+def paths(nodes: DataFrame, links: DataFrame, config: Config = Config()) -> DataFrame:
+    """(locus, strand, exons, total, score, rank): beam search from the sources until no path grows; every prefix is a path,
+    ranked by mean node score, ties by the path.  Scores are compared rounded to 9 places."""
     exon = lambda s, e, x: F.struct(F.col(s).alias("start"), F.col(e).alias("end"), F.col(x).alias("score"))
     level = sources(nodes, links).select(*_LOCUS, F.array(exon("start", "end", "score")).alias("exons"), F.col("score").alias("total"), F.col("start").alias("src_start"), F.col("end").alias("src_end"))
     steps = links.select(*_LOCUS, "src_start", "src_end", exon("dst_start", "dst_end", "dst_score").alias("next"))
-    level = written(level, "beam")
-    found = [level]
+    spark, base, n = nodes.sparkSession, scratch_path(nodes.sparkSession, "beam"), 0
+
+    def kept(df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{base}/{n}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{n}")
+
+    level = kept(level)
     best = F.row_number().over(W.partitionBy(*_LOCUS).orderBy(F.desc(F.round("total", 9)), "exons"))
-    for _ in range(max_levels):
+    while not level.isEmpty():
+        n += 1
         grown = level.join(steps.hint("merge"), [*_LOCUS, "src_start", "src_end"])
         grown = grown.select(*_LOCUS, F.concat("exons", F.array("next")).alias("exons"), (F.col("total") + F.col("next.score")).alias("total"), F.col("next.start").alias("src_start"), F.col("next.end").alias("src_end"))
-        level = written(grown.withColumn("__r", best).where(F.col("__r") <= config.beam).drop("__r"), "beam")
-        if level.isEmpty():
-            break
-        found.append(level)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
+        level = kept(grown.withColumn("__r", best).where(F.col("__r") <= config.beam).drop("__r"))
+    out = spark.read.schema(level.schema).parquet(*(f"{base}/{k}" for k in range(n + 1)))
     out = out.groupBy(*_LOCUS, "exons").agg(F.max("total").alias("total")).withColumn("score", F.col("total") / F.size("exons"))
     rank = F.row_number().over(W.partitionBy(*_LOCUS).orderBy(F.desc(F.round("score", 9)), "exons"))
     return out.withColumn("rank", rank).where(F.col("rank") <= config.max_paths)
@@ -131,7 +136,7 @@ def path_scores(isoforms: DataFrame, tracks: DataFrame, orf: DataFrame | None =
     out = isoforms.withColumn("five", F.when(plus, first["start"]).otherwise(first["end"])).withColumn("three", F.when(plus, last["end"]).otherwise(last["start"])).join(splice.hint("merge"), key, "left")
     for at, track, name in (("five", "tss", "s_tss"), ("three", "polya", "s_pa")):
         out = out.join(near_peak(tracks, track, config.near_end).select(*_LOCUS, F.col("pos").alias(at), F.col("best").alias(name)).hint("merge"), [*_LOCUS, at], "left")
-    out = out.join(orf, key, "left") if orf is not None else out.withColumn("s_orf", F.lit(0.0))
+    out = out.join(orf.hint("merge"), key, "left") if orf is not None else out.withColumn("s_orf", F.lit(0.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = out.withColumn("s_len", length_prior(F.col("exons")))
     total = config.w_spl * zero("s_spl") + config.w_tss * zero("s_tss") + config.w_pa * zero("s_pa") + config.w_orf * zero("s_orf") + config.w_len * F.col("s_len")
@@ -151,7 +156,7 @@ def orf_from_sequence(transcripts: DataFrame, key: list[str], min_aa: int = 50,
     early = F.coalesce(F.col("stop") < F.col("last_junction") - 55, F.lit(False))
     value = F.lit(0.5) + F.when(F.floor((F.col("stop") - F.col("at")) / 3).between(min_aa, max_aa), 0.3).otherwise(0.0) + F.when(context, kozak).otherwise(0.0) - F.when(early, gamma).otherwise(0.0)
     best = starts.groupBy(*key).agg(F.max(value).alias("best"))
-    return transcripts.select(*key).join(best, key, "left").select(*key, F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)).alias("s_orf"))
+    return transcripts.select(*key).join(best.hint("merge"), key, "left").select(*key, F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)).alias("s_orf"))
 
 
 def orf_from_tracks(isoforms: DataFrame, tracks: DataFrame, top: int = 5, alpha: float = 0.5, beta: float = 0.3, gamma: float = 0.6) -> DataFrame:
@@ -180,16 +185,27 @@ def orf_from_tracks(isoforms: DataFrame, tracks: DataFrame, top: int = 5, alpha:
     early = F.coalesce(F.col("x.tx") < F.col("x.junction") - 55, F.lit(False))
     value = F.when(F.col("x").isNotNull(), alpha * F.col("s_p") + beta * F.col("x.mean_frame") + alpha * F.col("x.stop_p") - F.when(early, gamma).otherwise(0.0)).otherwise(alpha * F.col("s_p") - gamma)
     best = one.groupBy(*key).agg(F.max(value).alias("best"))
-    return isoforms.select(*key).join(best, key, "left").select(*key, F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)).alias("s_orf"))
+    return isoforms.select(*key).join(best.hint("merge"), key, "left").select(*key, F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)).alias("s_orf"))
+
 
+def decode(tracks: DataFrame, config: Config = Config(), sequences: DataFrame | None = None, orf_tracks: bool = False) -> DataFrame:
+    """Isoforms of every locus by path score: peaks, exons, introns, paths, scores.
 
-def decode(tracks: DataFrame, config: Config = Config()) -> DataFrame:
-    """Isoforms of every locus by path score: peaks, exons, introns, paths, scores (ORF term from tracks if there are any)."""
+    The ORF term comes from ``sequences`` (locus, seq, position 0 the track's first base) where given, else from the ORF
+    tracks with ``orf_tracks``, else it is 0."""
     found = written(peaks(tracks, config), "peaks")
     nodes = written(exons(found, config), "exons")
     links = written(edges(nodes, found, config), "introns")
     ranked = written(paths(nodes, links, config), "paths")
-    scored = path_scores(ranked, tracks, None, config)
+    orf = None
+    if sequences is not None:
+        last = F.element_at("exons", -1)
+        junction = F.when(F.size("exons") > 1, exon_length(F.col("exons")) - (last["end"] - last["start"]))
+        spliced = ranked.join(sequences.select("locus", "seq").hint("merge"), "locus").select(*_LOCUS, "rank", spliced_cdna(F.col("exons"), F.col("seq"), F.col("strand")).alias("cdna"), junction.alias("last_junction"))
+        orf = orf_from_sequence(spliced, [*_LOCUS, "rank"])
+    elif orf_tracks:
+        orf = orf_from_tracks(ranked, tracks)
+    scored = path_scores(ranked, tracks, orf, config)
     order = W.partitionBy(*_LOCUS).orderBy(F.desc(F.round("path_score", 9)), "rank")
     return scored.withColumn("iso_rank", F.row_number().over(order))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isoloom.sources.scratch import written
 
 
 def in_transcription_order(exons: Column, strand: Column) -> Column:
@@ -55,7 +56,7 @@ def evaluate(preds: DataFrame, truths: DataFrame, k: int = 5, slop: int = 0) ->
     t = truths.select("example", in_transcription_order(F.col("exons"), F.col("strand")).alias("truth"))
     p = preds.select("example", "rank", in_transcription_order(F.col("exons"), F.col("strand")).alias("pred"))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    rows = t.join(p.where(F.col("rank") <= max(k, 1)), "example", "left").withColumn("pred", F.coalesce("pred", empty)).withColumn("rank", F.coalesce("rank", F.lit(1)))
+    rows = t.join(p.where(F.col("rank") <= max(k, 1)).hint("merge"), "example", "left").withColumn("pred", F.coalesce("pred", empty)).withColumn("rank", F.coalesce("rank", F.lit(1)))
     rows = rows.withColumn("hit", chain_match(F.col("pred"), F.col("truth"), slop))
     best = F.first(F.when(F.col("rank") == 1, F.struct("pred", "truth", "hit")), ignorenulls=True).alias("b")
     one = rows.groupBy("example").agg(best, F.max(F.when(F.col("rank") <= k, F.col("hit"))).alias("topk"))
@@ -108,29 +109,30 @@ def consistency(df: DataFrame, rule: str, learned: str) -> DataFrame:
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: area under the ROC curve, ties halved; null with one class only.
 
-    Labels are counted by score first.  The running count of negatives goes by ``_RANGES`` quantile ranges of the scores:
-    inside each range, and over the ranges' sums, so no task sorts all scores."""
+    Labels are counted by score first and dealt by ranges of scores that Spark draws.  The running count of negatives goes
+    inside each range and over the ranges' sums, so no task sorts all scores."""
     per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    cuts = per.agg(F.percentile_approx("s", [k / _RANGES for k in range(1, _RANGES)], 10_000)).first()[0] or []
-    per = per.withColumn("range", sum(((F.col("s") > c).cast("int") for c in sorted(set(cuts))), F.lit(0)))
+    per = written(per.repartitionByRange("s").withColumn("range", F.spark_partition_id()), "scores")
     before = per.groupBy("range").agg(F.sum("neg").alias("neg_in"), F.sum("pos").alias("pos_in"))
     running = before.withColumn("neg_before", F.coalesce(F.sum("neg_in").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.coalesce(F.sum("neg").over(W.partitionBy("range").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = per.withColumn("inside", inside).join(running.select("range", "neg_before"), "range")
+    rows = per.withColumn("inside", inside).join(F.broadcast(running.select("range", "neg_before")), "range")  # one row a range
     area = F.sum(F.col("pos") * (F.col("neg_before") + F.col("inside") + F.col("neg") / 2))
     total = F.sum("pos") * F.sum("neg")
     return rows.agg(F.when(total > 0, area / total).alias("auroc"))
 
 
-#: Ranges of scores of :func:`auroc`.
-_RANGES = 64
-
-
 def hinge(df: DataFrame, margin: float = 1.0) -> DataFrame:
-    """One row, mean of max(0, margin - (positive - negative)) over the pairs of each locus; ``df`` has locus, score, label."""
-    pos = df.where("label = 1").select("locus", F.col("score").alias("p"))
-    neg = df.where("label = 0").select("locus", F.col("score").alias("n"))
-    pairs = pos.join(neg.hint("merge"), "locus")
-    return pairs.agg(F.coalesce(F.avg(F.greatest(F.lit(0.0), margin - (F.col("p") - F.col("n")))), F.lit(0.0)).alias("mean_hinge"))
+    """One row, mean of max(0, margin - (positive - negative)) over the pairs of each locus; ``df`` has locus, score, label.
+
+    No pair is formed: a positive p meets the negatives above p - margin, whose number and sum run along the scores."""
+    rows = df.where("label IN (0, 1) AND score IS NOT NULL AND locus IS NOT NULL").withColumn("at", F.when(F.col("label") == 1, F.col("score") - margin).otherwise(F.col("score")))
+    above = W.partitionBy("locus").orderBy(F.desc("at"), "label").rowsBetween(W.unboundedPreceding, W.currentRow)
+    negative = F.when(F.col("label") == 0, F.col("score"))
+    rows = rows.withColumn("n", F.count(negative).over(above)).withColumn("sum", F.coalesce(F.sum(negative).over(above), F.lit(0.0)))
+    loss = F.when(F.col("label") == 1, F.col("n") * (margin - F.col("score")) + F.col("sum")).otherwise(0.0)
+    per = rows.groupBy("locus").agg(F.sum(loss).alias("loss"), (F.count_if(F.col("label") == 1) * F.count_if(F.col("label") == 0)).alias("pairs"))
+    total = F.sum("pairs")
+    return per.agg(F.coalesce(F.when(total > 0, F.sum("loss") / total), F.lit(0.0)).alias("mean_hinge"))
 
 

@@ -12,6 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a lookup table that is broadcast.
+LOOKUP_ROWS = 200_000
+
+
+def looked_up(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` joined with a table of one row a key, such as contig lengths: broadcast up to ``LOOKUP_ROWS`` rows, which
+    are counted first, so that a hot chromosome isn't shuffled into one task; merged beyond."""
+    few = table.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
+    return df.join(F.broadcast(table) if few else table.hint("merge"), list(keys))
+
+
 def _div(x: Column, width: int) -> Column:
     """Floor division (``div`` truncates)."""
     return F.floor(x / F.lit(width)).cast("long")

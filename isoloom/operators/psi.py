@@ -42,8 +42,13 @@ def psi_by_join(junctions: DataFrame) -> DataFrame:
     return out
 
 
-def with_gene(junctions: DataFrame, genes: DataFrame, width: int = 4096) -> DataFrame:
-    """``gene_id`` of the gene on the same chromosome and strand that contains the junction, the first by start and id."""
+def with_gene(junctions: DataFrame, genes: DataFrame, width: int | None = None) -> DataFrame:
+    """``gene_id`` of the gene on the same chromosome and strand that contains the junction, the first by start and id.
+
+    Bins are as wide as most genes are long, unless ``width`` is given."""
+    if width is None:
+        long = genes.agg(F.percentile_approx(F.col("end") - F.col("start"), 0.9)).first()[0] or 1
+        width = 1 << max(6, int(long - 1).bit_length())
     spans = junctions.select(*_JUNCTION).distinct().withColumn("__lo", F.least("donor", "acceptor")).withColumn("__hi", F.greatest("donor", "acceptor") + 1)
     found = intervals.contained(spans, genes.select("chrom", "strand", "start", "end", "gene_id"), ["chrom", "strand"], "__lo", "__hi", width=width)
     best = found.groupBy(*_JUNCTION).agg(F.min(F.struct("start", "gene_id")).alias("__g")).select(*_JUNCTION, F.col("__g.gene_id").alias("gene_id"))

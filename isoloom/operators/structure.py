@@ -46,7 +46,7 @@ def binned_tracks(found: DataFrame, contigs: DataFrame, window: int, stride: int
 
     Sites find their tiles by arithmetic, so the only shuffles are by tile."""
     size = contigs.select("chrom", "length")
-    placed = found.join(size.hint("merge"), "chrom").withColumn("start", F.explode(intervals.tiles_of(F.col("pos"), window, stride))).where(F.col("start") + window <= F.col("length"))
+    placed = intervals.looked_up(found, size, ["chrom"]).withColumn("start", F.explode(intervals.tiles_of(F.col("pos"), window, stride))).where(F.col("start") + window <= F.col("length"))
     bin_of = F.floor((F.col("pos") - F.col("start")) / F.lit(bin_size)).cast("int")
     sets = placed.groupBy("chrom", "start").agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, bin_of))).alias(k) for k in KINDS))
     tiles = intervals.tiles(size, window, stride, bin_size).select("chrom", "start", "end")

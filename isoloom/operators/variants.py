@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isoloom.functions import ids, variants
+from isoloom.sources.readers import window_sequences
+from isoloom.sources.scratch import written
 
 from . import intervals
 
@@ -36,7 +38,7 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 def in_windows(df: DataFrame, lengths: DataFrame, window: int, stride: int) -> DataFrame:
     """Each variant with every full tile that holds it: start, end, in_window_idx (1-based) and idx0."""
-    placed = df.join(lengths.select("chrom", "length").hint("merge"), "chrom").withColumn("start", F.explode(intervals.tiles_of(F.col("pos").cast("long") - 1, window, stride)))
+    placed = intervals.looked_up(df, lengths.select("chrom", "length"), ["chrom"]).withColumn("start", F.explode(intervals.tiles_of(F.col("pos").cast("long") - 1, window, stride)))
     placed = placed.where(F.col("start") + window <= F.col("length")).drop("length")
     return placed.withColumn("end", F.col("start") + window).withColumn("in_window_idx", F.col("pos") - F.col("start")).withColumn("idx0", F.col("in_window_idx") - 1)
 
@@ -50,15 +52,17 @@ def channels(placed: DataFrame, window: int) -> DataFrame:
     return placed.groupBy("chrom", "start", "end").agg(hit("SNP").alias("ch_snp"), hit("INS").alias("ch_ins"), dele.alias("ch_del"), F.array_sort(F.collect_set(at)).alias("ch_any"))
 
 
-def _items(placed: DataFrame, *extra: str) -> DataFrame:
-    item = F.struct("span_start", "span_end", "pos", "ref", "alt", "var_type", "spec", *extra)
-    return placed.groupBy("chrom", "start", "end").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-
 def without_conflicts(placed: DataFrame) -> DataFrame:
-    """The variants of each window that greedy acceptance by (span, ref, alt) keeps."""
+    """The variants of each window that greedy acceptance by (span, ref, alt) keeps.
+
+    Of variants that begin at one place only the first can be accepted: if it isn't, none of them is, and if it is, it is
+    in the others' way.  So one for each place is folded, and a window's length bounds the array."""
+    window = ["chrom", "start", "end"]
+    item = F.struct("span_start", "span_end", "pos", "ref", "alt", "var_type", "spec")
+    first = placed.groupBy(*window, "span_start").agg(F.min(item).alias("item"))
+    grouped = first.groupBy(*window).agg(F.array_sort(F.collect_list("item")).alias("items"))
     kept = F.explode(intervals.greedy(F.col("items"), "span_start", "span_end")).alias("v")
-    return _items(placed).select("chrom", "start", "end", kept).select("chrom", "start", "end", "v.*")
+    return grouped.select(*window, kept).select(*window, "v.*")
 
 
 def quotas(counts: Column, most: int) -> Column:
@@ -76,7 +80,8 @@ def balanced(placed: DataFrame, most: int, seed: int) -> DataFrame:
     """At most ``most`` variants of each window, types in their natural shares, none overlapping.
 
     Order within a type is the md5 of seed and spec, so no layout or shuffle seed matters; insertions and deletions
-    take turns first, SNPs fill up.  A window without more than ``most`` variants only loses conflicts."""
+    take turns first, SNPs fill up.  A window without more than ``most`` variants only loses conflicts.  Of the variants of
+    a type with one span only the first in order can be taken, so no more are folded: a window's length bounds the array."""
     luck = F.md5(F.concat(F.lit(f"{seed}:"), "spec").cast("binary"))
     window = W.partitionBy("chrom", "start")
     ranked = placed.withColumn("luck", luck).withColumn("turn", F.row_number().over(W.partitionBy("chrom", "start", "var_type").orderBy("luck", "spec")))
@@ -84,7 +89,8 @@ def balanced(placed: DataFrame, most: int, seed: int) -> DataFrame:
     count = F.struct(*(F.sum((F.col("var_type") == t).cast("long")).over(window).alias(t) for t in TYPES))
     ranked = ranked.withColumn("quota", quotas(count, most))
     item = F.struct("phase", "turn", "after", "span_start", "span_end", "pos", "ref", "alt", "var_type", "spec")
-    grouped = ranked.groupBy("chrom", "start", "end").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("quota").alias("quota"))
+    first = ranked.groupBy("chrom", "start", "end", "quota", "var_type", "span_start", "span_end").agg(F.min(item).alias("item"))
+    grouped = first.groupBy("chrom", "start", "end", "quota").agg(F.array_sort(F.collect_list("item")).alias("items"))
     state = F.struct(F.array().cast("array<struct<s:bigint,e:bigint,i:int>>").alias("kept"), *(F.lit(0).cast("long").alias(t) for t in TYPES))
 
     def step(a: Column, x: Column) -> Column:
@@ -100,18 +106,28 @@ def balanced(placed: DataFrame, most: int, seed: int) -> DataFrame:
     return grouped.select("chrom", "start", "end", F.explode(F.transform(kept, lambda k: F.get(F.col("items"), k["i"]))).alias("v")).select("chrom", "start", "end", "v.pos", "v.ref", "v.alt", "v.var_type", "v.spec", "v.span_start", "v.span_end")
 
 
-def edited_windows(placed: DataFrame, contigs: DataFrame, strict: bool = False) -> DataFrame:
-    """Windows with all their variants applied (seq_alt)."""
+def edited_windows(placed: DataFrame, lengths: DataFrame, chunks: DataFrame, size: int, strict: bool = False) -> DataFrame:
+    """Windows with all their variants applied (seq_alt); sequences come as ``chunks`` of ``size`` bases."""
     item = F.struct("idx0", "ref", "alt", "var_type")
     grouped = placed.groupBy("chrom", "start", "end").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    text = grouped.join(contigs.select("chrom", "seq").hint("merge"), "chrom").withColumn("seq", F.col("seq").substr((F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
+    cut = window_sequences(grouped, lengths, chunks, size)
+    text = grouped.join(cut.hint("merge"), ["chrom", "start", "end"])
     return text.withColumn("seq_alt", variants.apply_many(F.col("seq"), F.col("items"), strict)).drop("items")
 
 
-def reference_mismatches(df: DataFrame, contigs: DataFrame) -> DataFrame:
+def with_bases(df: DataFrame, lengths: DataFrame, chunks: DataFrame, size: int, before: int = 0, after: int = 0) -> DataFrame:
+    """Variants with ``bases``, the reference from ``before`` bases ahead of their position to ``after`` beyond their ref (N
+    beyond the contig), and ``bases_start``, where these begin."""
+    at = df.withColumn("bases_start", F.col("pos").cast("long") - 1 - before).withColumn("bases_end", F.col("pos").cast("long") - 1 + F.length("ref") + after)
+    wanted = at.select("chrom", F.col("bases_start").alias("start"), F.col("bases_end").alias("end"))
+    cut = window_sequences(wanted, lengths, chunks, size).select("chrom", F.col("start").alias("bases_start"), F.col("end").alias("bases_end"), F.col("seq").alias("bases"))
+    return at.join(cut.hint("merge"), ["chrom", "bases_start", "bases_end"]).drop("bases_end")
+
+
+def reference_mismatches(df: DataFrame, lengths: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     """Variants by type, and how many name a reference that isn't there."""
-    joined = df.join(contigs.select("chrom", "seq").hint("merge"), "chrom")
-    wrong = F.col("seq").substr(F.col("pos"), F.length("ref")) != F.col("ref")
+    joined = with_bases(df, lengths, chunks, size)
+    wrong = F.col("bases") != F.col("ref")
     return joined.groupBy("var_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("n_mismatches"))
 
 
@@ -155,8 +171,8 @@ def natural_order(chrom: Column) -> list[Column]:
 def rewindowed(base: DataFrame, window: int, stride: int) -> DataFrame:
     """Variants of abutting base windows (chrom, start, end, pos, ...) in hopping windows that begin at the first base
     window's start and while they begin before the last one's end; conflicts removed in each."""
-    ends = base.groupBy("chrom").agg(F.min("start").alias("first_start"), F.max("end").alias("last_end"))
-    placed = base.drop("start", "end").join(ends.hint("merge"), "chrom")
+    ends = written(base.groupBy("chrom").agg(F.min("start").alias("first_start"), F.max("end").alias("last_end")), "window-ends")
+    placed = intervals.looked_up(base.drop("start", "end"), ends, ["chrom"])
     placed = placed.withColumn("start", F.explode(intervals.tiles_of(F.col("pos").cast("long") - 1, window, stride, F.col("first_start")))).where(F.col("start") < F.col("last_end")).withColumn("end", F.col("start") + window)
     kept = without_conflicts(placed.drop("first_start", "last_end"))
     idx = F.col("pos") - F.col("start")

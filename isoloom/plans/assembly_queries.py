@@ -96,14 +96,18 @@ def g4_length_prior(spark, sf_dir):
     return _paths(spark, sf_dir).select("locus", "rank", assembly.length_prior(F.col("exons")).alias("prior"))
 
 
-def g5_orf_from_tracks(spark, sf_dir):
+def _orf_tracks(spark, sf_dir):
     t = _tracks(spark, sf_dir)
     names = {"donor": "orf_start", "acceptor": "orf_stop", "tss": "orf_frame0", "polya": "orf_frame1"}
     orf = [t.where(F.col("track") == a).withColumn("track", F.lit(b)) for a, b in names.items()] + [t.where("track = 'donor'").withColumn("track", F.lit("orf_frame2")).withColumn("logit", -F.col("logit"))]
     tracks = orf[0]
     for x in orf[1:]:
         tracks = tracks.unionByName(x)
-    return assembly.orf_from_tracks(_paths(spark, sf_dir), tracks).select("locus", "rank", r9("s_orf", "s_orf"))
+    return tracks
+
+
+def g5_orf_from_tracks(spark, sf_dir):
+    return assembly.orf_from_tracks(_paths(spark, sf_dir), _orf_tracks(spark, sf_dir)).select("locus", "rank", r9("s_orf", "s_orf"))
 
 
 def g6_orf_from_sequence(spark, sf_dir):
@@ -120,6 +124,12 @@ def g7_decode(spark, sf_dir):
     return _decoded(spark, sf_dir).select("locus", "rank", "iso_rank", r9("path_score", "path_score"))
 
 
+def g7_decode_with_orf(spark, sf_dir):
+    tracks = _tracks(spark, sf_dir).unionByName(_orf_tracks(spark, sf_dir))
+    d = assembly.decode(tracks, CONFIG, orf_tracks=True)
+    return d.select("locus", "rank", "iso_rank", F.round("path_score", 6).alias("path_score"))
+
+
 def w3_softmax_psi(spark, sf_dir):
     return assembly.with_psi(_decoded(spark, sf_dir)).select("locus", "rank", r9("psi", "psi"))
 
@@ -233,7 +243,7 @@ def w6_first_stop(spark, sf_dir):
 
 _QUERIES = (
     p22_sigmoids, w3_softmax_psi, w4_dominant, w5_peaks, w6_first_stop, w7_near_peak, j8_candidate_exons, j9_introns, j10_source_exons, j13_examples, u5_slop_matches, u6_best_exons, u7_distinct_paths, t3_best_path,
-    t4_topk_recall, g1_graph_sizes, g2_paths, g3_path_scores, g4_length_prior, g5_orf_from_tracks, g6_orf_from_sequence, g7_decode, g8_locus_summary, e1_junctions, e2_chain_match, e3_junction_f1, e4_evaluate_set,
+    t4_topk_recall, g1_graph_sizes, g2_paths, g3_path_scores, g4_length_prior, g5_orf_from_tracks, g6_orf_from_sequence, g7_decode, g7_decode_with_orf, g8_locus_summary, e1_junctions, e2_chain_match, e3_junction_f1, e4_evaluate_set,
     a14_means, a15_masked_losses, a16_psi_divergence, a17_consistency, a18_auroc, a19_hinge,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
@@ -290,8 +300,12 @@ m AS (SELECT d.locus, d.rank, s, s_p, o, tx, tp, junction, avg(fr[o + 1]) OVER (
 w AS (SELECT locus, rank, s, o, any_value(s_p) AS s_p, min(tx) FILTER (tp > 0.5) AS hit, arg_min(tp, tx) FILTER (tp > 0.5) AS stop_p, arg_min(mf, tx) FILTER (tp > 0.5) AS mf, any_value(junction) AS junction FROM m GROUP BY 1, 2, 3, 4),
 z AS (SELECT locus, rank, max(CASE WHEN hit IS NULL THEN 0.5 * s_p - 0.6 ELSE 0.5 * s_p + 0.3 * mf + 0.5 * stop_p - CASE WHEN hit < junction - 55 THEN 0.6 ELSE 0.0 END END) AS best FROM w GROUP BY 1, 2)
 SELECT h.locus, h.rank, round(greatest(coalesce(best, 0.0), 0.0), 9) AS s_orf FROM h LEFT JOIN z ON z.locus = h.locus AND z.rank = h.rank"""
+_WITH_ORF = f"""{_SCORES}, orfs AS (WITH {_ORF[len(_PATHS) + 2 :].replace("round(greatest(coalesce(best, 0.0), 0.0), 9)", "greatest(coalesce(best, 0.0), 0.0)")}),
+summed AS (SELECT r.locus, r.rank, r.path_score + 0.8 * o.s_orf AS path_score FROM r JOIN orfs o ON o.locus = r.locus AND o.rank = r.rank)
+SELECT locus, rank, CAST(row_number() OVER (PARTITION BY locus ORDER BY round(path_score, 9) DESC, rank) AS INTEGER) AS iso_rank, round(path_score, 6) AS path_score FROM summed"""
 
 ORACLES = {
+    "g7_decode_with_orf": oracle(_T, _WITH_ORF),
     "p22_sigmoids": oracle(_T, "SELECT locus, track, pos, round(1 / (1 + exp(-logit)), 9) AS sigmoid, round(ln(1 / (1 + exp(-logit)) + 1e-9), 9) AS log_sigmoid FROM fx_tracks"),
     "w5_peaks": oracle(_T, f"{_PEAKS} SELECT locus, strand, track, pos, round(p, 9) AS p FROM k"),
     "j8_candidate_exons": oracle(_T, f"{_EXONS} SELECT locus, strand, s AS start_pos, e AS end_pos, round(score, 9) AS score FROM n"),

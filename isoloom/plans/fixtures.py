@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 _DIALECT = {
-    "spark": {"letters": "regexp_replace(text, '[^A-Za-z]', '')", "floats": "LATERAL VIEW posexplode(embedding) p AS pos, x", "every37": "explode(sequence(0, 2 * ((n - 10) div 37) + 1))", "at": "p.pos", "logit": "p.x"},
-    "duck": {"letters": "regexp_replace(text, '[^A-Za-z]', '', 'g')", "floats": ", (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos) p", "every37": "unnest(range(0, 2 * ((n - 10) // 37) + 2))", "at": "p.pos", "logit": "p.x"},
+    "spark": {"letters": "regexp_replace(text, '[^A-Za-z]', '')", "floats": "LATERAL VIEW posexplode(embedding) p AS pos, x", "each": "LATERAL VIEW explode(transform(sequence(0, 2 * ((n - 10) div 37) + 1), k -> {item})) u AS x", "item": "struct(k, {pos} AS pos, substr(seq, {pos}, CASE WHEN {pos} % 10 < 8 THEN 1 ELSE 3 END) AS good)", "at": "p.pos", "logit": "p.x"},
+    "duck": {"letters": "regexp_replace(text, '[^A-Za-z]', '', 'g')", "floats": ", (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos) p", "each": ", (SELECT unnest(list_transform(range(0, 2 * ((n - 10) // 37) + 2), lambda k: {item})) AS x) u", "item": "{{'k': k, 'pos': {pos}, 'good': substr(seq, {pos}, CASE WHEN {pos} % 10 < 8 THEN 1 ELSE 3 END)}}", "at": "p.pos", "logit": "p.x"},
 }
 
 #: name: (tables and views it reads, SELECT)
@@ -33,6 +33,14 @@ FROM part""",
        translate(upper(bare), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTNACGTACGTACGTA') AS seq
 FROM (SELECT doc_id, {letters} AS bare FROM documents) d""",
     ),
+    "fx_far_junctions": (
+        ("fx_junctions",),
+        """SELECT sample_id, chrom, strand, donor + 20000 * (donor % 25) AS donor, acceptor + 20000 * (donor % 25) AS acceptor, count FROM fx_junctions""",
+    ),
+    "fx_far_genes": (
+        ("fx_genes",),
+        """SELECT gene_id, chrom, strand, start_pos + 20000 * (CAST(gene_id AS BIGINT) % 25) AS start_pos, end_pos + 20000 * (CAST(gene_id AS BIGINT) % 25) AS end_pos FROM fx_genes""",
+    ),
     "fx_exons": (
         ("lineitem", "orders"),
         """SELECT tx, gene_id, chrom, strand, rank, rank * 1000 + l_partkey % 300 AS start_pos, rank * 1000 + l_partkey % 300 + 60 + 3 * CAST(floor(l_quantity) AS BIGINT) AS end_pos
@@ -51,9 +59,8 @@ WHERE e.start_pos < c.hi AND e.end_pos > c.lo""",
         ("fx_contigs",),
         """SELECT chrom, contig_no, pos, CASE WHEN k % 10 = 3 THEN translate(good, 'ACGTN', 'CGTAA') ELSE good END AS ref,
        CASE WHEN pos % 10 < 6 THEN translate(good, 'ACGTN', 'TACGC') WHEN pos % 10 < 8 THEN concat(good, 'AC') ELSE substr(good, 1, 1) END AS alt
-FROM (SELECT chrom, contig_no, k, pos, substr(seq, pos, CASE WHEN pos % 10 < 8 THEN 1 ELSE 3 END) AS good
-      FROM (SELECT chrom, contig_no, seq, CAST(k AS BIGINT) AS k, CAST(5 + 37 * floor(k / 2) + (k % 2) * (1 + floor(k / 2) % 3) AS INT) AS pos
-            FROM (SELECT chrom, contig_no, seq, {every37} AS k FROM (SELECT chrom, contig_no, seq, length AS n FROM fx_contigs WHERE length >= 10) a) b) c) d""",
+FROM (SELECT chrom, contig_no, CAST(x.k AS BIGINT) AS k, x.pos AS pos, x.good AS good
+      FROM (SELECT chrom, contig_no, seq, length AS n FROM fx_contigs WHERE length >= 10) a {each}) d""",
     ),
     "fx_tracks": (
         ("embeddings",),
@@ -68,6 +75,10 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     ),
 }
 
+_POS = "CAST(5 + 37 * floor(k / 2) + (k % 2) * (1 + floor(k / 2) % 3) AS INT)"
+for _words in _DIALECT.values():
+    _words["each"] = _words["each"].format(item=_words.pop("item").format(pos=_POS))
+
 
 def _order(names: tuple[str, ...]) -> list[str]:
     out: list[str] = []

@@ -24,6 +24,15 @@ def s1_fasta(spark, sf_dir):
     return f.select("chrom", "length", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
 
 
+def s1_fasta_chunks(spark, sf_dir):
+    """The same text read in chunks: no row holds a contig."""
+    path = scratch_path(spark, "fasta")
+    c = view(spark, sf_dir, "fx_contigs")
+    c.select(F.concat(F.lit(">chr"), "chrom", F.lit(" doc\n"), F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n"))).write.text(path)
+    f = readers.read_fasta_chunks(spark, path, CHUNK, only_chr=True)
+    return f.select("chrom", "chunk_id", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
 def m1_window_sequences(spark, sf_dir):
     c = view(spark, sf_dir, "fx_contigs").select("chrom", F.col("length").cast("long").alias("length"), "seq")
     w = c.select("chrom", F.explode(F.array(F.lit(-50).cast("long"), (F.col("length") / 2).cast("long"), F.col("length") - 30)).alias("start")).withColumn("end", F.col("start") + WINDOW)
@@ -37,7 +46,8 @@ def _gtf(spark, sf_dir):
     attrs = F.concat(F.lit('gene_id "'), "gene_id", F.lit('"; transcript_id "'), F.col("tx").cast("string"), F.lit('"; exon_number '), F.col("rank").cast("string"), F.lit(";"))
     line = F.concat_ws("\t", "chrom", F.lit("t"), F.when(F.col("rank") % 4 == 0, "CDS").otherwise("exon"), (F.col("start") + 1).cast("string"), F.col("end").cast("string"), F.lit("."), "strand", F.lit("."), attrs)
     bad = spark.range(1).select(F.explode(F.array(F.lit("# comment"), F.lit("chr1\tt\texon"), F.lit("chr1\tt\texon\tx\t9\t.\t+\t.\ta \"b\";"))))
-    e.select(line.alias("value")).union(bad).write.text(path)
+    short = F.concat_ws("\t", "chrom", F.lit("t"), F.lit("exon"), F.col("tx").cast("string"))  # fields are missing
+    e.select(line.alias("value")).union(bad).union(e.where("rank = 1 AND tx % 11 = 0").select(short)).write.text(path)
     return path
 
 
@@ -126,7 +136,8 @@ def k2_by_sample(spark, sf_dir):
 def k3_by_chromosome(spark, sf_dir):
     path = scratch_path(spark, "chroms")
     sinks.write_by(view(spark, sf_dir, "fx_junctions"), path, "chrom")
-    return spark.read.parquet(path).where("chrom = 'N'").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("reads"))
+    back = spark.read.parquet(path).withColumn("folder", F.regexp_extract(F.input_file_name(), "chrom=([^/]*)/", 1))
+    return back.groupBy("chrom", "folder").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("reads"))
 
 
 def k4_metadata(spark, sf_dir):
@@ -142,9 +153,9 @@ def k5_guarded(spark, sf_dir):
     return spark.read.parquet(path).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _arrivals(spark, sf_dir):
+def _arrivals(spark, sf_dir, some="true"):
     """Events as variants on a time axis in seconds, with the base window that each belongs to."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(some)
     pos = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2023-12-31 00:00:00', ts)") + 1
     k = F.col("event_id") % 3
     ref, alt = F.when(k == 2, "ACG").otherwise("A"), F.when(k == 0, "C").when(k == 1, "AT").otherwise("A")
@@ -153,10 +164,16 @@ def _arrivals(spark, sf_dir):
     return v.select("chrom", start.alias("start"), (start + BASE).alias("end"), "pos", "ref", "alt")
 
 
-def _shards(spark, sf_dir, n=4):
-    """Shards in order of arrival: each brings a stretch of base windows, the last one ends all chromosomes."""
+#: Rows of a shard of arrivals, and of the events which ones come late.
+SHARD_ROWS, LATE = 200_000, 97
+
+
+def _shards(spark, sf_dir, late=False):
+    """Shards in order of arrival: each brings a stretch of base windows, the last one ends all chromosomes.  With ``late``
+    one more follows, of variants in windows that are long complete."""
     v = _arrivals(spark, sf_dir)
-    last = v.agg(F.max("start")).first()[0] or 0
+    last, n = v.agg(F.max("start"), F.count(F.lit(1))).first()
+    last, n = last or 0, max(4, -(-n // SHARD_ROWS))
     path = scratch_path(spark, "arrivals")
     marks = v.select("chrom", "start", "end").distinct().select("*", F.lit(None).cast("long").alias("pos"), F.lit("A").alias("ref"), F.lit("A").alias("alt"), F.lit("mark").alias("kind"))
     rows = v.withColumn("kind", F.lit("variant")).unionByName(marks)
@@ -166,7 +183,13 @@ def _shards(spark, sf_dir, n=4):
             ends = v.select("chrom").distinct().select("chrom", F.lit(last).cast("long").alias("start"), F.lit(last + BASE).cast("long").alias("end"), F.lit(None).cast("long").alias("pos"), F.lit("A").alias("ref"), F.lit("A").alias("alt"), F.lit("end").alias("kind"))
             part = part.unionByName(ends)
         part.coalesce(1).write.mode("append").parquet(path)  # one file a shard: the unit of arrival
-    return path, last
+    if late:
+        _late(spark, sf_dir).withColumn("kind", F.lit("variant")).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _late(spark, sf_dir):
+    return _arrivals(spark, sf_dir, f"event_id % {LATE} = 0").withColumn("ref", F.lit("A")).withColumn("alt", F.lit("T"))
 
 
 def _run(spark, stream, mode="append"):
@@ -182,17 +205,17 @@ def _run(spark, stream, mode="append"):
 
 
 def x5_streamed_windows(spark, sf_dir):
-    """Keyed buffers, completion, end of key and eviction (X5 to X8) over shards that arrive one by one (S8)."""
+    """Keyed buffers, completion, end of key, late rows and eviction (X5 to X8) over shards that arrive one by one (S8)."""
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
     try:
-        path, last = _shards(spark, sf_dir)
-        stream = rewindow.rewindowed(readers.stream_shards(spark, path, rewindow.INPUT), HOURS, HOP, last + BASE)
+        path = _shards(spark, sf_dir, late=True)
+        stream = rewindow.rewindowed(readers.stream_shards(spark, path, rewindow.INPUT), HOURS, HOP)
         out = _run(spark, stream)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return out.select("chrom", F.col("start").alias("start_pos"), "pos", "ref", "alt", "in_window_idx", "late")
+    return out.select("chrom", F.col("start").alias("start_pos"), "pos", "ref", "alt", "in_window_idx", "late").distinct()  # a late row may come for two blocks
 
 
 def x2_batch_windows(spark, sf_dir):
@@ -203,17 +226,17 @@ def x2_batch_windows(spark, sf_dir):
 
 
 def x9_stream_dedup(spark, sf_dir):
-    path, _ = _shards(spark, sf_dir)
+    path = _shards(spark, sf_dir)
     return _run(spark, rewindow.without_duplicates(readers.stream_shards(spark, path, rewindow.INPUT))).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
 
 
 def x10_stream_counts(spark, sf_dir):
-    path, _ = _shards(spark, sf_dir)
+    path = _shards(spark, sf_dir)
     return _run(spark, rewindow.type_counts(readers.stream_shards(spark, path, rewindow.INPUT)), "complete")
 
 
 _QUERIES = (
-    s1_fasta, s2_gtf, s3_vcf, s4_gct, s5_junction_tables, s6_shards, s7_sequences, m1_window_sequences, p2_attributes, f7_rejected_lines, k1_sharded, k2_by_sample, k3_by_chromosome, k4_metadata, k5_guarded,
+    s1_fasta, s1_fasta_chunks, s2_gtf, s3_vcf, s4_gct, s5_junction_tables, s6_shards, s7_sequences, m1_window_sequences, p2_attributes, f7_rejected_lines, k1_sharded, k2_by_sample, k3_by_chromosome, k4_metadata, k5_guarded,
     x5_streamed_windows, x2_batch_windows, x9_stream_dedup, x10_stream_counts,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
@@ -228,13 +251,14 @@ SELECT chrom, start_pos, pos, ref, alt, pos - start_pos AS in_window_idx, false
 _J = ["fx_junctions"]
 ORACLES = {
     "s1_fasta": oracle(["fx_contigs"], "SELECT 'chr' || chrom AS chrom, CAST(length AS BIGINT) AS length, md5(seq) AS seq_md5 FROM fx_contigs"),
+    "s1_fasta_chunks": oracle(["fx_contigs"], f"c AS (SELECT chrom, seq, unnest(range(0, CAST(ceil(length / {CHUNK}) AS BIGINT))) AS chunk_id FROM fx_contigs) SELECT 'chr' || chrom AS chrom, chunk_id, md5(substr(seq, CAST(chunk_id * {CHUNK} + 1 AS BIGINT), {CHUNK})) AS chunk_md5 FROM c"),
     "m1_window_sequences": oracle(
         ["fx_contigs"],
         f"a AS (SELECT DISTINCT chrom, seq, CAST(length AS BIGINT) AS length, CAST(unnest([-50, length // 2, length - 30]) AS BIGINT) AS s FROM fx_contigs) SELECT chrom, s AS start_pos, s + {WINDOW} AS end_pos, repeat('N', greatest(0, least(s + {WINDOW}, 0) - s)) || substr(seq, greatest(s, 0) + 1, greatest(0, least(s + {WINDOW}, length) - greatest(s, 0))) || repeat('N', greatest(0, s + {WINDOW} - greatest(length, s, 0))) AS seq FROM a",
     ),
     "s2_gtf": oracle(["fx_exons"], "SELECT chrom, start_pos, end_pos, strand, tx::STRING AS tx FROM fx_exons WHERE rank % 4 <> 0 AND chrom IN ('chr1', 'chr2')"),
     "p2_attributes": oracle(["fx_exons"], "SELECT gene_id, max(rank::STRING) AS last_number, CAST(3 * count(*) AS BIGINT) AS n FROM fx_exons GROUP BY 1"),
-    "f7_rejected_lines": "SELECT 'chr1' || chr(9) || 't' || chr(9) || 'exon' AS value",
+    "f7_rejected_lines": oracle(["fx_exons"], "SELECT 'chr1' || chr(9) || 't' || chr(9) || 'exon' AS value UNION ALL SELECT chrom || chr(9) || 't' || chr(9) || 'exon' || chr(9) || tx FROM fx_exons WHERE rank = 1 AND tx % 11 = 0"),
     "s3_vcf": oracle(
         ["fx_variants"],
         "v AS (SELECT chrom, pos, CASE WHEN pos % 3 <> 0 THEN (pos % 100)::DOUBLE END AS q, alt FROM fx_variants UNION ALL SELECT chrom, pos, CASE WHEN pos % 3 <> 0 THEN (pos % 100)::DOUBLE END, alt || 'T' FROM fx_variants WHERE pos % 5 = 0) SELECT chrom, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos, sum(q) AS sum_qual, CAST(0 AS BIGINT) AS n_ids, CAST(2 AS INTEGER) AS n_samples, max(alt) AS last_alt FROM v GROUP BY 1",
@@ -248,10 +272,10 @@ ORACLES = {
     "s7_sequences": oracle(["fx_contigs"], "SELECT CASE WHEN contig_no % 4 = 2 THEN '-' ELSE '+' END AS strand, count(*) AS n, sum(contig_no)::DOUBLE AS labels, CAST(sum(length) AS BIGINT) AS bases FROM fx_contigs WHERE contig_no % 4 IN (2, 3) GROUP BY 1"),
     "k1_sharded": oracle(_J, "SELECT count(*) AS n, true AS all_within FROM fx_junctions"),
     "k2_by_sample": oracle(_J, "SELECT 'S_' || (sample_id::BIGINT % 20) AS sample_id, count(*) AS n FROM fx_junctions GROUP BY 1"),
-    "k3_by_chromosome": oracle(_J, "SELECT count(*) AS n, CAST(sum(count) AS BIGINT) AS reads FROM fx_junctions WHERE chrom = 'N'"),
+    "k3_by_chromosome": oracle(_J, "SELECT chrom, chrom AS folder, count(*) AS n, CAST(sum(count) AS BIGINT) AS reads FROM fx_junctions GROUP BY 1"),
     "k4_metadata": oracle(_J, "SELECT count(*) AS rows, CAST(6 AS INTEGER) AS n_columns, 'lineitem' AS input FROM fx_junctions"),
     "k5_guarded": oracle(_J, "SELECT chrom, count(*) AS n FROM fx_junctions WHERE chrom = 'A' GROUP BY 1"),
-    "x5_streamed_windows": oracle([], _WIN),
+    "x5_streamed_windows": oracle([], f"{_WIN} UNION ALL SELECT DISTINCT event_type, CAST(NULL AS BIGINT), CAST(date_diff('second', TIMESTAMP '2023-12-31 00:00:00', ts) + 1 AS BIGINT), 'A', 'T', CAST(NULL AS BIGINT), true FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL AND event_id % {LATE} = 0"),
     "x2_batch_windows": oracle([], _WIN),
     "x9_stream_dedup": oracle([], f"{_EV} SELECT chrom, count(*) AS n FROM v GROUP BY 1"),
     "x10_stream_counts": "SELECT CASE event_id % 3 WHEN 0 THEN 'SNP' WHEN 1 THEN 'INS' ELSE 'DEL' END AS var_type, count(*) AS n FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1",

@@ -22,7 +22,8 @@ def _psi(spark, sf_dir, least_total=20):
 
 
 def _annotated(spark, sf_dir):
-    return psi.with_gene(_psi(spark, sf_dir), view(spark, sf_dir, "fx_genes"))
+    j = psi.psi(psi.min_count(view(spark, sf_dir, "fx_far_junctions"), 5), 20)
+    return psi.with_gene(j, view(spark, sf_dir, "fx_far_genes"))
 
 
 def r9(name):
@@ -81,7 +82,7 @@ def j1_totals_by_join(spark, sf_dir):
 
 
 def j2_gene_of_junction(spark, sf_dir):
-    return psi.with_gene(_junctions(spark, sf_dir), view(spark, sf_dir, "fx_genes"), width=256).select("sample_id", "chrom", "strand", "donor", "acceptor", "gene_id")
+    return psi.with_gene(view(spark, sf_dir, "fx_far_junctions"), view(spark, sf_dir, "fx_far_genes")).select("sample_id", "chrom", "strand", "donor", "acceptor", "gene_id")
 
 
 def _summary(spark, sf_dir, least):
@@ -154,7 +155,8 @@ _J = ["fx_junctions"]
 _T = "CAST(sum(count) OVER (PARTITION BY sample_id, chrom, strand, {0}) AS BIGINT) AS {0}_total"
 _PSI = f"""t AS (SELECT *, {_T.format("donor")}, {_T.format("acceptor")} FROM fx_junctions WHERE count >= 5),
 p AS (SELECT *, CASE WHEN donor_total >= {{0}} THEN count / donor_total END AS psi_donor, CASE WHEN acceptor_total >= {{0}} THEN count / acceptor_total END AS psi_acceptor FROM t)"""
-_GENE = """n AS (SELECT p.*, (SELECT min_by(gene_id, (start_pos, gene_id)) FROM fx_genes g WHERE g.chrom = p.chrom AND g.strand = p.strand AND start_pos <= least(donor, acceptor) AND greatest(donor, acceptor) + 1 <= end_pos) AS gene_id FROM p)"""
+_FAR, _FAR_PSI = ["fx_far_junctions", "fx_far_genes"], _PSI.format(20).replace("fx_junctions", "fx_far_junctions")
+_GENE = """n AS (SELECT p.*, (SELECT min_by(gene_id, (start_pos, gene_id)) FROM fx_far_genes g WHERE g.chrom = p.chrom AND g.strand = p.strand AND start_pos <= least(donor, acceptor) AND greatest(donor, acceptor) + 1 <= end_pos) AS gene_id FROM p)"""
 _SUMMARY = """SELECT gene_id, count(DISTINCT sample_id) AS n_samples_covered, count(*) AS n_junctions, round(avg(psi_donor), 9) AS mean_psi_donor, round(quantile_cont(psi_donor, 0.5), 9) AS median_psi_donor,
        round(avg(psi_acceptor), 9) AS mean_psi_acceptor, round(quantile_cont(psi_acceptor, 0.5), 9) AS median_psi_acceptor
 FROM n WHERE gene_id IS NOT NULL GROUP BY gene_id"""
@@ -170,11 +172,11 @@ ORACLES = {
     "f3_min_count": oracle(_J, f"SELECT {_SITES}, count AS reads FROM fx_junctions WHERE count >= 10"),
     "f4_covered": oracle(_J, f"SELECT {_SITES}, count AS reads FROM fx_junctions QUALIFY count(*) FILTER (count >= 10) OVER (PARTITION BY chrom, donor, acceptor, strand) >= 2"),
     "f5_psi_gated": oracle(_J, f"{_PSI.format(30)} SELECT {_SITES}, round(psi_donor, 9) AS psi_donor, round(psi_acceptor, 9) AS psi_acceptor FROM p"),
-    "f6_min_samples": oracle([*_J, "fx_genes"], f"{_PSI.format(20)}, {_GENE} {_SUMMARY} HAVING count(DISTINCT sample_id) >= 20"),
+    "f6_min_samples": oracle(_FAR, f"{_FAR_PSI}, {_GENE} {_SUMMARY} HAVING count(DISTINCT sample_id) >= 20"),
     "f9_smoke": oracle(_J, "SELECT sample_id, count(*) AS n FROM fx_junctions WHERE sample_id IN (SELECT DISTINCT sample_id FROM fx_junctions ORDER BY 1 LIMIT 3) GROUP BY 1"),
     "a1_psi_totals": oracle(_J, f"{_PSI.format(0)} SELECT {_SITES}, donor_total, acceptor_total, round(psi_donor, 9) AS psi_donor, round(psi_acceptor, 9) AS psi_acceptor FROM p"),
-    "a2_gene_psi_summary": oracle([*_J, "fx_genes"], f"{_PSI.format(20)}, {_GENE} {_SUMMARY}"),
-    "a3_roll_up": oracle([*_J, "fx_genes"], f"{_PSI.format(20)}, {_GENE} SELECT chrom, donor, acceptor, strand, gene_id, CAST(sum(count) AS BIGINT) AS reads, round(avg(psi_donor), 9) AS psi_donor, round(avg(psi_acceptor), 9) AS psi_acceptor FROM n WHERE gene_id IS NOT NULL GROUP BY 1, 2, 3, 4, 5"),
+    "a2_gene_psi_summary": oracle(_FAR, f"{_FAR_PSI}, {_GENE} {_SUMMARY}"),
+    "a3_roll_up": oracle(_FAR, f"{_FAR_PSI}, {_GENE} SELECT chrom, donor, acceptor, strand, gene_id, CAST(sum(count) AS BIGINT) AS reads, round(avg(psi_donor), 9) AS psi_donor, round(avg(psi_acceptor), 9) AS psi_acceptor FROM n WHERE gene_id IS NOT NULL GROUP BY 1, 2, 3, 4, 5"),
     "a4_window_metrics": oracle(
         _J,
         f"""{_PSI.format(20)}, w AS (SELECT *, acceptor - donor AS jl, s * {STRIDE} AS start_pos FROM p, range(0, 20) r(s) WHERE s * {STRIDE} <= floor((donor + acceptor) / 2) AND floor((donor + acceptor) / 2) < s * {STRIDE} + {WINDOW})
@@ -188,7 +190,7 @@ FROM w GROUP BY 1, 2, 3""",
         "q AS (SELECT count(*) FILTER (count >= 20) AS n FROM fx_junctions WHERE chrom = 'R' GROUP BY donor, acceptor, strand) SELECT CAST(t AS INTEGER) AS threshold, count(*) FILTER (n >= t) AS n_junctions, round(100.0 * count(*) FILTER (n >= t) / count(*), 9) AS percent FROM q, (VALUES (1), (5), (10), (20)) v(t) GROUP BY t",
     ),
     "j1_totals_by_join": oracle(_J, f"SELECT {_SITES}, {_T.format('donor')}, {_T.format('acceptor')} FROM fx_junctions"),
-    "j2_gene_of_junction": oracle([*_J, "fx_genes"], f"p AS (SELECT * FROM fx_junctions), {_GENE} SELECT {_SITES}, gene_id FROM n"),
+    "j2_gene_of_junction": oracle(_FAR, f"p AS (SELECT * FROM fx_far_junctions), {_GENE} SELECT {_SITES}, gene_id FROM n"),
     "j3_midpoint_in_window": oracle(
         [*_J, "fx_genes"],
         "j AS (SELECT DISTINCT chrom, strand, donor, acceptor, CAST(floor((donor + acceptor) / 2) AS BIGINT) AS midpoint FROM fx_junctions) SELECT gene_id, count(*) AS n_junctions, CAST(sum(midpoint) AS BIGINT) AS sum_midpoints FROM j JOIN fx_genes g ON j.chrom = g.chrom AND j.strand = g.strand AND start_pos <= midpoint AND midpoint < end_pos GROUP BY gene_id",

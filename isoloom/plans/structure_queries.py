@@ -162,7 +162,8 @@ def p14_fitted(spark, sf_dir):
 
 def p23_spliced_cdna(spark, sf_dir):
     c = view(spark, sf_dir, "fx_contigs").where("length >= 60")
-    exons = F.array(*(F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for a, b in ((5, 20), (30, 42), (50, 57))))
+    third = (F.col("length") / 3).cast("long")  # three exons over the whole contig
+    exons = F.array(*(F.struct((F.lit(a) + k * third).cast("long").alias("start"), e.cast("long").alias("end")) for k, (a, e) in enumerate(((5, third), (10, 2 * third), (7, F.col("length"))))))
     strand = F.when(F.col("contig_no") % 2 == 0, "+").otherwise("-")
     return c.select("chrom", sequence.spliced_cdna(exons, F.col("seq"), strand).alias("cdna"))
 
@@ -256,7 +257,7 @@ SELECT chrom, start_pos, {", ".join(f"coalesce(string_agg(b::STRING, ',' ORDER B
     ),
     "p13_crops": oracle(_C, "SELECT chrom, CASE WHEN length > 100 THEN substr(seq, CAST(('0x' || substr(md5('7:' || chrom), 1, 8))::BIGINT % (length - 99) + 1 AS BIGINT), 100) ELSE seq END AS piece FROM fx_contigs"),
     "p14_fitted": "SELECT vec_id, CAST(32 AS INTEGER) AS n, round(list_sum(CAST(embedding[1:least(32, 1 + vec_id % 64)] AS DOUBLE[])), 9) AS total FROM embeddings",
-    "p23_spliced_cdna": oracle(_C, "c AS (SELECT chrom, contig_no, substr(seq, 6, 15) || substr(seq, 31, 12) || substr(seq, 51, 7) AS m FROM fx_contigs WHERE length >= 60) SELECT chrom, CASE WHEN contig_no % 2 = 0 THEN m ELSE reverse(translate(m, 'ACGTN', 'TGCAN')) END AS cdna FROM c"),
+    "p23_spliced_cdna": oracle(_C, "c AS (SELECT chrom, contig_no, substr(seq, 6, length // 3 - 5) || substr(seq, length // 3 + 11, length // 3 - 10) || substr(seq, length // 3 * 2 + 8) AS m FROM fx_contigs WHERE length >= 60) SELECT chrom, CASE WHEN contig_no % 2 = 0 THEN m ELSE reverse(translate(m, 'ACGTN', 'TGCAN')) END AS cdna FROM c"),
     "p24_stop_gain": oracle(
         _C,
         f"g(codon, off, base) AS (VALUES {_GAIN}), k AS (SELECT chrom, seq, unnest(range(0, length // 3)) * 3 AS a FROM fx_contigs), h AS (SELECT k.chrom, chrom || ':' || (a + off + 1) || substr(codon, off + 1, 1) || '>' || base AS spec FROM k JOIN g ON substr(seq, a + 1, 3) = codon) SELECT chrom, count(*) AS n, min(spec) AS first_spec, max(spec) AS last_spec FROM h GROUP BY 1",

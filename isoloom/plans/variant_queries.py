@@ -8,8 +8,11 @@ from isoloom.functions import ids
 from isoloom.functions import variants as fv
 from isoloom.operators import intervals, psi, variants
 from isoloom.plans.fixtures import oracle, positions, view
+from isoloom.sources import readers
 
 WINDOW, STRIDE, MOST, SEED = 512, 256, 12, 17
+#: Bases of a chunk of a sequence.
+CHUNK = 4096
 
 
 def _v(spark, sf_dir):
@@ -20,6 +23,12 @@ def _contigs(spark, sf_dir):
     return view(spark, sf_dir, "fx_contigs")
 
 
+def _sequence(spark, sf_dir):
+    """Lengths, chunks and the size of a chunk."""
+    c = _contigs(spark, sf_dir)
+    return c.select("chrom", "length"), readers.sequence_chunks(c, CHUNK), CHUNK
+
+
 def _placed(spark, sf_dir, stride=STRIDE):
     return variants.in_windows(_v(spark, sf_dir), _contigs(spark, sf_dir), WINDOW, stride)
 
@@ -54,7 +63,7 @@ def j4_in_windows(spark, sf_dir):
 
 
 def f8_inside_sequence(spark, sf_dir):
-    v = _v(spark, sf_dir).join(_contigs(spark, sf_dir).select("chrom", "length"), "chrom")
+    v = intervals.looked_up(_v(spark, sf_dir), _contigs(spark, sf_dir).select("chrom", "length"), ["chrom"])
     return v.where(F.col("pos").between(1, F.col("length") - 10)).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -86,23 +95,25 @@ def p17_spec_channels(spark, sf_dir):
 
 
 def p18_apply_spec(spark, sf_dir):
-    r = _spec_rows(spark, sf_dir).join(_contigs(spark, sf_dir).select("chrom", "seq"), "chrom").withColumn("seq", F.col("seq").substr((F.col("start") + 1).cast("int"), F.lit(WINDOW)))
+    rows = _spec_rows(spark, sf_dir)
+    cut = readers.window_sequences(rows, *_sequence(spark, sf_dir))
+    r = rows.join(cut.hint("merge"), ["chrom", "start", "end"])
     return r.select("spec", F.col("start").alias("start_pos"), F.md5(fv.apply_spec(F.col("seq"), F.col("idx0"), F.col("span"), F.col("ref"), F.col("alt"), F.col("kind")).cast("binary")).alias("seq_alt_md5"))
 
 
 def p19_apply_many(spark, sf_dir):
-    e = variants.edited_windows(_placed(spark, sf_dir), _contigs(spark, sf_dir))
+    e = variants.edited_windows(_placed(spark, sf_dir), *_sequence(spark, sf_dir))
     return e.select("chrom", F.col("start").alias("start_pos"), "seq_alt")
 
 
 def p20_rescue(spark, sf_dir):
-    v = _v(spark, sf_dir).where("var_type = 'INS'").join(_contigs(spark, sf_dir).select("chrom", "seq"), "chrom")
-    r = v.select("spec", fv.rescue(F.col("seq"), F.lit(0).cast("long"), F.col("pos"), F.col("ref"), F.col("alt")).alias("r"))
+    v = variants.with_bases(_v(spark, sf_dir).where("var_type = 'INS'"), *_sequence(spark, sf_dir), before=1, after=1)
+    r = v.select("spec", fv.rescue(F.col("bases"), F.col("bases_start"), F.col("pos"), F.col("ref"), F.col("alt")).alias("r"))
     return r.select("spec", "r.pos", "r.ref", "r.alt")
 
 
 def p21_mismatches(spark, sf_dir):
-    return variants.reference_mismatches(_v(spark, sf_dir), _contigs(spark, sf_dir))
+    return variants.reference_mismatches(_v(spark, sf_dir), *_sequence(spark, sf_dir))
 
 
 def x3_without_conflicts(spark, sf_dir):

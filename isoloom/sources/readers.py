@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isoloom.functions import ids
 from isoloom.schema import SEQUENCE_SAMPLE, require_columns
 
+#: Contigs whose lengths are broadcast.
+LENGTHS_ROWS = 200_000
 _JUNCTION_COLUMNS = ("sample_id", "chrom", "donor", "acceptor", "strand", "count")
 
 
@@ -24,16 +27,44 @@ def read_fasta(spark: SparkSession, path: str, only_chr: bool = False) -> DataFr
 
 def sequence_chunks(contigs: DataFrame, size: int) -> DataFrame:
     """(chrom, chunk_id, chunk_start, chunk): contigs cut up, so that no later row holds a whole chromosome."""
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(size).cast("long")))
-    cut = contigs.withColumn("chunk_start", at)
-    return cut.select("chrom", (F.col("chunk_start") / size).cast("long").alias("chunk_id"), "chunk_start", F.col("seq").substr((F.col("chunk_start") + 1).cast("int"), F.lit(size)).alias("chunk"))
+    pieces = F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("chunk_id", "chunk")
+    return contigs.select("chrom", pieces).select("chrom", F.col("chunk_id").cast("long").alias("chunk_id"), (F.col("chunk_id").cast("long") * size).alias("chunk_start"), "chunk")
+
+
+def read_fasta_chunks(spark: SparkSession, path: str, size: int, only_chr: bool = False) -> DataFrame:
+    """(chrom, chunk_id, chunk_start, chunk) of FASTA text, whatever the length of a record: no row or task holds one.
+
+    Lines are placed by file and block of the file; each block's last header and the bases after it are known from a
+    small table of blocks, and so each line's contig and offset."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    head = F.when(F.col("value").startswith(">"), F.split(F.trim(F.substring("value", 2, 1 << 20)), r"\s")[0])
+    lines = lines.withColumn("head", head).withColumn("bases", F.when(head.isNull(), F.upper(F.regexp_replace("value", r"\s", ""))).otherwise(F.lit(""))).drop("value")
+    here = W.partitionBy("file", "block").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
+    lines = lines.withColumn("seen", F.sum(F.length("bases").cast("long")).over(here)).withColumn("name", F.last("head", ignorenulls=True).over(here)).withColumn("base", F.last(F.when(F.col("head").isNotNull(), F.col("seen")), ignorenulls=True).over(here))
+    last = F.max_by(F.struct("name", (F.col("seen") - F.coalesce("base", F.lit(0))).alias("tail")), "line")
+    blocks = lines.groupBy("file", "block").agg(last.alias("x")).select("file", "block", "x.name", "x.tail")  # a row a block
+    along = W.partitionBy("file").orderBy("block")
+    blocks = blocks.withColumn("record", F.count("name").over(along)).withColumn("so_far", F.sum("tail").over(W.partitionBy("file", "record").orderBy("block")))
+    blocks = blocks.withColumn("of", F.last("name", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1))).withColumn("carried", F.coalesce(F.lag("so_far").over(along), F.lit(0)))
+    placed = lines.join(blocks.select("file", "block", "of", "carried").hint("merge"), ["file", "block"])
+    offset = F.when(F.col("base").isNull(), F.col("carried") + F.col("seen")).otherwise(F.col("seen") - F.col("base")) - F.length("bases")
+    rows = placed.select(F.coalesce("name", "of").alias("chrom"), offset.alias("at"), "bases").where(F.col("chrom").isNotNull() & (F.length("bases") > 0))
+    rows = rows.where(F.col("chrom").startswith("chr")) if only_chr else rows
+    first, beyond = F.floor(F.col("at") / size), F.floor((F.col("at") + F.length("bases") - 1) / size)
+    cut = rows.withColumn("chunk_id", F.explode(F.sequence(first, beyond)))
+    lo = F.greatest(F.col("chunk_id") * size - F.col("at"), F.lit(0))
+    piece = F.struct(F.greatest("at", F.col("chunk_id") * size).alias("at"), F.col("bases").substr((lo + 1).cast("int"), (F.least((F.col("chunk_id") + 1) * size - F.col("at"), F.length("bases")) - lo).cast("int")).alias("p"))
+    grouped = cut.groupBy("chrom", "chunk_id").agg(F.array_sort(F.collect_list(piece)).alias("parts"))
+    return grouped.select("chrom", "chunk_id", (F.col("chunk_id") * size).alias("chunk_start"), F.array_join(F.transform("parts", lambda x: x["p"]), "").alias("chunk"))
 
 
 def window_sequences(windows: DataFrame, lengths: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     """``windows`` (chrom, start, end) with ``seq`` put together from the chunks they touch, N beyond either end."""
     lo = F.floor(F.greatest("start", F.lit(0)) / size)
     hi = F.floor((F.least(F.col("end"), F.col("length")) - 1) / size)
-    wanted = windows.select("chrom", "start", "end").distinct().join(lengths.select("chrom", "length"), "chrom")
+    few = lengths.limit(LENGTHS_ROWS + 1).count() <= LENGTHS_ROWS
+    lengths = lengths.select("chrom", F.col("length").cast("long").alias("length"))
+    wanted = windows.select("chrom", "start", "end").distinct().join(F.broadcast(lengths) if few else lengths.hint("merge"), "chrom")
     spread = wanted.withColumn("chunk_id", F.explode_outer(F.when(hi >= lo, F.sequence(lo, hi))))
     joined = spread.join(chunks.hint("merge"), ["chrom", "chunk_id"], "left")
     a, b = F.greatest(F.col("start") - F.col("chunk_start"), F.lit(0)), F.least(F.col("end") - F.col("chunk_start"), F.length("chunk"))
@@ -99,7 +130,9 @@ def read_gct(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.select(fitted.alias("f")).where(F.col("f").isNotNull())
     long = rows.select(F.get("f", 0).alias("junction_id"), (F.get("f", 1) if described else F.lit(None).cast("string")).alias("gene_id"), F.posexplode(F.slice("f", first + 1, len(samples))).alias("k", "x"))
     count = F.coalesce(F.floor(F.col("x").try_cast("double")).cast("long"), F.lit(0).cast("long"))
-    return long.select("junction_id", "gene_id", F.get(F.array(*map(F.lit, samples)), F.col("k")).alias("sample_id"), count.alias("count"))
+    # names by place in the header: a table of one row a sample, since the header may hold thousands
+    named = spark.createDataFrame(list(enumerate(samples)), "k int, sample_id string")
+    return long.join(F.broadcast(named), "k").select("junction_id", "gene_id", "sample_id", count.alias("count"))
 
 
 def gct_junctions(gct: DataFrame) -> tuple[DataFrame, DataFrame]:

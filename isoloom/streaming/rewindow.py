@@ -1,10 +1,17 @@
 """Variants of abutting base windows, arriving as shards, re-windowed as a stream.
 
-Genomic position is event time and the chromosome the key.  State is keyed by (chrom, block), a block being a run of
-``block`` window starts: a variant goes to every block that has a window holding it, so a hot chromosome is many keys
-and no key's state grows with its length.  A block's windows are emitted once the closed end of the chromosome passes
-them: the highest start of a base window seen for that chromosome, since windows below it can't receive more.  A shard row of
-kind ``end`` finishes a chromosome; rows for windows already emitted are counted as late.
+Genomic position is event time and the chromosome the key.  Two stateful steps follow each other:
+
+1. :class:`Progress`, keyed by chromosome, sees only marks (a base window was seen) and ends.  It keeps how far the
+   chromosome is complete: the highest start of a base window, since windows below it can't receive more.  When that
+   moves, it sends a closing to the blocks in between, and to no others.
+2. :class:`Rewindow`, keyed by (chrom, block), a block being a run of ``block`` window starts, holds variants.  A
+   variant goes to every block that has a window holding it, so a hot chromosome is many keys and no key's state grows
+   with its length.  A closing emits the block's complete windows and drops what no later window needs.
+
+A chromosome's end closes all its blocks.  Rows for windows already emitted come out flagged as late, without a window.
+A finished block keeps one number, from which late rows are known; a job that never ends can let it expire after
+``remember`` milliseconds of processing time.
 
 The batch twin is :func:`isoloom.operators.variants.rewindowed`; with first starts at 0 both give the same rows.
 """
@@ -24,69 +31,100 @@ from isoloom.operators import intervals
 INPUT = "chrom string, start long, end long, pos long, ref string, alt string, kind string"
 OUTPUT = "chrom string, start long, end long, pos long, ref string, alt string, in_window_idx long, late boolean"
 _ROW = "pos long, ref string, alt string, span_start long, span_end long"
+_CLOSING = "chrom string, block long, closed long, ended boolean"
 
 
-def dealt(stream: DataFrame, window: int, stride: int, block: int, last: int) -> DataFrame:
-    """The stream with (block, start) keys: variants to the blocks of their windows, marks and ends to all blocks that can
-    still be open; ``last`` is the largest window start that exists."""
-    span = F.when(F.length("ref") < F.length("alt"), F.lit(1)).otherwise(F.length("ref"))
-    at = F.col("pos") - 1
-    starts = F.when(F.col("kind") == "variant", intervals.tiles_of(at, window, stride))
-    blocks = F.array_distinct(F.transform(starts, lambda s: F.floor(s / F.lit(stride * block)).cast("long")))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(last // (stride * block)).cast("long"))
-    rows = stream.withColumn("span_start", at).withColumn("span_end", at + span)
-    return rows.withColumn("block", F.explode(F.when(F.col("kind") == "variant", blocks).otherwise(every)))
+class Progress(StatefulProcessor):
+    """How far each chromosome is complete; closings for the blocks that this move completes windows of."""
+
+    def __init__(self, window: int, stride: int, block: int):
+        self.window, self.span = window, stride * block
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "closed long, highest long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        closed, highest = map(int, self.seen.get()) if self.seen.exists() else (0, 0)
+        before, ended = closed, False
+        for part in rows:
+            closed, highest = max(closed, int(part["start"].max())), max(highest, int(part["end"].max()))
+            ended |= bool((part["kind"] == "end").any())
+        self.seen.update((closed, highest))
+        # windows that end in (before, closed] are complete now, and at the end all that can exist
+        first, last = max(0, before - self.window) // self.span, (highest if ended else max(0, closed - self.window)) // self.span
+        blocks = range(first, last + 1)
+        yield pd.DataFrame({"chrom": [key[0]] * len(blocks), "block": list(blocks), "closed": closed, "ended": ended})
+
+    def close(self) -> None:
+        pass
 
 
 class Rewindow(StatefulProcessor):
     """Holds a block's variants until its windows are complete; keeps variants that later windows of the block need."""
 
-    def __init__(self, window: int, stride: int, block: int):
-        self.window, self.stride, self.block = window, stride, block
+    def __init__(self, window: int, stride: int, block: int, remember: int | None = None):
+        self.window, self.stride, self.block, self.remember = window, stride, block, remember
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rows = handle.getListState("rows", _ROW)
         self.next = handle.getValueState("next", "start long")
+        self.done = handle.getValueState("done", "start long", self.remember)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         chrom, block = key[0], int(key[1])
         new = pd.concat(list(rows), ignore_index=True)
         first = block * self.block * self.stride
         beyond = first + self.block * self.stride
-        start = int(self.next.get()[0]) if self.next.exists() else first
-        variants = new[new["kind"] == "variant"]
+        start = int(self.done.get()[0]) if self.done.exists() else int(self.next.get()[0]) if self.next.exists() else first
+        variants = new[new["pos"].notna()]
+        closings = new[new["pos"].isna()]
         held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
         columns = ["pos", "ref", "alt", "span_start", "span_end"]
         fresh = [(int(p), r, a, int(s), int(e)) for p, r, a, s, e in variants[columns].itertuples(index=False, name=None)]
-        late = [v for v in fresh if v[3] < start]
-        held += [v for v in fresh if v[3] >= start]
-        ended = (new["kind"] == "end").any()
-        closed = beyond + self.window if ended else int(new["start"].max())
-        out = [(chrom, start, start + self.window, *v[:3], v[0] - start, True) for v in late]
-        while start < beyond and (ended or start + self.window <= closed):
+        gone = lambda v: start >= beyond or v[3] < start
+        out = [(chrom, None, None, *v[:3], None, True) for v in fresh if gone(v)]
+        held += [v for v in fresh if not gone(v)]
+        ended = bool(len(closings)) and bool(closings["ended"].any())
+        closed = beyond + self.window if ended else int(closings["closed"].max()) if len(closings) else -1
+        while start < beyond and start + self.window <= closed:
             taken = -1
             for v in sorted({v for v in held if start <= v[3] < start + self.window}, key=lambda v: (v[3], v[4], v[0], v[1], v[2])):
                 if v[3] >= taken:
                     out.append((chrom, start, start + self.window, *v[:3], v[0] - start, False))
                     taken = v[4]
             start += self.stride
-        kept = [v for v in held if v[3] >= start] if start < beyond else []
-        if kept:
-            self.rows.put(kept)
-        else:
+        if start >= beyond:
             self.rows.clear()
-        self.next.update((start,))
+            self.next.clear()
+            self.done.update((start,))
+        else:
+            kept = [v for v in held if v[3] >= start]
+            if kept:
+                self.rows.put(kept)
+            else:
+                self.rows.clear()
+            self.next.update((start,))
         if out:
-            yield pd.DataFrame(out, columns=["chrom", "start", "end", "pos", "ref", "alt", "in_window_idx", "late"])
+            names = ["chrom", "start", "end", "pos", "ref", "alt", "in_window_idx", "late"]
+            yield pd.DataFrame(out, columns=names).astype({"start": "Int64", "end": "Int64", "in_window_idx": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def rewindowed(stream: DataFrame, window: int, stride: int, last: int, block: int = 64) -> DataFrame:
-    """The stream of re-windowed variants; late ones come flagged.  Needs the RocksDB state store."""
-    keyed = dealt(stream, window, stride, block, last)
-    return keyed.groupBy("chrom", "block").transformWithStateInPandas(Rewindow(window, stride, block), OUTPUT, outputMode="Append", timeMode="None")
+def rewindowed(stream: DataFrame, window: int, stride: int, block: int = 64, remember: int | None = None) -> DataFrame:
+    """The stream of re-windowed variants; late ones come flagged.  Needs the RocksDB state store.
+
+    With ``remember`` the job needs a trigger that goes on: expiry runs on processing time, so it is never done."""
+    mode = "None" if remember is None else "ProcessingTime"
+    marks = stream.where("kind <> 'variant'").select("chrom", "start", "end", "kind")
+    closings = marks.groupBy("chrom").transformWithStateInPandas(Progress(window, stride, block), _CLOSING, outputMode="Append", timeMode=mode)
+    at = F.col("pos") - 1
+    span = F.when(F.length("ref") < F.length("alt"), F.lit(1)).otherwise(F.length("ref"))
+    blocks = F.array_distinct(F.transform(intervals.tiles_of(at, window, stride), lambda s: F.floor(s / F.lit(stride * block)).cast("long")))
+    variants = stream.where("kind = 'variant'").select("chrom", F.explode(blocks).alias("block"), "pos", "ref", "alt", at.alias("span_start"), (at + span).alias("span_end"))
+    keyed = variants.unionByName(closings, allowMissingColumns=True)
+    return keyed.groupBy("chrom", "block").transformWithStateInPandas(Rewindow(window, stride, block, remember), OUTPUT, outputMode="Append", timeMode=mode)
 
 
 def without_duplicates(stream: DataFrame) -> DataFrame:
