@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from isoloom.functions import sequence
 from isoloom.operators import assembly, evaluation, psi, structure, variants
 from isoloom.sources import readers, sinks
 
@@ -63,6 +66,72 @@ def test_paths(spark):
     assert assembly.paths(nodes.limit(0), links.limit(0), CONFIG).count() == 0
 
 
+def test_long_chain_is_found_whole(spark):
+    n = 100
+    nodes = spark.createDataFrame([("l", "+", 10 * k, 10 * k + 5, 0.9) for k in range(n)], "locus string, strand string, start long, end long, score double")
+    links = spark.createDataFrame([("l", "+", 10 * k, 10 * k + 5, 10 * k + 10, 10 * k + 15, 0.9, 0.9, 0.9) for k in range(n - 1)], "locus string, strand string, src_start long, src_end long, dst_start long, dst_end long, src_score double, dst_score double, score double")
+    found = assembly.paths(nodes, links, assembly.Config(max_paths=1000, beam=2))
+    assert max(len(r["exons"]) for r in found.collect()) == n
+
+
+def peaked(spark, strand, length, **peaks):
+    rows = [("l", strand, t, pos, dict(at).get(pos, -10.0)) for t, at in peaks.items() for pos in range(length)]
+    return spark.createDataFrame(rows, "locus string, strand string, track string, pos long, logit double")
+
+
+def chain(row):
+    return [(e["start"], e["end"]) for e in row["exons"]]
+
+
+def test_minus_strand_isoform_runs_down(spark):
+    t = peaked(spark, "-", 200, donor=[(150, 5.0)], acceptor=[(120, 5.0)], tss=[(170, 5.0)], polya=[(100, 5.0)])
+    best = assembly.decode(t, assembly.Config(min_exon=10, beam=2, w_tss=0.0, w_pa=0.0, w_orf=0.0, w_len=0.0)).where("iso_rank = 1").first()
+    assert chain(best) == [(150, 170), (100, 120)]
+
+
+def test_minus_strand_orf(spark):
+    coding = "A" * 50 + "TTA" + "A" * 18 + "CAT" + "A" * 27  # read backwards: ATG ... TAA
+    rows = [("coding", coding, [(40, 80)]), ("none", "CGT" * 50, [(60, 100), (10, 50)])]
+    df = spark.createDataFrame(rows, "id string, seq string, exons array<struct<start:bigint,end:bigint>>")
+    cdna = df.select("id", sequence.spliced_cdna(F.col("exons"), F.col("seq"), F.lit("-")).alias("cdna"), F.lit(None).cast("long").alias("last_junction"))
+    got = {r["id"]: r["s_orf"] for r in assembly.orf_from_sequence(cdna, ["id"], 5).collect()}
+    assert got["coding"] > 0.5 and got["none"] == 0
+
+
+def test_true_chain_ranks_first(spark):
+    t = peaked(spark, "+", 600, donor=[(200, 5.0), (400, 2.0)], acceptor=[(300, 5.0), (100, 2.0)], tss=[(50, 5.0)], polya=[(500, 5.0)])
+    best = assembly.decode(t, assembly.Config(w_orf=0.0)).where("iso_rank = 1").first()
+    assert chain(best) == [(50, 200), (300, 500)]
+
+
+def test_hinge_equals_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(4), round(rng.uniform(-2, 2), 1), rng.randrange(2)) for _ in range(300)] + [(9, 1.0, 1), (None, 1.0, 1)]
+    pairs = [max(0.0, 1.0 - (p - n)) for a, p, x in rows for b, n, y in rows if a == b and a is not None and x == 1 and y == 0]
+    df = spark.createDataFrame(rows, "locus int, score double, label int")
+    assert evaluation.hinge(df).first()[0] == pytest.approx(sum(pairs) / len(pairs))
+    assert evaluation.hinge(df.limit(0)).first()[0] == 0.0
+
+
+def test_fasta_in_chunks(spark, tmp_path):
+    rng = random.Random(8)
+    contigs = {f"chr{k}": "".join(rng.choices("ACGTN", k=n)) for k, n in enumerate((0, 1, 59, 60, 61, 2500, 7, 900))}
+    text = "".join(f">{name} x\n" + "".join(seq[k : k + 60].lower() + "\n" for k in range(0, len(seq), 60)) for name, seq in contigs.items())
+    (tmp_path / "a.fa").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "300", "700"):  # one block of the file, or many
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = readers.read_fasta_chunks(spark, str(tmp_path / "a.fa"), 100).orderBy("chunk_id").collect()
+            got = {}
+            for r in rows:
+                assert r["chunk_start"] == 100 * r["chunk_id"] == len(got.get(r["chrom"], "")) and len(r["chunk"]) <= 100
+                got[r["chrom"]] = got.get(r["chrom"], "") + r["chunk"]
+            assert got == {k: v for k, v in contigs.items() if v}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_orf_from_sequence(spark):
     body = "CCC" * 60
     rows = [("strong", "GCCACCATGG" + body[:-1] + "TAA", None), ("weak", "TTTTTTATGT" + body[:-1] + "TAA", None), ("early", "GCCACCATGG" + "CC" + "TAA" + "C" * 400, 300), ("none", "CCCCCC", None), ("empty", "", None)]
