@@ -36,7 +36,8 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import each_text, fits_broadcast, slices, written
@@ -231,8 +232,8 @@ class _Forest:
         return ids[moved], ids[root[moved]]
 
 
-def _edge_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _edge_table(task: int, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"task": pa.array(np.full(len(a), task), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _maybe(n: np.ndarray, at: np.ndarray, bits: np.ndarray, maps: list[bytes], x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -304,7 +305,7 @@ def _scan(percent: int, most_light: int):
                     tree = roots(members)
                     if (tree == tree[0]).all():
                         break
-        return _edge_table(*forest.edges(ids))
+        return _edge_table(table.column("task")[0].as_py(), *forest.edges(ids))
 
     return scanned
 
@@ -326,7 +327,7 @@ def _check(percent: int):
             a, b = _forest_of(sets, rep[s:e], n[s:e], block[s:e], bool(own[s] == mate[s]), percent)
             out_a.append(a)
             out_b.append(b)
-        return _edge_table(np.concatenate(out_a), np.concatenate(out_b))
+        return _edge_table(table.column("task")[0].as_py(), np.concatenate(out_a), np.concatenate(out_b))
 
     return checked
 
@@ -385,61 +386,76 @@ _UNIT = ["g", "own", "mate", "block", "rep", "n", "place"]
 
 
 def _linked(rows: DataFrame, sizes: DataFrame, payload: DataFrame, block: int, block_bytes: int, solve, name: str) -> DataFrame:
-    """(a, b) edges of groups, which ``solve`` finds among the rows of a task's units.
+    """(a, b) edges of groups, which ``solve`` finds among the rows of a task's units: a row and the least of its tree.
 
     ``rows`` has (g, rep, n, place, bytes), ``sizes`` is a written table of each group's rows m and bytes, ``payload`` has
     what ``solve`` needs of a rep.  In a unit (g, own, mate) rows of the same block meet if own = mate, else rows of
     different ones.  Groups of several blocks go through three rounds:
 
     1. each block by itself;
-    2. one row of each component so far, all with all;
-    3. rows outside their group's largest component, dealt anew, with every block.  Then all pairs have met but those
-       inside one component."""
-    spark = rows.sparkSession
-    blocks = lambda m, size: F.greatest(F.ceil(F.col(m) / block), F.ceil(F.col(size) / block_bytes), F.lit(1)).cast("int")
+    2. one row of each tree so far, all with all;
+    3. rows outside their group's largest tree, dealt anew, with every block.  Then all pairs have met but those inside
+       one tree."""
+    least_tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = lambda m, size: F.greatest(F.ceil(m / block), F.ceil(size / block_bytes), F.lit(1)).cast("int")
     dealt = lambda n, seed=0: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
-    least_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def solved(units: DataFrame, n_rows: int, n_bytes: int) -> DataFrame:
+    def task(n_rows: int, n_bytes: int) -> tuple[int, Column]:
         tasks = max(least_tasks, -(-n_rows // SCAN_ROWS), -(-n_bytes // CHECK_BYTES))
-        full = units.select(_UNIT).join(payload.hint("merge"), "rep").withColumn("task", F.pmod(F.xxhash64("g", "own", "mate"), F.lit(tasks)))
-        return written(full.groupBy("task").applyInArrow(solve, "a long, b long").where("a <> b").distinct(), name)
+        return tasks, F.pmod(F.xxhash64("g", "own", "mate"), F.lit(tasks)).cast("int")
 
-    sizes = sizes.withColumn("blocks", blocks("m", "bytes"))
+    def solved(units: DataFrame, tasks: int) -> DataFrame:
+        full = units.select(*_UNIT, "task").join(payload.hint("merge"), "rep").repartition(tasks, "task")
+        return written(full.groupBy("task").applyInArrow(solve, "task int, a long, b long").where("a <> b").distinct(), name)
+
+    def told(units: DataFrame, edges: DataFrame) -> DataFrame:
+        """``units`` with the least of each row's tree in its task; several rows of one rep have one."""
+        least = edges.groupBy("task", F.col("a").alias("rep")).agg(F.min("b").alias("root"))
+        return units.join(least.hint("merge"), ["task", "rep"], "left").withColumn("label", F.coalesce("root", "rep")).drop("root", "task")
+
+    sizes = sizes.withColumn("blocks", blocks(F.col("m"), F.col("bytes")))
     total = sizes.agg(F.sum("m"), F.sum("bytes"), F.max("blocks")).first()
-    placed = rows.join(sizes.select("g", "blocks").hint("merge"), "g")
-    edges = solved(placed.withColumn("block", dealt(F.col("blocks"))).withColumn("own", F.col("block")).withColumn("mate", F.col("block")), total[0] or 0, total[1] or 0)
+    placed = rows.join(sizes.select("g", "blocks").hint("merge"), "g").withColumn("block", dealt(F.col("blocks")))
+    tasks, which = task(total[0] or 0, total[1] or 0)
+    placed = placed.withColumn("own", F.col("block")).withColumn("mate", F.col("block")).withColumn("task", which)
+    edges = solved(placed, tasks)
     if (total[2] or 0) < 2:
-        return edges
-    big = written(placed.where("blocks > 1"), name)
-
-    def labelled(found: DataFrame) -> DataFrame:
-        label = written(components(found), name).select(F.col("node").alias("rep"), "component")
-        return written(big.join(label.hint("merge"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component"), name)
-
-    def counted(units: DataFrame) -> DataFrame:
-        units = written(units.select(*_UNIT, "bytes"), name)
-        n = units.agg(F.count(F.lit(1)), F.sum("bytes")).first()
-        return solved(units, n[0], n[1] or 0)
-
-    now = labelled(edges)
-    first = now.join(now.groupBy("g", "label").agg(F.min("rep").alias("rep")).hint("merge"), ["g", "label", "rep"], "left_semi")
-    several = first.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("all")).where("m > 1")
-    first = first.drop("blocks").join(several.select("g", blocks("m", "all").alias("blocks")).hint("merge"), "g")
-    first = first.withColumn("block", dealt(F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    edges = edges.unionByName(counted(first.withColumn("own", F.least("block", "other")).withColumn("mate", F.greatest("block", "other"))))
-
-    now = labelled(edges)
-    parts = now.groupBy("g", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("all"))
-    apart = parts.groupBy("g").agg(F.max(F.struct("m", "label", "all")).alias("main"), F.sum("m").alias("m"), F.sum("all").alias("all"))
-    apart = apart.select("g", F.col("main.label").alias("main"), (F.col("m") - F.col("main.m")).alias("rest"), (F.col("all") - F.col("main.all")).alias("rest_bytes")).where("rest > 0")
-    apart = written(apart.select("g", "main", blocks("rest", "rest_bytes").alias("rest_blocks")), name)
-    if apart.isEmpty():
-        return edges
-    now = now.join(apart.hint("merge"), "g").withColumn("block", dealt(F.col("blocks")))
+        return edges.select("a", "b")
+    now = written(told(placed.where("blocks > 1"), edges), name)
+
+    # one row of each tree, with all others of its group
+    first = now.groupBy("g", "label").agg(F.min(F.struct("rep", "n", "place", "bytes")).alias("x")).select("g", "label", "x.*")
+    group = W.partitionBy("g")
+    first = first.withColumn("m", F.count(F.lit(1)).over(group)).withColumn("blocks", blocks(F.col("m"), F.sum("bytes").over(group))).where("m > 1")
+    first = written(first.withColumn("block", dealt(F.col("blocks"))), name)
+    total = first.agg(F.sum("blocks"), F.sum(F.col("blocks") * F.col("bytes")), F.max("blocks")).first()
+    if total[0] is None:
+        return edges.select("a", "b")
+    tasks, which = task(total[0], total[1])
+    units = first.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("own", F.least("block", "other")).withColumn("mate", F.greatest("block", "other")).withColumn("task", which)
+    more = solved(units, tasks)
+    if total[2] == 1:
+        merged = told(first.withColumnRenamed("label", "before").withColumn("own", F.col("block")).withColumn("mate", F.col("block")).withColumn("task", which), more)
+    else:
+        label = written(components(edges.select("a", "b").unionByName(more.select("a", "b"))), name).select(F.col("node").alias("rep"), "component")
+        merged = first.withColumnRenamed("label", "before").join(label.hint("merge"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+    merged = merged.select("g", F.col("before"), F.col("label").alias("tree"))
+    now = written(now.join(merged.hint("merge"), (now["g"] == merged["g"]) & (now["label"] == merged["before"])).select(now["g"], "rep", "n", "place", "bytes", "blocks", "block", "tree"), name)
+    edges = edges.unionByName(more).select("a", "b")
+
+    # what is outside the largest tree, with all
+    parts = now.groupBy("g", "tree").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("all"))
+    apart = parts.groupBy("g").agg(F.max(F.struct("m", "tree", "all")).alias("main"), F.sum("m").alias("m"), F.sum("all").alias("all"))
+    apart = apart.where(F.col("m") > F.col("main.m")).select("g", F.col("main.tree").alias("main"), blocks(F.col("m") - F.col("main.m"), F.col("all") - F.col("main.all")).alias("rest_blocks"))
+    now = now.join(apart.hint("merge"), "g")
     left = now.withColumn("own", F.col("block")).withColumn("mate", F.explode(F.sequence(F.lit(-1), -F.col("rest_blocks"), F.lit(-1))))
-    right = now.where(F.col("label") != F.col("main")).withColumn("mate", -1 - dealt(F.col("rest_blocks"), 1)).withColumn("block", F.col("mate")).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return edges.unionByName(counted(left.select(*_UNIT, "bytes").unionByName(right.select(*_UNIT, "bytes"))))
+    right = now.where(F.col("tree") != F.col("main")).withColumn("mate", -1 - dealt(F.col("rest_blocks"), 1)).withColumn("block", F.col("mate")).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = written(left.select(*_UNIT, "bytes").unionByName(right.select(*_UNIT, "bytes")), name)
+    total = units.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    if not total[0]:
+        return edges
+    tasks, which = task(total[0], total[1])
+    return edges.unionByName(solved(units.withColumn("task", which), tasks).select("a", "b"))
 
 
 def _candidates(posted: DataFrame, percent: int) -> tuple[DataFrame | None, int]:

@@ -105,9 +105,75 @@ def test_rare_toxic_words():
     assert distances.of(b" tabletop ") < toxicity.HIT
 
 
+def test_distances_by_zstandard():
+    """Distances and features by compressing each window by hand."""
+    import zstandard as z
+
+    rng = random.Random(6)
+    plain = [f"w{a}{b}er" for a in "abcdefgh" for b in "lmnop"]
+    rows = [(i, " ".join([*rng.choices(plain, k=30), *(["grumblefoul"] if i % 3 == 0 else [])]), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.train(rows)
+
+    def packed(content, window):
+        d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=toxicity.LEVEL)
+        spelt = b"".join(toxicity._CODES[b].tobytes() for b in window)
+        return len(z.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(spelt))
+
+    texts = ["a \u201cgrumblefoul\u201d here", "Grumblefoul, walers\u2026 walers", "", "... 12", rows[1][1]]
+    got = toxicity.Distances(model).features(*wordhash.buffers(pa.array(texts, pa.large_string())))
+    for text, f in zip(texts, got, strict=True):
+        found = [w.lower().encode() for w in re.findall(r"[^\W\d_]+", text)]
+        d = [packed(model.ordinary, b" " + w + b" ") - packed(model.toxic, b" " + w + b" ") for w in found]
+        assert f.tolist() == pytest.approx([min(max(d, default=0), 16) if max(d, default=0) > 0 else 0, np.log1p(sum(x >= toxicity.HIT for x in d)), np.log1p(len(found))])
+    assert got[0, 1] > 0 and got[1, 1] > 0 and not got[2].any()
+
+
+def test_samples_are_bounded(spark):
+    """Many rows of one id, and long texts: what is learned from stays within rows and bytes."""
+    many = spark.range(5_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    known = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    assert len(language_id.sample_known(many, 40)) == 40
+    assert 0 < len(toxicity.sample_labelled(many, known, "toxic", 30)) <= 60
+    chosen = spark.createDataFrame([(1, "en")], "__id long, __label string")
+    from isoloom.llm.common import sampled_texts
+
+    taken = sampled_texts(many, chosen, [F.col("doc_id") == F.col("__id")], 1000, 500)
+    assert taken and sum(len(t) for _, t, _ in taken) <= 500
+    same = many.withColumn("text", F.lit("one text"))
+    assert sampled_texts(same, chosen, [F.col("doc_id") == F.col("__id")], 1000) == [(1, "one text", "en")]
+
+
 # 2
 
 
+def brute_literals(lines):
+    """Values that a run of simple assignments brings to sensitive names, statement by statement."""
+    holds, out = {}, set()
+    for name, value, quoted in lines:
+        value = value if quoted else holds.get(value, value)
+        holds[name] = value
+        if secrets.name_weight(name) * secrets.literal_quality(value) >= secrets.THRESHOLD:
+            out.add(value)
+    return out
+
+
+@given(st.lists(st.tuples(st.sampled_from(["a", "db_pwd", "authKey", "port", "x.y", "credential"]), st.sampled_from(["a", "port", "x.y", "Zx9Qw3Lm7Tp2", "Kd8Rf4Bn6Vc1w", "changeme", "on"]), st.booleans()), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_literals_by_brute_force(lines):
+    text = "".join(f"{n} = {repr(v) if q else v}\n" for n, v, q in lines)
+    assert {text[x.start : x.end] for x in secrets.literal_spans(text)} == brute_literals(lines)
+
+
+def test_empty_tables(spark):
+    none = odd(spark).limit(0)
+    assert secrets.scan(none).count() == secrets.masked_texts(none).count() == 0
+    model = language_id.train([(1, "the cat", "en"), (2, "der hund", "de")])
+    assert language_id.label(none, model).count() == 0 and language_id.sample_known(none) == []
+    assert byte_bpe.round_trip(none, public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN).count() == 0
+    assert toxicity.sample_labelled(none, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), "toxic") == []
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
@@ -193,6 +259,24 @@ def test_long_texts_without_letters():
     assert langs[:-2] == ["und"] * len(texts) and not score[:-2].any() and "und" not in langs[-2:]
 
 
+def test_labels_by_brute_force(spark):
+    """Language and score of a text: the most expected words over all labellings, and their share."""
+    model = language_id.train([(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog with that", "en"), ("der hund und die katze mit dem", "de"), ("le chat et le chien avec", "fr")] * 8)])
+    texts = ["the dog und", "katze", "le chat with dem et", "12 der, 7 \u201cthat\u201d", "\u2014"]
+    langs, score = language_id.Labeller(model).documents(pa.array(texts, pa.large_string()))
+    for text, lang, s in zip(texts, langs, score, strict=True):
+        raw, offsets = wordhash.buffers(pa.array([text], pa.large_string()))
+        w = wordhash.words(raw, offsets, wordhash.LETTERS)
+        assert len(w.hashes) == len(re.findall(r"[^\W\d_]+", text))
+        if not len(w.hashes):
+            assert (lang, s) == ("und", 0.0)
+            continue
+        total = brute_marginals(language_id.Labeller(model).scores(raw, w), model.transitions).sum(0)
+        assert lang == model.langs[total.argmax()] and s == pytest.approx(total.max() / total.sum())
+    clash = language_id.label(odd(spark).withColumn("lang_pred", F.lit("x")), model)
+    assert clash.count() == len(ODD) + 3 and clash.columns == ["doc_id", "lang_pred", "score"]
+
+
 def test_language_held_out_and_code_switching(spark):
     out = queries.op3_language_id(spark, SF)
     lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
@@ -343,6 +427,9 @@ def test_shards(spark, tmp_path):
     same = docs(spark, ["y" * 600] * 1).unionByName(docs(spark, ["y" * 600] * 1))
     assert all(r["oversize"] and r["depth"] == 60 for r in sharding.assign(same, 1000).collect())
     assert len(sharding.assign(odd(spark), 10_000).collect()) == len(ODD) + 3 and sharding.assign(df.limit(0), 10).count() == 0
+    twice = docs(spark, ["a", "b"]).withColumn("doc_id", F.lit(4).cast("long")).withColumn("shard", F.lit("clash"))
+    sharding.write_shards(twice.unionByName(twice), str(tmp_path / "t"), 1000)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
     sharding.write_shards(df, str(tmp_path / "s"), 1000)
     assert spark.read.parquet(str(tmp_path / "s")).count() == 400
 
@@ -452,8 +539,28 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench).collect()}
+    passes = []
+    count = decontamination._counts
+    monkeypatch.setattr(decontamination, "_counts", lambda docs, *more: passes.append(docs) or count(docs, *more))
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(decontamination, "STRIP", 200)
+    monkeypatch.setattr(decontamination, "COMPARED", 500)
     assert whole and {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench).collect()} == whole
+    blocks = len(passes)
+    kept = {r["doc_id"] for r in decontamination.keep_clean(df, bench).collect()}
+    assert kept == {r["doc_id"] for r in df.collect()} - {i for i, _ in whole}
+    assert blocks > 2 and len(passes) == 2 * blocks and all(x is df for x in passes)  # each block counts over the table itself
+
+
+def test_words_beside_other_scripts(spark):
+    """Quotes, ellipses and ideographs beside words don't hide a copy; repeated rows and items give rows of their own."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    bench = spark.createDataFrame([(1, " ".join(words)), (1, " ".join(words)), (2, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3092\u5199\u3057\u305f")], "item_id long, text string")
+    texts = ["\u201c" + "\u201d \u2014 \u201c".join(words) + "\u2026", "\u65e5\u672c".join(words), "\u3053\u308c\u306f\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3092\u5199\u3057\u305f\u3082\u306e", "nothing here"]
+    df = docs(spark, [*texts, texts[0]]).withColumn("item_id", F.lit("clash")).withColumn("score", F.lit("clash"))
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench).collect())
+    assert got == [(0, 1), (0, 1), (2, 2), (4, 1), (4, 1)]
+    assert [r["doc_id"] for r in decontamination.keep_clean(df, bench).collect()] == [1, 3]
 
 
 # 8
@@ -471,6 +578,40 @@ def test_quality(spark):
     assert quality.score(odd(spark).limit(0), known, None, "source", "lang").count() == 0
 
 
+def test_quality_by_brute_force(spark):
+    """Every posterior and score in plain Python."""
+    rng = random.Random(12)
+    rows = [(i, "some words", None, f"h{rng.randrange(4)}" if i % 9 else None, None) for i in range(120)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("lang", F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")))
+    known = {i: int(rng.random() < (0.9 if rows[i][3] == "h1" else 0.3)) for i in range(120) if zlib.crc32(str(i).encode()) % 4 != 2 and i % 2}
+    got = {r["doc_id"]: r for r in quality.score(df, spark.createDataFrame(list(known.items()), "doc_id long, quality int"), None, "source", "lang").collect()}
+    outcome = {i: float(known.get(i, 0.5)) for i in range(120)}
+    site = {i: (rows[i][3], f"p{i % 3}") for i in range(120)}
+
+    def groups(key):
+        out = {}
+        for i, y in outcome.items():
+            n, s = out.get(key(i), (0, 0.0))
+            out[key(i)] = (n + 1, s + y)
+        return out
+
+    def strength(found, mean_of):
+        used = [(n, s, mean_of(k)) for k, (n, s) in found.items() if n > 1]
+        spread, sampling, most = (sum(f(*x) for x in used) for f in (lambda n, s, m: n * (s / n - m) ** 2, lambda n, s, m: m * (1 - m), lambda n, s, m: n * m * (1 - m)))
+        return min(max(1 / max(1e-9, (spread - sampling) / most) - 1, quality.STRENGTH[0]), quality.STRENGTH[1])
+
+    odds = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    hosts, paths = groups(lambda i: site[i][0]), groups(lambda i: site[i])
+    mean = sum(outcome.values()) / 120
+    a = strength(hosts, lambda h: mean)
+    b = strength(paths, lambda k: (hosts[k[0]][1] + mean * a) / (hosts[k[0]][0] + a))
+    for i in range(120):
+        (n, s), (hn, hs) = paths[site[i]], hosts[site[i][0]]
+        want = (s - outcome[i] + (hs - outcome[i] + mean * a) / (hn - 1 + a) * b) / (n - 1 + b)
+        assert got[i]["evidence"] == 0.5 and got[i]["site"] == pytest.approx(want)
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-(odds(want) - odds(mean)))))
+
+
 def test_sparse_sites_shrink(spark, monkeypatch):
     rows = [(i, "some plain words", None, f"h{i % 2}", None) for i in range(400)] + [(1000, "some plain words", None, "tiny", None), (1001, "some plain words", None, "tiny", None)]
     df = spark.createDataFrame(rows, DOCS)
@@ -585,7 +726,7 @@ def test_group_of_near_copies_costs_what_it_holds(spark, monkeypatch):
 
     def spy(df, name):
         out = inner(df, name)
-        if "mate" in df.columns:
+        if "block" in df.columns:
             dealt.append(out.count())
         return out
 
@@ -615,6 +756,21 @@ def test_components(spark):
 # pipeline
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, long and repeated texts and clashing columns; and no documents at all."""
+    import corpus_pipeline as p
+
+    for name, rows in (("odd", odd(spark)), ("none", odd(spark).limit(0))):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+        out = p.run(spark, folder)
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        ids = [r["doc_id"] for r in out.collect()]
+        assert (len(ids) == 0) if name == "none" else ({0, None} <= set(ids) and 13 not in ids and len(ids) <= rows.count())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
