@@ -16,6 +16,7 @@ def one(spark, **columns):
     return spark.range(1).select(*(c.alias(k) for k, c in columns.items())).first()
 
 
+# Inputs and results that both sides must share.
 @pytest.mark.parametrize("seq,rc", [("ATCG", "CGAT"), ("ACGT", "ACGT"), ("GCTA", "TAGC"), ("NNNN", "NNNN"), ("", "")])
 def test_revcomp(spark, seq, rc):
     assert one(spark, x=sequence.revcomp(F.lit(seq)))["x"] == rc
@@ -29,6 +30,7 @@ def test_revcomp_twice(spark, seqs):
         assert x == s.upper()
 
 
+# Fixed values.
 @pytest.mark.parametrize("seq,n,out", [("ACGT", 10, [1, 2, 3, 4, 0, 0, 0, 0, 0, 0]), ("ACGT", 2, [1, 2]), ("NNNN", 4, [5, 5, 5, 5]), ("", 4, [0, 0, 0, 0]), ("AX", 2, [1, 5])])
 def test_tokens(spark, seq, n, out):
     assert one(spark, x=sequence.tokens(F.lit(seq), n))["x"] == out

@@ -40,6 +40,9 @@ def test_peaks(spark):
     assert assembly.peaks(df, assembly.Config(thresholds={"tss": 0.99})).count() == 0
 
 
+# Peaks, and the graphs and chains that must come of them.
+
+
 def test_graph_plus(spark):
     nodes, links = graph(spark, "+", CONFIG, donor=[20, 40], acceptor=[10, 30], tss=[5], polya=[50])
     assert nodes == {(10, 20), (10, 40), (30, 40), (5, 20), (5, 40), (10, 50), (30, 50), (5, 50)}
