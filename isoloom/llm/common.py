@@ -18,7 +18,7 @@ __all__ = ["FOLDS", "HELD_OUT", "Rounds", "each_slice", "each_text", "fits_broad
 #: Documents whose crc32(doc_id as text) mod FOLDS equals HELD_OUT are never learned from.
 FOLDS, HELD_OUT = 4, 2
 #: Bytes of text that a worker handles at once; bounds what it needs beside a batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes of text that a model learns from at most.
 SAMPLE_BYTES = 48 << 20
 

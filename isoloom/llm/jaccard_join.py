@@ -49,7 +49,7 @@ LIST_BLOCK, CLUSTER_BLOCK, BLOCK_BYTES = 1024, 2048, 8 << 20
 #: Shingles that can be known as common: those above one part in COMMON of all occurrences.
 COMMON = 1 << 20
 #: Shingles counted at once in a task, and how often one must occur there to be reported.
-COUNTED, REPORTED = 1 << 22, 4
+COUNTED, REPORTED = 1 << 21, 4
 #: Largest size a light set can have, and rows that may be broadcast.
 LIGHT_MOST, BROADCAST_ROWS = 40, 1_000_000
 #: Rows of a task that scans lists; bytes of sets of a task that checks clusters.
