@@ -15,7 +15,7 @@ percent * union``; sizes a and b need an overlap of o(a, b) = ceil(percent * (a
 
 Lists and clusters are dealt into blocks of bounded sets and bytes.  First each block is worked through by itself; then
 one representative of each component so far is held against all others; then what is still apart from its group's
-largest component is held against every block (:func:`_linked`).  A pair already in one component needs no check, so a
+largest component is held against every block (:func:`linked`).  A pair already in one component needs no check, so a
 group of m near copies costs about m, and only sets that stay apart cost more.
 
 The boundary is the size at which listing subsets saves most rows against scanning lists, both counted over all
@@ -73,7 +73,7 @@ def prefix_size(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = buffers(texts)
     return shingles(words(raw, offsets, SPACED), size)
 
@@ -94,7 +94,7 @@ def _described(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
         held = 0
         for b in it:
             for at, to in slices(b.column(1)):
-                h, bounds = _sets(b.column(1).slice(at, to - at), size)
+                h, bounds = shingle_sets(b.column(1).slice(at, to - at), size)
                 data = memoryview(h).cast("B")
                 digest = [hashlib.blake2b(data[8 * x : 8 * y], digest_size=16).digest() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 arrays = [b.column(0).slice(at, to - at), pa.array(np.diff(bounds)), pa.array(digest, pa.binary()), *(pa.nulls(to - at, k) for k in kinds[3:])]
@@ -142,7 +142,7 @@ def _posted(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray,
     known, seen = common
 
     def work(ids: pa.Array, texts: pa.Array) -> Iterable[pa.RecordBatch]:
-        h, bounds = _sets(texts, size)
+        h, bounds = shingle_sets(texts, size)
         if len(known):
             k = np.minimum(np.searchsorted(known, h), len(known) - 1)
             rank = np.where(known[k] == h, seen[k], 0)
@@ -206,7 +206,7 @@ def _light_links(posted: DataFrame, most: int, percent: int) -> DataFrame:
     return met.select(F.col("rep").alias("a"), F.when(F.col("n") == F.col("lo"), F.col("least_hi")).otherwise(F.col("least_lo")).alias("b")).where(F.col("a") != F.col("b")).distinct()
 
 
-class _Forest:
+class Forest:
     """Union-find over the row numbers of a task."""
 
     def __init__(self, n: int):
@@ -232,7 +232,7 @@ class _Forest:
         return ids[moved], ids[root[moved]]
 
 
-def _edge_table(task: int, a: np.ndarray, b: np.ndarray) -> pa.Table:
+def edge_table(task: int, a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"task": pa.array(np.full(len(a), task), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -267,7 +267,7 @@ def _scan(percent: int, most_light: int):
         maps = [maps[k] for k in order.tolist()]
         bits = np.frombuffer(b"".join(m if len(m) == 64 else _fold(m, 64) for m in maps), np.uint64).reshape(-1, 8)
         ids, node = np.unique(rep, return_inverse=True)
-        forest = _Forest(len(ids))
+        forest = Forest(len(ids))
         new = np.r_[True, (token[1:] != token[:-1]) | (own[1:] != own[:-1]) | (mate[1:] != mate[:-1])]
         start = np.flatnonzero(new)
         stop = np.r_[start[1:], len(token)]
@@ -305,7 +305,7 @@ def _scan(percent: int, most_light: int):
                     tree = roots(members)
                     if (tree == tree[0]).all():
                         break
-        return _edge_table(table.column("task")[0].as_py(), *forest.edges(ids))
+        return edge_table(table.column("task")[0].as_py(), *forest.edges(ids))
 
     return scanned
 
@@ -327,14 +327,14 @@ def _check(percent: int):
             a, b = _forest_of(sets, rep[s:e], n[s:e], block[s:e], bool(own[s] == mate[s]), percent)
             out_a.append(a)
             out_b.append(b)
-        return _edge_table(table.column("task")[0].as_py(), np.concatenate(out_a), np.concatenate(out_b))
+        return edge_table(table.column("task")[0].as_py(), np.concatenate(out_a), np.concatenate(out_b))
 
     return checked
 
 
 def _forest_of(sets: list[np.ndarray], rep: np.ndarray, n: np.ndarray, block: np.ndarray, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
     m = len(sets)
-    forest = _Forest(m)
+    forest = Forest(m)
     size = np.array([len(x) for x in sets])
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(m), size)
@@ -385,7 +385,7 @@ def _met(lists: np.ndarray, start: np.ndarray, stop: np.ndarray, m: int) -> np.n
 _UNIT = ["g", "own", "mate", "block", "rep", "n", "place"]
 
 
-def _linked(rows: DataFrame, sizes: DataFrame, payload: DataFrame, block: int, block_bytes: int, solve, name: str) -> DataFrame:
+def linked(rows: DataFrame, sizes: DataFrame, payload: DataFrame, block: int, block_bytes: int, solve, name: str) -> DataFrame:
     """(a, b) edges of groups, which ``solve`` finds among the rows of a task's units: a row and the least of its tree.
 
     ``rows`` has (g, rep, n, place, bytes), ``sizes`` is a written table of each group's rows m and bytes, ``payload`` has
@@ -470,10 +470,10 @@ def _candidates(posted: DataFrame, percent: int) -> tuple[DataFrame | None, int]
     rows = posting.select(F.col("token").alias("g"), "rep", "n", "place", F.lit(0).cast("long").alias("bytes"))
     sizes = lists.select(F.col("token").alias("g"), "m", F.lit(0).cast("long").alias("bytes"))
     payload = posted.select(F.col("doc_id").alias("rep"), "bitmap")
-    return _linked(rows, sizes, payload, LIST_BLOCK, BLOCK_BYTES, _scan(percent, light), "join-candidates"), light
+    return linked(rows, sizes, payload, LIST_BLOCK, BLOCK_BYTES, _scan(percent, light), "join-candidates"), light
 
 
-def _heavy_links(docs: DataFrame, edges: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def heavy_links(docs: DataFrame, edges: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b) true links that span the true components inside each cluster of candidates."""
     clusters = written(components(edges), "join-clusters").select(F.col("node").alias("rep"), F.col("component").alias("g"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -481,14 +481,14 @@ def _heavy_links(docs: DataFrame, edges: DataFrame, size: int, percent: int, id_
     texts = texts.join(F.broadcast(ids) if fits_broadcast(ids, BROADCAST_ROWS) else ids.hint("merge"), "doc_id", "left_semi")
 
     def work(doc_ids: pa.Array, batch: pa.Array) -> Iterable[pa.RecordBatch]:
-        h, bounds = _sets(batch, size)
+        h, bounds = shingle_sets(batch, size)
         raw = pa.array([h[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(bounds)), raw], ["rep", "n", "shingles"])
 
     sets = written(each_text(texts, "rep long, n long, shingles binary", work), "join-sets")
     rows = clusters.join(sets.select("rep", "n").hint("merge"), "rep").select("g", "rep", F.col("n").cast("int").alias("n"), F.lit(0).alias("place"), (8 * F.col("n")).alias("bytes"))
     sizes = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes")), "join-sizes")
-    return _linked(rows, sizes, sets.select("rep", "shingles"), CLUSTER_BLOCK, BLOCK_BYTES, _check(percent), "join-links")
+    return linked(rows, sizes, sets.select("rep", "shingles"), CLUSTER_BLOCK, BLOCK_BYTES, _check(percent), "join-links")
 
 
 def join(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -502,14 +502,23 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_i
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     posted = written(posted.where(F.col("doc_id").isNotNull()).join(reps.hint("merge"), "doc_id", "left_semi"), "join-posted")
     edges, light = _candidates(posted, percent)
-    # documents of several texts join their classes
-    code = F.xxhash64("digest")
-    several = known.groupBy("doc_id").agg(F.min(code).alias("x"), F.max(code).alias("y")).where("x <> y").select("doc_id")
-    links = known.join(several.hint("merge"), "doc_id", "left_semi").join(classes.hint("merge"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = links_of_repeated_ids(known, classes)
     if light:
         links = links.unionByName(_light_links(posted, light, percent))
     if edges is not None:
-        links = links.unionByName(_heavy_links(docs, edges, size, percent, id_col, text_col))
+        links = links.unionByName(heavy_links(docs, edges, size, percent, id_col, text_col))
+    return grouped(texts, known, classes, links)
+
+
+def links_of_repeated_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): documents of several texts with the representatives of their classes."""
+    code = F.xxhash64("digest")
+    several = known.groupBy("doc_id").agg(F.min(code).alias("x"), F.max(code).alias("y")).where("x <> y").select("doc_id")
+    return known.join(several.hint("merge"), "doc_id", "left_semi").join(classes.hint("merge"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
+def grouped(texts: DataFrame, known: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of all ``texts``: ``known`` ones take their class's component by ``links``."""
     found = components(links).withColumnRenamed("node", "rep")
     classes = written(classes.join(found.hint("merge"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "join-classes")
     out = known.join(classes.hint("merge"), "digest").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -521,6 +530,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_i
     return out.unionByName(rest)
 
 
+
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group, all columns unchanged; rows without an id stay.
 
