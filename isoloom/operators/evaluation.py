@@ -48,15 +48,31 @@ def junction_scores(pred: Column, truth: Column, slop: int = 0) -> Column:
     return F.struct(pick(p).alias("precision"), pick(r).alias("recall"), pick(f1).alias("f1"))
 
 
-def evaluate(preds: DataFrame, truths: DataFrame, k: int = 5, slop: int = 0) -> DataFrame:
+def aligned(preds: DataFrame, truths: DataFrame, strict: bool = False) -> DataFrame:
+    """Predictions and truths of the same example side by side: every row of either, with ``has_pred`` and ``has_truth``.
+
+    Both come with a column ``example``; other columns need different names.  A truth without a prediction is an example
+    with an empty one.  A prediction without a truth has nothing to be held against: with ``strict`` it is an error that
+    names the example."""
+    p = preds.withColumn("has_pred", F.lit(True))
+    t = truths.withColumn("has_truth", F.lit(True))
+    both = t.hint("merge").join(p, "example", "full_outer")
+    both = both.withColumn("has_pred", F.coalesce("has_pred", F.lit(False)))
+    found = F.coalesce("has_truth", F.lit(False))
+    if strict:
+        found = F.when(found, True).otherwise(F.raise_error(F.concat(F.lit("no truth for example "), F.coalesce(F.col("example").cast("string"), F.lit("null")))).cast("boolean"))
+    return both.withColumn("has_truth", found)
+
+
+def evaluate(preds: DataFrame, truths: DataFrame, k: int = 5, slop: int = 0, strict: bool = False) -> DataFrame:
     """Per example: exact chain, junction scores of the best prediction, and whether one of the first k matches.
 
     ``preds`` (example, rank from 1, strand, exons), ``truths`` (example, strand, exons), one truth an example.  An example
-    without predictions has an empty chain; predictions without a truth are left out."""
+    without predictions has an empty chain; predictions without a truth are left out, or with ``strict`` are an error."""
     t = truths.select("example", in_transcription_order(F.col("exons"), F.col("strand")).alias("truth"))
     p = preds.select("example", "rank", in_transcription_order(F.col("exons"), F.col("strand")).alias("pred"))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    rows = t.join(p.where(F.col("rank") <= max(k, 1)).hint("merge"), "example", "left").withColumn("pred", F.coalesce("pred", empty)).withColumn("rank", F.coalesce("rank", F.lit(1)))
+    rows = aligned(p.where(F.col("rank") <= max(k, 1)), t, strict).where("has_truth").withColumn("pred", F.coalesce("pred", empty)).withColumn("rank", F.coalesce("rank", F.lit(1)))
     rows = rows.withColumn("hit", chain_match(F.col("pred"), F.col("truth"), slop))
     best = F.first(F.when(F.col("rank") == 1, F.struct("pred", "truth", "hit")), ignorenulls=True).alias("b")
     one = rows.groupBy("example").agg(best, F.max(F.when(F.col("rank") <= k, F.col("hit"))).alias("topk"))

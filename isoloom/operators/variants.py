@@ -13,7 +13,7 @@ from isoloom.functions import ids, variants
 from isoloom.sources.readers import window_sequences
 from isoloom.sources.scratch import written
 
-from . import intervals
+from . import intervals, ordered
 
 TYPES = ("SNP", "INS", "DEL")
 
@@ -162,15 +162,22 @@ def top_windows(counts: DataFrame, n: int = 5) -> DataFrame:
     return counts.orderBy(F.desc("variant_count"), "chrom", "start").limit(n)
 
 
+def natural_ranks(df: DataFrame, chrom: str = "chrom", name: str = "place") -> DataFrame:
+    """``df`` (a row a chromosome) with each chromosome's place in natural order, from 1, over all of them."""
+    return ordered.ranked(df, natural_order(F.col(chrom)), name)
+
+
 def natural_order(chrom: Column) -> list[Column]:
     """Sort keys: chr2 before chr10."""
     bare = F.regexp_replace(chrom, "^chr", "")
-    return [F.length(bare), bare]
+    return [F.length(bare), bare, chrom]
 
 
 def rewindowed(base: DataFrame, window: int, stride: int) -> DataFrame:
     """Variants of abutting base windows (chrom, start, end, pos, ...) in hopping windows that begin at the first base
-    window's start and while they begin before the last one's end; conflicts removed in each."""
+    window's start and while they begin before the last one's end; conflicts removed in each.  The base is written once, since
+    both the ends and the placing read it."""
+    base = written(base.select("chrom", "start", "end", "pos", "ref", "alt", "var_type", "spec", "span_start", "span_end"), "base-windows")
     ends = written(base.groupBy("chrom").agg(F.min("start").alias("first_start"), F.max("end").alias("last_end")), "window-ends")
     placed = intervals.looked_up(base.drop("start", "end"), ends, ["chrom"])
     placed = placed.withColumn("start", F.explode(intervals.tiles_of(F.col("pos").cast("long") - 1, window, stride, F.col("first_start")))).where(F.col("start") < F.col("last_end")).withColumn("end", F.col("start") + window)

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 _DIALECT = {
-    "spark": {"letters": "regexp_replace(text, '[^A-Za-z]', '')", "floats": "LATERAL VIEW posexplode(embedding) p AS pos, x", "each": "LATERAL VIEW explode(transform(sequence(0, 2 * ((n - 10) div 37) + 1), k -> {item})) u AS x", "item": "struct(k, {pos} AS pos, substr(seq, {pos}, CASE WHEN {pos} % 10 < 8 THEN 1 ELSE 3 END) AS good)", "at": "p.pos", "logit": "p.x"},
-    "duck": {"letters": "regexp_replace(text, '[^A-Za-z]', '', 'g')", "floats": ", (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos) p", "each": ", (SELECT unnest(list_transform(range(0, 2 * ((n - 10) // 37) + 2), lambda k: {item})) AS x) u", "item": "{{'k': k, 'pos': {pos}, 'good': substr(seq, {pos}, CASE WHEN {pos} % 10 < 8 THEN 1 ELSE 3 END)}}", "at": "p.pos", "logit": "p.x"},
+    "spark": {"letters": "regexp_replace(text, '[^A-Za-z]', '')", "floats": "LATERAL VIEW posexplode(embedding) p AS pos, x", "each": "LATERAL VIEW posexplode(regexp_extract_all(seq, '(?s).{{1,37}}', 0)) u AS p, piece LATERAL VIEW explode(array(0, 1)) w AS j WHERE u.p <= (n - 10) div 37", "at": "p.pos", "logit": "p.x"},
+    "duck": {"letters": "regexp_replace(text, '[^A-Za-z]', '', 'g')", "floats": ", (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos) p", "each": ", (SELECT unnest(list_transform(range(0, (n - 10) // 37 + 1), lambda i: {'p': i, 'piece': substr(seq, 37 * i + 1, 37)})) AS u) q, (VALUES (0), (1)) w(j)", "at": "p.pos", "logit": "p.x"},
 }
 
 #: name: (tables and views it reads, SELECT)
@@ -59,8 +59,9 @@ WHERE e.start_pos < c.hi AND e.end_pos > c.lo""",
         ("fx_contigs",),
         """SELECT chrom, contig_no, pos, CASE WHEN k % 10 = 3 THEN translate(good, 'ACGTN', 'CGTAA') ELSE good END AS ref,
        CASE WHEN pos % 10 < 6 THEN translate(good, 'ACGTN', 'TACGC') WHEN pos % 10 < 8 THEN concat(good, 'AC') ELSE substr(good, 1, 1) END AS alt
-FROM (SELECT chrom, contig_no, CAST(x.k AS BIGINT) AS k, x.pos AS pos, x.good AS good
-      FROM (SELECT chrom, contig_no, seq, length AS n FROM fx_contigs WHERE length >= 10) a {each}) d""",
+FROM (SELECT chrom, contig_no, k, pos, substr(piece, place, CASE WHEN pos % 10 < 8 THEN 1 ELSE 3 END) AS good
+      FROM (SELECT chrom, contig_no, CAST(2 * u.p + j AS BIGINT) AS k, CAST(37 * u.p + 5 + j * (1 + u.p % 3) AS INT) AS pos, CAST(5 + j * (1 + u.p % 3) AS INT) AS place, u.piece AS piece
+            FROM (SELECT chrom, contig_no, seq, length AS n FROM fx_contigs WHERE length >= 10) a {each}) b) d""",
     ),
     "fx_tracks": (
         ("embeddings",),
@@ -75,11 +76,6 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     ),
 }
 
-_POS = "CAST(5 + 37 * floor(k / 2) + (k % 2) * (1 + floor(k / 2) % 3) AS INT)"
-for _words in _DIALECT.values():
-    _words["each"] = _words["each"].format(item=_words.pop("item").format(pos=_POS))
-
-
 def _order(names: tuple[str, ...]) -> list[str]:
     out: list[str] = []
     for n in names:

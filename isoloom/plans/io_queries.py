@@ -41,13 +41,21 @@ def m1_window_sequences(spark, sf_dir):
 
 
 def _gtf(spark, sf_dir):
+    """GTF text with lines of four, eight and ten fields, without attributes and with a start that is no number, beside the rows."""
     path = scratch_path(spark, "gtf")
     e = view(spark, sf_dir, "fx_exons")
     attrs = F.concat(F.lit('gene_id "'), "gene_id", F.lit('"; transcript_id "'), F.col("tx").cast("string"), F.lit('"; exon_number '), F.col("rank").cast("string"), F.lit(";"))
-    line = F.concat_ws("\t", "chrom", F.lit("t"), F.when(F.col("rank") % 4 == 0, "CDS").otherwise("exon"), (F.col("start") + 1).cast("string"), F.col("end").cast("string"), F.lit("."), "strand", F.lit("."), attrs)
-    bad = spark.range(1).select(F.explode(F.array(F.lit("# comment"), F.lit("chr1\tt\texon"), F.lit("chr1\tt\texon\tx\t9\t.\t+\t.\ta \"b\";"))))
-    short = F.concat_ws("\t", "chrom", F.lit("t"), F.lit("exon"), F.col("tx").cast("string"))  # fields are missing
-    e.select(line.alias("value")).union(bad).union(e.where("rank = 1 AND tx % 11 = 0").select(short)).write.text(path)
+    fields = lambda start, last: ("chrom", F.lit("t"), F.when(F.col("rank") % 4 == 0, "CDS").otherwise("exon"), start, F.col("end").cast("string"), F.lit("."), "strand", F.lit("."), *last)
+    start = (F.col("start") + 1).cast("string")
+    tab = lambda *c: F.concat_ws("\t", *c)
+    odd = F.explode(F.filter(F.array(
+        F.when(F.col("tx") % 11 == 0, tab("chrom", F.lit("t"), F.lit("exon"), F.col("tx").cast("string"))),
+        F.when(F.col("tx") % 13 == 0, tab(*fields(start, [attrs, F.lit("extra")]))),
+        F.when(F.col("tx") % 17 == 0, tab(*fields(start, []))),
+        F.when(F.col("tx") % 19 == 0, tab(*fields(F.concat(F.lit("x"), start), [attrs]))),
+        F.when(F.col("tx") % 23 == 0, tab(*fields(start, [F.lit("")]))),
+    ), lambda x: x.isNotNull()))
+    e.select(tab(*fields(start, [attrs])).alias("value")).union(spark.range(1).select(F.lit("# comment"))).union(e.where("rank = 1").select(odd)).write.text(path)
     return path
 
 
@@ -62,17 +70,44 @@ def p2_attributes(spark, sf_dir):
 
 
 def f7_rejected_lines(spark, sf_dir):
-    return readers.rejected_lines(spark, _gtf(spark, sf_dir), 9)
-
-
-def s3_vcf(spark, sf_dir):
+    return readers.rejected(readers.parsed_gtf(spark, _gtf(spark, sf_dir)))
+
+
+def f7_reject_counts(spark, sf_dir):
+    """Each format's accepted and rejected lines, written to two tables in one pass: counts observed there, and read back."""
+    gct = _gct(spark, sf_dir)
+    parsed = {"gtf": readers.parsed_gtf(spark, _gtf(spark, sf_dir)), "vcf": readers.parsed_vcf(spark, _vcf(spark, sf_dir)), "gct": readers.parsed_gct(spark, gct, *readers.gct_header(spark, gct))}
+    out = None
+    for name, p in parsed.items():
+        path = scratch_path(spark, "parsed")
+        seen = sinks.write_accepted_and_rejected(p, path)
+        schema = p.schema.add("kind", "string")
+        back = sinks.read_rejected(spark, path, schema).select("reason").unionByName(sinks.read_accepted(spark, path, schema).select(F.lit("row").alias("reason")))
+        observed = F.create_map(*(F.lit(x) for pair in seen.items() for x in pair))
+        rows = back.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("format"), "reason", "n", (F.element_at(observed, F.col("reason")) == F.col("n")).alias("as_observed"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _vcf(spark, sf_dir):
+    """VCF text with lines of seven fields and positions that are no numbers beside the rows."""
     path = scratch_path(spark, "vcf")
     v = view(spark, sf_dir, "fx_variants")
     alts = F.when(F.col("pos") % 5 == 0, F.concat("alt", F.lit(","), F.concat("alt", F.lit("T")))).otherwise(F.col("alt"))
     qual = F.when(F.col("pos") % 3 == 0, ".").otherwise((F.col("pos") % 100).cast("string"))
-    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", alts, qual, F.lit("PASS"), F.lit("DP=1"), F.lit("GT"), F.lit("0/1"))
-    v.select(line.alias("value")).union(spark.range(1).select(F.explode(F.array(F.lit("##fileformat=VCFv4.2"), F.lit("#CHROM\tPOS"), F.lit("1\t2\t."))))).write.text(path)
-    r = readers.read_vcf(spark, path)
+    pos = F.col("pos").cast("string")
+    line = F.concat_ws("\t", "chrom", pos, F.lit("."), "ref", alts, qual, F.lit("PASS"), F.lit("DP=1"), F.lit("GT"), F.lit("0/1"))
+    odd = F.explode(F.filter(F.array(
+        F.when(F.col("pos") % 97 == 0, F.concat_ws("\t", "chrom", pos, F.lit("."), "ref", alts, qual, F.lit("PASS"))),
+        F.when(F.col("pos") % 89 == 0, F.concat_ws("\t", "chrom", F.concat(F.lit("q"), pos), F.lit("."), "ref", alts, qual, F.lit("PASS"), F.lit("DP=1"))),
+    ), lambda x: x.isNotNull()))
+    head = spark.range(1).select(F.explode(F.array(F.lit("##fileformat=VCFv4.2"), F.lit("#CHROM\tPOS"))))
+    v.select(line.alias("value")).union(head).union(v.where("pos % 97 = 0 OR pos % 89 = 0").select(odd)).write.text(path)
+    return path
+
+
+def s3_vcf(spark, sf_dir):
+    r = readers.read_vcf(spark, _vcf(spark, sf_dir))
     return r.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos"), F.sum("qual").alias("sum_qual"), F.count("id").alias("n_ids"), F.max(F.size("samples")).alias("n_samples"), F.max("alt").alias("last_alt"))
 
 
@@ -119,9 +154,21 @@ def s7_sequences(spark, sf_dir):
     return r.groupBy("strand").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("labels"), F.sum(F.length("seq")).alias("bases"))
 
 
+#: Bases of a shard, and the order of the rows that fill them.
+BUDGET, ALONG = 20_000, ("chrom", "start", "end", "tx", "rank")
+
+
 def k1_sharded(spark, sf_dir):
+    """Windows of mixed lengths in shards of a base budget: what each shard holds."""
     path = scratch_path(spark, "sharded")
-    sinks.write_sharded(view(spark, sf_dir, "fx_junctions"), path, max_bases=1_000_000, window=512)
+    sinks.write_by_bases(view(spark, sf_dir, "fx_exons"), path, BUDGET, [F.col(c) for c in ALONG])
+    back = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    return back.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases"), F.count_distinct("file").alias("n_files")).withColumn("shard", F.col("shard").cast("long"))
+
+
+def k1_row_shards(spark, sf_dir):
+    path = scratch_path(spark, "sharded")
+    sinks.write_sharded(view(spark, sf_dir, "fx_junctions"), path, 1953)
     files = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n"))
     return files.agg(F.sum("n").alias("n"), (F.max("n") <= 1953).alias("all_within"))
 
@@ -236,7 +283,7 @@ def x10_stream_counts(spark, sf_dir):
 
 
 _QUERIES = (
-    s1_fasta, s1_fasta_chunks, s2_gtf, s3_vcf, s4_gct, s5_junction_tables, s6_shards, s7_sequences, m1_window_sequences, p2_attributes, f7_rejected_lines, k1_sharded, k2_by_sample, k3_by_chromosome, k4_metadata, k5_guarded,
+    s1_fasta, s1_fasta_chunks, s2_gtf, s3_vcf, s4_gct, s5_junction_tables, s6_shards, s7_sequences, m1_window_sequences, p2_attributes, f7_rejected_lines, f7_reject_counts, k1_sharded, k1_row_shards, k2_by_sample, k3_by_chromosome, k4_metadata, k5_guarded,
     x5_streamed_windows, x2_batch_windows, x9_stream_dedup, x10_stream_counts,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
@@ -249,6 +296,11 @@ g AS (SELECT chrom, start_pos, pos, ref, alt, r, true AS kept, e AS last FROM x
       SELECT x.chrom, x.start_pos, x.pos, x.ref, x.alt, x.r, x.s >= g.last, CASE WHEN x.s >= g.last THEN x.e ELSE g.last END FROM g JOIN x ON x.chrom = g.chrom AND x.start_pos = g.start_pos AND x.r = g.r + 1)
 SELECT chrom, start_pos, pos, ref, alt, pos - start_pos AS in_window_idx, false AS late FROM g WHERE kept"""
 _J = ["fx_junctions"]
+_LINE = """chrom || chr(9) || 't' || chr(9) || CASE WHEN rank % 4 = 0 THEN 'CDS' ELSE 'exon' END || chr(9) || {start} || chr(9) || end_pos || chr(9) || '.' || chr(9) || strand || chr(9) || '.'"""
+_ATTRS = """ || chr(9) || 'gene_id "' || gene_id || '"; transcript_id "' || tx || '"; exon_number ' || rank || ';'"""
+_ODD = f"""e AS (SELECT *, {_LINE.format(start="(start_pos + 1)")} AS l, {_LINE.format(start="'x' || (start_pos + 1)")} AS x, 1 AS one FROM fx_exons WHERE rank = 1),
+o AS (SELECT chrom || chr(9) || 't' || chr(9) || 'exon' || chr(9) || tx AS line, 'fields' AS reason FROM e WHERE tx % 11 = 0 UNION ALL SELECT l{_ATTRS} || chr(9) || 'extra', 'fields' FROM e WHERE tx % 13 = 0
+      UNION ALL SELECT l, 'fields' FROM e WHERE tx % 17 = 0 UNION ALL SELECT x{_ATTRS}, 'number' FROM e WHERE tx % 19 = 0)"""
 ORACLES = {
     "s1_fasta": oracle(["fx_contigs"], "SELECT 'chr' || chrom AS chrom, CAST(length AS BIGINT) AS length, md5(seq) AS seq_md5 FROM fx_contigs"),
     "s1_fasta_chunks": oracle(["fx_contigs"], f"c AS (SELECT chrom, seq, unnest(range(0, CAST(ceil(length / {CHUNK}) AS BIGINT))) AS chunk_id FROM fx_contigs) SELECT 'chr' || chrom AS chrom, chunk_id, md5(substr(seq, CAST(chunk_id * {CHUNK} + 1 AS BIGINT), {CHUNK})) AS chunk_md5 FROM c"),
@@ -256,9 +308,16 @@ ORACLES = {
         ["fx_contigs"],
         f"a AS (SELECT DISTINCT chrom, seq, CAST(length AS BIGINT) AS length, CAST(unnest([-50, length // 2, length - 30]) AS BIGINT) AS s FROM fx_contigs) SELECT chrom, s AS start_pos, s + {WINDOW} AS end_pos, repeat('N', greatest(0, least(s + {WINDOW}, 0) - s)) || substr(seq, greatest(s, 0) + 1, greatest(0, least(s + {WINDOW}, length) - greatest(s, 0))) || repeat('N', greatest(0, s + {WINDOW} - greatest(length, s, 0))) AS seq FROM a",
     ),
-    "s2_gtf": oracle(["fx_exons"], "SELECT chrom, start_pos, end_pos, strand, tx::STRING AS tx FROM fx_exons WHERE rank % 4 <> 0 AND chrom IN ('chr1', 'chr2')"),
-    "p2_attributes": oracle(["fx_exons"], "SELECT gene_id, max(rank::STRING) AS last_number, CAST(3 * count(*) AS BIGINT) AS n FROM fx_exons GROUP BY 1"),
-    "f7_rejected_lines": oracle(["fx_exons"], "SELECT 'chr1' || chr(9) || 't' || chr(9) || 'exon' AS value UNION ALL SELECT chrom || chr(9) || 't' || chr(9) || 'exon' || chr(9) || tx FROM fx_exons WHERE rank = 1 AND tx % 11 = 0"),
+    "s2_gtf": oracle(["fx_exons"], "SELECT chrom, start_pos, end_pos, strand, tx::STRING AS tx FROM fx_exons WHERE rank % 4 <> 0 AND chrom IN ('chr1', 'chr2') UNION ALL SELECT chrom, start_pos, end_pos, strand, NULL FROM fx_exons WHERE rank = 1 AND tx % 23 = 0 AND chrom IN ('chr1', 'chr2')"),
+    "p2_attributes": oracle(["fx_exons"], "SELECT gene_id, max(rank::STRING) AS last_number, CAST(3 * count(*) AS BIGINT) AS n FROM fx_exons GROUP BY 1 UNION ALL SELECT NULL, NULL, CAST(0 AS BIGINT) FROM fx_exons WHERE rank = 1 AND tx % 23 = 0 HAVING count(*) > 0"),
+    "f7_rejected_lines": oracle(["fx_exons"], f"{_ODD} SELECT line, reason FROM o"),
+    "f7_reject_counts": oracle(
+        ["fx_exons", "fx_variants", "fx_junctions"],
+        f"""{_ODD}, a AS (SELECT 'gtf' AS format, reason FROM o UNION ALL SELECT 'gtf', 'row' FROM fx_exons UNION ALL SELECT 'gtf', 'row' FROM fx_exons WHERE rank = 1 AND tx % 23 = 0
+UNION ALL SELECT 'vcf', 'row' FROM fx_variants UNION ALL SELECT 'vcf', 'fields' FROM fx_variants WHERE pos % 97 = 0 UNION ALL SELECT 'vcf', 'number' FROM fx_variants WHERE pos % 89 = 0
+UNION ALL SELECT 'gct', 'row' FROM (SELECT DISTINCT donor, acceptor, strand FROM fx_junctions) j UNION ALL SELECT 'gct', 'samples')
+SELECT format, reason, count(*) AS n, true AS as_observed FROM a GROUP BY 1, 2""",
+    ),
     "s3_vcf": oracle(
         ["fx_variants"],
         "v AS (SELECT chrom, pos, CASE WHEN pos % 3 <> 0 THEN (pos % 100)::DOUBLE END AS q, alt FROM fx_variants UNION ALL SELECT chrom, pos, CASE WHEN pos % 3 <> 0 THEN (pos % 100)::DOUBLE END, alt || 'T' FROM fx_variants WHERE pos % 5 = 0) SELECT chrom, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos, sum(q) AS sum_qual, CAST(0 AS BIGINT) AS n_ids, CAST(2 AS INTEGER) AS n_samples, max(alt) AS last_alt FROM v GROUP BY 1",
@@ -270,7 +329,11 @@ ORACLES = {
     "s5_junction_tables": oracle(_J, "SELECT chrom, strand, count(*) AS n, CAST(sum(count) AS BIGINT) AS reads, CAST(sum(donor) AS BIGINT) AS sum_donor FROM fx_junctions GROUP BY 1, 2"),
     "s6_shards": oracle(_J, "SELECT chrom, count(*) AS n, CAST(sum(count) AS BIGINT) AS reads FROM fx_junctions GROUP BY 1"),
     "s7_sequences": oracle(["fx_contigs"], "SELECT CASE WHEN contig_no % 4 = 2 THEN '-' ELSE '+' END AS strand, count(*) AS n, sum(contig_no)::DOUBLE AS labels, CAST(sum(length) AS BIGINT) AS bases FROM fx_contigs WHERE contig_no % 4 IN (2, 3) GROUP BY 1"),
-    "k1_sharded": oracle(_J, "SELECT count(*) AS n, true AS all_within FROM fx_junctions"),
+    "k1_sharded": oracle(
+        ["fx_exons"],
+        f"r AS (SELECT end_pos - start_pos AS b, coalesce(sum(end_pos - start_pos) OVER (ORDER BY chrom, start_pos, end_pos, tx, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fx_exons) SELECT CAST(before // {BUDGET} AS BIGINT) AS shard, count(*) AS n, CAST(sum(b) AS BIGINT) AS bases, CAST(1 AS BIGINT) AS n_files FROM r GROUP BY 1",
+    ),
+    "k1_row_shards": oracle(_J, "SELECT count(*) AS n, true AS all_within FROM fx_junctions"),
     "k2_by_sample": oracle(_J, "SELECT 'S_' || (sample_id::BIGINT % 20) AS sample_id, count(*) AS n FROM fx_junctions GROUP BY 1"),
     "k3_by_chromosome": oracle(_J, "SELECT chrom, chrom AS folder, count(*) AS n, CAST(sum(count) AS BIGINT) AS reads FROM fx_junctions GROUP BY 1"),
     "k4_metadata": oracle(_J, "SELECT count(*) AS rows, CAST(6 AS INTEGER) AS n_columns, 'lineitem' AS input FROM fx_junctions"),

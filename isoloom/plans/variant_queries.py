@@ -146,11 +146,10 @@ def t2_top_windows(spark, sf_dir):
 
 
 def t5_natural_order(spark, sf_dir):
-    v = _v(spark, sf_dir).select(F.concat(F.lit("chr"), F.col("chrom")).alias("chrom")).distinct()
-    from pyspark.sql import Window as W
-
-    bucket = F.substring(F.regexp_replace("chrom", "^chr", ""), 1, 1)  # ranked in each leading digit, so no one task sorts all
-    return v.withColumn("lead", bucket).withColumn("place", F.row_number().over(W.partitionBy("lead").orderBy(*variants.natural_order(F.col("chrom")))))
+    """All chromosomes in one order: those of the variants, and the usual names 1 to 22, X, Y and M, here and there bare."""
+    names = F.when(F.col("contig_no") % 29 < 22, (F.col("contig_no") % 29 + 1).cast("string")).when(F.col("contig_no") % 29 < 25, F.substring(F.lit("XYM"), (F.col("contig_no") % 29 - 21).cast("int"), F.lit(1))).otherwise(F.col("chrom"))
+    v = _v(spark, sf_dir).select(F.concat(F.when(F.col("contig_no") % 7 == 0, "").otherwise("chr"), names).alias("chrom")).distinct()
+    return variants.natural_ranks(v)
 
 
 def u3_distinct_windows(spark, sf_dir):
@@ -260,7 +259,11 @@ SELECT CAST(any_value(n) AS BIGINT) AS n_windows, count(*) AS n_with, round(coun
 SELECT stage, coalesce(var_type, 'ALL') AS var_type, count(*) AS n, round(100.0 * count(*) / max(total), 9) AS percent FROM (SELECT *, count(*) OVER (PARTITION BY stage) AS total FROM a) b GROUP BY GROUPING SETS ((stage, var_type), (stage))""",
     ),
     "t2_top_windows": oracle(_F, f"{_W}, {_COUNTS} SELECT chrom, start_pos, variant_count FROM c ORDER BY variant_count DESC, chrom, start_pos LIMIT 5"),
-    "t5_natural_order": oracle(_F, "c AS (SELECT DISTINCT chrom FROM fx_variants) SELECT 'chr' || chrom AS chrom, substr(chrom, 1, 1) AS lead, CAST(row_number() OVER (PARTITION BY substr(chrom, 1, 1) ORDER BY length(chrom), chrom) AS INTEGER) AS place FROM c"),
+    "t5_natural_order": oracle(
+        _F,
+        """n AS (SELECT DISTINCT CASE WHEN contig_no % 7 = 0 THEN '' ELSE 'chr' END || CASE WHEN contig_no % 29 < 22 THEN (contig_no % 29 + 1)::STRING WHEN contig_no % 29 < 25 THEN substr('XYM', CAST(contig_no % 29 - 21 AS BIGINT), 1) ELSE chrom END AS chrom FROM fx_variants)
+SELECT chrom, row_number() OVER (ORDER BY length(regexp_replace(chrom, '^chr', '')), regexp_replace(chrom, '^chr', ''), chrom) AS place FROM n""",
+    ),
     "x2_rewindowed": oracle(
         _F,
         f"""{_w(WINDOW)}, b AS (SELECT chrom, min(start_pos) AS first, max(start_pos) + {WINDOW} AS last FROM w GROUP BY 1),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -76,43 +76,80 @@ def window_sequences(windows: DataFrame, lengths: DataFrame, chunks: DataFrame,
     return parts.select("chrom", "start", "end", F.concat(F.repeat(F.lit("N"), left), body, F.repeat(F.lit("N"), right)).alias("seq"))
 
 
+#: Why a line is left out: too few or too many fields, an unreadable number, a count of samples that isn't the header's.
+REASONS = ("fields", "number", "samples")
+
+
+def _parsed(lines: DataFrame, reason: Column, row: Column) -> DataFrame:
+    """(line, reason, row): the row, or the line and why it is none."""
+    out = lines.withColumn("reason", reason)
+    return out.select(F.when(F.col("reason").isNotNull(), F.col("value")).alias("line"), "reason", F.when(F.col("reason").isNull(), row).alias("row"))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are no comments, with their tab-separated fields f."""
+    return spark.read.text(path).where(~F.col("value").startswith("#")).select("value", F.split("value", "\t").alias("f"))
+
+
+def _f(k: int) -> Column:
+    return F.get("f", k)
+
+
+def _known(c: Column) -> Column:
+    return F.when(c != ".", c)
+
+
+def parsed_gtf(spark: SparkSession, path: str) -> DataFrame:
+    """(line, reason, row): a feature row of a line of nine fields with readable bounds, else the line and the reason.  The
+    ninth field may be empty."""
+    start, end = _f(3).try_cast("bigint"), _f(4).try_cast("bigint")
+    reason = F.when(F.size("f") != 9, "fields").when(start.isNull() | end.isNull(), "number")
+    row = F.struct(_f(0).alias("chrom"), _f(1).alias("source"), _f(2).alias("feature"), (start - 1).alias("start"), end.alias("end"), _f(6).alias("strand"), ids.parse_attributes(_f(8)).alias("attrs"))
+    return _parsed(_lines(spark, path), reason, row)
+
+
+def parsed_vcf(spark: SparkSession, path: str) -> DataFrame:
+    """(line, reason, row): a line of eight fields or more with a readable position, else the reason; ``row.alts`` has all
+    alternate alleles."""
+    pos = _f(1).try_cast("bigint")
+    reason = F.when(F.size("f") < 8, "fields").when(pos.isNull(), "number")
+    row = F.struct(
+        _f(0).alias("chrom"), pos.alias("pos"), _known(_f(2)).alias("id"), _f(3).alias("ref"), F.split(_f(4), ",").alias("alts"), _known(_f(5)).try_cast("double").alias("qual"),
+        _f(6).alias("filter"), _f(7).alias("info"), F.slice("f", 9, 1 << 30).alias("samples"),
+    )
+    return _parsed(_lines(spark, path), reason, row)
+
+
+def accepted(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("reason").isNull()).select("row.*")
+
+
+def rejected(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("reason").isNotNull()).select("line", "reason")
+
+
 def read_gtf(spark: SparkSession, path: str, features: Sequence[str] = (), chroms: Sequence[str] = ()) -> DataFrame:
-    """Feature rows, half-open from 0; comments, rows of fewer than nine fields and unreadable numbers are left out."""
-    schema = "chrom string, source string, feature string, s string, e string, score string, strand string, frame string, attributes string"
-    rows = spark.read.csv(path, sep="\t", comment="#", quote="", schema=schema)
+    """Feature rows, half-open from 0; comments, and lines that :func:`parsed_gtf` rejects, are left out."""
+    rows = accepted(parsed_gtf(spark, path))
     if features:
         rows = rows.where(F.col("feature").isin(*features))
-    if chroms:
-        rows = rows.where(F.col("chrom").isin(*chroms))
-    start, end = F.expr("try_cast(s AS bigint)"), F.expr("try_cast(e AS bigint)")
-    rows = rows.where(F.col("attributes").isNotNull() & start.isNotNull() & end.isNotNull())
-    return rows.select("chrom", "source", "feature", (start - 1).alias("start"), end.alias("end"), "strand", ids.parse_attributes(F.col("attributes")).alias("attrs"))
+    return rows.where(F.col("chrom").isin(*chroms)) if chroms else rows
 
 
-def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each alternate allele; '.' is null; headers, rows of fewer than eight fields and unreadable positions are
-    left out."""
-    fields = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(fields.alias("f")).where(F.size("f") >= 8)
-    known = lambda c: F.when(c != ".", c)
-    f = lambda k: F.get("f", k)
-    out = rows.select(
-        f(0).alias("chrom"), f(1).try_cast("bigint").alias("pos"), known(f(2)).alias("id"), f(3).alias("ref"), F.explode(F.split(f(4), ",")).alias("alt"), known(f(5)).try_cast("double").alias("qual"),
-        f(6).alias("filter"), f(7).alias("info"), F.slice("f", 9, 1 << 30).alias("samples"),
-    )
-    return out.where(F.col("pos").isNotNull())
+def alleles(vcf: DataFrame) -> DataFrame:
+    """A row for each alternate allele of rows of :func:`parsed_vcf`."""
+    return vcf.withColumn("alt", F.explode("alts")).select("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "samples")
 
 
-def rejected_lines(spark: SparkSession, path: str, fields: int) -> DataFrame:
-    """Lines that are no comments and have too few tab-separated fields: what the readers leave out."""
-    return spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0) & (F.size(F.split("value", "\t")) < fields))
+def read_vcf(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each alternate allele; '.' is null; headers, and lines that :func:`parsed_vcf` rejects, are left out."""
+    return alleles(accepted(parsed_vcf(spark, path)))
 
 
-def read_gct(spark: SparkSession, path: str) -> DataFrame:
-    """Junction counts of a GCT matrix: (junction_id, gene_id or null, sample_id, count).
+def gct_header(spark: SparkSession, path: str) -> tuple[list[str], bool]:
+    """(names, described): the header's fields and whether the second one is a description.
 
-    The version must be #1.2 or #1.3.  One trailing empty field is dropped, one missing count is 0, other ragged rows are
-    left out; counts are whole parts of numbers, 0 where unreadable."""
+    The version must be #1.2 or #1.3."""
     lines = spark.read.text(path)
     if lines.where(F.col("value").isin("#1.2", "#1.3")).isEmpty():
         raise ValueError("not a GCT file: no #1.2 or #1.3 line")
@@ -120,15 +157,26 @@ def read_gct(spark: SparkSession, path: str) -> DataFrame:
     if head is None:
         raise ValueError("GCT file without a header line")
     names = head[0].rstrip("\t").split("\t")
-    described = len(names) > 1 and names[1] == "Description"
-    first = 2 if described else 1
-    samples = names[first:]
-    n = len(names)
-    f = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#") & ~F.col("value").startswith("Name\t")).select(f.alias("f")).where(F.size("f") > 2 if n > 2 else F.size("f") > 1)
+    return names, len(names) > 1 and names[1] == "Description"
+
+
+def parsed_gct(spark: SparkSession, path: str, names: Sequence[str], described: bool) -> DataFrame:
+    """(line, reason, row) of a matrix's lines; header and dimensions are neither.  One trailing empty field is dropped, one
+    missing count is 0; other ragged lines are rejected."""
+    n, first = len(names), 2 if described else 1
+    body = _lines(spark, path).where(~F.col("value").startswith("Name\t") & ~F.col("value").rlike(r"^\d+\t\d+\t*$"))
     fitted = F.when(F.size("f") == n, F.col("f")).when((F.size("f") == n + 1) & (F.element_at("f", -1) == ""), F.slice("f", 1, n)).when(F.size("f") == n - 1, F.concat("f", F.array(F.lit("0"))))
-    rows = rows.select(fitted.alias("f")).where(F.col("f").isNotNull())
-    long = rows.select(F.get("f", 0).alias("junction_id"), (F.get("f", 1) if described else F.lit(None).cast("string")).alias("gene_id"), F.posexplode(F.slice("f", first + 1, len(samples))).alias("k", "x"))
+    reason = F.when(F.size("f") < (3 if n > 2 else 2), "fields").when(fitted.isNull(), "samples")
+    row = F.struct(F.get(fitted, 0).alias("junction_id"), (F.get(fitted, 1) if described else F.lit(None).cast("string")).alias("gene_id"), F.slice(fitted, first + 1, max(0, n - first)).alias("counts"))
+    return _parsed(body, reason, row)
+
+
+def read_gct(spark: SparkSession, path: str) -> DataFrame:
+    """Junction counts of a GCT matrix: (junction_id, gene_id or null, sample_id, count); lines that :func:`parsed_gct` rejects
+    are left out.  Counts are whole parts of numbers, 0 where unreadable."""
+    names, described = gct_header(spark, path)
+    samples = names[2 if described else 1 :]
+    long = accepted(parsed_gct(spark, path, names, described)).select("junction_id", "gene_id", F.posexplode("counts").alias("k", "x"))
     count = F.coalesce(F.floor(F.col("x").try_cast("double")).cast("long"), F.lit(0).cast("long"))
     # names by place in the header: a table of one row a sample, since the header may hold thousands
     named = spark.createDataFrame(list(enumerate(samples)), "k int, sample_id string")
@@ -144,24 +192,39 @@ def gct_junctions(gct: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_junctions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Junction tables by extension (.parquet, .csv, .tsv, .txt), stacked; a table without a required column is skipped."""
-    out = None
+    kinds: dict[str, list[str]] = {}
     for path in paths:
-        kind = path.rsplit(".", 1)[-1]
+        kinds.setdefault(path.rsplit(".", 1)[-1], []).append(path)
+    if unknown := sorted(set(kinds) - {"parquet", "csv", "tsv", "txt"}):
+        raise ValueError(f"unknown format: {', '.join(unknown)}")
+    parts = []
+    for kind, some in kinds.items():
         if kind == "parquet":
-            df = spark.read.parquet(path)
-        elif kind in ("csv", "tsv", "txt"):
-            df = spark.read.csv(path, sep="," if kind == "csv" else "\t", header=True)
+            groups = _by_columns(spark, some, lambda p: spark.read.parquet(p))
+            parts += [spark.read.parquet(*same) for same in groups]
         else:
-            raise ValueError(f"unknown format: {path}")
-        if any(c not in df.columns for c in _JUNCTION_COLUMNS):
-            continue
-        typed = df.select("sample_id", "chrom", *(F.col(c).try_cast("bigint").alias(c) for c in ("donor", "acceptor")), "strand", F.col("count").try_cast("bigint").alias("count"))
-        out = typed if out is None else out.unionByName(typed)
-    if out is None:
+            sep = "," if kind == "csv" else "\t"
+            groups = _by_columns(spark, some, lambda p, sep=sep: spark.read.csv(p, sep=sep, header=True))
+            parts += [spark.read.csv(same, sep=sep, header=True, enforceSchema=False) for same in groups]
+    if not parts:
         raise ValueError("no table has all of " + ", ".join(_JUNCTION_COLUMNS))
+    typed = [df.select("sample_id", "chrom", *(F.col(c).try_cast("bigint").alias(c) for c in ("donor", "acceptor")), "strand", F.col("count").try_cast("bigint").alias("count")) for df in parts]
+    out = typed[0]
+    for df in typed[1:]:
+        out = out.unionByName(df)
     return out
 
 
+def _by_columns(spark: SparkSession, paths: Sequence[str], opened) -> list[list[str]]:
+    """Paths that share a schema together, so that each schema is one scan; those without a required column are left out."""
+    groups: dict[str, list[str]] = {}
+    for path in paths:
+        df = opened(path)
+        if all(c in df.columns for c in _JUNCTION_COLUMNS):
+            groups.setdefault(df.schema.json(), []).append(path)
+    return list(groups.values())
+
+
 def read_shards(spark: SparkSession, paths: Sequence[str] | str, required: Sequence[str] = ()) -> DataFrame:
     """Parquet shards by path or glob; a missing path is an error, as is a missing required column."""
     return require_columns(spark.read.parquet(*([paths] if isinstance(paths, str) else paths)), required)

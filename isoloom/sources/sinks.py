@@ -4,19 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from isoloom.operators import ordered
+from isoloom.sources.readers import REASONS
 
-def write_sharded(df: DataFrame, path: str, rows: int | None = None, max_bases: int | None = None, window: int | None = None) -> None:
-    """Parquet files of at most ``rows`` rows, or of as many windows of ``window`` bases as fit ``max_bases``."""
-    if rows is None:
-        if not max_bases or not window:
-            raise ValueError("give rows, or max_bases and window")
-        rows = max(1, max_bases // window)
+
+def write_sharded(df: DataFrame, path: str, rows: int) -> None:
+    """Parquet files of at most ``rows`` rows."""
     df.write.option("maxRecordsPerFile", rows).option("compression", "snappy").parquet(path)
 
 
+def write_by_bases(df: DataFrame, path: str, max_bases: int, order: Sequence[Column], start: str = "start", end: str = "end") -> None:
+    """Numbered shards (folders shard=0, 1, ... of one Parquet file) of consecutive rows along ``order``.
+
+    A shard takes the rows before which the running sum of ``end - start`` lies between two multiples of ``max_bases``, so it
+    exceeds the budget by less than its last row, whatever the rows' lengths.  Numbers skip where one row spans several
+    budgets.  The sum is a distributed one; a row without bounds counts no bases."""
+    if max_bases <= 0:
+        raise ValueError("max_bases must be positive")
+    summed = ordered.running_sum(df, order, F.col(end).cast("long") - F.col(start).cast("long"), "__bases")
+    dealt = summed.withColumn("shard", F.floor(F.col("__bases") / max_bases)).drop("__bases")
+    dealt.repartition("shard").sortWithinPartitions("shard", *order).write.partitionBy("shard").option("compression", "snappy").parquet(path)
+
+
 def write_by(df: DataFrame, path: str, column: str) -> None:
     """One folder for each value of ``column`` (samples, chromosomes); rows of a value may come from many tasks."""
     df.write.partitionBy(column).parquet(path)
@@ -36,3 +48,24 @@ def write_with_metadata(df: DataFrame, path: str, inputs: Sequence[str] = ()) ->
     )
     meta.write.json(f"{path}_metadata")
     return meta
+
+
+def write_accepted_and_rejected(parsed: DataFrame, path: str) -> dict[str, int]:
+    """Write what ``readers.parsed_*`` gives into two tables in one pass, ``path``/kind=row and ``path``/kind=reject, and
+    return how many lines each reason had; accepted ones count as 'row'."""
+    seen = Observation()
+    reasons = ("row", *REASONS)
+    reason = F.coalesce("reason", F.lit("row"))
+    counted = parsed.observe(seen, *(F.count_if(reason == r).alias(r) for r in reasons))
+    counted.withColumn("kind", F.when(F.col("reason").isNull(), "row").otherwise("reject")).write.partitionBy("kind").parquet(path)
+    return {r: seen.get[r] for r in reasons}
+
+
+def read_accepted(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of :func:`write_accepted_and_rejected`; ``schema`` is that of what was written."""
+    return spark.read.schema(schema).parquet(path).where("kind = 'row'").select("row.*")
+
+
+def read_rejected(spark: SparkSession, path: str, schema) -> DataFrame:
+    """(line, reason) of the lines that were left out."""
+    return spark.read.schema(schema).parquet(path).where("kind = 'reject'").select("line", "reason")
