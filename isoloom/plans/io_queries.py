@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isoloom.functions import ids
@@ -9,6 +10,7 @@ from isoloom.operators import variants
 from isoloom.plans.fixtures import oracle, positions, view
 from isoloom.sources import readers, sinks
 from isoloom.sources.scratch import scratch_path
+from isoloom.sources.shard_stream import stream_by_name
 from isoloom.streaming import rewindow
 
 CHUNK, WINDOW = 400, 1000
@@ -216,22 +218,19 @@ SHARD_ROWS, LATE = 200_000, 97
 
 
 def _shards(spark, sf_dir, late=False):
-    """Shards in order of arrival: each brings a stretch of base windows, the last one ends all chromosomes.  With ``late``
-    one more follows, of variants in windows that are long complete."""
+    """Shards in order of their names: each brings a stretch of base windows, the last one ends all chromosomes.  With
+    ``late`` one more follows, of variants in windows that are long complete.  All but that one are written at once."""
     v = _arrivals(spark, sf_dir)
     last, n = v.agg(F.max("start"), F.count(F.lit(1))).first()
     last, n = last or 0, max(4, -(-n // SHARD_ROWS))
     path = scratch_path(spark, "arrivals")
-    marks = v.select("chrom", "start", "end").distinct().select("*", F.lit(None).cast("long").alias("pos"), F.lit("A").alias("ref"), F.lit("A").alias("alt"), F.lit("mark").alias("kind"))
-    rows = v.withColumn("kind", F.lit("variant")).unionByName(marks)
-    for i in range(n):
-        part = rows.where(F.least(F.floor(F.col("start") * n / (last + 1)), F.lit(n - 1)) == i)
-        if i == n - 1:
-            ends = v.select("chrom").distinct().select("chrom", F.lit(last).cast("long").alias("start"), F.lit(last + BASE).cast("long").alias("end"), F.lit(None).cast("long").alias("pos"), F.lit("A").alias("ref"), F.lit("A").alias("alt"), F.lit("end").alias("kind"))
-            part = part.unionByName(ends)
-        part.coalesce(1).write.mode("append").parquet(path)  # one file a shard: the unit of arrival
+    none = (F.lit(None).cast("long").alias("pos"), F.lit("A").alias("ref"), F.lit("A").alias("alt"))
+    marks = v.select("chrom", "start", "end").distinct().select("*", *none, F.lit("mark").alias("kind"))
+    ends = v.select("chrom").distinct().select("chrom", F.lit(last).cast("long").alias("start"), F.lit(last + BASE).cast("long").alias("end"), *none, F.lit("end").alias("kind"))
+    rows = v.withColumn("kind", F.lit("variant")).unionByName(marks).unionByName(ends)
+    rows.repartitionByRange(n, "start").write.parquet(f"{path}/in-order")
     if late:
-        _late(spark, sf_dir).withColumn("kind", F.lit("variant")).coalesce(1).write.mode("append").parquet(path)
+        _late(spark, sf_dir).withColumn("kind", F.lit("variant")).coalesce(1).write.parquet(f"{path}/late")
     return path
 
 
@@ -239,29 +238,36 @@ def _late(spark, sf_dir):
     return _arrivals(spark, sf_dir, f"event_id % {LATE} = 0").withColumn("ref", F.lit("A")).withColumn("alt", F.lit("T"))
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def _run(spark, stream, mode="append"):
-    """Run a stream over all shards present into a Parquet table, or (complete) into the last batch's table."""
+    """(result, state folder) of a stream run over all shards present: a Parquet table, or (complete) the last batch's table."""
     out, state = scratch_path(spark, "streamed"), scratch_path(spark, "state")
-    writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
-    return spark.read.parquet(out)
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer = stream.writeStream.option("checkpointLocation", state).trigger(processingTime="0 seconds")
+        if mode == "append":
+            query = writer.format("parquet").option("path", out).start()
+        else:
+            query = writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    finally:
+        spark.conf.set(_PROVIDER, before)
+    return spark.read.parquet(out), state
+
+
+def _by_name(spark, path, rows=None):
+    return stream_by_name(spark, path, rewindow.INPUT, scratch_path(spark, "progress"), rows)
 
 
 def x5_streamed_windows(spark, sf_dir):
-    """Keyed buffers, completion, end of key, late rows and eviction (X5 to X8) over shards that arrive one by one (S8)."""
-    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    try:
-        path = _shards(spark, sf_dir, late=True)
-        stream = rewindow.rewindowed(readers.stream_shards(spark, path, rewindow.INPUT), HOURS, HOP)
-        out = _run(spark, stream)
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    """Keyed buffers, completion, end of key, late rows and eviction (X5 to X8) over shards in name order (S8)."""
+    out, _ = _run(spark, rewindow.rewindowed(_by_name(spark, _shards(spark, sf_dir, late=True)), HOURS, HOP))
     return out.select("chrom", F.col("start").alias("start_pos"), "pos", "ref", "alt", "in_window_idx", "late").distinct()  # a late row may come for two blocks
 
 
@@ -272,19 +278,40 @@ def x2_batch_windows(spark, sf_dir):
     return first.select("chrom", F.col("start").alias("start_pos"), "pos", "ref", "alt", "in_window_idx", F.lit(False).alias("late"))
 
 
+def s8_shards_by_name(spark, sf_dir):
+    """Each shard's rows by the batch that brought them: shards of range of start, so batches must come in its order."""
+    path, out = _shards(spark, sf_dir), scratch_path(spark, "batches")
+    stream = _by_name(spark, path, rows=SHARD_ROWS // 4).where("kind = 'variant'")
+    query = stream.writeStream.foreachBatch(lambda df, n: df.groupBy().agg(F.lit(n).alias("batch"), F.count(F.lit(1)).alias("n"), F.min("start").alias("low"), F.max("start").alias("high"), F.sum("pos").alias("pos")).write.mode("append").parquet(out)).option("checkpointLocation", scratch_path(spark, "state")).trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    batches = spark.read.parquet(out).where("n > 0")
+    along = W.orderBy("batch")  # a row a batch
+    turned = F.count_if(F.col("low") < F.col("before"))
+    return batches.withColumn("before", F.lag("high").over(along)).agg(F.sum("n").alias("n"), F.sum("pos").alias("sum_pos"), turned.alias("n_out_of_order"), (F.count(F.lit(1)) >= 4).alias("several"))
+
+
+#: Seconds of event time whose variants the dedup holds together.
+HELD = 86_400
+
+
 def x9_stream_dedup(spark, sf_dir):
-    path = _shards(spark, sf_dir)
-    return _run(spark, rewindow.without_duplicates(readers.stream_shards(spark, path, rewindow.INPUT))).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
+    """Variants once, and how many of them the state still holds after the chromosomes' ends: none."""
+    out, state = _run(spark, rewindow.without_duplicates(_by_name(spark, _shards(spark, sf_dir)), HELD))
+    held = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "seen").load(state)
+    left = held.agg(F.count(F.lit(1)).alias("n_held"))
+    return out.where("NOT late").groupBy("chrom").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(left))  # one row
 
 
 def x10_stream_counts(spark, sf_dir):
-    path = _shards(spark, sf_dir)
-    return _run(spark, rewindow.type_counts(readers.stream_shards(spark, path, rewindow.INPUT)), "complete")
+    return _run(spark, rewindow.type_counts(_by_name(spark, _shards(spark, sf_dir))), "complete")[0]
 
 
 _QUERIES = (
     s1_fasta, s1_fasta_chunks, s2_gtf, s3_vcf, s4_gct, s5_junction_tables, s6_shards, s7_sequences, m1_window_sequences, p2_attributes, f7_rejected_lines, f7_reject_counts, k1_sharded, k1_row_shards, k2_by_sample, k3_by_chromosome, k4_metadata, k5_guarded,
-    x5_streamed_windows, x2_batch_windows, x9_stream_dedup, x10_stream_counts,
+    x5_streamed_windows, x2_batch_windows, s8_shards_by_name, x9_stream_dedup, x10_stream_counts,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -340,6 +367,7 @@ SELECT format, reason, count(*) AS n, true AS as_observed FROM a GROUP BY 1, 2""
     "k5_guarded": oracle(_J, "SELECT chrom, count(*) AS n FROM fx_junctions WHERE chrom = 'A' GROUP BY 1"),
     "x5_streamed_windows": oracle([], f"{_WIN} UNION ALL SELECT DISTINCT event_type, CAST(NULL AS BIGINT), CAST(date_diff('second', TIMESTAMP '2023-12-31 00:00:00', ts) + 1 AS BIGINT), 'A', 'T', CAST(NULL AS BIGINT), true FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL AND event_id % {LATE} = 0"),
     "x2_batch_windows": oracle([], _WIN),
-    "x9_stream_dedup": oracle([], f"{_EV} SELECT chrom, count(*) AS n FROM v GROUP BY 1"),
+    "x9_stream_dedup": oracle([], f"{_EV} SELECT chrom, count(*) AS n, CAST(0 AS BIGINT) AS n_held FROM v GROUP BY 1"),
+    "s8_shards_by_name": "SELECT count(*) AS n, CAST(sum(date_diff('second', TIMESTAMP '2023-12-31 00:00:00', ts) + 1) AS BIGINT) AS sum_pos, CAST(0 AS BIGINT) AS n_out_of_order, true AS several FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL",
     "x10_stream_counts": "SELECT CASE event_id % 3 WHEN 0 THEN 'SNP' WHEN 1 THEN 'INS' ELSE 'DEL' END AS var_type, count(*) AS n FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1",
 }

@@ -235,8 +235,3 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     unless given as '-'."""
     rows = spark.read.schema(SEQUENCE_SAMPLE).json(path).where(F.col("seq").isNotNull()).withColumn("seq", F.upper("seq"))
     return rows.where(F.col("seq").rlike("^[ACGTN]*$")).withColumn("strand", F.when(F.col("strand") == "-", "-").otherwise("+"))
-
-
-def stream_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stream of Parquet shards, one file a trigger, oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)

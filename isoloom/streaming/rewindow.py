@@ -4,22 +4,29 @@ Genomic position is event time and the chromosome the key.  Two stateful steps f
 
 1. :class:`Progress`, keyed by chromosome, sees only marks (a base window was seen) and ends.  It keeps how far the
    chromosome is complete: the highest start of a base window, since windows below it can't receive more.  When that
-   moves, it sends a closing to the blocks in between, and to no others.
-2. :class:`Rewindow`, keyed by (chrom, block), a block being a run of ``block`` window starts, holds variants.  A
-   variant goes to every block that has a window holding it, so a hot chromosome is many keys and no key's state grows
-   with its length.  A closing emits the block's complete windows and drops what no later window needs.
+   moves, it sends a closing to the blocks in between, and to no others.  A chromosome that stays silent for ``idle``
+   milliseconds ends by a timer.
+2. :class:`Rewindow`, keyed by (chrom, block), a block being a run of ``block`` window starts, holds variants by window in
+   a map state: a batch adds one part to each window that it brings variants for, and only the windows that a closing
+   completes are read, once, and removed.  So a batch costs what it brings and what it completes, whatever is held.
+   A variant goes to every block that has a window holding it: a hot chromosome is many keys and no key's state grows
+   with its length.
 
 A chromosome's end closes all its blocks.  Rows for windows already emitted come out flagged as late, without a window.
 A finished block keeps one number, from which late rows are known; a job that never ends can let it expire after
 ``remember`` milliseconds of processing time.
 
+:func:`without_duplicates` keeps what it has seen in blocks as well, and drops a block when the chromosome has passed it.
+
 The batch twin is :func:`isoloom.operators.variants.rewindowed`; with first starts at 0 both give the same rows.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,19 +37,26 @@ from isoloom.operators import intervals
 #: Rows of the input stream; kind is variant, mark (a base window was seen) or end (the chromosome is complete).
 INPUT = "chrom string, start long, end long, pos long, ref string, alt string, kind string"
 OUTPUT = "chrom string, start long, end long, pos long, ref string, alt string, in_window_idx long, late boolean"
-_ROW = "pos long, ref string, alt string, span_start long, span_end long"
+_COLUMNS = ["pos", "ref", "alt", "span_start", "span_end"]
 _CLOSING = "chrom string, block long, closed long, ended boolean"
 
 
 class Progress(StatefulProcessor):
     """How far each chromosome is complete; closings for the blocks that this move completes windows of."""
 
-    def __init__(self, window: int, stride: int, block: int):
-        self.window, self.span = window, stride * block
+    def __init__(self, window: int, stride: int, block: int, idle: int | None = None):
+        self.window, self.span, self.idle = window, stride * block, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getValueState("seen", "closed long, highest long")
 
+    def _closings(self, key, before: int, closed: int, highest: int, ended: bool) -> pd.DataFrame:
+        # windows that end in (before, closed] are complete now, and at the end all that can exist
+        first, last = max(0, before - self.window) // self.span, (highest if ended else max(0, closed - self.window)) // self.span
+        blocks = range(first, last + 1)
+        return pd.DataFrame({"chrom": [key[0]] * len(blocks), "block": list(blocks), "closed": closed, "ended": ended})
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         closed, highest = map(int, self.seen.get()) if self.seen.exists() else (0, 0)
         before, ended = closed, False
@@ -50,59 +64,80 @@ class Progress(StatefulProcessor):
             closed, highest = max(closed, int(part["start"].max())), max(highest, int(part["end"].max()))
             ended |= bool((part["kind"] == "end").any())
         self.seen.update((closed, highest))
-        # windows that end in (before, closed] are complete now, and at the end all that can exist
-        first, last = max(0, before - self.window) // self.span, (highest if ended else max(0, closed - self.window)) // self.span
-        blocks = range(first, last + 1)
-        yield pd.DataFrame({"chrom": [key[0]] * len(blocks), "block": list(blocks), "closed": closed, "ended": ended})
+        if self.idle is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if not ended:
+                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle)
+        yield self._closings(key, before, closed, highest, ended)
+
+    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+        """The chromosome was silent for so long that no more is expected."""
+        closed, highest = map(int, self.seen.get())
+        yield self._closings(key, closed, closed, highest, True)
 
     def close(self) -> None:
         pass
 
 
 class Rewindow(StatefulProcessor):
-    """Holds a block's variants until its windows are complete; keeps variants that later windows of the block need."""
+    """Holds a block's variants by window until the window is complete."""
 
     def __init__(self, window: int, stride: int, block: int, remember: int | None = None):
         self.window, self.stride, self.block, self.remember = window, stride, block, remember
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", _ROW)
+        self.held = handle.getMapState("held", "start long, part int", "rows string")
         self.next = handle.getValueState("next", "start long")
         self.done = handle.getValueState("done", "start long", self.remember)
 
+    def _add(self, fresh: pd.DataFrame, first: int, beyond: int) -> None:
+        """One more part for each window from ``first`` on that has some of these variants."""
+        at = fresh["span_start"].to_numpy(np.int64)
+        high = np.minimum(at // self.stride * self.stride, beyond - self.stride)
+        for k in range(-(-self.window // self.stride)):
+            start = high - k * self.stride
+            inside = (start >= first) & (at < start + self.window)
+            for s in np.unique(start[inside]).tolist():
+                part = 0
+                while self.held.containsKey((s, part)):
+                    part += 1
+                rows = fresh.loc[inside & (start == s), _COLUMNS]
+                self.held.updateValue((s, part), (json.dumps(rows.astype({"pos": int, "span_start": int, "span_end": int}).values.tolist()),))
+
+    def _take(self, start: int) -> list[list]:
+        """The variants of a window, in order, each once; they are held no longer."""
+        rows: set[tuple] = set()
+        part = 0
+        while self.held.containsKey((start, part)):
+            rows.update(map(tuple, json.loads(self.held.getValue((start, part))[0])))
+            self.held.removeKey((start, part))
+            part += 1
+        return sorted(rows, key=lambda v: (v[3], v[4], v[0], v[1], v[2]))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         chrom, block = key[0], int(key[1])
         new = pd.concat(list(rows), ignore_index=True)
         first = block * self.block * self.stride
         beyond = first + self.block * self.stride
         start = int(self.done.get()[0]) if self.done.exists() else int(self.next.get()[0]) if self.next.exists() else first
-        variants = new[new["pos"].notna()]
-        closings = new[new["pos"].isna()]
-        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-        columns = ["pos", "ref", "alt", "span_start", "span_end"]
-        fresh = [(int(p), r, a, int(s), int(e)) for p, r, a, s, e in variants[columns].itertuples(index=False, name=None)]
-        gone = lambda v: start >= beyond or v[3] < start
-        out = [(chrom, None, None, *v[:3], None, True) for v in fresh if gone(v)]
-        held += [v for v in fresh if not gone(v)]
+        fresh, closings = new[new["pos"].notna()], new[new["pos"].isna()]
+        gone = (fresh["span_start"] < start) | (start >= beyond)
+        out = [(chrom, None, None, int(p), r, a, None, True) for p, r, a in fresh.loc[gone, _COLUMNS[:3]].itertuples(index=False, name=None)]
+        self._add(fresh[~gone], start, beyond)
         ended = bool(len(closings)) and bool(closings["ended"].any())
         closed = beyond + self.window if ended else int(closings["closed"].max()) if len(closings) else -1
         while start < beyond and start + self.window <= closed:
             taken = -1
-            for v in sorted({v for v in held if start <= v[3] < start + self.window}, key=lambda v: (v[3], v[4], v[0], v[1], v[2])):
-                if v[3] >= taken:
-                    out.append((chrom, start, start + self.window, *v[:3], v[0] - start, False))
-                    taken = v[4]
+            for pos, ref, alt, s, e in self._take(start):
+                if s >= taken:
+                    out.append((chrom, start, start + self.window, pos, ref, alt, pos - start, False))
+                    taken = e
             start += self.stride
         if start >= beyond:
-            self.rows.clear()
             self.next.clear()
             self.done.update((start,))
         else:
-            kept = [v for v in held if v[3] >= start]
-            if kept:
-                self.rows.put(kept)
-            else:
-                self.rows.clear()
             self.next.update((start,))
         if out:
             names = ["chrom", "start", "end", "pos", "ref", "alt", "in_window_idx", "late"]
@@ -112,24 +147,71 @@ class Rewindow(StatefulProcessor):
         pass
 
 
-def rewindowed(stream: DataFrame, window: int, stride: int, block: int = 64, remember: int | None = None) -> DataFrame:
-    """The stream of re-windowed variants; late ones come flagged.  Needs the RocksDB state store.
+class Once(StatefulProcessor):
+    """Lets each variant of a block of positions through once; forgets the block when its chromosome has passed it."""
+
+    def __init__(self, span: int, remember: int | None = None):
+        self.span, self.remember = span, remember
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "pos long, ref string, alt string", "n int")
+        self.done = handle.getValueState("done", "at long", self.remember)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        chrom, beyond = key[0], (int(key[1]) + 1) * self.span
+        new = pd.concat(list(rows), ignore_index=True)
+        fresh, closings = new[new["pos"].notna()], new[new["pos"].isna()]
+        variants = list(dict.fromkeys((int(p), r, a) for p, r, a in fresh[_COLUMNS[:3]].itertuples(index=False, name=None)))
+        if self.done.exists():
+            late, first = variants, []
+        else:
+            late, first = [], [v for v in variants if not self.seen.containsKey(v)]
+        if len(closings) and (bool(closings["ended"].any()) or int(closings["closed"].max()) >= beyond):
+            self.seen.clear()
+            self.done.update((beyond,))
+        elif not self.done.exists():
+            for v in first:
+                self.seen.updateValue(v, (1,))
+        if variants:
+            yield pd.DataFrame([(chrom, *v, False) for v in first] + [(chrom, *v, True) for v in late], columns=["chrom", "pos", "ref", "alt", "late"])
+
+    def close(self) -> None:
+        pass
+
 
-    With ``remember`` the job needs a trigger that goes on: expiry runs on processing time, so it is never done."""
-    mode = "None" if remember is None else "ProcessingTime"
+def _closings(stream: DataFrame, window: int, stride: int, block: int, mode: str, idle: int | None) -> DataFrame:
     marks = stream.where("kind <> 'variant'").select("chrom", "start", "end", "kind")
-    closings = marks.groupBy("chrom").transformWithStateInPandas(Progress(window, stride, block), _CLOSING, outputMode="Append", timeMode=mode)
+    return marks.groupBy("chrom").transformWithStateInPandas(Progress(window, stride, block, idle), _CLOSING, outputMode="Append", timeMode=mode)
+
+
+def _mode(*times: int | None) -> str:
+    return "None" if all(t is None for t in times) else "ProcessingTime"
+
+
+def rewindowed(stream: DataFrame, window: int, stride: int, block: int = 64, remember: int | None = None, idle: int | None = None) -> DataFrame:
+    """The stream of re-windowed variants; late ones come flagged.  Needs the RocksDB state store.
+
+    With ``remember`` or ``idle`` the job needs a trigger that goes on: both run on processing time, so it is never done."""
+    mode = _mode(remember, idle)
     at = F.col("pos") - 1
     span = F.when(F.length("ref") < F.length("alt"), F.lit(1)).otherwise(F.length("ref"))
     blocks = F.array_distinct(F.transform(intervals.tiles_of(at, window, stride), lambda s: F.floor(s / F.lit(stride * block)).cast("long")))
     variants = stream.where("kind = 'variant'").select("chrom", F.explode(blocks).alias("block"), "pos", "ref", "alt", at.alias("span_start"), (at + span).alias("span_end"))
-    keyed = variants.unionByName(closings, allowMissingColumns=True)
+    keyed = variants.unionByName(_closings(stream, window, stride, block, mode, idle), allowMissingColumns=True)
     return keyed.groupBy("chrom", "block").transformWithStateInPandas(Rewindow(window, stride, block, remember), OUTPUT, outputMode="Append", timeMode=mode)
 
 
-def without_duplicates(stream: DataFrame) -> DataFrame:
-    """Exact variants once, whichever shards bring them."""
-    return stream.where("kind = 'variant'").dropDuplicates(["chrom", "pos", "ref", "alt"])
+def without_duplicates(stream: DataFrame, span: int = 1 << 16, remember: int | None = None, idle: int | None = None) -> DataFrame:
+    """(chrom, pos, ref, alt, late): exact variants once, whichever shards bring them.
+
+    What was seen is kept by blocks of ``span`` bases until their chromosome is complete beyond them or ends, so state
+    follows the open blocks.  Variants of a block that is gone come flagged as late, since nothing tells whether they are
+    new.  Needs the RocksDB state store."""
+    mode = _mode(remember, idle)
+    block = F.floor((F.col("pos") - 1) / F.lit(span)).cast("long").alias("block")
+    variants = stream.where("kind = 'variant'").select("chrom", block, "pos", "ref", "alt")
+    keyed = variants.unionByName(_closings(stream, 0, span, 1, mode, idle), allowMissingColumns=True)
+    return keyed.groupBy("chrom", "block").transformWithStateInPandas(Once(span, remember), "chrom string, pos long, ref string, alt string, late boolean", outputMode="Append", timeMode=mode)
 
 
 def type_counts(stream: DataFrame) -> DataFrame:
