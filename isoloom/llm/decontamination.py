@@ -39,6 +39,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 4 << 20
 #: Words of passages compared with their items at once, and words of a strip of a passage that is aligned.
 COMPARED, STRIP = 1 << 20, 1 << 15
+#: Places of seeds in texts that are worked through at once.
+SPREAD = 1 << 20
 
 #: Words of what is counted and looked for.
 SIZES = (1, 2)
@@ -82,26 +84,6 @@ class Items:
         distinct, first = np.unique(gram[order], return_index=True)
         return cls([i for i, _ in rows], hashes, distinct, np.append(first, len(gram)), np.concatenate(item)[order], np.concatenate(place)[order])
 
-    def lookup(self, seed: np.ndarray | None = None) -> np.ndarray:
-        """A bit for each value of the low hash bits that some word or pair has; only of seeds, where these are given."""
-        grams = self.grams if seed is None else self.grams[np.logical_or.reduceat(seed, self.entry_bounds[:-1])]
-        table = np.zeros(_FILTER, bool)
-        table[(grams & _U(_FILTER - 1)).astype(np.int64)] = True
-        return table
-
-    def hits(self, w, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, numbers): where the texts have a word or pair of an item."""
-        at, which = [], []
-        for size in SIZES:
-            run = _grams(w.hashes, size)
-            place = np.flatnonzero(table[(run & _U(_FILTER - 1)).astype(np.int64)])
-            k = np.minimum(np.searchsorted(self.grams, run[place]), len(self.grams) - 1)
-            ok = self.grams[k] == run[place]
-            ok &= np.searchsorted(w.bounds, place, "right") == np.searchsorted(w.bounds, place + size - 1, "right")
-            at.append(place[ok])
-            which.append(k[ok])
-        return np.concatenate(at), np.concatenate(which)
-
     def seeds(self, documents: np.ndarray, leak: float) -> Seeds:
         """The seeds among the (item, place) entries, given in how many documents each word and pair occurs."""
         gram_of = np.repeat(np.arange(len(self.grams)), np.diff(self.entry_bounds))
@@ -112,16 +94,87 @@ class Items:
         rank = np.arange(len(order)) - np.repeat(np.cumsum(entries) - entries, entries)
         chosen = np.zeros(len(gram_of), bool)
         chosen[order[rank < (entries - need + least)[self.entry_item[order]]]] = True  # a leak lacks entries - need at most
-        return Seeds(chosen, least)
+        one = np.array([len(h) == 1 for h in self.hashes], bool)[self.entry_item]
+        return Seeds(self._table(gram_of, chosen & ~one), self._table(gram_of, chosen & one), least)
+
+    def _table(self, gram_of: np.ndarray, chosen: np.ndarray) -> Table:
+        gram, bounds = np.unique(gram_of[chosen], return_index=True)
+        return Table(self.grams[gram], np.append(bounds, int(chosen.sum())), self.entry_item[chosen], self.entry_place[chosen])
+
+    def table(self) -> Table:
+        """All words and pairs with all their entries."""
+        return Table(self.grams, self.entry_bounds, self.entry_item, self.entry_place)
+
+
+@dataclass
+class Table:
+    """Some words and pairs, sorted, and the (item, place) entries of each, sorted by item."""
+
+    grams: np.ndarray
+    bounds: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+    def lookup(self) -> np.ndarray:
+        """A bit for each value of the low hash bits that some word or pair has."""
+        table = np.zeros(_FILTER, bool)
+        table[(self.grams & _U(_FILTER - 1)).astype(np.int64)] = True
+        return table
+
+    def hits(self, w, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, numbers), by position: where the texts have one of the words or pairs."""
+        at, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size in SIZES if len(self.grams) else ():
+            run = _grams(w.hashes, size)
+            place = np.flatnonzero(lookup[(run & _U(_FILTER - 1)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(self.grams, run[place]), len(self.grams) - 1)
+            ok = self.grams[k] == run[place]
+            ok &= np.searchsorted(w.bounds, place, "right") == np.searchsorted(w.bounds, place + size - 1, "right")
+            at.append(place[ok])
+            which.append(k[ok])
+        at, which = np.concatenate(at), np.concatenate(which)
+        order = np.argsort(at, kind="stable")
+        return at[order], which[order]
+
+    def spread(self, w, at: np.ndarray, which: np.ndarray, items: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(positions, entries) of the hits, some ``SPREAD`` at a time: whole texts together, and where one text alone has
+        more, its items in ranges.  What a text has of an item is never divided."""
+        count = self.bounds[which + 1] - self.bounds[which]
+        total = np.cumsum(count)
+        ends = np.searchsorted(at, w.bounds[1:])  # hits up to the end of each text
+        text = k = 0
+        while k < len(at):
+            have = total[k - 1] if k else 0
+            text = int(np.searchsorted(ends, k, "right"))
+            many = np.searchsorted(total[np.maximum(ends[text:], 1) - 1], have + SPREAD, "right")
+            to = int(ends[text + max(0, int(many) - 1)])
+            parts = -(-int(total[to - 1] - have) // SPREAD)
+            cuts = np.linspace(0, items, parts + 1).astype(np.int64) if parts > 1 else (0, items)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield self._entries(at[k:to], which[k:to], int(a), int(b), items)
+            k = to
+
+    def _entries(self, at: np.ndarray, which: np.ndarray, a: int, b: int, items: int) -> tuple[np.ndarray, np.ndarray]:
+        if (a, b) == (0, items):
+            first, last = self.bounds[which], self.bounds[which + 1]
+        else:
+            of = np.repeat(np.arange(len(self.grams)), np.diff(self.bounds)) * items + self.item
+            first, last = np.searchsorted(of, which * items + a), np.searchsorted(of, which * items + b)
+        owner, entry = _ranges(first, last)
+        return at[owner], entry
 
 
 @dataclass
 class Seeds:
-    """Which entries are seeds, and how many of an item's must be found close together."""
+    """The entries that are seeds, those of one-word items apart, and how many of an item's must be found close together."""
 
-    chosen: np.ndarray
+    table: Table
+    single: Table
     least: np.ndarray
 
+    def lookups(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.table.lookup(), self.single.lookup()
+
 
 def needed(size: int, leak: float) -> int:
     """How many of the words and pairs of an item of ``size`` words a leak has at least."""
@@ -156,14 +209,15 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
 def _counts(docs: DataFrame, items: Items, text_col: str) -> np.ndarray:
     """In how many documents each word and pair occurs."""
     held: list[np.ndarray] = []
+    table = items.table()
 
     def work(ids: pa.Array, texts: pa.Array) -> Iterable[pa.RecordBatch]:
         if not held:
-            held.append(items.lookup())
+            held.append(table.lookup())
         raw, offsets = buffers(texts)
         w = words(raw, offsets, ALNUM)
         if len(w.hashes):
-            at, which = items.hits(w, held[0])
+            at, which = table.hits(w, held[0])
             pairs = np.unique(np.searchsorted(w.bounds, at, "right") * len(items.grams) + which)
             gram, n = np.unique(pairs % len(items.grams), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
@@ -191,19 +245,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out
 
 
-def search(items: Items, seed: Seeds, table: np.ndarray, texts: pa.Array, leak: float) -> Iterator[tuple[int, int, float, int, int]]:
-    """(text number, item number, score, first word, last word) of each leak in the texts."""
+def search(items: Items, seed: Seeds, lookups: tuple[np.ndarray, np.ndarray], texts: pa.Array, leak: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """(text number, item number, score, first word, last word) of each leak in the texts, each text and item once."""
     raw, offsets = buffers(texts)
     w = words(raw, offsets, ALNUM)
     if not len(w.hashes):
         return
-    at, which = items.hits(w, table)
-    entries = items.entry_bounds[which + 1] - items.entry_bounds[which]
-    place = np.repeat(at, entries)
-    entry = np.repeat(items.entry_bounds[which] - np.concatenate([[0], np.cumsum(entries)[:-1]]), entries) + np.arange(entries.sum())
-    keep = seed.chosen[entry]
-    place, entry = place[keep], entry[keep]
-    text, item = np.searchsorted(w.bounds, place, "right") - 1, items.entry_item[entry]
+    # an item of one word leaks wherever the word is: its first place in each text
+    at, which = seed.single.hits(w, lookups[1])
+    text = np.searchsorted(w.bounds, at, "right") - 1
+    _, first = np.unique(text * max(1, len(seed.single.grams)) + which, return_index=True)
+    for place, entry in seed.single.spread(w, at[np.sort(first)], which[np.sort(first)], len(items.hashes)):
+        text = np.searchsorted(w.bounds, place, "right") - 1
+        for t, i, p in zip(text.tolist(), seed.single.item[entry].tolist(), (place - w.bounds[text]).tolist(), strict=True):
+            yield t, i, 1.0, p, p + 1
+    at, which = seed.table.hits(w, lookups[0])
+    for place, entry in seed.table.spread(w, at, which, len(items.hashes)):
+        yield from _searched(items, seed, w, place, entry, leak)
+
+
+def _searched(items: Items, seed: Seeds, w, place: np.ndarray, entry: np.ndarray, leak: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """The leaks among the places that seeds were found at."""
+    text, item = np.searchsorted(w.bounds, place, "right") - 1, seed.table.item[entry]
     order = np.lexsort((place, item, text))
     place, entry, text, item = place[order], entry[order], text[order], item[order]
     size = np.array([len(h) for h in items.hashes])
@@ -212,7 +275,7 @@ def search(items: Items, seed: Seeds, table: np.ndarray, texts: pa.Array, leak:
     near = np.flatnonzero(last < len(place))
     last = last[near]
     near = near[(text[last] == text[near]) & (item[last] == item[near]) & (place[last] - place[near] < (size + gaps)[item[near]])]
-    text, item, first = text[near], item[near], place[near] - items.entry_place[entry[near]]
+    text, item, first = text[near], item[near], place[near] - seed.table.place[entry[near]]
     start = np.maximum(w.bounds[text], first - gaps[item])
     stop = np.minimum(w.bounds[text + 1], first + (size + gaps)[item])
     order = np.lexsort((start, item, text))
@@ -273,11 +336,11 @@ def _score(item: np.ndarray, passage: np.ndarray, span: int) -> float:
 
 
 def _aligned(docs: DataFrame, items: Items, seed: Seeds, leak: float, id_col: str, text_col: str) -> DataFrame:
-    held: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def work(ids: pa.Array, texts: pa.Array) -> Iterable[pa.RecordBatch]:
         if not held:
-            held.append(items.lookup(seed.chosen))
+            held.append(seed.lookups())
         rows = [(ids[t].as_py(), items.ids[i], score, a, b) for t, i, score, a, b in search(items, seed, held[0], texts, leak)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word"])
@@ -299,11 +362,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", le
 
 
 def _without(docs: DataFrame, items: Items, seed: Seeds, text_col: str, leak: float) -> DataFrame:
-    held: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def work(rows: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
         if not held:
-            held.append(items.lookup(seed.chosen))
+            held.append(seed.lookups())
         clean = np.ones(len(texts), bool)
         clean[[t for t, *_ in search(items, seed, held[0], texts, leak)]] = False
         return rows.filter(pa.array(clean))

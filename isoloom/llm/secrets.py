@@ -1,9 +1,10 @@
 """Secret scans by assignment-aware lexing.
 
 Three fixed patterns give the base spans.  The lexer then reads source and configuration syntax as (name, value)
-pairs, remembers which name holds which literal, follows names that are assigned other names, and scores the literal
-that reaches a name by how sensitive that name is and how much the literal looks like a key.  Literals that score
-``THRESHOLD`` or more and lie outside all base spans are added as spans of kind ``literal``.
+pairs, remembers which name holds which literal, follows names that are assigned other names, joins literals and names
+that are added or stand side by side, reads the elements of lists, and scores the value that reaches a name by how
+sensitive that name is and how much the value looks like a key.  The literals of values that score ``THRESHOLD`` or more
+and lie outside all base spans are added as spans of kind ``literal``, a joined value's each by itself.
 
 Positions are code points, ends exclusive.  A null text is empty and has no spans; null ids and repeated rows are kept.
 """
@@ -13,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -25,6 +28,8 @@ from .common import each_slice, each_text
 
 KINDS = ("assign", "access", "hex", "literal")
 THRESHOLD = 0.5
+#: Characters, and literals, of a joined value at most; what follows is read by itself.
+JOINED = 65_536
 
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -38,12 +43,22 @@ SENSITIVE = {
 #: A text without any of these has neither base spans nor sensitive names.
 _HINT = r"(?i)pass|pwd|secret|token|key|credential|bearer|auth|AKIA|[0-9a-f]{16}"
 
+#: A literal in any quotes.
+_QUOTED = (
+    r"""[bBrRuUfF]{0,2}(?P<triple>\"{3}|'{3})(?P<long>(?:\\[\s\S]|(?!(?P=triple))[^\\])*+)(?P=triple)"""
+    r"""|[bBrRuUfF]{0,2}(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])*+)(?P=quote)"""
+)
 #: No part has a bound; possessive repeats keep the search linear.
 _PAIR = re.compile(
     r"""(?<![A-Za-z0-9_$.\-])(?P<name>[A-Za-z_$][A-Za-z0-9_$.\-]*+)["']?\]?[ \t]*+(?::[ \t]*+[A-Za-z_][\w.\[\]]*+[ \t]*+(?==[^=]))?(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*+"""
-    r"""(?:[bBrRuUfF]{0,2}(?P<triple>\"{3}|'{3})(?P<long>(?:\\[\s\S]|(?!(?P=triple))[^\\])*+)(?P=triple)"""
-    r"""|[bBrRuUfF]{0,2}(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])*+)(?P=quote)|(?P<bare>\$?\{?[^\s"'`,;#<>()\[\]{}]++))"""
+    rf"""(?:{_QUOTED}|(?P<list>\[)|(?P<bare>\$?\{{?[^\s"'`,;#<>()\[\]{{}}]++))"""
 )
+#: What goes on a value: a literal or a name after a plus, a literal right after one.
+_MORE = re.compile(rf"""[ \t]*+(?:(?P<plus>\+)(?:[ \t]*+\\?\n)?+[ \t]*+)?(?:{_QUOTED}|(?P<bare>[A-Za-z_$][A-Za-z0-9_$.]*+)(?![(\[]))""")
+#: An element of a list.
+_ELEMENT = re.compile(rf"""[\s,]*+(?:{_QUOTED})""")
+#: An address without a password in it.
+_ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s@]*$")
 #: Where the lines of a triple-quoted literal are joined, and what surrounds it.
 _FOLD = re.compile(r"\s*\n\s*")
 _AROUND = re.compile(r"(?:\\?\s)*+")
@@ -81,7 +96,7 @@ def name_weight(name: str) -> float:
 
 def literal_quality(value: str) -> float:
     """0 to 1: long, varied literals look like keys; placeholders, prose and short words don't."""
-    if len(value) < 8 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    if len(value) < 8 or _PLACEHOLDER.match(value) or _ADDRESS.match(value) or any(c.isspace() for c in value):
         return 0.0
     n = len(value)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -89,39 +104,83 @@ def literal_quality(value: str) -> float:
     return min(1.0, bits / 4.0) * min(1.0, n / 12) * (1.0 if classes >= 2 else 0.5)
 
 
+class _Value(NamedTuple):
+    """A value: its text, and the ranges of the literals that make it up."""
+
+    text: str
+    ranges: tuple[tuple[int, int], ...]
+
+
+def _literal(text: str, m: re.Match) -> _Value:
+    if m["triple"]:
+        start = _AROUND.match(text, *m.span("long")).end()
+        value = text[start : m.end("long")].rstrip()
+        return _Value(_FOLD.sub("", value), ((start, start + len(value)),))
+    return _Value(m["quoted"], (m.span("quoted"),))
+
+
+def _values(text: str, m: re.Match, holds: dict[str, _Value]) -> tuple[list[_Value], int]:
+    """(values, end) of an assignment: one value, or the elements of a list."""
+    at = m.end()
+    if m["list"]:
+        found = []
+        while e := _ELEMENT.match(text, at):
+            found.append(_literal(text, e))
+            at = e.end()
+        return found, at
+    if m["quote"] or m["triple"]:
+        value = _literal(text, m)
+    else:
+        bare = m["bare"].rstrip(".")
+        ref = _REFERENCE.match(bare)
+        if not ref or ref[1] not in holds:
+            return [_Value(bare, ((m.start("bare"), m.start("bare") + len(bare)),))], at
+        value = holds[ref[1]]
+    parts, ranges, size = [value.text], list(value.ranges), len(value.text)
+    while e := _MORE.match(text, at):
+        if not e["plus"] and not (e["quote"] or e["triple"]):
+            break
+        if e["bare"]:
+            if e["bare"] not in holds:
+                break
+            more = holds[e["bare"]]
+        else:
+            more = _literal(text, e)
+        size += len(more.text)
+        if max(size, len(ranges) + len(more.ranges)) > JOINED:
+            break
+        parts.append(more.text)
+        ranges += more.ranges
+        at = e.end()
+    return [_Value("".join(parts), tuple(ranges))] if len(parts) > 1 else [value], at
+
+
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
     """Literals that reach a sensitive name, directly or through other names; a name means its latest assignment."""
-    holds: dict[str, tuple[str, int, int]] = {}
+    holds: dict[str, _Value] = {}
     found: set[Span] = set()
-    quality: dict[tuple[int, int], float] = {}
+    quality: dict[tuple, float] = {}
     at = 0
     while m := _PAIR.search(text, at):
-        at = m.end()
-        name = m["name"]
-        if m["triple"]:
-            start = _AROUND.match(text, *m.span("long")).end()
-            value = text[start : m.end("long")].rstrip()
-            literal = (_FOLD.sub("", value), start, start + len(value))
-        elif m["quote"]:
-            literal = (m["quoted"], *m.span("quoted"))
-        else:
-            bare = m["bare"].rstrip(".")
-            ref = _REFERENCE.match(bare)
-            literal = holds.get(ref[1]) if ref and ref[1] in holds else (bare, m.start("bare"), m.start("bare") + len(bare))
-        holds[name] = literal
-        if not (weight := name_weight(name)):
+        values, at = _values(text, m, holds)
+        if not m["list"]:
+            holds[m["name"]] = values[0]
+        if not (weight := name_weight(m["name"])):
             continue
-        if literal[1:] not in quality:
-            quality[literal[1:]] = literal_quality(literal[0])
-        if weight * quality[literal[1:]] >= threshold:
-            found.add(Span("literal", *literal[1:], *literal[1:]))
+        for value in values:
+            if value.ranges not in quality:
+                quality[value.ranges] = literal_quality(value.text)
+            if weight * quality[value.ranges] >= threshold:
+                found.update(Span("literal", a, b, a, b) for a, b in value.ranges if a < b)
     return sorted(found, key=lambda s: s.order)
 
 
 def find(text: str, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each in order."""
     base = base_spans(text)
-    more = [s for s in literal_spans(text, threshold) if not any(b.start <= s.start and s.end <= b.end for b in base)]
+    starts, reach = [s.start for s in base], list(accumulate((s.end for s in base), max))
+    # a literal is new unless a base span that begins no later ends no earlier
+    more = [s for s in literal_spans(text, threshold) if not (k := bisect_right(starts, s.start)) or reach[k - 1] < s.end]
     return base, sorted([*base, *more], key=lambda s: s.order)
 
 

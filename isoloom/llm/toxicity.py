@@ -40,7 +40,7 @@ THRESHOLD = 0.3
 #: Distances of this many bytes and more count as hits.
 HIT = 9
 #: Window distances that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 _CODES = np.random.default_rng(7).integers(0, 256, (256, 3), dtype=np.uint8)
 

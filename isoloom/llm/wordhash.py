@@ -165,7 +165,7 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(w.hashes)
     run = np.zeros(max(0, n - size + 1), np.uint64)
     for k in range(size):
-        run = mix(run * _U(_P) + w.hashes[k : n - size + 1 + k])
+        run = mix(run * _U(_P) + w.hashes[k : k + len(run)])
     out, bounds = [], np.zeros(len(w.bounds), np.int64)
     for i, (a, b) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)):
         if b - a >= size:
