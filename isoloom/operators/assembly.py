@@ -1,13 +1,16 @@
 """Splice graphs and isoforms of many loci at once.
 
 Score tracks are rows (locus, strand, track, pos, logit).  A graph is two tables, nodes (exons) and edges, keyed by
-locus and strand; paths grow level by level with a beam, each level written out, all loci together.
+locus and strand.  The beam search of a locus runs in one task, loci side by side; loci with too many edges for that grow
+level by level on the cluster instead, each level written out.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +19,10 @@ from isoloom.functions.arrays import exon_length, log_sigmoid, sigmoid
 from isoloom.functions.sequence import STOPS, spliced_cdna
 from isoloom.sources.scratch import scratch_path, written
 
+#: Introns of a locus that is searched in one task.
+TASK_EDGES = 100_000
 _LOCUS = ["locus", "strand"]
+_PLACES = Decimal("1e-9")
 
 
 @dataclass(frozen=True)
@@ -54,7 +60,7 @@ def peaks(tracks: DataFrame, config: Config = Config()) -> DataFrame:
 def exons(found: DataFrame, config: Config = Config()) -> DataFrame:
     """Candidate exons (start, end, score, site flags): every start with every end beyond it on the strand; of equal exons
     the best score.  ``left_site`` and ``right_site`` tell which ends are splice sites rather than transcript ends."""
-    starts, ends = ["tss"] + ["acceptor"] * 1, ["donor", "polya"]
+    starts, ends = ["tss", "acceptor"], ["donor", "polya"]
     s = found.where(F.col("track").isin(*starts)).select(*_LOCUS, F.col("track").alias("from_track"), F.col("pos").alias("s"), F.col("p").alias("sp"))
     e = found.where(F.col("track").isin(*ends)).select(*_LOCUS, F.col("track").alias("to_track"), F.col("pos").alias("e"), F.col("p").alias("ep"))
     plus = F.col("strand") == "+"
@@ -86,9 +92,60 @@ def sources(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(links.select(*_LOCUS, F.col("dst_start").alias("start"), F.col("dst_end").alias("end")).distinct(), [*_LOCUS, "start", "end"], "left_anti")
 
 
-def paths(nodes: DataFrame, links: DataFrame, config: Config = Config()) -> DataFrame:
+def paths(nodes: DataFrame, links: DataFrame, config: Config = Config(), task_edges: int = TASK_EDGES) -> DataFrame:
     """(locus, strand, exons, total, score, rank): beam search from the sources until no path grows; every prefix is a path,
-    ranked by mean node score, ties by the path.  Scores are compared rounded to 9 places."""
+    ranked by mean node score, ties by the path.  Scores are compared rounded to 9 places.
+
+    A locus of up to ``task_edges`` introns is searched in one task, whatever its depth; larger ones level by level."""
+    large = written(links.groupBy(*_LOCUS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_edges).select(*_LOCUS), "large-loci")
+    if large.isEmpty():
+        return _paths_in_tasks(nodes, links, config)
+    some = lambda df, how: df.join(large.hint("merge"), _LOCUS, how)
+    small = _paths_in_tasks(some(nodes, "left_anti"), some(links, "left_anti"), config)
+    return small.unionByName(paths_by_level(written(some(nodes, "left_semi"), "exons"), written(some(links, "left_semi"), "introns"), config))
+
+
+def _paths_in_tasks(nodes: DataFrame, links: DataFrame, config: Config) -> DataFrame:
+    kind = nodes.schema["locus"].dataType.simpleString()
+    exon = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
+
+    def searched(exons: pa.Table, introns: pa.Table) -> pa.Table:
+        rows = lambda t, *names: list(zip(*(t.column(c).to_pylist() for c in names), strict=True))
+        found = beam(rows(exons, "start", "end", "score"), rows(introns, "src_start", "src_end", "dst_start", "dst_end", "dst_score"), config.beam, config.max_paths)
+        of = exons if exons.num_rows else introns
+        same = lambda c: pa.array([of.column(c)[0].as_py()] * len(found) if found else [], of.schema.field(c).type)
+        path = pa.array([[dict(zip(("start", "end", "score"), e, strict=True)) for e in p] for _, p, _ in found], pa.list_(exon))
+        total = [t for _, _, t in found]
+        return pa.table({"locus": same("locus"), "strand": same("strand"), "exons": path, "total": pa.array(total, pa.float64()), "score": pa.array([t / len(p) for _, p, t in found], pa.float64()), "rank": pa.array(range(1, len(found) + 1), pa.int32())})
+
+    n = nodes.select(*_LOCUS, F.col("start").cast("long"), F.col("end").cast("long"), F.col("score").cast("double")).groupBy(*_LOCUS)
+    e = links.select(*_LOCUS, *(F.col(c).cast("long") for c in ("src_start", "src_end", "dst_start", "dst_end")), F.col("dst_score").cast("double")).groupBy(*_LOCUS)
+    return n.cogroup(e).applyInArrow(searched, f"locus {kind}, strand string, exons array<struct<start:bigint,end:bigint,score:double>>, total double, score double, rank int")
+
+
+def beam(exons: list[tuple], introns: list[tuple], width: int, most: int) -> list[tuple[Decimal, tuple, float]]:
+    """(-score, path, total) of the ``most`` best paths of one locus, best first.  Only the beam and these are held."""
+    after: dict[tuple, dict[tuple, None]] = {}
+    reached = set()
+    for a, b, c, d, x in introns:
+        after.setdefault((a, b), {})[(c, d, x)] = None
+        reached.add((c, d))
+    level = {(e,): e[2] for e in exons if e[:2] not in reached}
+    best: list[tuple[Decimal, tuple, float]] = []
+    while level:
+        best = sorted([*best, *((-_rounded(t / len(p)), p, t) for p, t in level.items())])[:most]
+        grown = [((*p, e), t + e[2]) for p, t in level.items() for e in after.get(p[-1][:2], ())]
+        level = dict(sorted(grown, key=lambda x: (-_rounded(x[1]), x[0]))[:width])
+    return best
+
+
+def _rounded(x: float) -> Decimal:
+    """What Spark's round makes of a double at 9 places."""
+    return Decimal(repr(x)).quantize(_PLACES, ROUND_HALF_UP)
+
+
+def paths_by_level(nodes: DataFrame, links: DataFrame, config: Config = Config()) -> DataFrame:
+    """What :func:`paths` returns, a join a level."""
     exon = lambda s, e, x: F.struct(F.col(s).alias("start"), F.col(e).alias("end"), F.col(x).alias("score"))
     level = sources(nodes, links).select(*_LOCUS, F.array(exon("start", "end", "score")).alias("exons"), F.col("score").alias("total"), F.col("start").alias("src_start"), F.col("end").alias("src_end"))
     steps = links.select(*_LOCUS, "src_start", "src_end", exon("dst_start", "dst_end", "dst_score").alias("next"))

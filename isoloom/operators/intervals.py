@@ -1,7 +1,9 @@
 """Interval joins and folds.
 
-Range predicates become equi-joins on bins, which Spark shuffles, sorts and splits like any other join: intervals are
-listed once for each bin they touch, points once.  Bins also break up hot keys, since a chromosome is many bins.
+Range predicates become equi-joins on bins, which Spark shuffles, sorts and splits like any other join.  Bins come in
+levels, each 8 times as wide as the one below: an interval is listed at the first level whose bins are as wide as itself,
+where it touches one bin or two, however long it is; a point asks each level that occurs.  Where all intervals fit the
+narrowest bins there is one level and a point is one row.  Bins also break up hot keys, since a chromosome is many bins.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isoloom.sources.scratch import written
 
 #: Rows of a lookup table that is broadcast.
 LOOKUP_ROWS = 200_000
@@ -28,40 +31,78 @@ def _div(x: Column, width: int) -> Column:
     return F.floor(x / F.lit(width)).cast("long")
 
 
-def bins(df: DataFrame, start: Column, end: Column, width: int, name: str = "bin") -> DataFrame:
-    """A row for each bin that [start, end) touches; empty intervals touch none."""
-    return df.where(end > start).withColumn(name, F.explode(F.sequence(_div(start, width), _div(end - 1, width))))
+#: Levels of bins; the widest are 8 ** (LEVELS - 1) times as wide as the narrowest.
+LEVELS = 12
+_LEVEL, _BIN = "__level", "__bin"
 
 
-def point_in_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str = "start", end: str = "end", width: int = 4096, how: str = "inner") -> DataFrame:
-    """Points with the intervals of the same keys that hold them; ``how`` is inner or left.  Each pair meets in one bin."""
-    listed = bins(intervals, F.col(start), F.col(end), width, "__bin")
-    return points.withColumn("__bin", _div(F.col(point), width)).join(listed.hint("merge"), [*keys, "__bin"], "inner").where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("__bin") if how == "inner" else _left(
-        points.withColumn("__bin", _div(F.col(point), width)), listed, keys, (F.col("p." + point) >= F.col("i." + start)) & (F.col("p." + point) < F.col("i." + end))
-    )
+def _level(length: Column, width: int) -> Column:
+    """The first level whose bins are as wide as an interval."""
+    return sum((length > F.lit(width * 8**k)).cast("int") for k in range(LEVELS - 1)) + F.lit(0)
+
+
+def _bins_at(level: Column, start: Column, end: Column, width: int) -> Column:
+    """The bins of a level that [start, end) touches; one or two if it isn't longer than they are wide."""
+    wide = F.lit(width).cast("long") * F.pow(F.lit(8), level).cast("long")
+    return F.sequence(F.floor(start / wide).cast("long"), F.floor((end - 1) / wide).cast("long"))
+
+
+def listed(df: DataFrame, start: Column, end: Column, width: int) -> DataFrame:
+    """A row for each bin of its level that [start, end) touches, two at most; empty intervals touch none."""
+    out = df.where(end > start).withColumn(_LEVEL, _level(end - start, width))
+    return out.withColumn(_BIN, F.explode(_bins_at(F.col(_LEVEL), start, end, width)))
 
 
-def _left(points: DataFrame, listed: DataFrame, keys: Sequence[str], test: Column) -> DataFrame:
-    on = [F.col(f"p.{k}") == F.col(f"i.{k}") for k in (*keys, "__bin")]
-    condition = test
-    for c in on:
-        condition = condition & c
-    joined = points.alias("p").join(listed.hint("merge").alias("i"), condition, "left")
-    return joined.select(*(F.col(f"p.{c}") for c in points.columns if c != "__bin"), *(F.col(f"i.{c}") for c in listed.columns if c not in (*keys, "__bin")))
+def levels(df: DataFrame, start: Column, end: Column, width: int) -> list[int]:
+    """The levels that intervals need, a dozen numbers at most; the narrowest if there are none."""
+    found = df.where(end > start).select(_level(end - start, width).alias("level")).distinct().collect()
+    return sorted(r["level"] for r in found) or [0]
+
+
+def _asking(points: DataFrame, point: Column, width: int, at: Sequence[int]) -> DataFrame:
+    """A row for each level: the bin of it that holds the point."""
+    each = F.array(*(F.struct(F.lit(k).alias("level"), _div(point, width * 8**k).alias("bin")) for k in at))
+    return points.withColumn("__ask", F.explode(each)).withColumn(_LEVEL, F.col("__ask.level")).withColumn(_BIN, F.col("__ask.bin")).drop("__ask")
+
+
+def point_in_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str = "start", end: str = "end", width: int = 4096, how: str = "inner") -> DataFrame:
+    """Points with the intervals of the same keys that hold them; ``how`` is inner or left.  Each pair meets in one bin."""
+    at = levels(intervals, F.col(start), F.col(end), width)
+    held = listed(intervals, F.col(start), F.col(end), width)
+    inside = (F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))
+    on = [*keys, _LEVEL, _BIN]
+    if how == "inner":
+        return _asking(points, F.col(point), width, at).join(held.hint("merge"), on).where(inside).drop(_LEVEL, _BIN)
+    # a point may find intervals on one level and none on others: those that find none at all are added once
+    numbered = written(points.withColumn("__id", F.monotonically_increasing_id()), "points")
+    found = written(_asking(numbered, F.col(point), width, at).join(held.hint("merge"), on).where(inside).drop(_LEVEL, _BIN), "points-held")
+    none = numbered.join(found.select("__id").distinct().hint("merge"), "__id", "left_anti")
+    return found.unionByName(none, allowMissingColumns=True).drop("__id")
 
 
 def contained(inner: DataFrame, outer: DataFrame, keys: Sequence[str], lo: str, hi: str, start: str = "start", end: str = "end", width: int = 4096) -> DataFrame:
-    """Rows of ``inner`` with those of ``outer`` that contain [lo, hi): they meet in the bin of lo."""
-    listed = bins(outer, F.col(start), F.col(end), width, "__bin")
-    return inner.withColumn("__bin", _div(F.col(lo), width)).join(listed.hint("merge"), [*keys, "__bin"]).where((F.col(start) <= F.col(lo)) & (F.col(hi) <= F.col(end))).drop("__bin")
+    """Rows of ``inner`` with those of ``outer`` that contain [lo, hi): they meet in a bin of lo."""
+    at = levels(outer, F.col(start), F.col(end), width)
+    held = listed(outer, F.col(start), F.col(end), width)
+    return _asking(inner, F.col(lo), width, at).join(held.hint("merge"), [*keys, _LEVEL, _BIN]).where((F.col(start) <= F.col(lo)) & (F.col(hi) <= F.col(end))).drop(_LEVEL, _BIN)
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], ls: str, le: str, rs: str, re: str, width: int = 4096) -> DataFrame:
-    """Pairs of overlapping half-open intervals; a pair that shares several bins counts in the first of them only."""
-    a = bins(left, F.col(ls), F.col(le), width, "__bin")
-    b = bins(right, F.col(rs), F.col(re), width, "__bin")
-    first = F.greatest(_div(F.col(ls), width), _div(F.col(rs), width))
-    return a.join(b.hint("merge"), [*keys, "__bin"]).where((F.col(ls) < F.col(re)) & (F.col(le) > F.col(rs)) & (F.col("__bin") == first)).drop("__bin")
+    """Pairs of overlapping half-open intervals.
+
+    Each side is listed at its own level and at the wider ones that occur on the other side, two rows a level at most.  A
+    pair meets on the wider of both levels, in the first bin that both touch."""
+    sides = []
+    need = {k for df, a, b in ((left, ls, le), (right, rs, re)) for k in levels(df, F.col(a), F.col(b), width)}
+    for df, a, b, own in ((left, ls, le, "__l"), (right, rs, re, "__r")):
+        start, end = F.col(a), F.col(b)
+        some = df.where(end > start).withColumn(own, _level(end - start, width))
+        some = some.withColumn(_LEVEL, F.explode(F.filter(F.array(*(F.lit(k) for k in sorted(need))), lambda k: k >= F.col(own))))  # noqa: B023
+        sides.append(some.withColumn(_BIN, F.explode(_bins_at(F.col(_LEVEL), start, end, width))))
+    met = sides[0].join(sides[1].hint("merge"), [*keys, _LEVEL, _BIN])
+    first = F.get(_bins_at(F.col(_LEVEL), F.greatest(ls, rs), F.greatest(ls, rs) + 1, width), 0)
+    met = met.where((F.col(_LEVEL) == F.greatest("__l", "__r")) & (F.col(ls) < F.col(re)) & (F.col(le) > F.col(rs)) & (F.col(_BIN) == first))
+    return met.drop(_LEVEL, _BIN, "__l", "__r")
 
 
 def tiles(contigs: DataFrame, window: int, stride: int, bin_size: int = 1, length: str = "length") -> DataFrame:

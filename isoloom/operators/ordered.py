@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from isoloom.sources.scratch import written
 
+#: Rows of a table of totals that is broadcast.
+LOOKUP_ROWS = 200_000
 #: monotonically_increasing_id keeps the place of a row in its partition in so many low bits.
 _PLACE = 33
 
@@ -55,3 +57,23 @@ def running_sum(df: DataFrame, order: Sequence[Column], value: Column, name: str
     inside = W.partitionBy("__range").orderBy("__place").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("__inside", F.coalesce(F.sum("__value").over(inside), F.lit(0)))
     return _with_before(rows, before).withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__place", "__before", "__inside", "__value", "__row")
+
+
+def medians(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, median_<column>...): exact medians of several columns by key, nulls left out; keys whose values are all null have
+    null medians.
+
+    Equal values of a key are counted first.  The counts run along (key, column, value) in ranges, so a hot key's values are
+    spread over many ranges and no task holds them all; the median is where half of the key's count is reached."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).cast("double").alias("value")) for c in columns)))
+    counts = df.select(key, each.alias("x")).select(key, "x.*").where(F.col("value").isNotNull()).groupBy(key, "of", "value").agg(F.count(F.lit(1)).alias("n"))
+    rows = running_sum(counts, [F.col(key), F.col("of"), F.col("value")], F.col("n"), "before", unique=True)
+    rows = written(rows, "value-counts")
+    totals = rows.groupBy(key, "of").agg(F.min("before").alias("base"), F.sum("n").alias("total"))
+    few = totals.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
+    placed = rows.join(F.broadcast(totals) if few else totals.hint("merge"), [key, "of"])
+    at = F.col("before") - F.col("base")
+    holds = lambda k: (at <= k) & (k < at + F.col("n"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    middle = placed.groupBy(key, "of").agg(F.max(F.when(holds(low), F.col("value"))).alias("a"), F.max(F.when(holds(high), F.col("value"))).alias("b"))
+    return middle.groupBy(key).agg(*(F.max(F.when(F.col("of") == c, (F.col("a") + F.col("b")) / 2)).alias(f"median_{c}") for c in columns))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import intervals
+from isoloom.sources.scratch import written
+
+from . import intervals, ordered
 
 _KEY = ("sample_id", "chrom", "strand")
 _JUNCTION = ("chrom", "donor", "acceptor", "strand")
@@ -56,16 +58,13 @@ def with_gene(junctions: DataFrame, genes: DataFrame, width: int | None = None)
 
 
 def gene_summary(junctions: DataFrame, least_samples: int = 0) -> DataFrame:
-    """Per gene: samples, junctions, mean and exact median of both shares; junctions without a gene don't count."""
-    out = junctions.where(F.col("gene_id").isNotNull()).groupBy("gene_id").agg(
-        F.count_distinct("sample_id").alias("n_samples_covered"),
-        F.count(F.lit(1)).alias("n_junctions"),
-        F.avg("psi_donor").alias("mean_psi_donor"),
-        F.percentile("psi_donor", 0.5).alias("median_psi_donor"),
-        F.avg("psi_acceptor").alias("mean_psi_acceptor"),
-        F.percentile("psi_acceptor", 0.5).alias("median_psi_acceptor"),
-    )
-    return out.where(F.col("n_samples_covered") >= least_samples)
+    """Per gene: samples, junctions, mean and exact median of both shares; junctions without a gene don't count.
+
+    Medians are selected over ranges of values, so a hot gene's shares never meet in one buffer."""
+    rows = written(junctions.where(F.col("gene_id").isNotNull()).select("gene_id", "sample_id", "psi_donor", "psi_acceptor"), "gene-shares")
+    out = rows.groupBy("gene_id").agg(F.count_distinct("sample_id").alias("n_samples_covered"), F.count(F.lit(1)).alias("n_junctions"), F.avg("psi_donor").alias("mean_psi_donor"), F.avg("psi_acceptor").alias("mean_psi_acceptor"))
+    out = out.where(F.col("n_samples_covered") >= least_samples).join(ordered.medians(rows, "gene_id", ["psi_donor", "psi_acceptor"]).hint("merge"), "gene_id", "left")
+    return out.select("gene_id", "n_samples_covered", "n_junctions", "mean_psi_donor", "median_psi_donor", "mean_psi_acceptor", "median_psi_acceptor")
 
 
 def roll_up(junctions: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from isoloom.functions import ids
 from isoloom.operators import variants
 from isoloom.plans.fixtures import oracle, positions, view
-from isoloom.sources import readers, sinks
-from isoloom.sources.scratch import scratch_path
+from isoloom.sources import bgzf, readers, sinks
+from isoloom.sources.scratch import scratch_path, written
 from isoloom.sources.shard_stream import stream_by_name
 from isoloom.streaming import rewindow
 
@@ -35,6 +35,43 @@ def s1_fasta_chunks(spark, sf_dir):
     return f.select("chrom", "chunk_id", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
+#: Compressed bytes of a task's range here, small so that even small files are read by several.
+RANGE = 16_384
+
+
+def _fasta_bgzf(spark, sf_dir):
+    """One block-compressed file for each of four tasks."""
+    path = scratch_path(spark, "fasta-gz")
+    c = view(spark, sf_dir, "fx_contigs")
+    text = F.concat(F.lit(">chr"), "chrom", F.lit(" doc\n"), F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n"))
+    bgzf.write_lines(c.repartition(4, "chrom").select(text), path)
+    return path
+
+
+def s1_bgzf_chunks(spark, sf_dir):
+    """Block-compressed FASTA in chunks, files split into ranges."""
+    f = readers.read_fasta_chunks(spark, _fasta_bgzf(spark, sf_dir), CHUNK, only_chr=True, bgzf=True, split=RANGE)
+    return f.select("chrom", "chunk_id", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+def s1_bgzf_windows(spark, sf_dir):
+    """A window of each contig by the index of the compressed files; none reads more than a few members."""
+    path = _fasta_bgzf(spark, sf_dir)
+    index = written(bgzf.fasta_index(readers.fasta_lines(readers.text_lines(spark, path, bgzf=True, split=RANGE)), CHUNK), "fasta-index")
+    w = index.where("chunk_id = 0").select("chrom", F.explode(F.array(F.lit(-50).cast("long"), F.floor(F.col("length") / 2), F.col("length") - 30)).alias("start")).withColumn("end", F.col("start") + WINDOW)
+    s = bgzf.read_windows(w, index, path, CHUNK)
+    return s.select("chrom", F.col("start").alias("start_pos"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"), (F.col("bytes_read") < 3 * (1 << 16)).alias("few_bytes"))
+
+
+def s3_bgzf_vcf(spark, sf_dir):
+    """The variants' text block-compressed, read in ranges: the same rows, and several ranges of a file have some."""
+    path = scratch_path(spark, "vcf-gz")
+    bgzf.write_lines(spark.read.text(_vcf(spark, sf_dir)).coalesce(2), path)
+    r = readers.read_vcf(spark, path, bgzf=True, split=RANGE)
+    ranges = bgzf.read_lines(spark, path, RANGE).groupBy("file").agg(F.count_distinct("block").alias("n")).agg((F.max("n") > 1).alias("several"))
+    return r.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos"), F.sum("qual").alias("sum_qual"), F.max("alt").alias("last_alt")).join(F.broadcast(ranges))  # one row
+
+
 def m1_window_sequences(spark, sf_dir):
     c = view(spark, sf_dir, "fx_contigs").select("chrom", F.col("length").cast("long").alias("length"), "seq")
     w = c.select("chrom", F.explode(F.array(F.lit(-50).cast("long"), (F.col("length") / 2).cast("long"), F.col("length") - 30)).alias("start")).withColumn("end", F.col("start") + WINDOW)
@@ -310,7 +347,7 @@ def x10_stream_counts(spark, sf_dir):
 
 
 _QUERIES = (
-    s1_fasta, s1_fasta_chunks, s2_gtf, s3_vcf, s4_gct, s5_junction_tables, s6_shards, s7_sequences, m1_window_sequences, p2_attributes, f7_rejected_lines, f7_reject_counts, k1_sharded, k1_row_shards, k2_by_sample, k3_by_chromosome, k4_metadata, k5_guarded,
+    s1_fasta, s1_fasta_chunks, s1_bgzf_chunks, s1_bgzf_windows, s3_bgzf_vcf, s2_gtf, s3_vcf, s4_gct, s5_junction_tables, s6_shards, s7_sequences, m1_window_sequences, p2_attributes, f7_rejected_lines, f7_reject_counts, k1_sharded, k1_row_shards, k2_by_sample, k3_by_chromosome, k4_metadata, k5_guarded,
     x5_streamed_windows, x2_batch_windows, s8_shards_by_name, x9_stream_dedup, x10_stream_counts,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
@@ -331,6 +368,11 @@ o AS (SELECT chrom || chr(9) || 't' || chr(9) || 'exon' || chr(9) || tx AS line,
 ORACLES = {
     "s1_fasta": oracle(["fx_contigs"], "SELECT 'chr' || chrom AS chrom, CAST(length AS BIGINT) AS length, md5(seq) AS seq_md5 FROM fx_contigs"),
     "s1_fasta_chunks": oracle(["fx_contigs"], f"c AS (SELECT chrom, seq, unnest(range(0, CAST(ceil(length / {CHUNK}) AS BIGINT))) AS chunk_id FROM fx_contigs) SELECT 'chr' || chrom AS chrom, chunk_id, md5(substr(seq, CAST(chunk_id * {CHUNK} + 1 AS BIGINT), {CHUNK})) AS chunk_md5 FROM c"),
+    "s1_bgzf_chunks": oracle(["fx_contigs"], f"c AS (SELECT chrom, seq, unnest(range(0, CAST(ceil(length / {CHUNK}) AS BIGINT))) AS chunk_id FROM fx_contigs) SELECT 'chr' || chrom AS chrom, chunk_id, md5(substr(seq, CAST(chunk_id * {CHUNK} + 1 AS BIGINT), {CHUNK})) AS chunk_md5 FROM c"),
+    "s1_bgzf_windows": oracle(
+        ["fx_contigs"],
+        f"a AS (SELECT DISTINCT chrom, seq, CAST(length AS BIGINT) AS length, CAST(unnest([-50, length // 2, length - 30]) AS BIGINT) AS s FROM fx_contigs WHERE length > 0) SELECT 'chr' || chrom AS chrom, s AS start_pos, md5(repeat('N', greatest(0, least(s + {WINDOW}, 0) - s)) || substr(seq, greatest(s, 0) + 1, greatest(0, least(s + {WINDOW}, length) - greatest(s, 0))) || repeat('N', greatest(0, s + {WINDOW} - greatest(length, s, 0)))) AS seq_md5, true AS few_bytes FROM a",
+    ),
     "m1_window_sequences": oracle(
         ["fx_contigs"],
         f"a AS (SELECT DISTINCT chrom, seq, CAST(length AS BIGINT) AS length, CAST(unnest([-50, length // 2, length - 30]) AS BIGINT) AS s FROM fx_contigs) SELECT chrom, s AS start_pos, s + {WINDOW} AS end_pos, repeat('N', greatest(0, least(s + {WINDOW}, 0) - s)) || substr(seq, greatest(s, 0) + 1, greatest(0, least(s + {WINDOW}, length) - greatest(s, 0))) || repeat('N', greatest(0, s + {WINDOW} - greatest(length, s, 0))) AS seq FROM a",
@@ -349,6 +391,10 @@ SELECT format, reason, count(*) AS n, true AS as_observed FROM a GROUP BY 1, 2""
         ["fx_variants"],
         "v AS (SELECT chrom, pos, CASE WHEN pos % 3 <> 0 THEN (pos % 100)::DOUBLE END AS q, alt FROM fx_variants UNION ALL SELECT chrom, pos, CASE WHEN pos % 3 <> 0 THEN (pos % 100)::DOUBLE END, alt || 'T' FROM fx_variants WHERE pos % 5 = 0) SELECT chrom, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos, sum(q) AS sum_qual, CAST(0 AS BIGINT) AS n_ids, CAST(2 AS INTEGER) AS n_samples, max(alt) AS last_alt FROM v GROUP BY 1",
     ),
+    "s3_bgzf_vcf": oracle(
+        ["fx_variants"],
+        "v AS (SELECT chrom, pos, CASE WHEN pos % 3 <> 0 THEN (pos % 100)::DOUBLE END AS q, alt FROM fx_variants UNION ALL SELECT chrom, pos, CASE WHEN pos % 3 <> 0 THEN (pos % 100)::DOUBLE END, alt || 'T' FROM fx_variants WHERE pos % 5 = 0) SELECT chrom, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos, sum(q) AS sum_qual, max(alt) AS last_alt, true AS several FROM v GROUP BY 1",
+    ),
     "s4_gct": oracle(
         _J,
         "j AS (SELECT DISTINCT donor, acceptor, strand FROM fx_junctions), c AS (SELECT j.*, chrom, coalesce((SELECT sum(count) FROM fx_junctions f WHERE f.donor = j.donor AND f.acceptor = j.acceptor AND f.strand = j.strand AND f.chrom = s.chrom), 0) AS n FROM j, (VALUES ('A'), ('N'), ('R')) s(chrom)) SELECT 'S-' || chrom AS sample_id, strand, count(*) AS n, CAST(sum(CASE WHEN donor % 4 = 1 AND chrom = 'R' THEN 0 ELSE n END) AS BIGINT) AS reads, CAST(sum(donor) AS BIGINT) AS sum_donor FROM c GROUP BY 1, 2",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from isoloom.functions import ids
 from isoloom.schema import SEQUENCE_SAMPLE, require_columns
+from isoloom.sources.bgzf import SPLIT, read_lines
 
 #: Contigs whose lengths are broadcast.
 LENGTHS_ROWS = 200_000
@@ -31,12 +32,20 @@ def sequence_chunks(contigs: DataFrame, size: int) -> DataFrame:
     return contigs.select("chrom", pieces).select("chrom", F.col("chunk_id").cast("long").alias("chunk_id"), (F.col("chunk_id").cast("long") * size).alias("chunk_start"), "chunk")
 
 
-def read_fasta_chunks(spark: SparkSession, path: str, size: int, only_chr: bool = False) -> DataFrame:
-    """(chrom, chunk_id, chunk_start, chunk) of FASTA text, whatever the length of a record: no row or task holds one.
+def text_lines(spark: SparkSession, path: str, bgzf: bool = False, split: int = SPLIT) -> DataFrame:
+    """(value, file, block, line, at): lines with the block of the file that they are in, in order there.  Block-compressed
+    files are split like plain ones and tell each line's virtual offset ``at``, which is null for plain text."""
+    if bgzf:
+        return read_lines(spark, path, split)
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.lit(None).cast("long").alias("at"))
+
+
+def fasta_lines(lines: DataFrame, only_chr: bool = False) -> DataFrame:
+    """(chrom, at_base, bases, file, at) of FASTA text from :func:`text_lines`: every line of bases with its contig and its
+    offset there.
 
     Lines are placed by file and block of the file; each block's last header and the bases after it are known from a
     small table of blocks, and so each line's contig and offset."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     head = F.when(F.col("value").startswith(">"), F.split(F.trim(F.substring("value", 2, 1 << 20)), r"\s")[0])
     lines = lines.withColumn("head", head).withColumn("bases", F.when(head.isNull(), F.upper(F.regexp_replace("value", r"\s", ""))).otherwise(F.lit(""))).drop("value")
     here = W.partitionBy("file", "block").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -48,8 +57,13 @@ def read_fasta_chunks(spark: SparkSession, path: str, size: int, only_chr: bool
     blocks = blocks.withColumn("of", F.last("name", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1))).withColumn("carried", F.coalesce(F.lag("so_far").over(along), F.lit(0)))
     placed = lines.join(blocks.select("file", "block", "of", "carried").hint("merge"), ["file", "block"])
     offset = F.when(F.col("base").isNull(), F.col("carried") + F.col("seen")).otherwise(F.col("seen") - F.col("base")) - F.length("bases")
-    rows = placed.select(F.coalesce("name", "of").alias("chrom"), offset.alias("at"), "bases").where(F.col("chrom").isNotNull() & (F.length("bases") > 0))
-    rows = rows.where(F.col("chrom").startswith("chr")) if only_chr else rows
+    rows = placed.select(F.coalesce("name", "of").alias("chrom"), offset.alias("at_base"), "bases", "file", "at").where(F.col("chrom").isNotNull() & (F.length("bases") > 0))
+    return rows.where(F.col("chrom").startswith("chr")) if only_chr else rows
+
+
+def read_fasta_chunks(spark: SparkSession, path: str, size: int, only_chr: bool = False, bgzf: bool = False, split: int = SPLIT) -> DataFrame:
+    """(chrom, chunk_id, chunk_start, chunk) of FASTA text, whatever the length of a record: no row or task holds one."""
+    rows = fasta_lines(text_lines(spark, path, bgzf, split), only_chr).select("chrom", F.col("at_base").alias("at"), "bases")
     first, beyond = F.floor(F.col("at") / size), F.floor((F.col("at") + F.length("bases") - 1) / size)
     cut = rows.withColumn("chunk_id", F.explode(F.sequence(first, beyond)))
     lo = F.greatest(F.col("chunk_id") * size - F.col("at"), F.lit(0))
@@ -86,9 +100,9 @@ def _parsed(lines: DataFrame, reason: Column, row: Column) -> DataFrame:
     return out.select(F.when(F.col("reason").isNotNull(), F.col("value")).alias("line"), "reason", F.when(F.col("reason").isNull(), row).alias("row"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str, bgzf: bool = False, split: int = SPLIT) -> DataFrame:
     """Lines that are no comments, with their tab-separated fields f."""
-    return spark.read.text(path).where(~F.col("value").startswith("#")).select("value", F.split("value", "\t").alias("f"))
+    return (read_lines(spark, path, split).select("value") if bgzf else spark.read.text(path)).where(~F.col("value").startswith("#")).select("value", F.split("value", "\t").alias("f"))
 
 
 def _f(k: int) -> Column:
@@ -99,16 +113,16 @@ def _known(c: Column) -> Column:
     return F.when(c != ".", c)
 
 
-def parsed_gtf(spark: SparkSession, path: str) -> DataFrame:
+def parsed_gtf(spark: SparkSession, path: str, bgzf: bool = False, split: int = SPLIT) -> DataFrame:
     """(line, reason, row): a feature row of a line of nine fields with readable bounds, else the line and the reason.  The
     ninth field may be empty."""
     start, end = _f(3).try_cast("bigint"), _f(4).try_cast("bigint")
     reason = F.when(F.size("f") != 9, "fields").when(start.isNull() | end.isNull(), "number")
     row = F.struct(_f(0).alias("chrom"), _f(1).alias("source"), _f(2).alias("feature"), (start - 1).alias("start"), end.alias("end"), _f(6).alias("strand"), ids.parse_attributes(_f(8)).alias("attrs"))
-    return _parsed(_lines(spark, path), reason, row)
+    return _parsed(_lines(spark, path, bgzf, split), reason, row)
 
 
-def parsed_vcf(spark: SparkSession, path: str) -> DataFrame:
+def parsed_vcf(spark: SparkSession, path: str, bgzf: bool = False, split: int = SPLIT) -> DataFrame:
     """(line, reason, row): a line of eight fields or more with a readable position, else the reason; ``row.alts`` has all
     alternate alleles."""
     pos = _f(1).try_cast("bigint")
@@ -117,7 +131,7 @@ def parsed_vcf(spark: SparkSession, path: str) -> DataFrame:
         _f(0).alias("chrom"), pos.alias("pos"), _known(_f(2)).alias("id"), _f(3).alias("ref"), F.split(_f(4), ",").alias("alts"), _known(_f(5)).try_cast("double").alias("qual"),
         _f(6).alias("filter"), _f(7).alias("info"), F.slice("f", 9, 1 << 30).alias("samples"),
     )
-    return _parsed(_lines(spark, path), reason, row)
+    return _parsed(_lines(spark, path, bgzf, split), reason, row)
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -128,9 +142,9 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNotNull()).select("line", "reason")
 
 
-def read_gtf(spark: SparkSession, path: str, features: Sequence[str] = (), chroms: Sequence[str] = ()) -> DataFrame:
+def read_gtf(spark: SparkSession, path: str, features: Sequence[str] = (), chroms: Sequence[str] = (), bgzf: bool = False) -> DataFrame:
     """Feature rows, half-open from 0; comments, and lines that :func:`parsed_gtf` rejects, are left out."""
-    rows = accepted(parsed_gtf(spark, path))
+    rows = accepted(parsed_gtf(spark, path, bgzf))
     if features:
         rows = rows.where(F.col("feature").isin(*features))
     return rows.where(F.col("chrom").isin(*chroms)) if chroms else rows
@@ -141,16 +155,16 @@ def alleles(vcf: DataFrame) -> DataFrame:
     return vcf.withColumn("alt", F.explode("alts")).select("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "samples")
 
 
-def read_vcf(spark: SparkSession, path: str) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, bgzf: bool = False, split: int = SPLIT) -> DataFrame:
     """A row for each alternate allele; '.' is null; headers, and lines that :func:`parsed_vcf` rejects, are left out."""
-    return alleles(accepted(parsed_vcf(spark, path)))
+    return alleles(accepted(parsed_vcf(spark, path, bgzf, split)))
 
 
-def gct_header(spark: SparkSession, path: str) -> tuple[list[str], bool]:
+def gct_header(spark: SparkSession, path: str, bgzf: bool = False) -> tuple[list[str], bool]:
     """(names, described): the header's fields and whether the second one is a description.
 
     The version must be #1.2 or #1.3."""
-    lines = spark.read.text(path)
+    lines = read_lines(spark, path) if bgzf else spark.read.text(path)
     if lines.where(F.col("value").isin("#1.2", "#1.3")).isEmpty():
         raise ValueError("not a GCT file: no #1.2 or #1.3 line")
     head = lines.where(F.col("value").startswith("Name\t")).first()
@@ -160,23 +174,23 @@ def gct_header(spark: SparkSession, path: str) -> tuple[list[str], bool]:
     return names, len(names) > 1 and names[1] == "Description"
 
 
-def parsed_gct(spark: SparkSession, path: str, names: Sequence[str], described: bool) -> DataFrame:
+def parsed_gct(spark: SparkSession, path: str, names: Sequence[str], described: bool, bgzf: bool = False, split: int = SPLIT) -> DataFrame:
     """(line, reason, row) of a matrix's lines; header and dimensions are neither.  One trailing empty field is dropped, one
     missing count is 0; other ragged lines are rejected."""
     n, first = len(names), 2 if described else 1
-    body = _lines(spark, path).where(~F.col("value").startswith("Name\t") & ~F.col("value").rlike(r"^\d+\t\d+\t*$"))
+    body = _lines(spark, path, bgzf, split).where(~F.col("value").startswith("Name\t") & ~F.col("value").rlike(r"^\d+\t\d+\t*$"))
     fitted = F.when(F.size("f") == n, F.col("f")).when((F.size("f") == n + 1) & (F.element_at("f", -1) == ""), F.slice("f", 1, n)).when(F.size("f") == n - 1, F.concat("f", F.array(F.lit("0"))))
     reason = F.when(F.size("f") < (3 if n > 2 else 2), "fields").when(fitted.isNull(), "samples")
     row = F.struct(F.get(fitted, 0).alias("junction_id"), (F.get(fitted, 1) if described else F.lit(None).cast("string")).alias("gene_id"), F.slice(fitted, first + 1, max(0, n - first)).alias("counts"))
     return _parsed(body, reason, row)
 
 
-def read_gct(spark: SparkSession, path: str) -> DataFrame:
+def read_gct(spark: SparkSession, path: str, bgzf: bool = False, split: int = SPLIT) -> DataFrame:
     """Junction counts of a GCT matrix: (junction_id, gene_id or null, sample_id, count); lines that :func:`parsed_gct` rejects
     are left out.  Counts are whole parts of numbers, 0 where unreadable."""
-    names, described = gct_header(spark, path)
+    names, described = gct_header(spark, path, bgzf)
     samples = names[2 if described else 1 :]
-    long = accepted(parsed_gct(spark, path, names, described)).select("junction_id", "gene_id", F.posexplode("counts").alias("k", "x"))
+    long = accepted(parsed_gct(spark, path, names, described, bgzf, split)).select("junction_id", "gene_id", F.posexplode("counts").alias("k", "x"))
     count = F.coalesce(F.floor(F.col("x").try_cast("double")).cast("long"), F.lit(0).cast("long"))
     # names by place in the header: a table of one row a sample, since the header may hold thousands
     named = spark.createDataFrame(list(enumerate(samples)), "k int, sample_id string")
