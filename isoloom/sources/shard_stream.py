@@ -3,8 +3,8 @@
 A position is (file, row groups of it that are done), so order and restarts depend on names alone, never on file times.  A
 batch is the next file, or as many of its row groups as hold ``rows`` rows (one at least).  Spark's own offset log says
 what a restarted query has done, but doesn't tell the source; so ``progress`` names a file, of this query alone like its
-checkpoint, in which the source keeps the last finished position for itself.  It is one batch behind at most, and the
-batch that follows a position depends on nothing else, so a restart meets the same offsets again and goes on from there.
+checkpoint, in which the source keeps the last position that it gave out, before it does so.  After a restart it goes on
+from there: Spark has that position in its log, or else takes the batch together with the next one.
 
 Paths are those that pyarrow's file systems know.  A file whose name sorts before what has been read is never read.
 """
@@ -92,7 +92,10 @@ class ShardReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """The end of the next batch; the same as before where nothing more has come."""
-        self.at = self._next(*(self.at or self._kept()))
+        before = self.at or self._kept()
+        self.at = self._next(*before)
+        if self.at != before:
+            self._keep(self.at)
         return {"file": self.at[0], "groups": self.at[1]}
 
     def _kept(self) -> tuple[str, int]:
@@ -102,11 +105,11 @@ class ShardReader(DataSourceStreamReader):
         with fs.open_input_stream(path) as f:
             return tuple(json.loads(f.read()))
 
-    def commit(self, end: dict) -> None:
+    def _keep(self, at: tuple[str, int]) -> None:
         fs, path = pafs.FileSystem.from_uri(self.progress)
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
         with fs.open_output_stream(path + ".new") as f:
-            f.write(json.dumps([end["file"], end["groups"]]).encode())
+            f.write(json.dumps(at).encode())
         fs.move(path + ".new", path)
 
     def partitions(self, start: dict, end: dict) -> list[Groups]:

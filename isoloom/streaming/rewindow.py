@@ -71,7 +71,7 @@ class Progress(StatefulProcessor):
                 self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle)
         yield self._closings(key, before, closed, highest, ended)
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The chromosome was silent for so long that no more is expected."""
         closed, highest = map(int, self.seen.get())
         yield self._closings(key, closed, closed, highest, True)
