@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,12 +14,14 @@ from isoloom.sources.scratch import Rounds, written
 
 from .wordhash import buffers
 
-__all__ = ["FOLDS", "HELD_OUT", "Rounds", "each_slice", "each_text", "fits_broadcast", "held_out", "read_table", "sampled_texts", "slices", "written"]
+__all__ = ["FOLDS", "HELD_OUT", "Rounds", "bounded_batches", "each_slice", "each_text", "fits_broadcast", "give_back", "held_out", "read_table", "sampled_texts", "slices", "written"]
 
 #: Documents whose crc32(doc_id as text) mod FOLDS equals HELD_OUT are never learned from.
 FOLDS, HELD_OUT = 4, 2
 #: Bytes of text that a worker handles at once; bounds what it needs beside a batch.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch that Spark hands to a worker at most.
+BATCH_BYTES = 8 << 20
 #: Bytes of text that a model learns from at most.
 SAMPLE_BYTES = 48 << 20
 
@@ -75,6 +78,23 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded to ``BATCH_BYTES``: rows are counted by default, and texts are long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end.  Workers stay for the tasks of other stages, and an executor has
+    several, so what each of them keeps adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def each_text(
     df: DataFrame, schema: str, work: Callable[[pa.Array, pa.Array], Iterable[pa.RecordBatch]], id_col: str | None = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -84,9 +104,11 @@ def each_text(
         for b in it:
             for at, to in slices(b.column(1)):
                 yield from work(b.column(0).slice(at, to - at), b.column(1).slice(at, to - at))
+        b = None
+        give_back()
 
     ids = F.lit(None) if id_col is None else F.col(id_col)
-    return df.select(ids.cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(batches, schema)
+    return bounded_batches(df).select(ids.cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(batches, schema)
 
 
 def each_slice(df: DataFrame, text_col: str, work: Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch], schema=None) -> DataFrame:
@@ -98,5 +120,7 @@ def each_slice(df: DataFrame, text_col: str, work: Callable[[pa.RecordBatch, pa.
             texts = b.column(place).fill_null("")
             for at, to in slices(texts):
                 yield work(b.slice(at, to - at), texts.slice(at, to - at))
+        b = texts = None
+        give_back()
 
-    return df.mapInArrow(batches, schema or df.schema)
+    return bounded_batches(df).mapInArrow(batches, schema or df.schema)

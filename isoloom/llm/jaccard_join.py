@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import each_text, fits_broadcast, slices, written
+from .common import bounded_batches, each_text, fits_broadcast, give_back, slices, written
 from .components import components
 from .wordhash import SPACED, buffers, mix, shingles, words
 
@@ -106,8 +106,10 @@ def _described(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
                     pile, held = [], 0
         if held:
             yield counted(pile)
+        b = h = data = pile = None
+        give_back()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(batches, "doc_id long, n long, digest binary, token long, seen long")
 
 
@@ -404,9 +406,15 @@ def linked(rows: DataFrame, sizes: DataFrame, payload: DataFrame, block: int, bl
         tasks = max(least_tasks, -(-n_rows // SCAN_ROWS), -(-n_bytes // CHECK_BYTES))
         return tasks, F.pmod(F.xxhash64("g", "own", "mate"), F.lit(tasks)).cast("int")
 
+    def work(table: pa.Table) -> pa.Table:
+        try:
+            return solve(table)
+        finally:
+            give_back()
+
     def solved(units: DataFrame, tasks: int) -> DataFrame:
         full = units.select(*_UNIT, "task").join(payload.hint("merge"), "rep").repartition(tasks, "task")
-        return written(full.groupBy("task").applyInArrow(solve, "task int, a long, b long").where("a <> b").distinct(), name)
+        return written(full.groupBy("task").applyInArrow(work, "task int, a long, b long").where("a <> b").distinct(), name)
 
     def told(units: DataFrame, edges: DataFrame) -> DataFrame:
         """``units`` with the least of each row's tree in its task; several rows of one rep have one."""

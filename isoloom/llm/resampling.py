@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from isoloom.operators.ordered import ranked
 
-from .common import Rounds, each_text, slices, written
+from .common import Rounds, bounded_batches, each_text, give_back, slices, written
 from .wordhash import Alphabet, Words, _lower, buffers, words
 
 BUCKETS = 10_000
@@ -105,10 +105,12 @@ def bucket_counts(df: DataFrame, run: int = 1, text_col: str = "text") -> np.nda
             for at, to in slices(b.column(0)):
                 for _, _, bucket in _features(b.column(0).slice(at, to - at), run):
                     total += np.bincount(bucket, minlength=BUCKETS)
+        b = None
+        give_back()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
-    rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(batches, "bucket long, n long")
+    rows = bounded_batches(df).select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(batches, "bucket long, n long")
     out = np.zeros(BUCKETS, np.int64)
     for r in rows.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
         out[r["bucket"]] = r["n"]

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; bounds the temporary arrays at about 50 times as much.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
