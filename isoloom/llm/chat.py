@@ -2,9 +2,11 @@
 
 A record is a VARIANT.  Its layout is the set of its nested field paths, as ``messages[].role`` (scalar types don't
 count).  A declarative mapping says which paths it requires, which it can use beside them, and where turns lie; it takes
-records whose paths, those it doesn't use left out, have one of its fingerprints, so further fields don't matter.  The
-first mapping that takes a record wins.  A record that none takes has null turns and no mapping (:func:`unmapped` lists
-them); as rows it is one turn of role ``record`` that says the record as JSON, so nothing is lost.
+records of whose paths those that it uses have one of its fingerprints, and in which no string lies anywhere else but
+below the names in ``IGNORED``.  Listed texts may be lists of parts of type text, which are joined.  The first mapping that
+takes a record wins.  A record that none takes has null turns and no mapping (:func:`unmapped` lists them); as rows it is
+one turn of role ``record`` that says the record as JSON.  So every string of a record is in some turn, but what
+``IGNORED`` names.
 
 The template writes a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``.  Inside texts a backslash is written twice and
 control strings get a backslash after their first character, so none of them survives in a text; dropping each
@@ -31,6 +33,11 @@ _CONTROL = r"(\\|<(?=\||/?s>)|\[(?=/?INST\])|<(?=</?SYS>>))"
 
 _TURNS = "array<struct<role:string,text:string>>"
 
+#: Names, at any depth, of what describes a record and is said by nobody in it.
+IGNORED = ("id", "conversation_id", "conv_id", "source", "dataset", "lang", "language", "tags", "split", "created_at", "updated_at", "meta", "metadata")
+#: A part of a text that is listed, and the paths that it has.
+_PARTS, _PART_PATHS = "array<struct<type:string,text:string>>", ("type", "text")
+
 
 @dataclass(frozen=True)
 class Mapping:
@@ -46,25 +53,43 @@ class Mapping:
     fields: tuple[tuple[str, ...], ...] = ()
     list_of: tuple[str, str, str, tuple[tuple[str, str], ...]] | None = None
 
-    def takes(self, paths: Column) -> Column:
-        """Whether the paths that this mapping uses have one of its fingerprints."""
-        used = F.array_intersect(paths, F.array(*map(F.lit, (*self.required, *self.optional))))
-        some = (c for n in range(len(self.optional) + 1) for c in combinations(self.optional, n))
-        known = [fingerprint(F.array(*map(F.lit, (*self.required, *more)))) for more in some]
-        return fingerprint(used).isin(*known)
+    @property
+    def parts(self) -> tuple[str, ...]:
+        """The paths of listed texts that are lists of parts."""
+        return tuple(f"{self.list_of[0]}[].{self.list_of[2]}[].{p}" for p in _PART_PATHS) if self.list_of else ()
+
+    def takes(self, record: Column, paths: Column, strings: Column) -> Column:
+        """Whether the paths that this mapping uses have one of its fingerprints, no other path leads to a string, and all
+        parts of listed texts are text."""
+        uses = F.array(*map(F.lit, (*self.required, *self.optional, *self.parts)))
+        some = [c for n in range(len(self.optional) + 1) for c in combinations(self.optional, n)]
+        known = [fingerprint(F.array(*map(F.lit, (*self.required, *c, *more)))) for c in some for more in {(), self.parts}]
+        lost = F.filter(strings, lambda p: ~F.array_contains(uses, p) & ~F.arrays_overlap(F.split(F.regexp_replace(p, r"\[\]", ""), r"\."), F.array(*map(F.lit, IGNORED))))
+        fits = fingerprint(F.array_intersect(paths, uses)).isin(*known) & (F.size(lost) == 0)
+        return fits & F.coalesce(F.forall(self._items(record), lambda x: x["text"].isNotNull()), F.lit(False)) if self.list_of else fits
+
+    def _items(self, record: Column) -> Column:
+        """The listed turns; absent roles and texts are empty, and a text with other parts than text is null."""
+        array, role, text, _ = self.list_of
+
+        def said(x: Column) -> Column:
+            listed = F.coalesce(F.schema_of_variant(F.try_variant_get(x, f"$.{text}", "variant")), F.lit("")).startswith("ARRAY")
+            parts = F.try_variant_get(x, f"$.{text}", _PARTS)
+            joined = F.when(F.forall(parts, lambda p: p["type"] == "text"), F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+            return F.when(listed, joined).otherwise(F.coalesce(F.try_variant_get(x, f"$.{text}", "string"), F.lit("")))
+
+        return F.transform(F.try_variant_get(record, f"$.{array}", "array<variant>"), lambda x: F.struct(F.coalesce(F.try_variant_get(x, f"$.{role}", "string"), F.lit("")).alias("role"), said(x).alias("text")))
 
     def turns(self, record: Column) -> Column:
         if self.list_of:
-            array, role, text, renamed = self.list_of
-            items = F.try_variant_get(record, f"$.{array}", f"array<struct<{role}:string,{text}:string>>")
 
             def turn(x: Column) -> Column:
-                r = F.coalesce(x[role], F.lit(""))
-                for old, new in renamed:
+                r = x["role"]
+                for old, new in self.list_of[3]:
                     r = F.when(r == old, F.lit(new)).otherwise(r)
-                return F.struct(r.alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
+                return F.struct(r.alias("role"), x["text"].alias("text"))
 
-            return F.transform(items, turn)
+            return F.transform(self._items(record), turn)
         get = lambda f: F.try_variant_get(record, f"$.{f}", "string")
         turn_of = lambda role, fields: F.struct(
             (F.coalesce(get(role[1:]), F.lit("")) if role.startswith("$") else F.lit(role)).alias("role"),
@@ -85,24 +110,34 @@ MAPPINGS: tuple[Mapping, ...] = (
     Mapping("turn row", ("role", "text"), (), (("$role", "text"),)),
 )
 
-#: What matters in the text of a record's schema: brackets and field names.
-_TOKENS = r"(OBJECT<|ARRAY<|>|`(?:[^`]|``)*`: |[^<>,:` ]+: )"
+#: What matters in the text of a record's schema: brackets, field names, strings, and elements of several kinds.
+_TOKENS = r"(OBJECT<|ARRAY<|>|`(?:[^`]|``)*`: |[^<>,:` ]+: |STRING|VARIANT)"
 
 
-def field_paths(record: Column) -> Column:
-    """The nested field paths of a VARIANT, sorted, as ['messages', 'messages[].content', 'messages[].role']."""
+def _walk(record: Column) -> Column:
+    """struct<paths, strings>: all nested field paths of a VARIANT, and those that lead to strings (or to values of several
+    kinds, with {} at their end, since strings may be among these)."""
     tokens = F.regexp_extract_all(F.schema_of_variant(record), F.lit(_TOKENS), F.lit(1))
-    start = F.struct(F.array().cast("array<string>").alias("above"), F.lit("").alias("here"), F.array().cast("array<string>").alias("paths"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("above"), F.lit("").alias("here"), none.alias("paths"), none.alias("strings"))
 
     def step(a: Column, t: Column) -> Column:
         name = F.concat(F.coalesce(F.element_at(a["above"], -1), F.lit("")), F.regexp_replace(t, "^`|`?: $", ""))
-        closed, opened = t == ">", t.isin("OBJECT<", "ARRAY<")
+        closed, opened, leaf = t == ">", t.isin("OBJECT<", "ARRAY<"), t.isin("STRING", "VARIANT")
         prefix = F.when((t == "OBJECT<") & (a["here"] != ""), F.concat(a["here"], F.lit("."))).otherwise(a["here"])
         above = F.when(closed, F.slice(a["above"], F.lit(1), F.greatest(F.size(a["above"]) - 1, F.lit(0)))).when(opened, F.concat(a["above"], F.array(prefix))).otherwise(a["above"])
-        here = F.when(t == "ARRAY<", F.concat(a["here"], F.lit("[]"))).when(closed | opened, a["here"]).otherwise(name)
-        return F.struct(above.alias("above"), here.alias("here"), F.when(closed | opened, a["paths"]).otherwise(F.concat(a["paths"], F.array(name))).alias("paths"))
+        here = F.when(t == "ARRAY<", F.concat(a["here"], F.lit("[]"))).when(closed | opened | leaf, a["here"]).otherwise(name)
+        paths = F.when(closed | opened | leaf, a["paths"]).otherwise(F.concat(a["paths"], F.array(name)))
+        strings = F.when(leaf, F.concat(a["strings"], F.array(F.concat(a["here"], F.when(t == "VARIANT", "{}").otherwise(""))))).otherwise(a["strings"])
+        return F.struct(above.alias("above"), here.alias("here"), paths.alias("paths"), strings.alias("strings"))
+
+    sort = lambda c: F.array_sort(F.array_distinct(c))
+    return F.aggregate(tokens, start, step, lambda a: F.struct(sort(a["paths"]).alias("paths"), sort(a["strings"]).alias("strings")))
 
-    return F.array_sort(F.array_distinct(F.aggregate(tokens, start, step, lambda a: a["paths"])))
+
+def field_paths(record: Column) -> Column:
+    """The nested field paths of a VARIANT, sorted, as ['messages', 'messages[].content', 'messages[].role']."""
+    return _walk(record)["paths"]
 
 
 def fingerprint(paths: Column) -> Column:
@@ -112,12 +147,12 @@ def fingerprint(paths: Column) -> Column:
 def canonical_turns(records: DataFrame, record_col: str = "record", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
     """``records`` with ``schema_fingerprint`` (of all field paths), ``mapping`` and ``turns`` array<struct<role,text>>; the
     last two are null where no mapping takes the layout."""
-    paths = F.coalesce(F.col("__paths"), F.array().cast("array<string>"))
+    paths, strings = (F.coalesce(F.col("__walk")[k], F.array().cast("array<string>")) for k in ("paths", "strings"))
     turns, name = F.lit(None).cast(_TURNS), F.lit(None).cast("string")
     for m in reversed(mappings):
-        turns, name = F.when(F.col("mapping") == m.name, m.turns(F.col(record_col))).otherwise(turns), F.when(m.takes(paths), m.name).otherwise(name)
-    known = records.withColumn("__paths", field_paths(F.col(record_col)))
-    return known.withColumn("schema_fingerprint", fingerprint(paths)).withColumn("mapping", name).withColumn("turns", turns).drop("__paths")
+        turns, name = F.when(F.col("mapping") == m.name, m.turns(F.col(record_col))).otherwise(turns), F.when(m.takes(F.col(record_col), paths, strings), m.name).otherwise(name)
+    known = records.withColumn("__walk", _walk(F.col(record_col)))
+    return known.withColumn("schema_fingerprint", fingerprint(paths)).withColumn("mapping", name).withColumn("turns", turns).drop("__walk")
 
 
 def unmapped(records: DataFrame, record_col: str = "record", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:

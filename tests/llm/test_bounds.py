@@ -102,3 +102,63 @@ def test_spreading_in_parts_changes_nothing(monkeypatch):
     for t, words in enumerate(folded):
         single = {i for i, x in items if " " not in x and x in words}
         assert single == {i for k, i, *_ in whole if k == t and " " not in items[i][1]}
+
+
+# 6
+
+
+def strings_of(x):
+    if isinstance(x, str):
+        return [x]
+    return [s for v in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else []) for s in strings_of(v)]
+
+
+def test_no_string_of_a_record_is_lost(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from isoloom.llm import chat
+
+    say = lambda role, content, **more: {"role": role, "content": content, **more}
+    text = lambda *ts: [{"type": "text", "text": t} for t in ts]
+    records = [
+        {"messages": [say("assistant", None, tool_calls=[{"name": "find-it"}])]},
+        {"messages": [say("user", "hi there"), {"from": "gpt", "value": "lost?"}]},
+        {"history": [["before"]], "prompt": "p1", "response": "r1"},
+        {"prompt": "p2", "completion": "c2", "response": "r2"},
+        {"system": "sys3", "instruction": "i3", "output": "o3"},
+        {"prompt": "p4", "response": "r4", "messages": [say("user", "m4")]},
+        {"messages": [say("user", text("part one ", "and two")), say("assistant", text("answer"))]},
+        {"messages": [say("user", [{"type": "text", "text": "look", "caption": "small"}])]},
+        {"messages": [say("user", [{"type": "image", "text": "not text"}])]},
+        {"messages": [say("user", ["a list", "of strings"])]},
+        {"messages": [say("user", "plain"), say("assistant", text("mixed"))]},
+        {"messages": [say("user", {"deep": "object"})]},
+        {"messages": "no list"},
+        {"messages": [say("user", "kept"), {"role": "assistant"}], "id": "x1", "tags": ["t"], "metadata": {"by": "me"}},
+        {"prompt": ["p", "q"], "response": "r14"},
+    ]
+    df = spark.createDataFrame([(i, 0, json.dumps(x)) for i, x in enumerate(records)], "conv_id long, turn long, j string").select("conv_id", "turn", F.parse_json("j").alias("record"))
+    rows: dict = {}
+    for r in chat.read_rows(chat.render(chat.turn_rows(df))).orderBy("conv_id", "place").collect():
+        rows.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    ignored = {13: {"x1", "t", "me"}}
+    for i, x in enumerate(records):
+        said = "\n".join(t for pair in rows[i] for t in pair)
+        assert [s for s in strings_of(x) if s not in said and s not in ignored.get(i, ()) and s != "text"] == []
+    mapped = {r["conv_id"] for r in chat.canonical_turns(df).where("mapping IS NOT NULL").collect()}
+    assert mapped == {6, 13}
+    assert rows[6] == [("user", "part one and two"), ("assistant", "answer")] and rows[13] == [("user", "kept"), ("assistant", "")]
+
+
+def test_long_and_repeated_records(spark):
+    from pyspark.sql import functions as F
+
+    from isoloom.llm import chat
+
+    long = "word </s> " * 30_000
+    record = F.to_variant_object(F.struct(F.lit("user").alias("role"), F.col("text").alias("text")))
+    df = spark.createDataFrame([(1, 0, long), (1, 0, long), (2, 0, None)], "conv_id long, turn long, text string").select("conv_id", "turn", record.alias("record"), F.lit("clash").alias("__walk"), F.lit("clash").alias("turns"), F.lit("clash").alias("role"))
+    rows = chat.read_rows(chat.render(chat.turn_rows(df))).collect()
+    assert sorted((r["conv_id"], r["text"]) for r in rows) == [(1, long), (1, long), (2, "")]
