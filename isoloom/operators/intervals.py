@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoloom.sources.scratch import written
+from isoloom.sources.scratch import Rounds, written
+
+from . import ordered
 
 #: Rows of a lookup table that is broadcast.
 LOOKUP_ROWS = 200_000
@@ -132,3 +134,32 @@ def greedy(items: Column, start: str = "start", end: str = "end") -> Column:
         lambda a, x: F.when(a["last"].isNull() | (x["s"] >= a["last"]), F.struct(x["e"].cast("long").alias("last"), F.concat(a["kept"], F.array(x["i"])).alias("kept"))).otherwise(a),
     )
     return F.transform(fold["kept"], lambda i: F.get(items, i))
+
+
+def greedy_chain(items: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+    """The rows that :func:`greedy` keeps of each key, for keys of any size; ``items`` has one row for each key and start.
+
+    The row after a kept one is the first that begins at its end or later.  All rows get this pointer at once: starts and
+    ends are sorted together in ranges, and the number of starts before an end is the number of the row it points to.
+    Then pointers are followed in doubling steps, 1, 2, 4, ... rows on, so the kept rows are known after as many rounds as
+    the length of the longest chain has bits.  Rows meet by number, so no task holds a key."""
+    items = written(items, "chain-items")
+    keys = list(keys)
+    at = items.select(*keys, F.col(start).alias("__at"), F.lit(1).cast("long").alias("__kind"), F.col(start).alias("__s"))
+    to = items.select(*keys, F.col(end).alias("__at"), F.lit(0).cast("long").alias("__kind"), F.col(start).alias("__s"))
+    order = [*map(F.col, keys), F.col("__at"), F.col("__kind"), F.col("__s")]
+    placed = written(ordered.running_sum(at.unionByName(to), order, F.col("__kind"), "__n", unique=True), "chain-places")
+    rows = placed.where("__kind = 1").select(*keys, "__s", F.col("__n").alias("__row"))
+    ends = rows.groupBy(*keys).agg(F.min("__row").alias("__first"), F.max("__row").alias("__last"))
+    named = rows.join(placed.where("__kind = 0").select(*keys, "__s", F.col("__n").alias("__next")).hint("merge"), [*keys, "__s"])
+    named = written(looked_up(named, written(ends, "chain-ends"), keys), "chain-pointers")
+    rounds, kept = Rounds(items.sparkSession, "chain-pointers"), Rounds(items.sparkSession, "chain-kept")
+    pointer = rounds.written(named.withColumn("__next", F.greatest("__next", F.col("__row") + 1)).where(F.col("__next") <= F.col("__last")).select("__row", "__next"))
+    reached = kept.written(named.where(F.col("__row") == F.col("__first")).select("__row"))
+    while not pointer.isEmpty():
+        further = reached.join(pointer.hint("merge"), "__row").select(F.col("__next").alias("__row"))
+        reached = kept.written(reached.unionByName(further).distinct())
+        twice = pointer.select(F.col("__next").alias("__mid"), F.col("__row").alias("__from"))
+        pointer = rounds.written(twice.join(pointer.hint("merge"), F.col("__mid") == F.col("__row")).select(F.col("__from").alias("__row"), "__next"))
+    chosen = named.join(reached.hint("merge"), "__row", "left_semi").select(*keys, F.col("__s").alias(start))
+    return items.join(chosen.hint("merge"), [*keys, start], "left_semi")

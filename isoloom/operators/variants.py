@@ -16,6 +16,8 @@ from isoloom.sources.scratch import written
 from . import intervals, ordered
 
 TYPES = ("SNP", "INS", "DEL")
+#: Places of a window that is folded in one row.
+TASK_PLACES = 20_000
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -52,17 +54,30 @@ def channels(placed: DataFrame, window: int) -> DataFrame:
     return placed.groupBy("chrom", "start", "end").agg(hit("SNP").alias("ch_snp"), hit("INS").alias("ch_ins"), dele.alias("ch_del"), F.array_sort(F.collect_set(at)).alias("ch_any"))
 
 
-def without_conflicts(placed: DataFrame) -> DataFrame:
+def without_conflicts(placed: DataFrame, longest: int | None = None, task_places: int = TASK_PLACES) -> DataFrame:
     """The variants of each window that greedy acceptance by (span, ref, alt) keeps.
 
     Of variants that begin at one place only the first can be accepted: if it isn't, none of them is, and if it is, it is
-    in the others' way.  So one for each place is folded, and a window's length bounds the array."""
+    in the others' way.  So one for each place is looked at.  A window of up to ``task_places`` places is folded in one row;
+    larger ones, if windows may be ``longest`` bases or of any length, are followed by pointers (intervals.greedy_chain)."""
     window = ["chrom", "start", "end"]
     item = F.struct("span_start", "span_end", "pos", "ref", "alt", "var_type", "spec")
     first = placed.groupBy(*window, "span_start").agg(F.min(item).alias("item"))
-    grouped = first.groupBy(*window).agg(F.array_sort(F.collect_list("item")).alias("items"))
-    kept = F.explode(intervals.greedy(F.col("items"), "span_start", "span_end")).alias("v")
-    return grouped.select(*window, kept).select(*window, "v.*")
+
+    def folded(df: DataFrame) -> DataFrame:
+        grouped = df.groupBy(*window).agg(F.array_sort(F.collect_list("item")).alias("items"))
+        kept = F.explode(intervals.greedy(F.col("items"), "span_start", "span_end")).alias("v")
+        return grouped.select(*window, kept).select(*window, "v.*")
+
+    if longest is not None and longest <= task_places:
+        return folded(first)
+    first = written(first, "window-places")
+    large = written(first.groupBy(*window).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_places).select(*window), "large-windows")
+    if large.isEmpty():
+        return folded(first)
+    rest = folded(first.join(large.hint("merge"), window, "left_anti"))
+    flat = first.join(large.hint("merge"), window, "left_semi").select(*window, "item.*")
+    return rest.unionByName(intervals.greedy_chain(flat, window, "span_start", "span_end"))
 
 
 def quotas(counts: Column, most: int) -> Column:
@@ -181,7 +196,7 @@ def rewindowed(base: DataFrame, window: int, stride: int) -> DataFrame:
     ends = written(base.groupBy("chrom").agg(F.min("start").alias("first_start"), F.max("end").alias("last_end")), "window-ends")
     placed = intervals.looked_up(base.drop("start", "end"), ends, ["chrom"])
     placed = placed.withColumn("start", F.explode(intervals.tiles_of(F.col("pos").cast("long") - 1, window, stride, F.col("first_start")))).where(F.col("start") < F.col("last_end")).withColumn("end", F.col("start") + window)
-    kept = without_conflicts(placed.drop("first_start", "last_end"))
+    kept = without_conflicts(placed.drop("first_start", "last_end"), window)
     idx = F.col("pos") - F.col("start")
     return kept.withColumn("in_window_idx", idx).withColumn("span_from", idx).withColumn("span_to", idx + F.length("ref"))
 

@@ -11,6 +11,8 @@ from isoloom.plans.fixtures import oracle, positions, view
 from isoloom.sources import readers
 
 WINDOW, STRIDE, MOST, SEED = 512, 256, 12, 17
+#: Places of a contig that is still folded in one row.
+PLACES = 500
 #: Bases of a chunk of a sequence.
 CHUNK = 4096
 
@@ -117,7 +119,14 @@ def p21_mismatches(spark, sf_dir):
 
 
 def x3_without_conflicts(spark, sf_dir):
-    return variants.without_conflicts(_placed(spark, sf_dir)).select("chrom", F.col("start").alias("start_pos"), "spec")
+    return variants.without_conflicts(_placed(spark, sf_dir), WINDOW).select("chrom", F.col("start").alias("start_pos"), "spec")
+
+
+def x3_whole_contigs(spark, sf_dir):
+    """One window a contig, whatever its length: those of many places are followed by pointers."""
+    v = intervals.looked_up(_v(spark, sf_dir), _contigs(spark, sf_dir).select("chrom", F.col("length").cast("long").alias("end")), ["chrom"])
+    kept = variants.without_conflicts(v.withColumn("start", F.lit(0).cast("long")), task_places=PLACES)
+    return kept.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos"), F.sum("span_end").alias("sum_end"))
 
 
 def x4_balanced(spark, sf_dir):
@@ -137,7 +146,7 @@ def a9_count_spread(spark, sf_dir):
 
 def a10_stage_counts(spark, sf_dir):
     placed = _placed(spark, sf_dir)
-    s = variants.stage_counts({"vcf": _v(spark, sf_dir), "in_window": placed, "selected": variants.without_conflicts(placed)})
+    s = variants.stage_counts({"vcf": _v(spark, sf_dir), "in_window": placed, "selected": variants.without_conflicts(placed, WINDOW)})
     return s.select("stage", "var_type", "n", F.round("percent", 9).alias("percent"))
 
 
@@ -171,7 +180,7 @@ def j5_window_summary(spark, sf_dir):
 
 _QUERIES = (
     p5_parse_spec, p6_types, p7_specs, p15_alignment, p16_channels, p17_spec_channels, p18_apply_spec, p19_apply_many, p20_rescue, p21_mismatches, u2_first_of_equals, u3_distinct_windows, a5_window_counts,
-    a9_count_spread, a10_stage_counts, a13_duplicates, f8_inside_sequence, j4_in_windows, j5_window_summary, j7_windows_of_variants, t2_top_windows, t5_natural_order, x2_rewindowed, x3_without_conflicts, x4_balanced,
+    a9_count_spread, a10_stage_counts, a13_duplicates, f8_inside_sequence, j4_in_windows, j5_window_summary, j7_windows_of_variants, t2_top_windows, t5_natural_order, x2_rewindowed, x3_without_conflicts, x3_whole_contigs, x4_balanced,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -232,6 +241,10 @@ SELECT spec, CAST(CASE WHEN h = ref THEN pos WHEN l = ref THEN pos - 1 WHEN g =
     ),
     "p21_mismatches": oracle(_F, f"{_T} SELECT var_type, count(*) AS n, count(*) FILTER (substr(seq, pos, length(ref)) <> ref) AS n_mismatches FROM t JOIN fx_contigs c ON c.chrom = t.chrom GROUP BY 1"),
     "x3_without_conflicts": oracle(_F, f"{_W}, {_RANKED.format('w')}, {_GREEDY} SELECT chrom, start_pos, spec FROM g WHERE kept"),
+    "x3_whole_contigs": oracle(
+        _F,
+        f"""{_T}, w AS (SELECT *, CAST(0 AS BIGINT) AS start_pos FROM t), {_RANKED.format('w')}, {_GREEDY} SELECT chrom, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos, CAST(sum(e) AS BIGINT) AS sum_end FROM g WHERE kept GROUP BY 1""",
+    ),
     "x4_balanced": oracle(
         _F,
         f"""{_W}, {_COUNTS}, l AS (SELECT *, least(variant_count, {MOST}) AS cap FROM c),

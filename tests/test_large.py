@@ -249,3 +249,25 @@ def test_silent_chromosomes_end(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert sorted((r["start"], r["pos"], r["late"]) for r in found) == [(0, 10, False), (0, 12, False)]
+
+
+# greedy selection
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chain_by_pointers_equals_fold(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for key in range(4):
+        for s in sorted(rng.sample(range(3000), rng.choice([1, 40, 700]))):
+            rows.append((f"k{key}", s, s + rng.choice([0, 1, 2, 9, 150])))
+    df = spark.createDataFrame(rows, "k string, start long, end long")
+    want = []
+    for key in sorted({k for k, *_ in rows}):
+        last = None
+        for _, s, e in sorted(r for r in rows if r[0] == key):
+            if last is None or s >= last:
+                want.append((key, s, e))
+                last = e
+    assert sorted(tuple(r) for r in intervals.greedy_chain(df, ["k"]).collect()) == want
+    assert intervals.greedy_chain(df.limit(0), ["k"]).count() == 0
