@@ -78,8 +78,8 @@ def edges(nodes: DataFrame, found: DataFrame, config: Config = Config()) -> Data
     sites = lambda t, name: found.where(F.col("track") == t).select(*_LOCUS, F.col("pos").alias(name))
     # on the way of transcription an intron leads from u to v, 0 < v - u <= max_intron: v is in the bin of u or the next
     sign, width = F.when(plus, 1).otherwise(-1), config.max_intron
-    up = nodes.withColumn("gap_from", out_end).join(sites("donor", "gap_from"), [*_LOCUS, "gap_from"], "left_semi").select(*_LOCUS, F.col("start").alias("src_start"), F.col("end").alias("src_end"), F.col("score").alias("src_score"), "gap_from")
-    down = nodes.withColumn("gap_to", in_end).join(sites("acceptor", "gap_to"), [*_LOCUS, "gap_to"], "left_semi").select(*_LOCUS, F.col("start").alias("dst_start"), F.col("end").alias("dst_end"), F.col("score").alias("dst_score"), "gap_to")
+    up = nodes.withColumn("gap_from", out_end).join(sites("donor", "gap_from").hint("merge"), [*_LOCUS, "gap_from"], "left_semi").select(*_LOCUS, F.col("start").alias("src_start"), F.col("end").alias("src_end"), F.col("score").alias("src_score"), "gap_from")
+    down = nodes.withColumn("gap_to", in_end).join(sites("acceptor", "gap_to").hint("merge"), [*_LOCUS, "gap_to"], "left_semi").select(*_LOCUS, F.col("start").alias("dst_start"), F.col("end").alias("dst_end"), F.col("score").alias("dst_score"), "gap_to")
     gap = F.when(plus, F.col("gap_to") - F.col("gap_from")).otherwise(F.col("gap_from") - F.col("gap_to"))
     bin_of = lambda c: F.floor(sign * F.col(c) / width).cast("long")
     up = up.withColumn("bin", F.explode(F.array(bin_of("gap_from"), bin_of("gap_from") + 1)))
@@ -89,7 +89,7 @@ def edges(nodes: DataFrame, found: DataFrame, config: Config = Config()) -> Data
 
 def sources(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Exons that no intron leads to."""
-    return nodes.join(links.select(*_LOCUS, F.col("dst_start").alias("start"), F.col("dst_end").alias("end")).distinct(), [*_LOCUS, "start", "end"], "left_anti")
+    return nodes.join(links.select(*_LOCUS, F.col("dst_start").alias("start"), F.col("dst_end").alias("end")).distinct().hint("merge"), [*_LOCUS, "start", "end"], "left_anti")
 
 
 def paths(nodes: DataFrame, links: DataFrame, config: Config = Config(), task_edges: int = TASK_EDGES) -> DataFrame:
@@ -284,7 +284,7 @@ def summary(loci: DataFrame, isoforms: DataFrame, p_nmd: DataFrame | None = None
     """Per locus: isoforms, the dominant one's rank, exons and psi, and its decay probability; loci without isoforms stay, with 0."""
     best = dominant(with_psi(isoforms, score), score).select(*_LOCUS, F.col("rank").alias("dominant_rank"), F.size("exons").alias("dominant_exons"), "psi")
     n = isoforms.groupBy(*_LOCUS).agg(F.count(F.lit(1)).alias("n_isoforms"))
-    out = loci.join(n, _LOCUS, "left").join(best, _LOCUS, "left").withColumn("n_isoforms", F.coalesce("n_isoforms", F.lit(0)))
+    out = loci.join(n.hint("merge"), _LOCUS, "left").join(best.hint("merge"), _LOCUS, "left").withColumn("n_isoforms", F.coalesce("n_isoforms", F.lit(0)))
     if p_nmd is not None:
-        out = out.join(p_nmd.select(*_LOCUS, F.col("rank").alias("dominant_rank"), "p"), [*_LOCUS, "dominant_rank"], "left").withColumn("p_nmd", F.coalesce("p", F.lit(0.0))).drop("p")
+        out = out.join(p_nmd.select(*_LOCUS, F.col("rank").alias("dominant_rank"), "p").hint("merge"), [*_LOCUS, "dominant_rank"], "left").withColumn("p_nmd", F.coalesce("p", F.lit(0.0))).drop("p")
     return out
