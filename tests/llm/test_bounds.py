@@ -162,3 +162,21 @@ def test_long_and_repeated_records(spark):
     df = spark.createDataFrame([(1, 0, long), (1, 0, long), (2, 0, None)], "conv_id long, turn long, text string").select("conv_id", "turn", record.alias("record"), F.lit("clash").alias("__walk"), F.lit("clash").alias("turns"), F.lit("clash").alias("role"))
     rows = chat.read_rows(chat.render(chat.turn_rows(df))).collect()
     assert sorted((r["conv_id"], r["text"]) for r in rows) == [(1, long), (1, long), (2, "")]
+
+
+# pipeline
+
+
+def test_pipeline_without_labels_or_benchmark(spark, tmp_path):
+    """Nothing to learn from and nothing to look for: only near copies go."""
+    import corpus_pipeline
+
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "en", "s", 1), (2, text, "en", "s", 1), (3, "other words here", "en", "s", 1), (4, None, None, None, None)]
+    for name, df in (
+        ("documents", spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")),
+        ("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int")),
+        ("benchmark", spark.createDataFrame([], "item_id long, text string")),
+    ):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [1, 3, 4]
