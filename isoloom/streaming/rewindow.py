@@ -49,7 +49,7 @@ class Progress(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "closed long, highest long")
+        self.reach = handle.getValueState("reach", "closed long, highest long")
 
     def _closings(self, key, before: int, closed: int, highest: int, ended: bool) -> pd.DataFrame:
         # windows that end in (before, closed] are complete now, and at the end all that can exist
@@ -58,12 +58,12 @@ class Progress(StatefulProcessor):
         return pd.DataFrame({"chrom": [key[0]] * len(blocks), "block": list(blocks), "closed": closed, "ended": ended})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        closed, highest = map(int, self.seen.get()) if self.seen.exists() else (0, 0)
+        closed, highest = map(int, self.reach.get()) if self.reach.exists() else (0, 0)
         before, ended = closed, False
         for part in rows:
             closed, highest = max(closed, int(part["start"].max())), max(highest, int(part["end"].max()))
             ended |= bool((part["kind"] == "end").any())
-        self.seen.update((closed, highest))
+        self.reach.update((closed, highest))
         if self.idle is not None:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
@@ -73,7 +73,7 @@ class Progress(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The chromosome was silent for so long that no more is expected."""
-        closed, highest = map(int, self.seen.get())
+        closed, highest = map(int, self.reach.get())
         yield self._closings(key, closed, closed, highest, True)
 
     def close(self) -> None:

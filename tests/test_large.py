@@ -271,3 +271,35 @@ def test_chain_by_pointers_equals_fold(spark, seed):
                 last = e
     assert sorted(tuple(r) for r in intervals.greedy_chain(df, ["k"]).collect()) == want
     assert intervals.greedy_chain(df.limit(0), ["k"]).count() == 0
+
+
+def test_dedup_forgets_what_is_passed(spark, tmp_path):
+    """State holds the open blocks only; a variant of a passed block comes flagged."""
+    path, state = f"{tmp_path}/in", f"{tmp_path}/state"
+    os.makedirs(path)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    names = "chrom start end pos ref alt kind".split()
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+    def run(name, rows):
+        pq.write_table(pa.table({c: pa.array(v, t) for c, v, t in zip(names, zip(*rows, strict=True), types, strict=True)}), f"{path}/{name}.parquet")
+        stream = rewindow.without_duplicates(stream_by_name(spark, path, rewindow.INPUT, f"{tmp_path}/progress"), 100)
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", state).trigger(processingTime="0 seconds").start()
+        query.processAllAvailable()
+        query.stop()
+        held = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "seen").load(state).count()
+        return sorted((r["pos"], r["alt"], r["late"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()), held
+
+    variant = lambda pos, alt: ("c", pos // 100 * 100, pos // 100 * 100 + 100, pos, "A", alt, "variant")
+    mark = lambda start, kind="mark": ("c", start, start + 100, None, "A", "A", kind)
+    try:
+        first = [(10, "C", False), (20, "C", False), (150, "G", False)]
+        assert run("a", [variant(10, "C"), variant(10, "C"), variant(20, "C"), variant(150, "G"), mark(0)]) == (first, 3)
+        second = sorted([*first, (250, "T", False)])
+        assert run("b", [variant(10, "C"), variant(150, "G"), variant(250, "T"), mark(100)]) == (second, 2)
+        third = sorted([*second, (20, "C", True)])
+        assert run("c", [variant(20, "C"), mark(200, "end")]) == (third, 0)
+    finally:
+        spark.conf.set(key, before)
