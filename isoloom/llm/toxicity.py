@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on windows that occur in toxic documents
-far more often than in ordinary ones.  A window (one word with the spaces around it) is compressed twice, against
+There are two zstandard dictionaries: one trained on windows of ordinary text, and one that holds, as raw content, every
+window that occurs in toxic documents far more often than in ordinary ones.  A window (one word with the spaces around it) is compressed twice, against
 'ordinary + more ordinary' and against 'ordinary + toxic' text of equal sizes; the bytes that the toxic half saves are
 its distance.  Bytes are too coarse for short windows, so each byte is first spelt as a fixed three-byte code, which
 triples what a match can save.  A logistic curve over a document's distances, fitted on labelled documents that the
