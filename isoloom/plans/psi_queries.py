@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isoloom.functions import ids
-from isoloom.operators import intervals, psi
+from isoloom.operators import dominance, intervals, psi
 from isoloom.plans.fixtures import oracle, positions, view
 from isoloom.schema import keep_columns
 
@@ -115,11 +115,9 @@ def j3_midpoint_in_window(spark, sf_dir):
 
 
 def j11_overlapping_genes(spark, sf_dir):
-    g = view(spark, sf_dir, "fx_genes")
-    a = g.select("chrom", "strand", F.col("gene_id").alias("a"), F.col("start").alias("s1"), F.col("end").alias("e1"))
-    b = g.select("chrom", "strand", F.col("gene_id").alias("b"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-    pairs = intervals.overlapping(a, b, ["chrom", "strand"], "s1", "e1", "s2", "e2", width=128).where(F.col("a") < F.col("b"))
-    return pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_overlaps"))
+    """For each gene those after it in the order of names that overlap it, counted without listing the pairs."""
+    n = dominance.later_overlaps(view(spark, sf_dir, "fx_genes"), ["chrom", "strand"], "gene_id")
+    return n.select(F.col("gene_id").alias("a"), F.col("n").alias("n_overlaps"))
 
 
 def a11_rows_by_chromosome(spark, sf_dir):

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
 from oracle import TABLES, compare
 
+from isoloom.operators import dominance
 from isoloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +30,23 @@ def cut_off(tmp_path_factory):
 @pytest.mark.parametrize("name", ["g3_path_scores", "w3_softmax_psi", "w4_dominant", "g7_decode", "g7_decode_with_orf", "g8_locus_summary"])
 def test_locus_without_starts_and_ends(spark, cut_off, name):
     compare(spark, registry.QUERIES[name], registry.ORACLES[name], cut_off)
+
+
+def test_overlaps_are_counted_without_pairs(spark):
+    """Ranges of a few rows, equal names and places, an empty interval and null keys."""
+    rng = random.Random(11)
+    rows = [(rng.choice("ab"), str(rng.randrange(150)), s, s + rng.choice([0, 1, 5, 40, 300])) for s in (rng.randrange(200) for _ in range(300))] + [(None, "x", 0, 9), ("a", None, 0, 9)]
+    df = spark.createDataFrame(rows, "k string, g string, start long, end long")
+    want: dict = {}
+    for k, g, s, e in rows[:300]:
+        n = sum(k == k2 and g < g2 and s < e2 and s2 < e and s < e and s2 < e2 for k2, g2, s2, e2 in rows[:300])
+        want[g] = want.get(g, 0) + n
+    for size in (70, 10**6):
+        got = {r["g"]: r["n"] for r in dominance.later_overlaps(df, ["k"], "g", range_rows=size).collect()}
+        assert got == {g: n for g, n in want.items() if n}
+
+
+def test_overlaps_of_many_genes(spark):
+    """20,000 genes in one place are 200 million pairs."""
+    df = spark.range(20_000).selectExpr("'c' AS k", "CAST(id AS string) AS g", "0L AS start", "9L AS end")
+    assert dominance.later_overlaps(df, ["k"], "g").agg({"n": "sum"}).first()[0] == 20_000 * 19_999 // 2
