@@ -8,7 +8,7 @@ import random
 import pytest
 from oracle import TABLES, compare
 
-from isoloom.operators import dominance
+from isoloom.operators import assembly, dominance
 from isoloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +50,12 @@ def test_overlaps_of_many_genes(spark):
     """20,000 genes in one place are 200 million pairs."""
     df = spark.range(20_000).selectExpr("'c' AS k", "CAST(id AS string) AS g", "0L AS start", "9L AS end")
     assert dominance.later_overlaps(df, ["k"], "g").agg({"n": "sum"}).first()[0] == 20_000 * 19_999 // 2
+
+
+def test_orf_of_sequences_shuffles_nothing(spark):
+    """A codon is no row that carries its sequence into a shuffle; another alphabet counts by letters."""
+    rows = [("a", "é" * 4 + "ATGG" + "CC" + "TAA", None), ("b", None, 3), ("c", "ATGTAA", 3), ("d", "AT", None)]
+    df = spark.createDataFrame(rows, "id string, cdna string, last_junction long")
+    out = assembly.orf_from_sequence(df, ["id"], 1, 9)
+    assert {r["id"]: round(r["s_orf"], 9) for r in out.collect()} == {"a": 0.8, "b": 0.0, "c": 0.8, "d": 0.0}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
