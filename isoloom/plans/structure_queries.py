@@ -170,8 +170,9 @@ def p23_spliced_cdna(spark, sf_dir):
 
 def p24_stop_gain(spark, sf_dir):
     table = spark.createDataFrame(sequence.stop_edits(), "codon string, offset int, new_base string")
-    c = view(spark, sf_dir, "fx_contigs").where("length >= 3")
-    codons = c.withColumn("at", F.explode(F.sequence(F.lit(0), (F.col("length") - 3).cast("int"), F.lit(3)))).withColumn("codon", F.col("seq").substr(F.col("at") + 1, F.lit(3)))
+    # cut from left to right in one pass: substr would count from the sequence's beginning for each codon
+    each = F.posexplode(F.regexp_extract_all("seq", F.lit("(?s).{3}"), F.lit(0))).alias("k", "codon")
+    codons = view(spark, sf_dir, "fx_contigs").select("chrom", each).withColumn("at", F.col("k") * 3)
     hits = codons.join(F.broadcast(table), "codon")  # 64 rows at most
     spec = ids.variant_spec(F.col("chrom"), F.col("at") + F.col("offset") + 1, F.col("codon").substr(F.col("offset") + 1, F.lit(1)), F.col("new_base"))
     return hits.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.min(spec).alias("first_spec"), F.max(spec).alias("last_spec"))

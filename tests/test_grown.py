@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 import random
+import re
 
 import pytest
 from oracle import TABLES, compare
 
 from isoloom.operators import assembly, dominance
 from isoloom.plans import registry
+from isoloom.streaming import rewindow
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +62,9 @@ def test_orf_of_sequences_shuffles_nothing(spark):
     out = assembly.orf_from_sequence(df, ["id"], 1, 9)
     assert {r["id"]: round(r["s_orf"], 9) for r in out.collect()} == {"a": 0.8, "b": 0.0, "c": 0.8, "d": 0.0}
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_codons_are_cut_in_one_pass(spark):
+    """No codon is looked for from the beginning of its sequence."""
+    plan = registry.QUERIES["p24_stop_gain"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"subst\w*\(seq", plan)
