@@ -148,30 +148,41 @@ class Rewindow(StatefulProcessor):
 
 
 class Once(StatefulProcessor):
-    """Lets each variant of a block of positions through once; forgets the block when its chromosome has passed it."""
+    """Lets each variant of a block of positions through once; forgets the block when its chromosome has passed it.
 
-    def __init__(self, span: int, remember: int | None = None):
-        self.span, self.remember = span, remember
+    What was seen is held by stretches of ``stretch`` positions, a row of state each, so a batch reads and writes a row for
+    each stretch that it touches, however many variants it brings there."""
+
+    def __init__(self, span: int, stretch: int, remember: int | None = None):
+        self.span, self.stretch, self.remember = span, stretch, remember
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "pos long, ref string, alt string", "n int")
+        self.seen = handle.getMapState("seen", "stretch long", "variants string")
         self.done = handle.getValueState("done", "at long", self.remember)
 
+    def _first(self, variants: list[tuple], keep: bool) -> list[tuple]:
+        """Those of these distinct variants that weren't seen; to ``keep`` the block is to count them as seen."""
+        out, by = [], {}
+        for v in variants:
+            by.setdefault(v[0] // self.stretch, []).append(v)
+        for k, some in by.items():
+            held = set(map(tuple, json.loads(self.seen.getValue((k,))[0]))) if self.seen.containsKey((k,)) else set()
+            new = [v for v in some if v not in held]
+            if new and keep:
+                self.seen.updateValue((k,), (json.dumps([*held, *new]),))
+            out += new
+        return out
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         chrom, beyond = key[0], (int(key[1]) + 1) * self.span
         new = pd.concat(list(rows), ignore_index=True)
         fresh, closings = new[new["pos"].notna()], new[new["pos"].isna()]
-        variants = list(dict.fromkeys((int(p), r, a) for p, r, a in fresh[_COLUMNS[:3]].itertuples(index=False, name=None)))
-        if self.done.exists():
-            late, first = variants, []
-        else:
-            late, first = [], [v for v in variants if not self.seen.containsKey(v)]
-        if len(closings) and (bool(closings["ended"].any()) or int(closings["closed"].max()) >= beyond):
+        variants = [(int(p), r, a) for p, r, a in fresh[_COLUMNS[:3]].drop_duplicates().itertuples(index=False, name=None)]
+        passed = bool(len(closings)) and (bool(closings["ended"].any()) or int(closings["closed"].max()) >= beyond)
+        late, first = (variants, []) if self.done.exists() else ([], self._first(variants, not passed))
+        if passed:
             self.seen.clear()
             self.done.update((beyond,))
-        elif not self.done.exists():
-            for v in first:
-                self.seen.updateValue(v, (1,))
         if variants:
             yield pd.DataFrame([(chrom, *v, False) for v in first] + [(chrom, *v, True) for v in late], columns=["chrom", "pos", "ref", "alt", "late"])
 
@@ -201,17 +212,17 @@ def rewindowed(stream: DataFrame, window: int, stride: int, block: int = 64, rem
     return keyed.groupBy("chrom", "block").transformWithStateInPandas(Rewindow(window, stride, block, remember), OUTPUT, outputMode="Append", timeMode=mode)
 
 
-def without_duplicates(stream: DataFrame, span: int = 1 << 16, remember: int | None = None, idle: int | None = None) -> DataFrame:
+def without_duplicates(stream: DataFrame, span: int = 1 << 16, remember: int | None = None, idle: int | None = None, stretch: int | None = None) -> DataFrame:
     """(chrom, pos, ref, alt, late): exact variants once, whichever shards bring them.
 
     What was seen is kept by blocks of ``span`` bases until their chromosome is complete beyond them or ends, so state
-    follows the open blocks.  Variants of a block that is gone come flagged as late, since nothing tells whether they are
+    follows the open blocks; a row of state holds ``stretch`` bases, a 64th of a block if not given.  Variants of a block that is gone come flagged as late, since nothing tells whether they are
     new.  Needs the RocksDB state store."""
     mode = _mode(remember, idle)
     block = F.floor((F.col("pos") - 1) / F.lit(span)).cast("long").alias("block")
     variants = stream.where("kind = 'variant'").select("chrom", block, "pos", "ref", "alt")
     keyed = variants.unionByName(_closings(stream, 0, span, 1, mode, idle), allowMissingColumns=True)
-    return keyed.groupBy("chrom", "block").transformWithStateInPandas(Once(span, remember), "chrom string, pos long, ref string, alt string, late boolean", outputMode="Append", timeMode=mode)
+    return keyed.groupBy("chrom", "block").transformWithStateInPandas(Once(span, stretch or max(1, span // 64), remember), "chrom string, pos long, ref string, alt string, late boolean", outputMode="Append", timeMode=mode)
 
 
 def type_counts(stream: DataFrame) -> DataFrame:

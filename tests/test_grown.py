@@ -68,3 +68,28 @@ def test_codons_are_cut_in_one_pass(spark):
     """No codon is looked for from the beginning of its sequence."""
     plan = registry.QUERIES["p24_stop_gain"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"subst\w*\(seq", plan)
+
+
+def test_dedup_state_is_a_row_a_stretch():
+    """A thousand variants of ten stretches cost ten reads and ten writes of state, and are known afterwards."""
+
+    class State(dict):
+        calls = 0
+
+        def containsKey(self, k):
+            self.calls += 1
+            return k in self
+
+        def getValue(self, k):
+            return self[k]
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self[k] = v
+
+    once = rewindow.Once(1000, 100)
+    once.seen = State()
+    variants = [(p, "A", "C") for p in range(1000)]
+    assert once._first(variants, True) == variants and len(once.seen) == 10 and once.seen.calls == 20
+    assert once._first([*variants[:5], (5, "A", "T")], True) == [(5, "A", "T")]
+    assert json.loads(once.seen[(0,)][0])[-1] == [5, "A", "T"]
