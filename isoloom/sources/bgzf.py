@@ -3,7 +3,8 @@
 A BGZF file is a row of gzip members of at most 64 KiB, each of which names its own size, so any gzip reader can read it
 and reading can start at any member.  The source plans ranges of compressed bytes; a task looks for the first member that
 begins in its range and owns the lines that begin after that member's first byte and up to the first byte of the next
-range's first member, so every line is read once, whatever it crosses.
+range's first member, so every line is read once, whatever it crosses.  A task reads many small ranges that follow each
+other in one pass.
 
 A line's place is its virtual offset: the member's position shifted by 16 bits, plus the position in its text.
 Paths are those that pyarrow's file systems know; a folder stands for the ``.gz`` and ``.bgz`` files below it.
@@ -27,10 +28,12 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 FORMAT = "isoloom_bgzf"
 LINES = "value string, file string, block long, line long, at long"
-#: Compressed bytes of a task's range.
-SPLIT = 32 << 20
+#: Compressed bytes of a range, and those up to which a task takes several smaller ones once there are so many tasks.
+SPLIT, TASKS = 32 << 20, 64
 #: Bytes of text in a member, and lines of a batch.
 TEXT, LINES_AT_ONCE = 65_280, 8192
+#: Members that a task keeps unpacked while it cuts windows, which come in the order of the file.
+KEPT = 4
 _HEAD, _HEAD_BYTES = "<4BI2BH2BHH", 18
 _MOST = 1 << 16
 #: The empty member that ends a file.
@@ -58,10 +61,11 @@ def compressed(text: bytes) -> bytes:
 
 
 class Members:
-    """The members of an open file from a position on."""
+    """The members of an open file from a position on; ``kept`` holds the last few of them for readers of the same file."""
 
-    def __init__(self, file, at: int, size: int):
+    def __init__(self, file, at: int, size: int, kept: dict[int, tuple[int, bytes]] | None = None):
         self.file, self.at, self.size, self.read_bytes = file, at, size, 0
+        self.kept = kept
 
     def _bytes(self, at: int, n: int) -> bytes:
         self.file.seek(at)
@@ -84,50 +88,72 @@ class Members:
 
     def __iter__(self) -> Iterator[tuple[int, bytes]]:
         while self.at < self.size:
-            n = member_size(self._bytes(self.at, 18))
-            if n is None:
-                raise ValueError(f"no BGZF member at byte {self.at}")
-            here, self.at = self.at, self.at + n
-            yield here, zlib.decompress(self._bytes(here, n), 31)
+            here = self.at
+            if self.kept is not None and here in self.kept:
+                n, text = self.kept[here]
+                self.read_bytes += 18 + n
+            else:
+                n = member_size(self._bytes(here, 18))
+                if n is None:
+                    raise ValueError(f"no BGZF member at byte {here}")
+                text = zlib.decompress(self._bytes(here, n), 31)
+                if self.kept is not None:
+                    while len(self.kept) >= KEPT:
+                        del self.kept[next(iter(self.kept))]
+                    self.kept[here] = n, text
+            self.at = here + n
+            yield here, text
 
 
 @dataclass
 class Range(InputPartition):
+    """Ranges of ``split`` bytes of a file, from ``first`` to ``stop``."""
+
     file: str
     first: int
     stop: int
     size: int
+    split: int
 
 
 def owned_lines(members: Members, first: int, stop: int) -> Iterator[tuple[bytes, int]]:
     """(line, virtual offset) of the lines that a range of compressed bytes owns."""
+    return ((line, at) for line, at, _ in placed_lines(members, first, stop, stop))
+
+
+def placed_lines(members: Members, first: int, stop: int, split: int) -> Iterator[tuple[bytes, int, int]]:
+    """(line, virtual offset, block) of the lines that the ranges of ``split`` compressed bytes from ``first`` to ``stop`` own, in
+    one pass; the block is where the line's range begins."""
     members.at = first
     if first:
         members.find()
     skipping = first > 0  # the line that the range before ends with
     parts: list[bytes] = []
     start: int | None = None
+    here = before = block = first  # ranges of this member, of the one before, and of the line
     ended = False  # past the range: only the line that begins at its end, or goes on there, is still ours
     for at, text in members:
         if at >= stop and not ended:
             if skipping:
                 return
             ended = True
+        if text:
+            before, here = here, at // split * split
         k = 0
         while k < len(text):
             if start is None:
-                start = at << 16 | k
+                start, block = at << 16 | k, here if k else before
             e = text.find(b"\n", k)
             parts.append(text[k : e if e >= 0 else len(text)])
             if e < 0:
                 break
             if not skipping:
-                yield b"".join(parts), start
+                yield b"".join(parts), start, block
             skipping, parts, start, k = False, [], None, e + 1
             if ended:
                 return
     if start is not None and not skipping:
-        yield b"".join(parts), start
+        yield b"".join(parts), start, block
 
 
 class BgzfReader(DataSourceReader):
@@ -138,27 +164,30 @@ class BgzfReader(DataSourceReader):
         fs, path = _open(self.path)
         info = fs.get_file_info(path)
         files = [info] if info.type == pafs.FileType.File else [f for f in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if f.type == pafs.FileType.File and f.base_name.endswith((".gz", ".bgz")) and f.base_name[0] not in "_."]
-        return [Range(f.path, at, min(at + self.split, f.size), f.size) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.split)]
+        most = max(1, min(SPLIT, sum(f.size for f in files) // TASKS) // self.split) * self.split
+        return [Range(f.path, at, min(at + most, f.size), f.size, self.split) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, most)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         fs, _ = _open(self.path)
         with fs.open_input_file(partition.file) as file:
             rows: list[tuple[bytes, int]] = []
-            n = 0
-            for row in owned_lines(Members(file, partition.first, partition.size), partition.first, partition.stop):
-                rows.append(row)
-                if len(rows) == LINES_AT_ONCE:
-                    yield _batch(rows, partition, n)
+            n, block = 0, None
+            for line, at, of in placed_lines(Members(file, partition.first, partition.size), partition.first, partition.stop, partition.split):
+                if rows and (of != block or len(rows) == LINES_AT_ONCE):
+                    yield _batch(rows, partition.file, block, n)
                     n += len(rows)
                     rows = []
+                if of != block:
+                    n, block = 0, of
+                rows.append((line, at))
             if rows:
-                yield _batch(rows, partition, n)
+                yield _batch(rows, partition.file, block, n)
 
 
-def _batch(rows: list[tuple[bytes, int]], partition: Range, n: int) -> pa.RecordBatch:
+def _batch(rows: list[tuple[bytes, int]], file: str, block: int, n: int) -> pa.RecordBatch:
     value = pa.array([r.rstrip(b"\r").decode("utf-8", "replace") for r, _ in rows], pa.string())
     same = lambda x, t: pa.array([x] * len(rows), t)
-    columns = [value, same(partition.file, pa.string()), same(partition.first, pa.int64()), pa.array(range(n, n + len(rows)), pa.int64()), pa.array([a for _, a in rows], pa.int64())]
+    columns = [value, same(file, pa.string()), same(block, pa.int64()), pa.array(range(n, n + len(rows)), pa.int64()), pa.array([a for _, a in rows], pa.int64())]
     return pa.RecordBatch.from_arrays(columns, ["value", "file", "block", "line", "at"])
 
 
@@ -251,7 +280,8 @@ def fasta_index(lines: DataFrame, size: int) -> DataFrame:
 
 def read_windows(windows: DataFrame, index: DataFrame, path: str, size: int) -> DataFrame:
     """``windows`` (chrom, start, end) with ``seq``, N beyond either end, and ``bytes_read``: each reads only the members that
-    hold its bases, found by an index of the files at ``path``.  Windows of contigs that the index lacks are left out, and
+    hold its bases, found by an index of the files at ``path``; ``bytes_read`` counts a member for every window that it serves, though
+    those that follow each other unpack it once.  Windows of contigs that the index lacks are left out, and
     one that lies outside its contig reads nothing."""
     at = F.floor(F.least(F.greatest("start", F.lit(0)), F.col("length") - 1) / size)
     lengths = index.where("chunk_id = 0").select("chrom", "length")
@@ -267,14 +297,14 @@ class _Windows:
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _open(self.path)
-        name, file, size = None, None, 0
+        name, file, size, kept = None, None, 0, {}
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 if r["file"] != name:
-                    name, file, size = r["file"], fs.open_input_file(r["file"]), fs.get_file_info(r["file"]).size
+                    name, file, size, kept = r["file"], fs.open_input_file(r["file"]), fs.get_file_info(r["file"]).size, {}
                 lo, hi = max(r["start"], 0), min(r["end"], r["length"])
-                seq, n = _bases(Members(file, r["at"] >> 16, size), r["at"] & 0xFFFF, lo - r["line_start"], hi - r["line_start"]) if hi > lo else ("", 0)
+                seq, n = _bases(Members(file, r["at"] >> 16, size, kept), r["at"] & 0xFFFF, lo - r["line_start"], hi - r["line_start"]) if hi > lo else ("", 0)
                 left = min(max(0, -r["start"]), r["end"] - r["start"])
                 out.append((r["chrom"], r["start"], r["end"], "N" * left + seq + "N" * (r["end"] - r["start"] - left - len(seq)), n))
             if out:

@@ -7,11 +7,13 @@ import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from oracle import TABLES, compare
 
 from isoloom.operators import assembly, dominance
 from isoloom.plans import registry
+from isoloom.sources import bgzf
 from isoloom.streaming import rewindow
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +95,31 @@ def test_dedup_state_is_a_row_a_stretch():
     assert once._first(variants, True) == variants and len(once.seen) == 10 and once.seen.calls == 20
     assert once._first([*variants[:5], (5, "A", "T")], True) == [(5, "A", "T")]
     assert json.loads(once.seen[(0,)][0])[-1] == [5, "A", "T"]
+
+
+def test_small_ranges_are_read_many_at_once(tmp_path):
+    """Ranges of a few hundred bytes: few tasks read them, and each line has the block of the range that owns it, also where
+    a line begins with a range's first member, is longer than one, or follows an empty member."""
+    rng = random.Random(5)
+    data = b""
+    for _ in range(400):
+        text = b"".join(rng.choice([b"x" * rng.randrange(60), b"y" * 60]) + b"\n" for _ in range(rng.randrange(9))) + (b"" if rng.random() < 0.5 else b"z" * rng.randrange(500))
+        data += bgzf.compressed(text)
+    data += bgzf._END
+    (tmp_path / "a.gz").write_bytes(data)
+    for split in (50, 300, 2000):
+        want = [(at, *x) for at in range(0, len(data), split) for x in bgzf.owned_lines(bgzf.Members(pa.BufferReader(data), at, len(data)), at, min(at + split, len(data)))]
+        reader = bgzf.BgzfReader({"path": f"file://{tmp_path}", "split": split})
+        parts = reader.partitions()
+        assert len(parts) <= 2 * bgzf.TASKS
+        rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert [(r["block"], r["value"].encode(), r["at"]) for r in rows] == want
+        assert all(b["line"] == (a["line"] + 1 if a["block"] == b["block"] else 0) for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_windows_of_one_member_unpack_it_once(tmp_path):
+    data = bgzf.compressed(b"ACGT" * 9000) + bgzf._END
+    file, kept = pa.BufferReader(data), {}
+    n = [bgzf._bases(bgzf.Members(file, 0, len(data), kept), 0, 10 * k, 10 * k + 5) for k in range(50)]
+    assert {b for _, b in n} == {bgzf._bases(bgzf.Members(file, 0, len(data)), 0, 0, 5)[1]} and n[1][0] == "GTACG"
+    assert len(kept) == 1
