@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from isoloom.sources.scratch import written
 
+from . import ordered
+
 #: Points and questions of a range.
 RANGE_ROWS = 200_000
 #: Kinds of rows in their order at one place: an interval's end, questions for the ends and the starts before, a start.
@@ -86,3 +88,23 @@ def later_overlaps(df: DataFrame, keys: Sequence[str], name: str, start: str = "
     asked = dealt.where(F.col("kind").isin(ASK_ENDS, ASK_STARTS)).join(grid.hint("merge") if ranges > 400 else F.broadcast(grid), ["places", "ids"])
     n = F.col("n") + F.when(F.col("kind") == ASK_STARTS, F.col("starts")).otherwise(-F.col("ends"))
     return asked.groupBy(F.col("id").alias(name)).agg(F.sum(n).alias("n")).where("n > 0")
+
+
+def held_points(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, name: str, start: str = "start", end: str = "end") -> DataFrame:
+    """(``name``, n, total): how many points of the same keys the intervals of each name hold, and their sum; names that hold none
+    are left out.  What lies before an interval's end less what lies before its start: points of a place are one row, bounds of
+    a place are asked once for all intervals that have it, and running sums go by ranges (``ordered``)."""
+    keys = list(keys)
+    some = intervals.where(F.col(end) > F.col(start)).dropna(subset=keys)
+    bounds = F.explode(F.array(*(F.struct(F.col(c).cast("long").alias("at"), F.lit(sign).alias("sign")) for c, sign in ((start, -1), (end, 1)))))
+    asked = some.select(*keys, name, bounds.alias("x")).select(*keys, name, "x.at", "x.sign")
+    zero = F.lit(0).cast("long")
+    at = points.dropna(subset=[*keys, point]).groupBy(*keys, F.col(point).cast("long").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    rows = at.select(*keys, "at", "n").unionByName(asked.select(*keys, "at", zero.alias("n")))
+    places = written(rows.groupBy(*keys, "at").agg(F.sum("n").alias("n")), "held-places")
+    order = [F.col(c) for c in (*keys, "at")]
+    places = ordered.running_sum(places, order, F.col("n"), "before", unique=True)
+    places = ordered.running_sum(places, order, F.col("n") * F.col("at"), "below", unique=True).drop("n")
+    met = asked.join(places.hint("merge"), [*keys, "at"])
+    out = met.groupBy(name).agg(F.sum(F.col("sign") * F.col("before")).alias("n"), F.sum(F.col("sign") * F.col("below")).alias("total"))
+    return out.where("n > 0")

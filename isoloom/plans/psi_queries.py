@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isoloom.functions import ids
-from isoloom.operators import dominance, intervals, psi
+from isoloom.operators import dominance, psi
 from isoloom.plans.fixtures import oracle, positions, view
 from isoloom.schema import keep_columns
 
@@ -108,10 +108,11 @@ def a4_window_metrics(spark, sf_dir):
 
 
 def j3_midpoint_in_window(spark, sf_dir):
+    """For each gene the junctions whose midpoint it holds, counted and summed without listing the pairs."""
     j = psi.spans(_junctions(spark, sf_dir)).select("chrom", "strand", "donor", "acceptor", "midpoint").distinct()
     w = view(spark, sf_dir, "fx_genes").select("chrom", "strand", "start", "end", "gene_id")
-    held = intervals.point_in_interval(j, w, ["chrom", "strand"], "midpoint", width=256)
-    return held.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_junctions"), F.sum("midpoint").alias("sum_midpoints"))
+    held = dominance.held_points(j, w, ["chrom", "strand"], "midpoint", "gene_id")
+    return held.select("gene_id", F.col("n").alias("n_junctions"), F.col("total").alias("sum_midpoints"))
 
 
 def j11_overlapping_genes(spark, sf_dir):

@@ -12,7 +12,7 @@ import pytest
 from oracle import TABLES, compare
 
 from isoloom.operators import assembly, dominance
-from isoloom.plans import registry
+from isoloom.plans import fixtures, registry
 from isoloom.sources import bgzf
 from isoloom.streaming import rewindow
 
@@ -123,3 +123,23 @@ def test_windows_of_one_member_unpack_it_once(tmp_path):
     n = [bgzf._bases(bgzf.Members(file, 0, len(data), kept), 0, 10 * k, 10 * k + 5) for k in range(50)]
     assert {b for _, b in n} == {bgzf._bases(bgzf.Members(file, 0, len(data)), 0, 0, 5)[1]} and n[1][0] == "GTACG"
     assert len(kept) == 1
+
+
+@pytest.mark.parametrize("name", ["a5_window_counts", "a9_count_spread", "t2_top_windows", "j5_window_summary"])
+def test_window_counts_follow_pieces_of_contigs(spark, name, monkeypatch):
+    """Variants are counted in the tasks that make them, a bounded piece of the documents each: none is shuffled."""
+    monkeypatch.setattr(fixtures, "PIECE", 1 << 14)
+    assert fixtures.pieces(spark, SF) > 4
+    query = registry.QUERIES[name]
+    plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and not re.search(r"hashpartitioning\([^)]*(alt|var_type)#", plan)
+    compare(spark, query, registry.ORACLES[name], SF)
+
+
+def test_points_in_many_equal_genes(spark):
+    """20,000 genes over 20,000 points are 400 million pairs; names may come twice, empty intervals hold nothing."""
+    points = spark.range(20_000).selectExpr("'c' AS k", "id % 100 AS at")
+    genes = spark.range(20_000).selectExpr("'c' AS k", "CAST(id % 10000 AS string) AS g", "10L AS start", "IF(id = 3, 10L, 30L) AS end")
+    got = dominance.held_points(points, genes, ["k"], "at", "g").groupBy("n", "total").count().collect()
+    per = 200 * sum(range(10, 30))
+    assert sorted(map(tuple, got)) == [(4000, per, 1), (8000, 2 * per, 9999)]
