@@ -143,3 +143,12 @@ def test_points_in_many_equal_genes(spark):
     got = dominance.held_points(points, genes, ["k"], "at", "g").groupBy("n", "total").count().collect()
     per = 200 * sum(range(10, 30))
     assert sorted(map(tuple, got)) == [(4000, per, 1), (8000, 2 * per, 9999)]
+
+
+@pytest.mark.parametrize("name", ["n1_labels", "n1_labels_legacy"])
+def test_labels_meet_exons_once(spark, name):
+    """Offsets are made once: two windows' worth of sorting by transcript, not six; the SQL's rows."""
+    query = registry.QUERIES[name]
+    plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"AS offset#", plan)) == 1
+    compare(spark, query, registry.ORACLES[name], SF)
