@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isoloom.functions.arrays import once
 from isoloom.sources.scratch import written
 
 
@@ -41,11 +42,18 @@ def matched_junctions(pred: Column, truth: Column, slop: int = 0) -> Column:
 
 def junction_scores(pred: Column, truth: Column, slop: int = 0) -> Column:
     """struct<precision,recall,f1>: all 1 without junctions on either side, all 0 without on one."""
-    tp, n, m = matched_junctions(pred, truth, slop), F.size(pred), F.size(truth)
-    p, r = tp / n, tp / m
-    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    pick = lambda x: F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(x)
-    return F.struct(pick(p).alias("precision"), pick(r).alias("recall"), pick(f1).alias("f1"))
+
+    def counted(x: Column) -> Column:
+        return F.struct(matched_junctions(x["pred"], x["truth"], slop).alias("tp"), F.size(x["pred"]).alias("n"), F.size(x["truth"]).alias("m"))
+
+    def scored(x: Column) -> Column:
+        tp, n, m = x["tp"], x["n"], x["m"]
+        p, r = tp / n, tp / m
+        f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+        pick = lambda x: F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(x)
+        return F.struct(pick(p).alias("precision"), pick(r).alias("recall"), pick(f1).alias("f1"))
+
+    return once(once(F.struct(pred.alias("pred"), truth.alias("truth")), counted), scored)
 
 
 def aligned(preds: DataFrame, truths: DataFrame, strict: bool = False) -> DataFrame:

@@ -10,7 +10,9 @@ import re
 import pyarrow as pa
 import pytest
 from oracle import TABLES, compare
+from pyspark.sql import functions as F
 
+from isoloom.functions import ids
 from isoloom.operators import assembly, dominance
 from isoloom.plans import fixtures, registry
 from isoloom.sources import bgzf
@@ -152,3 +154,20 @@ def test_labels_meet_exons_once(spark, name):
     plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"AS offset#", plan)) == 1
     compare(spark, query, registry.ORACLES[name], SF)
+
+
+@pytest.mark.parametrize("name", ["u5_slop_matches", "e4_evaluate_set"])
+def test_junctions_are_matched_once(spark, name):
+    query = registry.QUERIES[name]
+    plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("aggregate(") <= 2
+    compare(spark, query, registry.ORACLES[name], SF)
+
+
+def test_spec_is_matched_once(spark):
+    """One regular expression takes a spec apart; anything else is null."""
+    texts = ["chr1: 5a > tt", "x.Y_1:0012AC>-", "1:" + "9" * 19 + "A>C", "chr1:5A>", "a\nb\nc\nd", "", None]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select(ids.parse_spec(F.col("t")).alias("s"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(ids._SPEC[4:12]) == 1
+    got = [r["s"] and tuple(r["s"]) for r in out.collect()]
+    assert got == [("chr1", 4, 5, "A", "TT", "INDEL"), ("x.Y_1", 11, 12, "AC", "-", "DEL"), ("1", None, None, "A", "C", "SNP"), None, None, None, None]
