@@ -171,3 +171,11 @@ def test_spec_is_matched_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count(ids._SPEC[4:12]) == 1
     got = [r["s"] and tuple(r["s"]) for r in out.collect()]
     assert got == [("chr1", 4, 5, "A", "TT", "INDEL"), ("x.Y_1", 11, 12, "AC", "-", "DEL"), ("1", None, None, "A", "C", "SNP"), None, None, None, None]
+
+
+def test_attributes_are_split_once(spark):
+    """Pairs aren't made again for each pair; the last of equal keys wins, nothing and null stay what they were."""
+    texts = ['gene_id "g"; n 1; gene_id "h"; bare; t "a b"', "", None]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select(ids.parse_attributes(F.col("t")).alias("m"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(t") == 1
+    assert [r["m"] for r in out.collect()] == [{"n": "1", "gene_id": "h", "t": "a b"}, {}, None]
