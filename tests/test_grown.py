@@ -179,3 +179,12 @@ def test_attributes_are_split_once(spark):
     out = spark.createDataFrame([(t,) for t in texts], "t string").select(ids.parse_attributes(F.col("t")).alias("m"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(t") == 1
     assert [r["m"] for r in out.collect()] == [{"n": "1", "gene_id": "h", "t": "a b"}, {}, None]
+
+
+@pytest.mark.parametrize(("name", "fold"), [("p19_apply_many", "aggregate("), ("x4_balanced", "exists(")])
+def test_folds_run_once(spark, name, fold):
+    """A window's fold is run once for its three results, and neighbours are looked for once a step."""
+    query = registry.QUERIES[name]
+    plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(fold) == 1
+    compare(spark, query, registry.ORACLES[name], SF)
