@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isoloom.operators import ordered
 from isoloom.sources.readers import REASONS
+from isoloom.sources.shard_sink import write_numbered
 
 
 def write_sharded(df: DataFrame, path: str, rows: int) -> None:
@@ -26,7 +27,7 @@ def write_by_bases(df: DataFrame, path: str, max_bases: int, order: Sequence[Col
         raise ValueError("max_bases must be positive")
     summed = ordered.running_sum(df, order, F.col(end).cast("long") - F.col(start).cast("long"), "__bases")
     dealt = summed.withColumn("shard", F.floor(F.col("__bases") / max_bases)).drop("__bases")
-    dealt.repartition("shard").sortWithinPartitions("shard", *order).write.partitionBy("shard").option("compression", "snappy").parquet(path)
+    write_numbered(dealt.repartition("shard").sortWithinPartitions("shard", *order), path, "shard")
 
 
 def write_by(df: DataFrame, path: str, column: str) -> None:

@@ -6,8 +6,10 @@ import json
 import os
 import random
 import re
+import time
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from oracle import TABLES, compare
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from isoloom.functions import ids
 from isoloom.operators import assembly, dominance
 from isoloom.plans import fixtures, registry
-from isoloom.sources import bgzf
+from isoloom.sources import bgzf, sinks
 from isoloom.streaming import rewindow
 
 SF = "/root/testdata/sf0.001"
@@ -188,3 +190,20 @@ def test_folds_run_once(spark, name, fold):
     plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(fold) == 1
     compare(spark, query, registry.ORACLES[name], SF)
+
+
+def test_many_shards_are_written_fast(spark, tmp_path):
+    """A folder of one small file took some 45 ms; each shard is whole, in order and in one file, and no hidden file stays."""
+    path = f"{tmp_path}/out"
+    df = spark.range(6000, numPartitions=4).select(F.col("id").alias("start"), (F.col("id") + 50).alias("end"), F.concat(F.lit("t"), "id").alias("name"))
+    df.count()
+    began = time.time()
+    sinks.write_by_bases(df, path, 100, [F.col("start")])
+    took = time.time() - began
+    assert sorted(os.listdir(path)) == sorted(["_SUCCESS", *(f"shard={k}" for k in range(3000))])
+    assert {tuple(os.listdir(f"{path}/shard={k}")) for k in range(3000)} == {("part.parquet",)}
+    for k in (0, 1234, 2999):
+        assert pq.ParquetFile(f"{path}/shard={k}/part.parquet").read().to_pydict() == {"start": [2 * k, 2 * k + 1], "end": [2 * k + 50, 2 * k + 51], "name": [f"t{2 * k}", f"t{2 * k + 1}"]}
+    assert took < 45
+    with pytest.raises(FileExistsError):
+        sinks.write_by_bases(df, path, 100, [F.col("start")])
