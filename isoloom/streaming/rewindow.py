@@ -92,7 +92,8 @@ class Rewindow(StatefulProcessor):
         self.done = handle.getValueState("done", "start long", self.remember)
 
     def _add(self, fresh: pd.DataFrame, first: int, beyond: int) -> None:
-        """One more part for each window from ``first`` on that has some of these variants."""
+        """One more part for each window from ``first`` on that has some of these variants, copies told once."""
+        fresh = fresh.drop_duplicates(_COLUMNS)
         at = fresh["span_start"].to_numpy(np.int64)
         high = np.minimum(at // self.stride * self.stride, beyond - self.stride)
         for k in range(-(-self.window // self.stride)):

@@ -15,9 +15,9 @@ from oracle import TABLES, compare
 from pyspark.sql import functions as F
 
 from isoloom.functions import ids
-from isoloom.operators import assembly, dominance
-from isoloom.plans import fixtures, registry
-from isoloom.sources import bgzf, sinks
+from isoloom.operators import assembly, dominance, intervals, variants
+from isoloom.plans import fixtures, io_queries, registry
+from isoloom.sources import bgzf, readers, sinks
 from isoloom.streaming import rewindow
 
 SF = "/root/testdata/sf0.001"
@@ -207,3 +207,16 @@ def test_many_shards_are_written_fast(spark, tmp_path):
     assert took < 45
     with pytest.raises(FileExistsError):
         sinks.write_by_bases(df, path, 100, [F.col("start")])
+
+
+def test_stream_partitions_do_not_follow_the_session(spark):
+    """Each partition of state costs every batch a task: there are as many as cores, and the session's number comes back."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        out, state = io_queries._run(spark, rewindow.without_duplicates(io_queries._by_name(spark, io_queries._shards(spark, SF)), io_queries.HELD))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "23"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    parts = [p for p in os.listdir(f"{state.removeprefix('file://')}/state/0") if p.isdigit()]
+    assert len(parts) == spark.sparkContext.defaultParallelism and not out.isEmpty()
