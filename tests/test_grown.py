@@ -220,3 +220,34 @@ def test_stream_partitions_do_not_follow_the_session(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     parts = [p for p in os.listdir(f"{state.removeprefix('file://')}/state/0") if p.isdigit()]
     assert len(parts) == spark.sparkContext.defaultParallelism and not out.isEmpty()
+
+
+@pytest.mark.parametrize("task_places", [3, 20_000])
+def test_windows_of_any_length_fall_into_islands(spark, task_places, monkeypatch):
+    """Greedy selection of whole contigs equals a loop, over stretches that variants reach across, and takes few jobs."""
+    monkeypatch.setattr(intervals, "STRETCH_BASES", 64)
+    rng, rows = random.Random(8), []
+    for chrom, places in (("a", 900), ("b", 1), ("c", 40)):
+        for at in sorted(rng.sample(range(4000), places)):
+            rows += [(chrom, 0, 4000, at, at + n, at + 1, "A" * n, "C", "SNP", f"{chrom}:{at}:{n}") for n in {rng.choice([1, 1, 1, 3, 9, 200 if chrom == "c" else 2]), 1 + at % 2}]
+    want, last = [], {}
+    for r in sorted(rows, key=lambda r: (r[0], *r[3:])):
+        if r[3] >= last.get(r[0], 0):
+            want.append((r[0], r[3], r[4]))
+            last[r[0]] = r[4]
+    df = spark.createDataFrame(rows, "chrom string, start long, end long, span_start long, span_end long, pos long, ref string, alt string, var_type string, spec string")
+    got = variants.without_conflicts(df, task_places=task_places)
+    assert sorted((r["chrom"], r["span_start"], r["span_end"]) for r in got.collect()) == want
+    assert variants.without_conflicts(df.limit(0), task_places=task_places).isEmpty()
+
+
+def test_long_chain_of_places_takes_few_jobs(spark):
+    """Pointers over 600 places took some ten rounds of jobs."""
+    df = spark.range(600).select(F.lit("c").alias("chrom"), F.lit(0).cast("long").alias("start"), F.lit(9000).cast("long").alias("end"), (F.col("id") * 10).alias("span_start"), (F.col("id") * 10 + 10 + F.col("id") % 2).alias("span_end"), (F.col("id") * 10 + 1).alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), F.lit("SNP").alias("var_type"), F.lit("s").alias("spec"))
+    spark.sparkContext.setJobGroup("islands", "")
+    try:
+        assert variants.without_conflicts(df, task_places=500).count() == 301
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("islands"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 30
