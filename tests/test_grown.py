@@ -251,3 +251,18 @@ def test_long_chain_of_places_takes_few_jobs(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs < 30
+
+
+def test_mismatches_are_counted_where_chunks_are(spark):
+    """Variants over chunk borders and beyond either end, copies, an unknown contig; sequences are joined once."""
+    seqs = {"a": "ACGTACGTACGTA", "b": "TTTT"}
+    rows = [("a", 1, "ACGT"), ("a", 4, "TACGTA"), ("a", 4, "TACGTA"), ("a", 3, "GTTC"), ("a", 3, "GTTC"), ("a", 12, "TANN"), ("a", 13, "AC"), ("b", 5, "N"), ("b", 40, "NNNNNNN"), ("b", 40, "NNNANNN"), ("b", 0, "NT"), ("z", 1, "A"), ("z", 1, "NNNNNNNN"), ("b", 2, ""), ("b", 1, "TT"), ("b", 2, "G")]
+    base = lambda c, k: seqs[c][k] if 0 <= k < len(seqs[c]) else "N"
+    known = [r for r in rows if r[0] in seqs]
+    wrong = sum("".join(base(c, p - 1 + i) for i in range(len(r))) != r for c, p, r in known)
+    contigs = spark.createDataFrame(list(seqs.items()), "chrom string, seq string").withColumn("length", F.length("seq"))
+    df = spark.createDataFrame(rows, "chrom string, pos int, ref string").withColumn("var_type", F.lit("SNP"))
+    out = variants.reference_mismatches(df, contigs.select("chrom", "length"), readers.sequence_chunks(contigs, 4), 4).collect()
+    assert [tuple(r) for r in out] == [("SNP", len(known), wrong)]
+    df = variants.reference_mismatches(df, contigs.select("chrom", "length"), readers.sequence_chunks(contigs, 4), 4)
+    assert "collect_list" not in df._jdf.queryExecution().toString()
