@@ -13,7 +13,8 @@ percent * union``; sizes a and b need an overlap of o(a, b) = ceil(percent * (a
 4. The sets of a cluster come together and are counted exactly; a spanning forest of the true links is what remains.
 5. Components of all links, written as the smallest id; copies take that of their class.
 
-Lists and clusters are dealt into blocks of bounded sets and bytes.  First each block is worked through by itself; then
+Lists and clusters are dealt into blocks of bounded sets and bytes.  All blocks of a group of few meet at once.  In larger
+groups first each block is worked through by itself; then
 one representative of each component so far is held against all others; then what is still apart from its group's
 largest component is held against every block (:func:`linked`).  A pair already in one component needs no check, so a
 group of m near copies costs about m, and only sets that stay apart cost more.
@@ -40,12 +41,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, each_text, fits_broadcast, give_back, slices, written
-from .components import components
+from .common import bounded_batches, each_slice, each_text, fits_broadcast, give_back, slices, written
+from .components import below, components
 from .wordhash import SPACED, buffers, mix, shingles, words
 
 #: Sets of a block of an inverted list, and of a cluster; bytes of sets of a block of a cluster.
 LIST_BLOCK, CLUSTER_BLOCK, BLOCK_BYTES = 1024, 2048, 8 << 20
+#: Blocks of a group of which every two meet at once; groups of more go through rounds.
+FEW_BLOCKS = 4
 #: Shingles that can be known as common: those above one part in COMMON of all occurrences.
 COMMON = 1 << 20
 #: Shingles counted at once in a task, and how often one must occur there to be reported.
@@ -392,7 +395,8 @@ def linked(rows: DataFrame, sizes: DataFrame, payload: DataFrame, block: int, bl
 
     ``rows`` has (g, rep, n, place, bytes), ``sizes`` is a written table of each group's rows m and bytes, ``payload`` has
     what ``solve`` needs of a rep.  In a unit (g, own, mate) rows of the same block meet if own = mate, else rows of
-    different ones.  Groups of several blocks go through three rounds:
+    different ones.  In groups of at most FEW_BLOCKS blocks, a row comes into as many units and all pairs meet in the first
+    round.  Larger groups go through three:
 
     1. each block by itself;
     2. one row of each tree so far, all with all;
@@ -414,7 +418,7 @@ def linked(rows: DataFrame, sizes: DataFrame, payload: DataFrame, block: int, bl
 
     def solved(units: DataFrame, tasks: int) -> DataFrame:
         full = units.select(*_UNIT, "task").join(payload.hint("merge"), "rep").repartition(tasks, "task")
-        return written(full.groupBy("task").applyInArrow(work, "task int, a long, b long").where("a <> b").distinct(), name)
+        return written(full.groupBy("task").applyInArrow(work, "task int, a long, b long").where("a <> b"), name)
 
     def told(units: DataFrame, edges: DataFrame) -> DataFrame:
         """``units`` with the least of each row's tree in its task; several rows of one rep have one."""
@@ -422,14 +426,17 @@ def linked(rows: DataFrame, sizes: DataFrame, payload: DataFrame, block: int, bl
         return units.join(least.hint("merge"), ["task", "rep"], "left").withColumn("label", F.coalesce("root", "rep")).drop("root", "task")
 
     sizes = sizes.withColumn("blocks", blocks(F.col("m"), F.col("bytes")))
-    total = sizes.agg(F.sum("m"), F.sum("bytes"), F.max("blocks")).first()
+    few = F.col("blocks") <= FEW_BLOCKS
+    times = F.when(few, F.col("blocks")).otherwise(1)
+    total = sizes.agg(F.sum(times * F.col("m")), F.sum(times * F.col("bytes")), F.max("blocks")).first()
     placed = rows.join(sizes.select("g", "blocks").hint("merge"), "g").withColumn("block", dealt(F.col("blocks")))
     tasks, which = task(total[0] or 0, total[1] or 0)
-    placed = placed.withColumn("own", F.col("block")).withColumn("mate", F.col("block")).withColumn("task", which)
+    placed = placed.withColumn("other", F.explode(F.when(few, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    placed = placed.withColumn("own", F.least("block", "other")).withColumn("mate", F.greatest("block", "other")).drop("other").withColumn("task", which)
     edges = solved(placed, tasks)
-    if (total[2] or 0) < 2:
+    if (total[2] or 0) <= FEW_BLOCKS:
         return edges.select("a", "b")
-    now = written(told(placed.where("blocks > 1"), edges), name)
+    now = written(told(placed.where(~few), edges), name)
 
     # one row of each tree, with all others of its group
     first = now.groupBy("g", "label").agg(F.min(F.struct("rep", "n", "place", "bytes")).alias("x")).select("g", "label", "x.*")
@@ -484,17 +491,16 @@ def _candidates(posted: DataFrame, percent: int) -> tuple[DataFrame | None, int]
 def heavy_links(docs: DataFrame, edges: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b) true links that span the true components inside each cluster of candidates."""
     clusters = written(components(edges), "join-clusters").select(F.col("node").alias("rep"), F.col("component").alias("g"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = clusters.select(F.col("rep").alias("doc_id"))
-    texts = texts.join(F.broadcast(ids) if fits_broadcast(ids, BROADCAST_ROWS) else ids.hint("merge"), "doc_id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    texts = texts.join(F.broadcast(clusters) if fits_broadcast(clusters, BROADCAST_ROWS) else clusters.hint("merge"), "rep").select("rep", "g", "text")
 
-    def work(doc_ids: pa.Array, batch: pa.Array) -> Iterable[pa.RecordBatch]:
-        h, bounds = shingle_sets(batch, size)
+    def work(batch: pa.RecordBatch, own: pa.Array) -> pa.RecordBatch:
+        h, bounds = shingle_sets(own, size)
         raw = pa.array([h[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(bounds)), raw], ["rep", "n", "shingles"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), raw], ["rep", "g", "n", "shingles"])
 
-    sets = written(each_text(texts, "rep long, n long, shingles binary", work), "join-sets")
-    rows = clusters.join(sets.select("rep", "n").hint("merge"), "rep").select("g", "rep", F.col("n").cast("int").alias("n"), F.lit(0).alias("place"), (8 * F.col("n")).alias("bytes"))
+    sets = written(each_slice(texts, "text", work, "rep long, g long, n long, shingles binary"), "join-sets")
+    rows = sets.select("g", "rep", F.col("n").cast("int").alias("n"), F.lit(0).alias("place"), (8 * F.col("n")).alias("bytes"))
     sizes = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes")), "join-sizes")
     return linked(rows, sizes, sets.select("rep", "shingles"), CLUSTER_BLOCK, BLOCK_BYTES, _check(percent), "join-links")
 
@@ -527,7 +533,7 @@ def links_of_repeated_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
 
 def grouped(texts: DataFrame, known: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of all ``texts``: ``known`` ones take their class's component by ``links``."""
-    found = components(links).withColumnRenamed("node", "rep")
+    found = below(links).withColumnRenamed("node", "rep")
     classes = written(classes.join(found.hint("merge"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "join-classes")
     out = known.join(classes.hint("merge"), "digest").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     # texts without a set: alone, unless another text of the document has one

@@ -181,10 +181,11 @@ def join(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_i
     the rows of that id are kept."""
     texts = written(described(docs, size, percent, id_col, text_col), "minhash-signatures")
     known = texts.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "minhash-classes")
-    shown = known.where(F.col("bands").isNotNull()).select(F.col("doc_id").alias("rep"), "digest", "n", "bands", "signature")
     # a class's signature is that of the row its representative comes from, whichever of equal rows
-    reps = written(shown.join(classes.hint("merge"), ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"]).drop("digest"), "minhash-reps")
+    shown = F.struct("n", "bands", "signature")
+    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(shown, "doc_id").alias("shown")), "minhash-classes")
+    reps = classes.where(F.col("shown.bands").isNotNull()).select("rep", "shown.*")
+    classes = classes.select("digest", "rep")
     links = links_of_repeated_ids(known, classes)
     edges = candidates(reps, percent)
     if edges is not None:

@@ -753,6 +753,18 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars already are the result; one round makes stars of what a few tasks tell of one group."""
+    tables = []
+    inner = components.Rounds.written
+    monkeypatch.setattr(components.Rounds, "written", lambda self, df: tables.append(df) or inner(self, df))
+    for more, most in (([], 1), ([(k, 5) for k in range(6, 40)], 2)):
+        tables.clear()
+        got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame([(k, 1) for k in range(2, 30)] + [(50, 60)] + more, "a long, b long")).collect()}
+        assert got == {k: 1 for k in range(1, 40 if more else 30)} | {50: 50, 60: 50}
+        assert len(tables) <= most, len(tables)
+
+
 # pipeline
 
 

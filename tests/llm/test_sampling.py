@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from isoloom.llm import fill_in_middle as fim
-from isoloom.llm import minhash, resampling, wordhash
+from isoloom.llm import jaccard_join, minhash, resampling, wordhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = ["", None, " ", "!!", "a", "a b", "a b c", "É x", "\x00\x01", "<P>", "a <M> b", "x" * 70_000, "word " * 20_000, "日本語 テキスト 😀", "a b c"]
@@ -258,6 +258,43 @@ def test_minhash_groups_of_near_copies(spark, monkeypatch):
     assert all(got[k]["component_id"] == k and got[k]["kept"] for k in range(90, 150))
 
 
+@pytest.mark.parametrize("few", [1, 4])
+def test_minhash_blocks_meet_at_once_or_in_rounds(spark, monkeypatch, few):
+    """The same links whether all blocks of a group meet in the first round or go through three."""
+    monkeypatch.setattr(minhash, "LIST_BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "CLUSTER_BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "FEW_BLOCKS", few)
+    rng = random.Random(few)
+    base = [f"v{k}" for k in range(200)]
+    texts = []
+    for _ in range(28):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 4, 8])):
+            copy[rng.randrange(200)] = f"own{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    got = minhash.join(docs(spark, texts)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == linked_by_hand(list(enumerate(texts)), 3, 85)
+
+
+def test_minhash_runs_few_stages(spark, monkeypatch):
+    """A group of near copies in three blocks: what runs for it is a fixed number of stages, each of all partitions."""
+    monkeypatch.setattr(minhash, "LIST_BLOCK", 16)
+    base = [f"v{k}" for k in range(300)]
+    texts = [" ".join([*base[:k], f"own{k}", *base[k + 1 :]]) for k in range(40)]
+    df = docs(spark, texts).persist()
+    df.count()
+    sc = spark.sparkContext
+    sc.setJobGroup("few-stages", "")
+    try:
+        assert {r["component_id"] for r in minhash.join(df).collect()} == {0}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    told = sc.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("few-stages") for s in told.getJobInfo(j).stageIds}
+    ran = [s for s in stages if (i := told.getStageInfo(s)) and i.numCompletedTasks]
+    assert 20 < len(ran) < 90, len(ran)
+
+
 def test_minhash_odd_rows(spark):
     rows = minhash.join(odd(spark)).collect()
     assert len(rows) == len(ODD) + 4 and all(r["kept"] for r in rows if r["doc_id"] is None or not r["n_shingles"])
