@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,6 +59,14 @@ def running_sum(df: DataFrame, order: Sequence[Column], value: Column, name: str
     return _with_before(rows, before).withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__place", "__before", "__inside", "__value", "__row")
 
 
+def summed_files(df: DataFrame, order: Sequence[Column], value: str, unique: bool = False) -> tuple[list[Row], DataFrame]:
+    """Files that hold the rows of ``df`` along ``order``, one file after the other, for tasks that cut the order at sums of the column
+    ``value``; and the table of them.  Each file's row has its name, the sum of its values, the last one and the least."""
+    rows = _ranges(df, order, unique)
+    each = rows.groupBy("__range", F.col("_metadata.file_path").alias("file")).agg(F.min("__place").alias("first"), F.sum(value).alias("total"), F.max_by(value, "__place").alias("last"), F.min(value).alias("least"))
+    return each.orderBy("__range", "first").collect(), rows.drop("__range", "__place", "__row")  # a row a task
+
+
 def medians(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(key, median_<column>...): exact medians of several columns by key, nulls left out; keys whose values are all null have
     null medians.

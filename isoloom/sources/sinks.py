@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from isoloom.operators import ordered
 from isoloom.sources.readers import REASONS
-from isoloom.sources.shard_sink import write_numbered
+from isoloom.sources.shard_sink import Piece, read_numbered, write_cut, write_numbered
 
 
 def write_sharded(df: DataFrame, path: str, rows: int) -> None:
@@ -17,17 +18,32 @@ def write_sharded(df: DataFrame, path: str, rows: int) -> None:
     df.write.option("maxRecordsPerFile", rows).option("compression", "snappy").parquet(path)
 
 
-def write_by_bases(df: DataFrame, path: str, max_bases: int, order: Sequence[Column], start: str = "start", end: str = "end") -> None:
+def write_by_bases(df: DataFrame, path: str, max_bases: int, order: Sequence[Column], start: str = "start", end: str = "end", unique: bool = False) -> None:
     """Numbered shards (folders shard=0, 1, ... of one Parquet file) of consecutive rows along ``order``.
 
     A shard takes the rows before which the running sum of ``end - start`` lies between two multiples of ``max_bases``, so it
     exceeds the budget by less than its last row, whatever the rows' lengths.  Numbers skip where one row spans several
-    budgets.  The sum is a distributed one; a row without bounds counts no bases."""
+    budgets.  The rows are dealt by ranges of the order, and a task cuts a range; a row without bounds counts no bases.
+    ``unique`` says that no rows are equal in ``order``, which saves writing them once.  Read with :func:`read_by_bases`."""
     if max_bases <= 0:
         raise ValueError("max_bases must be positive")
-    summed = ordered.running_sum(df, order, F.col(end).cast("long") - F.col(start).cast("long"), "__bases")
-    dealt = summed.withColumn("shard", F.floor(F.col("__bases") / max_bases)).drop("__bases")
-    write_numbered(dealt.repartition("shard").sortWithinPartitions("shard", *order), path, "shard")
+    bases = F.coalesce(F.col(end).cast("long") - F.col(start).cast("long"), F.lit(0))
+    files, rows = ordered.summed_files(df.withColumn("__bases", bases), order, "__bases", unique)
+    if any(f["least"] < 0 for f in files):  # ends before starts: sums fall again, so a shard's rows need not be consecutive
+        dealt = ordered.running_sum(rows, order, F.col("__bases"), "__sum").withColumn("shard", F.floor(F.col("__sum") / max_bases)).drop("__sum", "__bases")
+        write_numbered(dealt.repartition("shard").sortWithinPartitions("shard", *order), path, "shard")
+        return
+    pieces, before = [], 0
+    for f in files:
+        pieces.append(Piece(f["file"], before, (before + f["total"] - f["last"]) // max_bases))
+        before += f["total"]
+    write_cut(df.sparkSession, pieces, df.drop("shard").schema, "__bases", max_bases, path, "shard")
+
+
+def read_by_bases(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The columns of ``schema`` of what :func:`write_by_bases` wrote, each row with its shard and the name of the file in the shard's
+    folder.  Spark's own reader reads the folders as well, but takes long where they are many."""
+    return read_numbered(spark, path, StructType([*schema, StructField("shard", LongType()), StructField("file", StringType())]), "shard")
 
 
 def write_by(df: DataFrame, path: str, column: str) -> None:

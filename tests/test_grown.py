@@ -209,6 +209,66 @@ def test_many_shards_are_written_fast(spark, tmp_path):
         sinks.write_by_bases(df, path, 100, [F.col("start")])
 
 
+def test_many_shards_are_read_by_few_tasks(spark):
+    """A task listed each folder, and one read 32 files."""
+    sc = spark.sparkContext
+    sc.setJobGroup("k1", "k1")
+    try:
+        compare(spark, io_queries.k1_sharded, registry.ORACLES["k1_sharded"], "/root/testdata/sf0.01")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("k1")]
+    stages = {k: sc.statusTracker().getStageInfo(k) for j in jobs for k in j.stageIds}
+    assert stages and max(s.numTasks for s in stages.values() if s) < 100  # 409 shards
+
+
+@pytest.mark.parametrize(("budget", "unique", "odd"), [(1, True, None), (700, True, None), (700, False, None), (40_000, True, None), (150_000, False, None), (10**9, True, None), (5_000, True, -3_000), (5_000, True, 10**7)])
+def test_shards_that_span_pieces(spark, tmp_path, budget, unique, odd):
+    """Shards of a row, of a few, and of several tasks' rows; rows of no bases or no bounds, equal in the order, longer than many
+    budgets, or with an end before their start.  Types that Parquet spells in other ways stay."""
+    rng = random.Random(budget)
+    rows = [(k, rng.randrange(50), rng.choice([0, 0, 1, 30, 200])) for k in range(3000)] + ([(3000, 25, odd)] if odd else [])
+    rng.shuffle(rows)
+    by, columns = (["g", "id"] if unique else ["g"]), ["id", "at", "day", "price", "tags", "name", "start", "end", "g"]
+    df = spark.createDataFrame(rows, "id long, g int, n long").repartition(3).selectExpr(
+        "id", "timestamp_micros(id * 1000003) AS at", "date_add(DATE'1960-01-01', CAST(id AS int)) AS day", "CAST(id AS decimal(20, 2)) AS price", "array(id, NULL) AS tags", "IF(id % 5 = 0, NULL, concat('t', id)) AS name",
+        "IF(id % 7 = 1 AND n >= 0, NULL, 5L) AS start", "5 + n AS end", "g")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # several ranges of few rows
+    try:
+        files, _ = sinks.ordered.summed_files(df.withColumn("v", F.lit(1)), [F.col(c) for c in by], "v", unique)
+        assert len(files) > 2 and sum(f["total"] for f in files) == len(rows)
+        sinks.write_by_bases(df, f"{tmp_path}/out", budget, [F.col(c) for c in by], unique=unique)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    back = sinks.read_by_bases(spark, f"{tmp_path}/out", df.schema)
+    got = back.collect()
+    key = lambda r: (r["shard"], r["g"], r["id"])
+    assert back.columns == [*columns, "shard", "file"] and {r["file"] for r in got} == {"part.parquet"}
+    assert sorted((r[:9] for r in got), key=lambda r: r[0]) == sorted((tuple(r) for r in df.collect()), key=lambda r: r[0])
+    by_spark = spark.read.parquet(f"{tmp_path}/out").select(*columns, "shard").collect()
+    assert sorted((r[:10] for r in got), key=lambda r: r[0]) == sorted((tuple(r) for r in by_spark), key=lambda r: r[0])
+    assert all(len(os.listdir(f"{tmp_path}/out/shard={r['shard']}")) == 1 for r in got)
+    total, bases = 0, lambda r: 0 if r["start"] is None else r["end"] - r["start"]
+    if unique:
+        for r in sorted(got, key=key) if odd != -3_000 else sorted(got, key=lambda r: (r["g"], r["id"])):
+            assert r["shard"] == total // budget
+            total += bases(r)
+    else:  # equal rows come in any order, but those of a shard end at its budget
+        held: dict = {}
+        for r in got:
+            held.setdefault(r["shard"], []).append(r)
+        assert sorted((r["g"], k) for k, v in held.items() for r in v) == [(g, k) for k in sorted(held) for g in sorted(r["g"] for r in held[k])]
+        for k in sorted(held):
+            assert k * budget <= total < (k + 1) * budget
+            total += sum(map(bases, held[k]))
+
+
+def test_no_rows_no_shards(spark, tmp_path):
+    df = spark.createDataFrame([], "start long, end long")
+    sinks.write_by_bases(df, f"{tmp_path}/out", 10, [F.col("start")])
+    assert os.listdir(f"{tmp_path}/out") == ["_SUCCESS"] and sinks.read_by_bases(spark, f"{tmp_path}/out", df.schema).count() == 0
+
+
 def test_stream_partitions_do_not_follow_the_session(spark):
     """Each partition of state costs every batch a task: there are as many as cores, and the session's number comes back."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
